@@ -1,7 +1,9 @@
 """Quality rules by repetition coverage.
 
 For each text the share of word characters that lie inside repeated word n-grams (several lengths, hashed by a
-rolling hash in numpy) and the share that lies in repeated lines decide whether it is kept.
+rolling hash in numpy) and the share that lies in repeated lines decide whether it is kept. Signs strewn over the
+words are repetition on the scale of characters and count by their number. The limits are wide: texts with a few
+repeated passages are ordinary.
 
 Defined cases: a null text has no words and fails the base rule, as does an empty one; rows are judged one by
 one, so ties, repeated rows and extra columns change nothing; an empty table gives an empty table; a text of any
@@ -21,9 +23,11 @@ from . import textblocks as tb
 from .store import read
 
 #: n-gram length -> largest allowed share of word characters inside n-grams that occur twice or more.
-COVERAGE = {3: 0.40, 5: 0.25, 7: 0.20, 10: 0.15}
+COVERAGE = {3: 0.50, 5: 0.48, 7: 0.46, 10: 0.45}
 #: Largest allowed share of word characters in lines equal to an earlier line.
-LINE_COVERAGE = 0.20
+LINE_COVERAGE = 0.30
+#: Largest allowed number of repeated signs ([#*$%&|<>]) for each word.
+SYMBOL_RATIO = 0.30
 _SYMBOLS = np.zeros(256, bool)
 _SYMBOLS[list(b"#*$%&|<>")] = True
 
@@ -76,7 +80,7 @@ def measure(buf: np.ndarray, off: np.ndarray, lengths: tuple[int, ...]) -> dict[
 
 
 def repetition_coverage(
-    docs: DataFrame, coverage: dict[int, float] | None = None, line_coverage: float = LINE_COVERAGE, min_words: int = 50
+    docs: DataFrame, coverage: dict[int, float] | None = None, line_coverage: float = LINE_COVERAGE, symbol_ratio: float = SYMBOL_RATIO, min_words: int = 50
 ) -> DataFrame:
     """One row for each row of docs (doc_id, text): measures, base verdict and verdict. No shuffle; one pass."""
     coverage = dict(COVERAGE if coverage is None else coverage)
@@ -94,6 +98,7 @@ def repetition_coverage(
                 for k, most in sorted(coverage.items(), reverse=True):
                     rule[shares[k] > most] = f"gram_{k}"
                 rule[lines > line_coverage] = "line"
+                rule[m["n_symbols"] > symbol_ratio * m["n_words"]] = "symbol"
                 rule[base] = "base"
                 yield pa.RecordBatch.from_arrays(
                     [
