@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, quality_rules, url_filters
+from . import byte_bpe, packing, quality_rules, toxicity, url_filters
 
 QUERIES = {
     "op2_byte_bpe": byte_bpe.op2_byte_bpe,
     "op3_repetition_coverage": quality_rules.op3_repetition_coverage,
+    "op4_noisy_channel": toxicity.op4_noisy_channel,
+    "op5_grouping_genetic_packing": packing.op5_grouping_genetic_packing,
     "op10_host_reputation": url_filters.op10_host_reputation,
 }
 SQL = {"op10_host_reputation": url_filters.SQL}
