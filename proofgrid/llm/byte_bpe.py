@@ -22,7 +22,7 @@ import tiktoken
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .store import read
+from .store import map_texts, read
 
 LONG = 1 << 16
 #: White-space runs from this length on are matched outside of tiktoken, whose matcher may give up on them.
@@ -110,19 +110,12 @@ def bpe_decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
 def bpe_digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """Encode and decode every text in one pass and keep only counts and digests, so that no id list leaves its task."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = []
-            for text in frame.text:
-                ids = encode(text, path, pattern)
-                raw = decode(ids, path, pattern)
-                rows.append((len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(raw).hexdigest(), len(raw)))
-            out = pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256", "n_bytes"])
-            out.insert(0, "doc_id", frame.doc_id.to_numpy())
-            yield out
-
-    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, n_bytes long"
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(run, schema)
+    def digest(text: str | None) -> tuple[int, str, str, int]:
+        ids = encode(text, path, pattern)
+        raw = decode(ids, path, pattern)
+        return len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(raw).hexdigest(), len(raw)
+
+    return map_texts(docs, digest, "n_tokens long, ids_sha256 string, decoded_sha256 string, n_bytes long")
 
 
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,8 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Texts whose results are held at once.
+PART = 500
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -41,3 +47,27 @@ def discard(df: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+
+
+_ARROW = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "boolean": pa.bool_(), "binary": pa.binary()}
+
+
+def map_texts(docs: DataFrame, judge: Callable[[str | None], tuple], fields: str, *keep: Column) -> DataFrame:
+    """doc_id, keep and judge(text) for every row of docs(doc_id, text): fields names the results, like "n long, x double".
+
+    Rows stay in their tasks and doc_id passes untouched, null or not. Results are built for PART texts at a time.
+    """
+    names, kinds = zip(*(f.split() for f in fields.split(", ")), strict=True)
+    head = docs.select(F.col("text").cast("string").alias("text"), F.col("doc_id").cast("long").alias("doc_id"), *keep)
+    schema = ", ".join([*(f"{n} {k}" for n, k in head.dtypes[1:]), fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, PART):
+                part = batch.slice(at, PART)
+                rows = list(zip(*map(judge, part.column(0).to_pylist()), strict=True))
+                yield pa.RecordBatch.from_arrays(
+                    [*part.columns[1:], *(pa.array(values, _ARROW[kind]) for values, kind in zip(rows, kinds, strict=True))], names=[*part.schema.names[1:], *names]
+                )
+
+    return head.mapInArrow(run, schema)
