@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textblocks as tb
-from .store import materialize, read
+from .store import map_texts, materialize, read
 
 #: Bounds of the fit: labelled rows looked at, and features kept.
 FIT_ROWS, FIT_FEATURES = 30_000, 20_000
@@ -51,7 +51,9 @@ _SYMBOL[0xC0:] = 27
 
 _DISGUISED = re.compile(r"(?=.*[^\W\d_])(?:.*[^\W_]*(?:[^\W\d_][0-9@$!|+(€*#]|[0-9@$!|+(€*#][^\W\d_])|.*([^\W\d_])\1\1|(?:.[.\-_*'~]){2,}.)")
 _EDGES = re.compile(r"^[\W_]+|[\W_]+$")
-_OUTER = re.compile(r"^[\s.,;:?\"“”()\[\]{}<>/\\]+|[\s.,;:?\"“”)\[\]{}<>/\\]+$")
+_OUTER = " \t\n.,;:?\"“”()[]{}<>/\\"
+_TAIL = re.compile(r"([^\w\s])\1\1+$")
+_THRICE = re.compile(r"(.)\1\1")
 _SPACED = re.compile(r"(?<!\S)(?:\S[ \t]){3,}\S(?!\S)")
 
 
@@ -114,9 +116,12 @@ def restore(word: str, model: np.ndarray) -> str:
 
 
 def words_of(chunk: str, model: np.ndarray) -> str:
-    """The restored word in a chunk between white space, or an empty string."""
-    core = _OUTER.sub("", chunk)
-    if not core.isalpha() and _DISGUISED.match(core) or core.isalpha() and re.search(r"(.)\1\1", core):
+    """The restored word in a chunk between white space, or an empty string. Signs three times at its end are no letters."""
+    core = chunk.strip(_OUTER)
+    if core.isalpha():
+        return (restore(core, model) if _THRICE.search(core) else core).lower()
+    core = _TAIL.sub("", core).strip(_OUTER)
+    if not core.isalpha() and _DISGUISED.match(core):
         core = restore(core, model)
     return _EDGES.sub("", core.lower())
 
@@ -166,12 +171,15 @@ class Scorer:
 
     def __init__(self, model: np.ndarray, weights: dict[str, float], intercept: float, slope: float):
         self.model, self.weights, self.intercept, self.slope = model, weights, intercept, slope
+        self.heads = {f[:3] for f in weights}  # most words begin like no feature
         self._cache: dict[str, tuple[str, float] | None] = {}
 
     def __getstate__(self):
         return self.__dict__ | {"_cache": {}}
 
     def weigh(self, word: str) -> float:
+        if word[:3] not in self.heads:
+            return 0.0
         return max((self.weights.get(f, 0.0) for f in features(word)), default=0.0)
 
     def evidence(self, text: str | None) -> float:
@@ -181,13 +189,12 @@ class Scorer:
         if len(cache) > CACHE:
             cache.clear()
         found: dict[str, float] = {}
-        for chunk in set(text.split()):
-            if chunk not in cache:
-                word = words_of(chunk, self.model)
-                weight = self.weigh(word)
-                cache[chunk] = (word, weight) if weight else None
-            if hit := cache[chunk]:
-                found[hit[0]] = hit[1]
+        chunks = set(text.split())
+        for chunk in chunks.difference(cache):
+            word = words_of(chunk, self.model)
+            weight = self.weigh(word)
+            cache[chunk] = (word, weight) if weight else None
+        found.update(filter(None, map(cache.__getitem__, chunks)))
         for run in _SPACED.finditer(text):
             letters = words_of("".join(run[0].split()), self.model)
             for i in range(len(letters)):
@@ -279,13 +286,12 @@ def train_rows(labels: DataFrame) -> DataFrame:
 def score_texts(docs: DataFrame, scorer: Scorer) -> DataFrame:
     """doc_id, held_out, score and predicted for every row of docs. No shuffle."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            score = [scorer.score(t) for t in frame.text]
-            yield pd.DataFrame({"doc_id": frame.doc_id, "held_out": frame.held_out, "score": score, "predicted": [int(s >= 0.5) for s in score]})
+    def judge(text: str | None) -> tuple[float, int]:
+        score = scorer.score(text)
+        return score, int(score >= 0.5)
 
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False)).alias("held_out")
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), held_out).mapInPandas(run, "doc_id long, held_out boolean, score double, predicted int")
+    return map_texts(docs, judge, "score double, predicted int", held_out)
 
 
 def drop_toxic(docs: DataFrame, scorer: Scorer) -> DataFrame:
