@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, media_tiff, near_dups, packing, quality_rules, toxicity, url_filters
+from . import byte_bpe, chat_quotes, hmm_scoring, media_tiff, near_dups, packing, quality_rules, token_counts, toxicity, url_filters
 
 QUERIES = {
+    "op1_token_rollup": token_counts.op1_token_rollup,
     "op2_byte_bpe": byte_bpe.op2_byte_bpe,
     "op3_repetition_coverage": quality_rules.op3_repetition_coverage,
     "op4_noisy_channel": toxicity.op4_noisy_channel,
     "op5_grouping_genetic_packing": packing.op5_grouping_genetic_packing,
     "op6_prob_min_hash": near_dups.op6_prob_min_hash,
     "op7_tiff": media_tiff.op7_tiff,
+    "op8_quotation_linking": chat_quotes.op8_quotation_linking,
+    "op9_hidden_markov": hmm_scoring.op9_hidden_markov,
     "op10_host_reputation": url_filters.op10_host_reputation,
 }
 SQL = {"op10_host_reputation": url_filters.SQL}
