@@ -331,13 +331,8 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int =
 def keep_one(docs: DataFrame, classes: DataFrame) -> DataFrame:
     """One row of docs for each class: that of the class's name. A null doc_id belongs to no class and stays."""
     gone = classes.where("doc_id <> class_id").select("doc_id").distinct()
-    return docs.join(gone.hint("shuffle_hash"), "doc_id", "left_anti").transform(_one_row)
-
-
-def _one_row(docs: DataFrame) -> DataFrame:
-    """The first of several rows of one doc_id."""
-    named = docs.where("doc_id is not null").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where("doc_id is null"))
+    named = docs.where("doc_id is not null").join(gone.hint("shuffle_hash"), "doc_id", "left_anti").dropDuplicates(["doc_id"])
+    return named.select(docs.columns).unionByName(docs.where("doc_id is null"))
 
 
 def op6_prob_min_hash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,6 +13,7 @@ length is judged whole, in a numpy block of its own.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -79,27 +80,43 @@ def measure(buf: np.ndarray, off: np.ndarray, lengths: tuple[int, ...]) -> dict[
     return out
 
 
-def repetition_coverage(
-    docs: DataFrame, coverage: dict[int, float] | None = None, line_coverage: float = LINE_COVERAGE, symbol_ratio: float = SYMBOL_RATIO, min_words: int = 50
-) -> DataFrame:
+@dataclass
+class Limits:
+    """Largest allowed shares of word characters in repeated n-grams by length, and in repeated lines; signs a word; least words."""
+
+    coverage: dict[int, float] = field(default_factory=lambda: dict(COVERAGE))
+    line: float = LINE_COVERAGE
+    symbols: float = SYMBOL_RATIO
+    min_words: int = 50
+
+    @property
+    def lengths(self) -> tuple[int, ...]:
+        return tuple(sorted({3, *self.coverage}))
+
+    def judge(self, m: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Base verdict, the rule that a text fails ("" if none), line share and n-gram shares of measured texts."""
+        chars = np.maximum(m["word_chars"], 1)
+        shares = np.stack([m[f"chars_{k}"] / chars for k in self.lengths], 1)
+        lines = m["line_chars"] / chars
+        base = (m["n_words"] < self.min_words) | (100 * m["words_3"] > 50 * m["n_words"])
+        rule = np.full(len(chars), "", object)
+        for k, most in sorted(self.coverage.items(), reverse=True):
+            rule[shares[:, self.lengths.index(k)] > most] = f"gram_{k}"
+        rule[lines > self.line] = "line"
+        rule[m["n_symbols"] > self.symbols * m["n_words"]] = "symbol"
+        rule[base] = "base"
+        return base, rule, lines, shares
+
+
+def repetition_coverage(docs: DataFrame, limits: Limits | None = None) -> DataFrame:
     """One row for each row of docs (doc_id, text): measures, base verdict and verdict. No shuffle; one pass."""
-    coverage = dict(COVERAGE if coverage is None else coverage)
-    lengths = tuple(sorted({3, *coverage}))
+    limits = limits or Limits()
 
-    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, j, buf, off in tb.blocks(batch.column(1)):
-                m = measure(buf, off, lengths)
-                chars = np.maximum(m["word_chars"], 1)
-                shares = {k: m[f"chars_{k}"] / chars for k in lengths}
-                lines = m["line_chars"] / chars
-                base = (m["n_words"] < min_words) | (100 * m["words_3"] > 50 * m["n_words"])
-                rule = np.full(j - i, "", object)
-                for k, most in sorted(coverage.items(), reverse=True):
-                    rule[shares[k] > most] = f"gram_{k}"
-                rule[lines > line_coverage] = "line"
-                rule[m["n_symbols"] > symbol_ratio * m["n_words"]] = "symbol"
-                rule[base] = "base"
+                m = measure(buf, off, limits.lengths)
+                base, rule, lines, shares = limits.judge(m)
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(i, j - i),
@@ -107,13 +124,26 @@ def repetition_coverage(
                         pa.array(base),
                         pa.array(rule == ""),
                         pa.array(lines),
-                        pa.array(list(np.stack([shares[k] for k in lengths], 1)), pa.list_(pa.float64())),
+                        pa.array(list(shares), pa.list_(pa.float64())),
                         pa.array([r or None for r in rule], pa.string()),
                     ],
                     names=[f.split()[0] for f in SCHEMA.split(", ")],
                 )
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(judge, SCHEMA)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, SCHEMA)
+
+
+def drop_repetitive(docs: DataFrame, limits: Limits | None = None) -> DataFrame:
+    """The rows of docs that pass, with all their columns. No shuffle; one pass."""
+    limits = limits or Limits()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.schema.get_field_index("text")
+            for i, j, buf, off in tb.blocks(batch.column(at)):
+                yield batch.slice(i, j - i).filter(pa.array(limits.judge(measure(buf, off, limits.lengths))[1] == ""))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def op3_repetition_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
