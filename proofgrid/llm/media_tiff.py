@@ -284,6 +284,9 @@ def write_tiff(planes: list[np.ndarray], compression: int = DEFLATE, predictor:
         struct.pack_into(order + "I", out, link, len(out))
         out += struct.pack(order + "H", len(fields))
         for tag, value in sorted(fields.items()):
+            if tag in (BITS, COMPRESSION, PHOTOMETRIC, SAMPLES, PREDICTOR):  # short numbers stand first in their four bytes
+                out += struct.pack(order + "HHIHH", tag, 3, 1, value, 0)
+                continue
             many = isinstance(value, list)
             out += struct.pack(order + "HHII", tag, 4, len(value) if many else 1, value if not many else value[0] if len(value) == 1 else lists[id(value)])
         link = len(out)
