@@ -29,7 +29,7 @@ from .store import materialize, read
 CAPACITY, END_ID = 4096, 1
 SHARD, ISLANDS, EPOCHS, POPULATION, GENERATIONS = 16_384, 3, 2, 4, 6
 #: Distinct chunks whose ids a worker keeps; it starts anew beyond that.
-CACHE = 400_000
+CACHE = 600_000
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
 RESULT_SCHEMA = PIECE_SCHEMA + ", sequence_id long, offset long"
 
@@ -46,6 +46,41 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+def _byte_alphabet() -> dict[int, str]:
+    """The printable character by which byte-level vocabularies write each byte: itself, or the next from U+0100 on."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in set(plain)]
+    return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(rest)}
+
+
+#: Latin letters that have one form, one lower case and one match in the split pattern, with closing marks.
+_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
+_WRITTEN = _byte_alphabet()
+
+
+def _encode_chunks(chunks: list[str], path: str, known: dict[str, bytes]) -> None:
+    """Add the ids of chunks to known. A plain word and its closing marks are looked up or merged one by one, which
+    gives what the whole tokenizer gives and spares its offsets; everything else goes through the whole tokenizer."""
+    tokenizer = _tokenizer(path)
+    merge = tokenizer.model.tokenize
+    hard = []
+    for chunk in chunks:
+        plain = _PLAIN.fullmatch(chunk)
+        if not plain:
+            hard.append(chunk)
+            continue
+        ids = b""
+        for piece in filter(None, (plain[1].lower(), plain[2])):
+            found = known.get(piece)
+            if found is None:
+                written = piece if piece.isascii() else "".join(map(_WRITTEN.__getitem__, piece.encode()))
+                found = known[piece] = b"".join([t.id.to_bytes(4, "little") for t in merge(written)])
+            ids += found
+        known[chunk] = ids
+    for chunk, encoded in zip(hard, tokenizer.encode_batch_fast(hard, add_special_tokens=False), strict=True):
+        known[chunk] = np.array(encoded.ids, "<u4").tobytes()
+
+
 def id_bytes(texts: list[str | None], path: str) -> list[bytes]:
     """Ids of each text as little-endian unsigned 32-bit integers.
 
@@ -61,8 +96,7 @@ def id_bytes(texts: list[str | None], path: str) -> list[bytes]:
         lists.append([] if not text else _CHUNK.findall(text) if _ODD.search(text) else text.split())
     missing = list(set().union(*lists) - known.keys())
     if missing:
-        for chunk, found in zip(missing, _tokenizer(path).encode_batch_fast(missing, add_special_tokens=False), strict=True):
-            known[chunk] = np.array(found.ids, "<u4").tobytes()
+        _encode_chunks(missing, path, known)
     return [b"".join(map(known.__getitem__, chunks)) for chunks in lists]
 
 

@@ -30,7 +30,7 @@ def _load() -> None:
         importlib.import_module(f"{__package__}.{module}")
 
 
-MODULES: list[str] = []
+MODULES = ["summaries", "comparisons", "statistics"]
 
 
 def queries() -> dict[str, Query]:
