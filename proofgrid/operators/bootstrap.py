@@ -35,8 +35,8 @@ def hash_bootstrap(units: DataFrame, group: Sequence[str], order: Sequence[str],
     drawn = numbered.select(*within, "_n", "_i", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1))).alias("_it"))
     drawn = drawn.select(*within, "_it", F.pmod(F.conv(F.substring(F.sha2(text, 256), 1, 15), 16, 10).cast("long"), F.col("_n")).cast("int").alias("_i"))
     means = drawn.join(numbered.drop("_n"), [*within, "_i"]).groupBy(*group, "_it").agg(*[F.avg(v).alias(v) for v in values])
-    bounds = means.groupBy(*group).agg(*[c for v in values for c in (F.round(F.percentile(v, 0.025), 6).alias(f"{v}_low"), F.round(F.percentile(v, 0.975), 6).alias(f"{v}_high"))])
-    point = units.groupBy(*group).agg(F.count(F.lit(1)).alias("units"), *[F.round(F.avg(v), 6).alias(f"{v}_mean") for v in values])
+    bounds = means.groupBy(*group).agg(*[c for v in values for c in (F.round(F.percentile(v, 0.025), 9).alias(f"{v}_low"), F.round(F.percentile(v, 0.975), 9).alias(f"{v}_high"))])
+    point = units.groupBy(*group).agg(F.count(F.lit(1)).alias("units"), *[F.round(F.avg(v), 9).alias(f"{v}_mean") for v in values])
     return point.join(bounds, list(group)) if group else point.crossJoin(bounds)  # one row each
 
 

@@ -23,8 +23,8 @@ def detection_threshold_tie_safe(spark, sf_dir):
     return tie_safe_threshold(detections(spark, sf_dir).where("split = 'calibration'"), ["dataset"], _TARGET)
 
 
-@register("detection_auc", f"""WITH {DETECTIONS_SQL}, at AS (SELECT dataset, detection_score AS score, count(*) FILTER (WHERE label = 0) AS n0, count(*) FILTER (WHERE label = 1) AS n1 FROM detections GROUP BY ALL),
-  w AS (SELECT *, coalesce(sum(n0) OVER (PARTITION BY dataset ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS under FROM at)
+@register("detection_auc", f"""WITH {DETECTIONS_SQL}, ties AS (SELECT dataset, detection_score AS score, count(*) FILTER (WHERE label = 0) AS n0, count(*) FILTER (WHERE label = 1) AS n1 FROM detections GROUP BY ALL),
+  w AS (SELECT *, coalesce(sum(n0) OVER (PARTITION BY dataset ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS under FROM ties)
   SELECT dataset, sum(n1)::BIGINT AS positives, sum(n0)::BIGINT AS negatives, round(sum(n1 * (under + n0 / 2.0::DOUBLE)) / nullif(sum(n1)::DOUBLE * sum(n0), 0), 9) AS auc FROM w GROUP BY dataset""")
 def detection_auc(spark, sf_dir):
     return auc(detections(spark, sf_dir), ["dataset"])
@@ -81,8 +81,8 @@ def _boot_sql(units: str, group: str, order: str, values: list[str], iterations:
     within = ", ".join(x for x in (group, stratum) if x)
     seed_text = f"'{seed}'" if not stratum else f"'{seed}' || '/' || {stratum}"
     means = ", ".join(f"avg({v}) AS {v}" for v in values)
-    bounds = ", ".join(f"round(quantile_cont({v}, 0.025), 6) AS {v}_low, round(quantile_cont({v}, 0.975), 6) AS {v}_high" for v in values)
-    point = ", ".join(f"round(avg({v}), 6) AS {v}_mean" for v in values)
+    bounds = ", ".join(f"round(quantile_cont({v}, 0.025), 9) AS {v}_low, round(quantile_cont({v}, 0.975), 9) AS {v}_high" for v in values)
+    point = ", ".join(f"round(avg({v}), 9) AS {v}_mean" for v in values)
     hexa = f"('0x' || substr(sha256({seed_text} || ':' || it::VARCHAR || ':' || i::VARCHAR), 1, 15))::BIGINT"
     return f"""u AS ({units}), numbered AS (SELECT *, count(*) OVER (PARTITION BY {within}) AS n, row_number() OVER (PARTITION BY {within} ORDER BY {order}) - 1 AS i FROM u),
   drawn AS (SELECT {within}, it, {hexa} % n AS i FROM numbered CROSS JOIN range(0, {iterations}) r(it)),
