@@ -14,13 +14,13 @@ def components(links: DataFrame) -> DataFrame:
     Each round takes the least label among a node's neighbours and then the label of that label. Both are joins of
     a table with one row for each node; minima are summed up before the shuffle, so a hub is no hot task.
     """
-    both = materialize(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct(), "links")
-    labels = materialize(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("root")), "labels")
+    both = materialize(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct(), "links", fold=True)
+    labels = materialize(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("root")), "labels", fold=True)
     while True:
         near = both.join(labels.select(F.col("node").alias("b"), "root"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
         lowered = labels.join(near, "node").select("node", "root", F.least("root", "near").alias("low"))
         jump = labels.select(F.col("node").alias("low"), F.col("root").alias("jump"))
-        after = materialize(lowered.join(jump, "low").select("node", "root", F.least("low", "jump").alias("next")), "labels")
+        after = materialize(lowered.join(jump, "low").select("node", "root", F.least("low", "jump").alias("next")), "labels", fold=True)
         labels = after.select("node", F.col("next").alias("root"))
         if after.where("next < root").isEmpty():
             return labels

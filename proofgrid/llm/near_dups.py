@@ -192,7 +192,7 @@ def _multisets(docs: DataFrame, n_words: int) -> DataFrame:
 def _sets_of(ids: DataFrame, docs: DataFrame, n_words: int) -> DataFrame:
     """The multisets of some texts: only these are hashed again and moved. Several rows of one doc_id are one text."""
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(ids.hint("shuffle_hash"), "doc_id", "left_semi")
-    return materialize(_multisets(texts, n_words).dropDuplicates(["doc_id"]), "multisets")
+    return materialize(_multisets(texts, n_words).dropDuplicates(["doc_id"]), "multisets", fold=True)
 
 
 def _counts(raw: bytes, n: int) -> np.ndarray:
@@ -280,12 +280,12 @@ def _block_links(frame: pd.DataFrame, threshold: float) -> pd.DataFrame:
 def _across(left: DataFrame, docs: DataFrame, threshold: float, n_words: int) -> DataFrame:
     """The links across classes in buckets that hold several: left(bucket, rep, root)."""
     sized = left.join(left.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")), "bucket")
-    sized = materialize(sized.select("bucket", "rep", "root", "members"), "mixed")
+    sized = materialize(sized.select("bucket", "rep", "root", "members"), "mixed", fold=True)
     sets = _sets_of(sized.select(F.col("rep").alias("doc_id")).distinct(), docs, n_words)
 
     small = sized.where(F.col("members") <= SMALL).select("bucket", "rep", "root")
     other = small.select("bucket", F.col("rep").alias("b"), F.col("root").alias("other"))
-    pairs = materialize(small.join(other, "bucket").where("root < other").select(F.least("rep", "b").alias("a"), F.greatest("rep", "b").alias("b")).distinct(), "across")
+    pairs = materialize(small.join(other, "bucket").where("root < other").select(F.least("rep", "b").alias("a"), F.greatest("rep", "b").alias("b")).distinct(), "across", fold=True)
     links = _verified(pairs, sets, threshold)
 
     large = sized.where(F.col("members") > SMALL)
@@ -297,27 +297,27 @@ def _across(left: DataFrame, docs: DataFrame, threshold: float, n_words: int) ->
         .join(sets.withColumnRenamed("doc_id", "rep"), "rep")
     )
     inside = dealt.groupBy("bucket", "low", "high").applyInPandas(lambda frame: _block_links(frame, threshold), "a long, b long")
-    return materialize(links.unionByName(inside), "links")
+    return materialize(links.unionByName(inside), "links", fold=True)
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, n_words: int = WORDS) -> DataFrame:
     """docs(doc_id, text) -> doc_id, class_id (least doc_id of its class), for every row of docs with a doc_id."""
     sketches = materialize(sketch(docs, bands, rows, n_words), "sketches")
     reps = materialize(
-        sketches.where("n > 0").groupBy("print1", "print2").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")), "representatives"
+        sketches.where("n > 0").groupBy("print1", "print2").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")), "representatives", fold=True
     )
     band = F.posexplode("bands").alias("band", "bucket")
 
     first = reps.select("rep", band).where(F.col("band") < FIRST_BANDS).select("rep", "bucket")
     least = first.groupBy("bucket").agg(F.min("rep").alias("a"), F.count(F.lit(1)).alias("members")).where("members > 1").select("bucket", "a")
-    pairs = materialize(first.join(least, "bucket").where("rep <> a").select("a", F.col("rep").alias("b")).distinct(), "pairs")
+    pairs = materialize(first.join(least, "bucket").where("rep <> a").select("a", F.col("rep").alias("b")).distinct(), "pairs", fold=True)
     paired = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    links = materialize(_verified(pairs, _sets_of(paired, docs, n_words), threshold), "links")
+    links = materialize(_verified(pairs, _sets_of(paired, docs, n_words), threshold), "links", fold=True)
     roots = components(links)
 
     every = reps.select("rep", band).select("rep", "bucket").join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
     mixed = every.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("bucket")
-    more = _across(materialize(every.join(mixed, "bucket", "left_semi"), "mixed"), docs, threshold, n_words)
+    more = _across(materialize(every.join(mixed, "bucket", "left_semi"), "mixed", fold=True), docs, threshold, n_words)
     if not more.isEmpty():
         roots = components(links.unionByName(more))
 

@@ -31,9 +31,16 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df once to the shared folder and read it back: every executor can reread it, none holds the only copy."""
+def materialize(df: DataFrame, name: str, fold: bool = False) -> DataFrame:
+    """Write df once to the shared folder and read it back: every executor can reread it, none holds the only copy.
+
+    fold: a table that is small beside its input is written by one task for eight shuffle partitions (by two a
+    core at least), so that it isn't strewn over many small files; a task takes its partitions one after the other.
+    """
     path = fresh_path(df.sparkSession, name)
+    if fold:
+        spark = df.sparkSession
+        df = df.coalesce(max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")) // 8))
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -47,8 +54,6 @@ def discard(df: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
-
-
 _ARROW = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "boolean": pa.bool_(), "binary": pa.binary()}
 
 
