@@ -106,7 +106,7 @@ def link_quotes(parsed: DataFrame) -> DataFrame:
     """conv_id, turn, level, place, origin: the turn of the first earlier message that has the passage, or null."""
     placed = parsed.where("conv_id is not null and turn is not null")
     first = placed.select("conv_id", "turn", F.explode("own").alias("passage")).groupBy("conv_id", "passage").agg(F.min("turn").alias("origin"))
-    quoted = placed.select("conv_id", "turn", F.explode("quotes").alias("q")).select("conv_id", "turn", "q.level", "q.place", "q.passage")
+    quoted = placed.select("conv_id", "turn", F.explode("quotes", fold=True).alias("q")).select("conv_id", "turn", "q.level", "q.place", "q.passage")
     return quoted.join(first, ["conv_id", "passage"], "left").select("conv_id", "turn", "level", "place", F.when(F.col("origin") < F.col("turn"), F.col("origin")).alias("origin"))
 
 
@@ -115,13 +115,13 @@ def reply_roots(parents: DataFrame) -> DataFrame:
 
     Only messages that answer something take part in the joins; each round doubles the way looked up.
     """
-    above = materialize(parents.where("parent_turn is not null").select("conv_id", "turn", F.col("parent_turn").alias("root_turn"), F.lit(1).alias("depth")), "replies")
+    above = materialize(parents.where("parent_turn is not null").select("conv_id", "turn", F.col("parent_turn").alias("root_turn"), F.lit(1).alias("depth")), "replies", fold=True)
     while True:
         up = above.select("conv_id", F.col("turn").alias("root_turn"), F.col("root_turn").alias("further"), F.col("depth").alias("more"))
         after = materialize(
             above.join(up, ["conv_id", "root_turn"], "left").select(
                 "conv_id", "turn", F.coalesce("further", "root_turn").alias("root_turn"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"), F.col("further").isNotNull().alias("moved")
-            ), "replies"
+            ), "replies", fold=True
         )
         above = after.drop("moved")
         if after.where("moved").isEmpty():
@@ -137,7 +137,7 @@ def format_chats(messages: DataFrame) -> DataFrame:
     links = link_quotes(parsed).groupBy("conv_id", "turn").agg(
         F.count(F.lit(1)).alias("n_quotes"), F.count("origin").alias("n_linked"), F.max("level").alias("max_level"), F.max(F.when(F.col("level") == 1, F.col("origin"))).alias("near"), F.max("origin").alias("any"),
     )
-    links = materialize(links.select("conv_id", "turn", "n_quotes", "n_linked", "max_level", F.coalesce("near", "any").alias("parent_turn")), "quotes")
+    links = materialize(links.select("conv_id", "turn", "n_quotes", "n_linked", "max_level", F.coalesce("near", "any").alias("parent_turn")), "quotes", fold=True)
     roots = reply_roots(links)
     nothing = F.lit(0)
     return (

@@ -303,7 +303,7 @@ def train(sequences: DataFrame, states: int = STATES, classes: int = CLASSES, it
 def score_texts(docs: DataFrame, states: int = STATES, iterations: int = ITERATIONS) -> DataFrame:
     """docs(doc_id, held_out, text): a model of the rows that aren't held out, and the scores of all rows."""
     training = docs.where(~F.col("held_out"))
-    counts = materialize(word_counts(training), "words")
+    counts = materialize(word_counts(training), "words", fold=True)
     lex = lexicon(counts, training.count())
     sequences = materialize(encode(docs, lex), "sequences")
     hmm = train(sequences.where(~F.col("held_out")), states, CLASSES, iterations)

@@ -228,7 +228,7 @@ def _gathered(frame: pd.DataFrame) -> pd.DataFrame:
 def _pack_shards(pieces: DataFrame, shards: int, islands: int, epochs: int, size: int, generations: int, capacity: int) -> DataFrame:
     """Pieces with the bin that the best packing of their shard gives them: RESULT_SCHEMA with the bin and the bin's fill."""
     key = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(shards)).cast("int").alias("shard")
-    gathered = materialize(pieces.select(key, *_KINDS).groupBy("shard").applyInPandas(_gathered, _SHARD), "shards")
+    gathered = materialize(pieces.select(key, *_KINDS).groupBy("shard").applyInPandas(_gathered, _SHARD), "shards", fold=True)
 
     def settle(frame: pd.DataFrame) -> pd.DataFrame:
         lengths = np.frombuffer(frame.lengths.iat[0], "<i8")
@@ -245,7 +245,7 @@ def _pack_shards(pieces: DataFrame, shards: int, islands: int, epochs: int, size
         if epoch:
             migrants = state.select("shard", F.pmod(F.col("island") + 1, F.lit(islands)).cast("int").alias("island"), "lengths", F.slice("packings", 1, 1).alias("packings"))
             state = state.unionByName(migrants)
-        state = materialize(state.groupBy("shard", "island").applyInPandas(settle, _ISLAND), f"islands-{epoch}")
+        state = materialize(state.groupBy("shard", "island").applyInPandas(settle, _ISLAND), f"islands-{epoch}", fold=True)
 
     def fittest(frame: pd.DataFrame) -> pd.DataFrame:
         packer = Packer(np.frombuffer(frame.lengths.iat[0], "<i8"), capacity, 0)
@@ -283,7 +283,7 @@ def pack(
     names = [c.split()[0] for c in RESULT_SCHEMA.split(", ")]
     short = pieces.where(F.col("length") < capacity)
     shards = max(1, -(-short.count() // shard))
-    packed = materialize(_pack_shards(short, shards, islands, epochs, population, generations, capacity), "packed")
+    packed = materialize(_pack_shards(short, shards, islands, epochs, population, generations, capacity), "packed", fold=True)
     whole = pieces.where(F.col("length") == capacity).withColumns({"sequence_id": -1 - F.monotonically_increasing_id(), "offset": F.lit(0).cast("long")})
     if shards == 1:
         return packed.select(names).unionByName(whole.select(names))

@@ -227,7 +227,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Scorer:
         sample.select("doc_id", F.posexplode("sketch").alias("k", "value")).groupBy("k", "value").agg(F.min("doc_id").alias("first"))
     )
     later = sample.select("doc_id", F.posexplode("sketch").alias("k", "value")).join(copies, ["k", "value"]).where("doc_id > first").select("doc_id").distinct()
-    single = materialize(sample.join(later, "doc_id", "left_anti").select("toxic", "words"), "labelled")
+    single = materialize(sample.join(later, "doc_id", "left_anti").select("toxic", "words"), "labelled", fold=True)
 
     n_toxic, n_all = single.agg(F.coalesce(F.sum("toxic"), F.lit(0)), F.count("toxic")).first()
     n_clean = n_all - n_toxic
