@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textblocks as tb
-from .store import map_texts, materialize, read
+from .store import PART, map_texts, materialize, read
 
 #: Bounds of the fit: labelled rows looked at, and features kept.
 FIT_ROWS, FIT_FEATURES = 30_000, 20_000
@@ -300,8 +300,9 @@ def drop_toxic(docs: DataFrame, scorer: Scorer) -> DataFrame:
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in frames:
-            at = batch.schema.get_field_index("text")
-            yield batch.filter(pa.array([scorer.score(t) < 0.5 for t in batch.column(at).to_pylist()], pa.bool_()))
+            for k in range(0, batch.num_rows, PART):
+                part = batch.slice(k, PART)
+                yield part.filter(pa.array([scorer.score(t) < 0.5 for t in part["text"].to_pylist()], pa.bool_()))
 
     return docs.mapInArrow(run, schema)
 
