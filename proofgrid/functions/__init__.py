@@ -1 +1 @@
-"""Column-level functions and Arrow kernels."""
+"""Column functions: scalars and bits in generated code, pixel kernels in Arrow batches."""

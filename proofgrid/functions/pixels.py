@@ -1,0 +1,117 @@
+"""Pixel kernels for raw 8-bit images, as Arrow-batched functions over columns of bytes.
+
+An image is its samples, row by row, with height, width and 3 channels. Perturbations whose result depends on a
+codec or a resampling library are not here.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column
+from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import BinaryType, BooleanType, DoubleType, LongType, StructType
+
+#: Synchronisation word of the least-significant-bit mark, its bits, message bits, repetitions.
+SYNC, SYNC_BITS, MESSAGE_BITS, REPEAT = 0xA55A, 16, 32, 9
+
+
+def brightness(image: np.ndarray, factor: float) -> np.ndarray:
+    return image * factor
+
+
+def contrast(image: np.ndarray, factor: float) -> np.ndarray:
+    """Around the mean luma."""
+    pivot = np.round((image @ np.array([0.299, 0.587, 0.114])).mean())
+    return pivot + (image - pivot) * factor
+
+
+def gamma(image: np.ndarray, power: float) -> np.ndarray:
+    return 255 * (image / 255) ** power
+
+
+def flip(image: np.ndarray, _: float) -> np.ndarray:
+    return image[:, ::-1]
+
+
+def pixelate(image: np.ndarray, scale: float) -> np.ndarray:
+    """Means of blocks, spread over their blocks again."""
+    step = max(1, round(1 / scale))
+    rows, columns = np.arange(image.shape[0]) // step, np.arange(image.shape[1]) // step
+    cell = rows[:, None] * (columns[-1] + 1) + columns
+    size = np.bincount(cell.ravel())
+    means = np.stack([np.bincount(cell.ravel(), image[..., c].ravel()) / size for c in range(image.shape[2])], 1)
+    return means[cell]
+
+
+def noise(image: np.ndarray, sigma: float) -> np.ndarray:
+    """Normal noise; the seed is the image's own sum, so that a retried task gives the same result."""
+    return image + np.random.default_rng(int(image.sum())).normal(0, sigma * 255, image.shape)
+
+
+PERTURBATIONS: dict[str, Callable[[np.ndarray, float], np.ndarray]] = {
+    "identity": lambda image, _: image, "brightness": brightness, "contrast": contrast, "gamma": gamma, "horizontal_flip": flip, "pixelate": pixelate, "gaussian_noise": noise,
+}
+
+
+def _image(raw: bytes, height: int, width: int) -> np.ndarray:
+    return np.frombuffer(raw, np.uint8).reshape(height, width, 3)
+
+
+def perturb(name: str, strength: float) -> Callable[[Column, Column, Column], Column]:
+    """A column function (samples, height, width) -> samples of one perturbation; null stays null."""
+    kernel = PERTURBATIONS[name]
+
+    @pandas_udf(BinaryType())
+    def run(raw: pd.Series, height: pd.Series, width: pd.Series) -> pd.Series:
+        out = [None if r is None else np.clip(np.round(kernel(_image(r, h, w).astype(float), strength)), 0, 255).astype(np.uint8).tobytes() for r, h, w in zip(raw, height, width, strict=True)]
+        return pd.Series(out, dtype=object)
+
+    return run
+
+
+@pandas_udf(DoubleType())
+def mse(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Mean squared difference of two images of equal size; null if one is null or sizes differ."""
+    out = []
+    for x, y in zip(a, b, strict=True):
+        same = x is not None and y is not None and len(x) == len(y) > 0
+        out.append(float(np.mean((np.frombuffer(x, np.uint8).astype(float) - np.frombuffer(y, np.uint8)) ** 2)) if same else None)
+    return pd.Series(out, dtype="float64")
+
+
+def _places(samples: int, seed: int) -> np.ndarray:
+    return np.random.default_rng(seed).permutation(samples)[: (SYNC_BITS + MESSAGE_BITS) * REPEAT]
+
+
+def _bits(value: int, width: int) -> np.ndarray:
+    return value >> np.arange(width - 1, -1, -1) & 1
+
+
+@pandas_udf(BinaryType())
+def embed_lsb(raw: pd.Series, message: pd.Series, seed: pd.Series) -> pd.Series:
+    """Images with a 32-bit message, repeated in seeded least significant bits after a synchronisation word."""
+    out = []
+    for r, m, s in zip(raw, message, seed, strict=True):
+        samples = np.frombuffer(r, np.uint8).copy()
+        at = _places(len(samples), int(s))
+        if len(at) < (SYNC_BITS + MESSAGE_BITS) * REPEAT:
+            raise ValueError("image is too small for the message")
+        bits = np.concatenate([_bits(SYNC, SYNC_BITS), _bits(int(m), MESSAGE_BITS)]).repeat(REPEAT).astype(np.uint8)
+        samples[at] = samples[at] & 0xFE | bits
+        out.append(samples.tobytes())
+    return pd.Series(out, dtype=object)
+
+
+@pandas_udf(StructType().add("message", LongType()).add("sync", DoubleType()).add("detected", BooleanType()))
+def extract_lsb(raw: pd.Series, seed: pd.Series) -> pd.DataFrame:
+    """The message by majority, the share of correct synchronisation bits, and whether it is at least 0.875."""
+    rows = []
+    for r, s in zip(raw, seed, strict=True):
+        samples = np.frombuffer(r, np.uint8)
+        votes = (samples[_places(len(samples), int(s))] & 1).reshape(-1, REPEAT).sum(1) * 2 > REPEAT
+        sync = float((votes[:SYNC_BITS] == _bits(SYNC, SYNC_BITS)).mean())
+        rows.append((int("".join("01"[int(b)] for b in votes[SYNC_BITS:]), 2), sync, sync >= 0.875))
+    return pd.DataFrame(rows, columns=["message", "sync", "detected"])

@@ -30,7 +30,7 @@ def _load() -> None:
         importlib.import_module(f"{__package__}.{module}")
 
 
-MODULES = ["summaries", "comparisons", "statistics"]
+MODULES = ["summaries", "comparisons", "statistics", "integrity"]
 
 
 def queries() -> dict[str, Query]:

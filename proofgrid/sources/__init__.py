@@ -1 +1 @@
-"""Readers, writers, manifests and run stores."""
+"""Readers and writers of manifests, results, protocols and traces."""

@@ -1 +1 @@
-"""Incremental ingestion of evidence records."""
+"""Structured Streaming over result files."""
