@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textblocks as tb
-from .store import materialize, read
+from .store import lean, materialize, read
 
 #: Words whose counts all tasks know; words with a class of their own; classes of the others.
 TOP, OWN, SHARED = 32_768, 2_047, 256
@@ -79,7 +79,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
             yield merged()
 
     return (
-        docs.select(F.col("text").cast("string")).mapInArrow(run, "word long, shared int, n long")
+        docs.select(F.col("text").cast("string")).mapInArrow(lean(run), "word long, shared int, n long")
         .groupBy("word").agg(F.min("shared").alias("shared"), F.sum("n").alias("n"))
     )
 
@@ -162,7 +162,7 @@ def encode(docs: DataFrame, lex: Lexicon) -> DataFrame:
                 )
                 serial += n
 
-    return docs.select(F.col("doc_id").cast("long"), "held_out", F.col("text").cast("string")).mapInArrow(run, _SEQUENCES)
+    return docs.select(F.col("doc_id").cast("long"), "held_out", F.col("text").cast("string")).mapInArrow(lean(run), _SEQUENCES)
 
 
 @dataclass
@@ -289,7 +289,7 @@ def train(sequences: DataFrame, states: int = STATES, classes: int = CLASSES, it
             yield pa.RecordBatch.from_arrays([pa.array(range(states), pa.int32()), pa.array(list(total), pa.list_(pa.float64()))], names=["state", "counts"])
 
         rows = (
-            sequences.select("classes").mapInArrow(count, "state int, counts array<double>")
+            sequences.select("classes").mapInArrow(lean(count), "state int, counts array<double>")
             .select("state", F.posexplode("counts").alias("at", "n")).where("n > 0").groupBy("state", "at").agg(F.sum("n").alias("n"))
         )
         total = np.zeros((states, 1 + states + classes))
@@ -317,7 +317,7 @@ def score_texts(docs: DataFrame, states: int = STATES, iterations: int = ITERATI
 
     scored = sequences.select("row", "doc_id", "held_out", "n_tokens", "n_known", "base_part", "classes", "share_part").select(
         "row", "doc_id", "held_out", "n_tokens", "n_known", F.struct("base_part", "share_part").alias("parts"), "classes"
-    ).mapInArrow(forward, "row string, doc_id long, held_out boolean, n_tokens long, n_known long, parts struct<base_part:double,share_part:double>, path double")
+    ).mapInArrow(lean(forward), "row string, doc_id long, held_out boolean, n_tokens long, n_known long, parts struct<base_part:double,share_part:double>, path double")
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -326,7 +326,7 @@ def score_texts(docs: DataFrame, states: int = STATES, iterations: int = ITERATI
             row = np.repeat(np.arange(len(rare)), [len(x) for x in rare])
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(np.concatenate(rare) if rare else np.zeros(0, np.int64)), pa.array(np.concatenate(times) if times else np.zeros(0, np.int32))], names=["row", "word", "times"])
 
-    rare = sequences.where("rare_tokens > 0").select("row", "rare", "rare_n").mapInArrow(unpack, "row string, word long, times int")
+    rare = sequences.where("rare_tokens > 0").select("row", "rare", "rare_n").mapInArrow(lean(unpack), "row string, word long, times int")
     looked_up = (
         rare.join(counts.select("word", "n"), "word", "left")
         .groupBy("row").agg(F.sum(F.col("times") * F.log10(F.coalesce("n", F.lit(0)) + 0.5)).alias("logs"), F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("known"))

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from . import textblocks as tb
 from .graph import components
-from .store import materialize, read
+from .store import lean, materialize, read
 
 WORDS, THRESHOLD = 5, 0.8
 #: BANDS x ROWS registers: a pair at 0.8 has no equal band with probability (1 - 0.8**ROWS)**BANDS = 5e-5.
@@ -170,7 +170,7 @@ def sketch(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, n_words: int =
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * bands), flat)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, n), pa.array(size.astype(np.int32)), *map(pa.array, prints), lists], names=["doc_id", "n", "print1", "print2", "bands"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("doc_id is not null").mapInArrow(run, _SKETCH)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("doc_id is not null").mapInArrow(lean(run), _SKETCH)
 
 
 def _multisets(docs: DataFrame, n_words: int) -> DataFrame:
@@ -186,7 +186,7 @@ def _multisets(docs: DataFrame, n_words: int) -> DataFrame:
                     [batch.column(0).slice(i, j - i), pa.array([keys[a:b].tobytes() for a, b in parts]), pa.array([count[a:b].astype("<i4").tobytes() if (count[a:b] > 1).any() else b"" for a, b in parts])], names=["doc_id", "keys", "counts"]
                 )
 
-    return docs.mapInArrow(run, "doc_id long, keys binary, counts binary")
+    return docs.mapInArrow(lean(run), "doc_id long, keys binary, counts binary")
 
 
 def _sets_of(ids: DataFrame, docs: DataFrame, n_words: int) -> DataFrame:
@@ -211,7 +211,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
             yield frame.loc[keep, ["a", "b"]]
 
     side = lambda x: sets.select(F.col("doc_id").alias(x), F.col("keys").alias(f"keys_{x}"), F.col("counts").alias(f"counts_{x}"))
-    return pairs.join(side("b"), "b").join(side("a"), "a").mapInPandas(test, "a long, b long")
+    return pairs.join(side("b"), "b").join(side("a"), "a").mapInPandas(lean(test), "a long, b long")
 
 
 def intersections(keys: list[np.ndarray]) -> np.ndarray:

@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .store import materialize, read
+from .store import lean, materialize, read
 
 CAPACITY, END_ID = 4096, 1
 SHARD, ISLANDS, EPOCHS, POPULATION, GENERATIONS = 16_384, 3, 2, 4, 6
@@ -124,7 +124,7 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: i
                 out["doc_id"] = out["doc_id"].astype("Int64")
                 yield out
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInPandas(cut, PIECE_SCHEMA)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInPandas(lean(cut), PIECE_SCHEMA)
 
 
 def best_fit(items: np.ndarray, lengths: np.ndarray, free: list[int], assign: np.ndarray, capacity: int) -> None:
@@ -271,7 +271,7 @@ def _pack_shards(pieces: DataFrame, shards: int, islands: int, epochs: int, size
                 out["doc_id"] = out["doc_id"].astype("Int64").mask(out["doc_id"] == -(1 << 63))
                 yield out
 
-    return gathered.join(best, "shard").mapInPandas(spread, RESULT_SCHEMA + ", fill long, loosest boolean")
+    return gathered.join(best, "shard").mapInPandas(lean(spread), RESULT_SCHEMA + ", fill long, loosest boolean")
 
 
 def pack(

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textblocks as tb
-from .store import read
+from .store import lean, read
 
 #: n-gram length -> largest allowed share of word characters inside n-grams that occur twice or more.
 COVERAGE = {3: 0.50, 5: 0.48, 7: 0.46, 10: 0.45}
@@ -130,7 +130,7 @@ def repetition_coverage(docs: DataFrame, limits: Limits | None = None) -> DataFr
                     names=[f.split()[0] for f in SCHEMA.split(", ")],
                 )
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, SCHEMA)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(lean(run), SCHEMA)
 
 
 def drop_repetitive(docs: DataFrame, limits: Limits | None = None) -> DataFrame:
@@ -143,7 +143,7 @@ def drop_repetitive(docs: DataFrame, limits: Limits | None = None) -> DataFrame:
             for i, j, buf, off in tb.blocks(batch.column(at)):
                 yield batch.slice(i, j - i).filter(pa.array(limits.judge(measure(buf, off, limits.lengths))[1] == ""))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
 
 
 def op3_repetition_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -54,6 +55,19 @@ def discard(df: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+def lean(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """run, giving freed memory back to the system at its end: Spark keeps idle Python workers, which would hold it."""
+
+    def wrapped(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only some C libraries have it
+        if trim:
+            trim(0)
+
+    return wrapped
+
+
 _ARROW = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "boolean": pa.bool_(), "binary": pa.binary()}
 
 
@@ -75,4 +89,4 @@ def map_texts(docs: DataFrame, judge: Callable[[str | None], tuple], fields: str
                     [*part.columns[1:], *(pa.array(values, _ARROW[kind]) for values, kind in zip(rows, kinds, strict=True))], names=[*part.schema.names[1:], *names]
                 )
 
-    return head.mapInArrow(run, schema)
+    return head.mapInArrow(lean(run), schema)

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textblocks as tb
-from .store import PART, map_texts, materialize, read
+from .store import PART, lean, map_texts, materialize, read
 
 #: Bounds of the fit: labelled rows looked at, and features kept.
 FIT_ROWS, FIT_FEATURES = 30_000, 20_000
@@ -70,7 +70,7 @@ def char_counts(docs: DataFrame) -> DataFrame:
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["gram", "n"])
 
-    return docs.select(F.col("text").cast("string")).mapInArrow(run, "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    return docs.select(F.col("text").cast("string")).mapInArrow(lean(run), "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n"))
 
 
 def char_model(docs: DataFrame) -> np.ndarray:
@@ -222,7 +222,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Scorer:
             words = [restored_words(t, model, cache) for t in frame.text]
             yield pd.DataFrame({"doc_id": frame.doc_id, "toxic": frame.toxic, "words": [sorted(w) for w in words], "sketch": _sketches(pa.array(frame.text, pa.string()))})
 
-    sample = materialize(texts.mapInPandas(prepare, "doc_id long, toxic int, words array<string>, sketch array<long>"), "labelled")
+    sample = materialize(texts.mapInPandas(lean(prepare), "doc_id long, toxic int, words array<string>, sketch array<long>"), "labelled")
     copies = (
         sample.select("doc_id", F.posexplode("sketch").alias("k", "value")).groupBy("k", "value").agg(F.min("doc_id").alias("first"))
     )
@@ -247,7 +247,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Scorer:
     prior = n_toxic / n_all
     gain = t * F.log(share / prior) + F.when(c > 0, c * F.log((1 - share) / (1 - prior))).otherwise(0.0)
     rows = (
-        single.mapInPandas(count, "feature string, clean long, toxic long").groupBy("feature").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+        single.mapInPandas(lean(count), "feature string, clean long, toxic long").groupBy("feature").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
         .where("toxic > 1").where((share > 2 * prior) & (share > 0.8) & (gain > SIGNIFICANCE)).orderBy(F.desc("toxic"), "feature").limit(FIT_FEATURES).collect()
     )
     weights = {r.feature: math.log((r.toxic + 0.5) / (n_toxic + 1)) - math.log((r.clean + 0.5) / (n_clean + 1)) for r in rows}
@@ -259,7 +259,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Scorer:
             sums = [min(TOP_EVIDENCE, sum(map(draft.weigh, words))) for words in frame.words]
             yield pd.DataFrame({"toxic": frame.toxic, "x": np.round(sums)})
 
-    curve = single.mapInPandas(weigh, "toxic int, x double").groupBy("x").agg(F.sum("toxic").alias("t"), F.count("toxic").alias("n")).collect()  # at most TOP_EVIDENCE + 1 rows
+    curve = single.mapInPandas(lean(weigh), "toxic int, x double").groupBy("x").agg(F.sum("toxic").alias("t"), F.count("toxic").alias("n")).collect()  # at most TOP_EVIDENCE + 1 rows
     x, hits, n = (np.array([float(r[i]) for r in curve]) for i in range(3))
     return Scorer(model, weights, *_logistic(x, hits, n))
 
@@ -304,7 +304,7 @@ def drop_toxic(docs: DataFrame, scorer: Scorer) -> DataFrame:
                 part = batch.slice(k, PART)
                 yield part.filter(pa.array([scorer.score(t) < 0.5 for t in part["text"].to_pylist()], pa.bool_()))
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(lean(run), schema)
 
 
 def op4_noisy_channel(spark: SparkSession, sf_dir: str) -> DataFrame:
