@@ -1,13 +1,16 @@
 """Chat formatting by quotation linking.
 
 Quoted lines (``>``, nested to any level) are split from a message's own words. Own passages and quoted passages are
-normalised and hashed; a quoted passage is linked to the first earlier message of its conversation that has it as
-its own. A message answers the latest message that it quotes at level one. Replies are then ordered: a message
-follows what it answers, branches stay together, and quotes are gone.
-
-A passage is a whole body, a paragraph or a line. The owners of a passage are summed up to the first one before
-any join, so a passage that everyone repeats gives one row, not all pairs. Roots and depths come from pointer
-jumping over one row for each message. No conversation is gathered in a task: the order is given by columns
+normalised and hashed. An own passage is a whole body, a paragraph or a line; a quote is a run of quoted lines of one
+level, and its parts are the whole run, its paragraphs and its lines. A part comes from the latest earlier message of
+its conversation that has it as its own. A quote is linked to the origin of the whole run; where nobody said all of
+it as one passage, to the origin that most of its parts share (then the one with more text, then the latest). A
+message answers the latest message that it quotes at level one. Replies are then ordered: a message follows what it
+answers, branches stay together, and quotes are gone.
+
+The owner before a quote is looked up in turn order, first within SPAN turns and then over one row for each span,
+so a passage that everyone repeats and quotes gives neither all pairs nor one long sort. Roots and depths come from
+pointer jumping over one row for each message. No conversation is gathered in a task: the order is given by columns
 (root_turn, turn), which any later sort or writer can use.
 
 Defined cases: a null text has an empty body and no quotes; a message without conv_id or turn can't be placed and
@@ -22,7 +25,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .store import materialize, read
@@ -30,7 +33,9 @@ from .store import materialize, read
 _MARK = re.compile(r"^[ \t]*((?:>[ \t]?)+)")
 _ATTRIBUTION = re.compile(r"^\s*(?:on\b.*\bwrote|am\b.*\bschrieb\b.*|le\b.*\bécrit|el\b.*\bescribió)\s*:\s*$", re.IGNORECASE)
 _SPACE = re.compile(r"\s+")
-PARSED = "conv_id {conv}, turn long, role string, body string, own array<string>, quotes array<struct<level:int,place:int,passage:string>>"
+PARSED = "conv_id {conv}, turn long, role string, body string, own array<string>, quotes array<struct<level:int,place:int,parts:array<struct<whole:boolean,size:int,passage:string>>>>"
+#: Turns that are looked up in one sort.
+SPAN = 1024
 
 
 def normal(passage: str) -> str:
@@ -76,9 +81,18 @@ def split_quotes(text: str | None) -> tuple[str, list[tuple[int, str]]]:
     return "\n".join(own).strip("\n"), [(level, p) for level, p in passages if p.strip()]
 
 
-def _passages(body: str) -> set[str]:
-    """Hashes of a body, its paragraphs and its lines."""
-    return {h for p in (body, *re.split(r"\n[ \t]*\n", body), *body.split("\n")) if (h := hashed(p))}
+def _passages(body: str) -> dict[str, int]:
+    """Hashes of a body, its paragraphs and its lines, with the number of characters; the whole body is the first."""
+    return {h: len(normal(p)) for p in (body, *re.split(r"\n[ \t]*\n", body), *body.split("\n")) if (h := hashed(p))}
+
+
+def _quotes(quoted: list[tuple[int, str]]) -> list[dict]:
+    """The quotes of a message with the hashes of their parts."""
+    out = []
+    for place, (level, run) in enumerate(quoted):
+        if whole := hashed(run):
+            out.append({"level": level, "place": place, "parts": [{"whole": h == whole, "size": size, "passage": h} for h, size in _passages(run).items()]})
+    return out
 
 
 def parse(messages: DataFrame) -> DataFrame:
@@ -95,19 +109,39 @@ def parse(messages: DataFrame) -> DataFrame:
                     "role": frame.role,
                     "body": [body for body, _ in split],
                     "own": [sorted(_passages(body)) for body, _ in split],
-                    "quotes": [[{"level": level, "place": k, "passage": h} for k, (level, p) in enumerate(quoted) if (h := hashed(p))] for _, quoted in split],
+                    "quotes": [_quotes(quoted) for _, quoted in split],
                 }
             )
 
     return messages.select("conv_id", F.col("turn").cast("long"), "role", "text").mapInPandas(run, PARSED.format(conv=conv))
 
 
+def _owners_before(owners: DataFrame, parts: DataFrame) -> DataFrame:
+    """parts with origin: the latest turn before theirs at which owners(conv_id, passage, turn) has the passage, or null."""
+    span = F.floor(F.col("turn") / SPAN)
+    both = owners.withColumn("said", F.col("turn")).unionByName(parts.withColumn("part", F.lit(True)), allowMissingColumns=True).withColumn("span", span)
+    key = ["conv_id", "passage", "span"]
+    # A range of turns, not of rows: what is said in the turn itself isn't before it.
+    inside = F.max("said").over(Window.partitionBy(*key).orderBy("turn").rangeBetween(Window.unboundedPreceding, -1))
+    spans = both.groupBy(*key).agg(F.max("said").alias("last"))
+    earlier = F.max("last").over(Window.partitionBy("conv_id", "passage").orderBy("span").rowsBetween(Window.unboundedPreceding, -1))
+    found = both.withColumn("inside", inside).where("part").join(spans.select(*key, earlier.alias("earlier")).where("earlier is not null"), key, "left")
+    return found.select(*parts.columns, F.coalesce("inside", "earlier").alias("origin"))
+
+
 def link_quotes(parsed: DataFrame) -> DataFrame:
-    """conv_id, turn, level, place, origin: the turn of the first earlier message that has the passage, or null."""
+    """conv_id, turn, level, place, origin: the turn of the earlier message that a quote comes from, or null."""
     placed = parsed.where("conv_id is not null and turn is not null")
-    first = placed.select("conv_id", "turn", F.explode("own").alias("passage")).groupBy("conv_id", "passage").agg(F.min("turn").alias("origin"))
-    quoted = placed.select("conv_id", "turn", F.explode("quotes").alias("q")).select("conv_id", "turn", "q.level", "q.place", "q.passage")
-    return quoted.join(first, ["conv_id", "passage"], "left").select("conv_id", "turn", "level", "place", F.when(F.col("origin") < F.col("turn"), F.col("origin")).alias("origin"))
+    quoted = placed.select("conv_id", "turn", F.explode("quotes").alias("q")).withColumn("quote", F.monotonically_increasing_id())
+    parts = quoted.select("conv_id", "turn", "quote", "q.level", "q.place", F.explode("q.parts").alias("p")).select("conv_id", "turn", "quote", "level", "place", "p.*")
+    parts = materialize(parts, "parts", fold=True)
+    owners = placed.select("conv_id", "turn", F.explode("own").alias("passage"))
+    owners = materialize(owners.join(parts.select("conv_id", "passage").distinct(), ["conv_id", "passage"], "left_semi"), "owners", fold=True)
+
+    quote = ["conv_id", "turn", "quote", "level", "place"]
+    votes = _owners_before(owners, parts).groupBy(*quote, "origin").agg(F.max("whole").alias("whole"), F.count(F.lit(1)).alias("n"), F.sum("size").alias("size"))
+    best = F.max(F.when(F.col("origin").isNotNull(), F.struct("whole", "n", "size", "origin")))
+    return votes.groupBy(*quote).agg(best.alias("best")).select("conv_id", "turn", "level", "place", F.col("best.origin").alias("origin"))
 
 
 def reply_roots(parents: DataFrame) -> DataFrame:

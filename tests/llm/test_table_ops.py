@@ -184,6 +184,47 @@ def test_quotes_are_linked_and_removed(spark):
     assert chat_quotes.format_chats(table.limit(0)).collect() == []
 
 
+def test_partial_quotes_find_their_message(spark):
+    four, three = "l1 is here\nl2 is here\nl3 is here\nl4 is here", "first par\nof two lines\n\nsecond par\n\nthird par"
+    m = [
+        (0, four), (1, three), (2, "> l2 is here\n> l3 is here\nwhy?"), (3, "> second par\n>\n> third par\nso?"),
+        (4, "> l4 is here\nmine one\n> third par\nmine two\nmine three"), (5, "> mine two\n> mine three\nfine"),
+        (6, "> l2 is here\n> nobody said this\nhm"), (7, "Yes."), (2000, "Yes."), (2001, "> Yes.\nsure"), (5000, "> Yes.\nlate"), (5001, "> yes\nYes."), (5002, "> Yes.\nagain"),
+        (6000, "mine one"), (6001, "> mine one\n> mine two\n> mine three\nwhole elsewhere"),
+    ]
+    table = spark.createDataFrame([(1, turn, "user", text) for turn, text in m] + [(2, 9, "user", "> l2 is here\nother"), (1, 7, "user", "> Yes.\nthe same turn")], "conv_id long, turn long, role string, text string")
+    found = {(r.conv_id, r.turn): (r.parent_turn, r.n_quotes, r.n_linked) for r in chat_quotes.format_chats(table).collect()}
+    want = {2: (0, 1, 1), 3: (1, 1, 1), 4: (1, 2, 2), 5: (4, 1, 1), 6: (0, 1, 1), 7: (None, 1, 0), 2001: (2000, 1, 1), 5000: (2000, 1, 1), 5001: (2000, 1, 1), 5002: (5001, 1, 1), 6001: (4, 1, 1)}
+    assert {turn: found[1, turn] for turn in want} == want
+    assert found[2, 9] == (None, 1, 0)
+
+
+def test_quotes_equal_brute_force(spark, monkeypatch):
+    """Few sentences said and quoted again and again, in spans of few turns."""
+    monkeypatch.setattr(chat_quotes, "SPAN", 4)
+    r, said = random.Random(5), [f"sentence {k}" for k in range(7)]
+    m = []
+    for conv in range(3):
+        for turn in sorted(r.sample(range(-10, 60), 40)):
+            quoted = [f"> {r.choice(said)}" if r.random() < 0.8 else ">" for _ in range(r.randint(0, 4))]
+            m.append((conv, turn, "user", "\n".join(quoted + [r.choice(["", *said]) for _ in range(r.randint(1, 4))])))
+    own = {x[:2]: set(chat_quotes._passages(chat_quotes.split_quotes(x[3])[0])) for x in m}
+    want = {}
+    for conv, turn, _, text in m:
+        origins = []
+        for _, run in chat_quotes.split_quotes(text)[1]:
+            votes, whole = defaultdict(lambda: [False, 0, 0]), chat_quotes.hashed(run)
+            for h, size in chat_quotes._passages(run).items():
+                before = [t for (c, t), hashes in own.items() if c == conv and t < turn and h in hashes]
+                if before:
+                    vote = votes[max(before)]
+                    vote[:] = [vote[0] or h == whole, vote[1] + 1, vote[2] + size]
+            origins.append(max(((*v, t) for t, v in votes.items()), default=(None,))[-1])
+        want[conv, turn] = (max((o for o in origins if o is not None), default=None), len(origins), sum(o is not None for o in origins))
+    table = spark.createDataFrame(m, "conv_id long, turn long, role string, text string")
+    assert {(x.conv_id, x.turn): (x.parent_turn, x.n_quotes, x.n_linked) for x in chat_quotes.format_chats(table).collect()} == want
+
+
 def test_long_reply_chains(spark):
     m = [(7, k, "user", (f"> line {k - 1}\n" if k else "") + f"line {k}") for k in range(40)]
     found = chat_quotes.format_chats(spark.createDataFrame(m, "conv_id int, turn int, role string, text string")).collect()
