@@ -4,7 +4,9 @@ A text is the multiset of its five-word shingles (lower-cased A-Z; a text of one
 Every shingle with weight w is a Poisson process of rate w whose arrivals fall on random registers; a register
 keeps the shingle that arrives first, and a text's processes end as soon as no arrival can change a register. Two
 texts agree in a register with their probability Jaccard similarity. Bands of registers give candidates, and every
-candidate pair is verified on its whole shingle multisets.
+candidate pair is verified on its whole shingle multisets. A text that repeats a shingle also has the bands of its
+shingle set, all weights 1, in the same buckets: two texts meet in those with their set Jaccard similarity. A text
+without repeats has equal bands for both.
 
 Two texts are linked if their probability Jaccard similarity, or the Jaccard similarity of their shingle sets, is
 THRESHOLD or more. A class is a connected component of links, named by its least doc_id.
@@ -35,7 +37,7 @@ from .graph import components
 from .store import lean, materialize, read
 
 WORDS, THRESHOLD = 5, 0.8
-#: BANDS x ROWS registers: a pair at 0.8 has no equal band with probability (1 - 0.8**ROWS)**BANDS = 5e-5.
+#: BANDS x ROWS registers: a pair at 0.8 of either similarity has no equal band with probability (1 - 0.8**ROWS)**BANDS = 5e-5.
 BANDS, ROWS = 25, 5
 #: Bands of the first pass, in which most links are found; the second pass takes all.
 FIRST_BANDS = 6
@@ -147,27 +149,45 @@ def probability_jaccard(keys_a: np.ndarray, count_a: np.ndarray, keys_b: np.ndar
 
 
 def sketch(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, n_words: int = WORDS) -> DataFrame:
-    """doc_id, number of distinct shingles, a 128-bit print of the multiset, and the band hashes. No shuffle."""
+    """doc_id, number of distinct shingles, a 128-bit print of the multiset, and the band hashes. No shuffle.
+
+    Where a shingle is repeated, the bands of the shingle set follow those of the multiset; an equal one is null.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seeds = tb.mix(np.arange(1, bands + 1, dtype=np.uint64))
+
+        def hashes(owner: np.ndarray, keys: np.ndarray, weight: np.ndarray, n: int) -> np.ndarray:
+            signature = prob_min_hash(owner, keys, weight, n, bands * rows).reshape(n, bands, rows)
+            value = np.tile(seeds, (n, 1))
+            with np.errstate(over="ignore"):
+                for r in range(rows):
+                    value = tb.mix(value * np.uint64(0x9E3779B97F4A7C15) + signature[:, :, r])
+            return value
+
         for batch in batches:
             for i, j, buf, off in tb.blocks(batch.column(1)):
                 owner, keys, count = shingles(buf, off, n_words)
                 n = j - i
-                signature = prob_min_hash(owner, keys, count, n, bands * rows).reshape(n, bands, rows)
+                value = hashes(owner, keys, count, n)
+                repeats = np.bincount(owner[count > 1], minlength=n) > 0
+                mine = repeats[owner]
+                plain = hashes((np.cumsum(repeats) - 1)[owner[mine]], keys[mine], np.ones(int(mine.sum())), int(repeats.sum()))
+                both = np.concatenate([value, value], axis=1)
+                both[repeats, bands:] = plain
+                given = np.ones((n, 2 * bands), bool)
+                given[:, bands:] = repeats[:, None]  # the others have only the first
+                absent = np.zeros((n, 2 * bands), bool)
+                absent[:, bands:] = both[:, bands:] == value
                 with np.errstate(over="ignore"):
-                    value = np.tile(seeds, (n, 1))
-                    for r in range(rows):
-                        value = tb.mix(value * np.uint64(0x9E3779B97F4A7C15) + signature[:, :, r])
                     size = np.bincount(owner, minlength=n)
                     prints = []
                     bounds = np.append(np.searchsorted(owner, np.arange(n)), len(owner))
                     for salt in (1, 2):
                         each = np.append(np.uint64(0), np.cumsum(tb.mix(keys * np.uint64(2 * salt + 1) + count.astype(np.uint64) * np.uint64(0xA24BAED4963EE407) + np.uint64(salt))))
                         prints.append((each[bounds[1:]] - each[bounds[:-1]]).view(np.int64))
-                flat = pa.array(value.view(np.int64).ravel())
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * bands), flat)
+                flat = pa.array(both.view(np.int64)[given], mask=absent[given])
+                lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(given.sum(1))).astype(np.int32)), flat)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, n), pa.array(size.astype(np.int32)), *map(pa.array, prints), lists], names=["doc_id", "n", "print1", "print2", "bands"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("doc_id is not null").mapInArrow(lean(run), _SKETCH)
@@ -306,16 +326,16 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int =
     reps = materialize(
         sketches.where("n > 0").groupBy("print1", "print2").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")), "representatives", fold=True
     )
-    band = F.posexplode("bands").alias("band", "bucket")
+    banded = reps.select("rep", F.posexplode("bands").alias("band", "bucket")).where("bucket is not null")
 
-    first = reps.select("rep", band).where(F.col("band") < FIRST_BANDS).select("rep", "bucket")
+    first = banded.where(F.col("band") % bands < FIRST_BANDS).select("rep", "bucket")
     least = first.groupBy("bucket").agg(F.min("rep").alias("a"), F.count(F.lit(1)).alias("members")).where("members > 1").select("bucket", "a")
     pairs = materialize(first.join(least, "bucket").where("rep <> a").select("a", F.col("rep").alias("b")).distinct(), "pairs", fold=True)
     paired = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
     links = materialize(_verified(pairs, _sets_of(paired, docs, n_words), threshold), "links", fold=True)
     roots = components(links)
 
-    every = reps.select("rep", band).select("rep", "bucket").join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+    every = banded.select("rep", "bucket").join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
     mixed = every.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("bucket")
     more = _across(materialize(every.join(mixed, "bucket", "left_semi"), "mixed", fold=True), docs, threshold, n_words)
     if not more.isEmpty():

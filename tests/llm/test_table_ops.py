@@ -72,6 +72,21 @@ def test_near_duplicates_in_large_buckets(spark, monkeypatch):
     assert classes(near_dups.near_duplicates(docs)) == link_classes(texts)
 
 
+def test_near_duplicates_by_set_where_repeats_differ(spark):
+    """One line stands twice in one text and eighty times in the other: one shingle set, little weight in common."""
+    texts, r = {}, random.Random(11)
+    for k in range(12):
+        words = [f"w{k}x{r.randrange(10**9)}" for _ in range(230)]
+        body, line = " ".join(words[:200]), " ".join(words[200:])
+        texts[3 * k] = f"{body} {line} {line}"
+        texts[3 * k + 1] = " ".join([body, *[line] * 80])
+        texts[3 * k + 2] = f"{body} {line}"  # no repeats
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    want = link_classes(texts)
+    assert want == {k: k - k % 3 for k in texts}
+    assert classes(near_dups.near_duplicates(docs)) == want
+
+
 def test_near_duplicates_on_awkward_rows(spark):
     rows = data.rows()
     found = near_dups.near_duplicates(data.table(spark)).collect()
