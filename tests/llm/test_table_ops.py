@@ -124,6 +124,62 @@ def test_disguised_words_are_restored(spark):
     assert "stupid" in toxicity.restored_words("so s t u p i d really", model, {})
 
 
+def test_viterbi_finds_the_best_of_all_readings(spark):
+    docs = spark.createDataFrame([(data.prose(200, k),) for k in range(20)], "text string")
+    model = toxicity.char_model(docs)
+    r = random.Random(4)
+
+    def every(word, i=0, score=0.0, text=""):
+        if i == len(word):
+            yield score, text
+            return
+        reads, skip = toxicity.readings(word, i)
+        for x, cost in reads:
+            yield from every(word, i + 1, score + cost, text + x)
+        if skip is not None:
+            yield from every(word, i + 1, score + skip, text)
+
+    def log_p(text):
+        s = [0, 0, *map(toxicity._symbol, text), 0]
+        return sum(model[s[k], s[k + 1], s[k + 2]] for k in range(len(s) - 2))
+
+    for _ in range(200):
+        word = "".join(r.choice("abe.o-013$*!") for _ in range(r.randint(1, 6)))
+        scores = {}
+        for score, text in every(word):
+            scores[text] = max(score + log_p(text), scores.get(text, -1e9))
+        assert scores[toxicity.restore(word, model)] == pytest.approx(max(scores.values()))
+
+
+def test_long_mixed_words_take_linear_time(spark):
+    import time
+
+    model = toxicity.char_model(spark.createDataFrame([(data.prose(500, 1),)], "text string"))
+    half = 500_000
+    r = random.Random(2)
+    for word in ("a" * half + "/" + "b" * half, "".join(r.choice("abcdefgh") for _ in range(half)) + "/" + "ab" * (half // 2), "-" * half + "a" + "_" * half, "a/" + "!" * half + "?" * half, "ab4cd" * (half // 5), "a.b." * (half // 4)):
+        began = time.perf_counter()
+        toxicity.words_of(word, model)
+        assert time.perf_counter() - began < 30  # quadratic work would take hours
+
+
+def test_only_verified_near_copies_are_left_out(spark):
+    """Texts that share half of their runs stay; exact copies and those with one word changed go."""
+    import pyarrow as pa
+
+    base = [data.prose(100, 50 + k) for k in range(6)]
+    texts = {k: t for k, t in enumerate(base)}
+    texts |= {10 + k: t for k, t in enumerate(base[:3])}  # exact copies
+    texts |= {20 + k: t.replace(t.split()[-1], "changed") for k, t in enumerate(base[:3])}  # near copies
+    texts |= {30 + k: base[0][: len(base[0]) // 2] + " " + data.prose(50, 90 + k) for k in range(3)}  # one half shared
+    texts |= {40: "two words", 41: "two words", 42: ""}  # without runs
+    ids = sorted(texts)
+    runs = toxicity._runs(pa.array([texts[k] for k in ids]))
+    rows = [(k, toxicity._minima(x), x.view(np.int64).tolist()) for k, x in zip(ids, runs, strict=True)]
+    sample = spark.createDataFrame(rows, "doc_id long, sketch array<long>, runs array<long>")
+    assert {r.doc_id for r in toxicity.copies(sample).collect()} == {10, 11, 12, 20, 21, 22}
+
+
 def test_toxicity_on_awkward_rows(spark):
     labels = spark.createDataFrame([(k, int(k % 2)) for k in range(12)] + [(None, 1), (3, None)], "doc_id long, toxic int")
     scorer = toxicity.fit(data.table(spark), labels)
