@@ -235,6 +235,28 @@ def test_rollup_is_idempotent_and_signed(spark, tmp_path):
     assert store_.batches() == ["1", "2", "3"]
 
 
+def test_compaction_changes_no_total(spark, tmp_path):
+    change = lambda n: spark.createDataFrame([("insert", "a", "en", "v1", n, None)], "op string, source string, lang string, tokenizer string, n_tokens long, old_tokens long")
+    store_ = token_counts.RollupStore(spark, str(tmp_path / "rollup"))
+    store_.compact()  # nothing yet
+    for k in (1, 2):
+        store_.commit(str(k), change(k))
+    store_.compact()
+    assert not store_.commit("1", change(100))
+    store_.commit("0", change(10))  # a name before those that were summed up
+    (tmp_path / "rollup" / "base=000000000009" / "totals").mkdir(parents=True)  # broken off
+    assert [tuple(r) for r in store_.rollup().collect()] == [("a", "en", "v1", 3, 13)]
+    store_.compact()
+    assert [tuple(r) for r in store_.rollup().collect()] == [("a", "en", "v1", 3, 13)]
+
+
+def test_all_but_one_of_a_text_are_copies(spark):
+    rows = [("p", "a", "en", 3, 5), ("p", "a", "en", 3, 5), ("p", None, "en", 2, 5), ("p", "b", None, None, 5), ("q", "a", "en", None, 7), ("q", "a", "en", None, 7), ("r", "a", "en", 9, 1)]
+    counted = spark.createDataFrame(rows, "print string, source string, lang string, doc_id long, n_tokens long")
+    got = {(r.source, r.lang, r.n_tokens): r.times for r in token_counts.copies_of(counted, ["n_tokens"]).collect()}
+    assert got == {("a", "en", 5): 2, ("b", None, 5): 1, ("a", "en", 7): 1}  # doc 2 stays, and one row of q
+
+
 def test_token_rollup_query_equals_brute_force(spark, small):
     enc = byte_bpe.encoding(P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
     docs = spark.read.parquet(f"{small}/documents.parquet").collect()
