@@ -1,10 +1,13 @@
 """Best-fit packing of tokenised documents by a grouping genetic algorithm on islands.
 
 Documents become token pieces; pieces are dealt by a hash into shards of about SHARD pieces. Every shard lives on
-several islands, each a task with a population of packings. A crossover injects whole well-filled bins of one
-parent into the other, removes the bins that hold the same pieces and best-fits the displaced ones. After each
-epoch an island's elite migrates to the next island of its shard. The loosest bins of all shards are packed again
-together at the end. A shard whose packing meets the lower bound (tokens / capacity, rounded up) stops early.
+several islands, each a task with a population of packings. The first packings are weak: best fit in random orders.
+A crossover injects whole well-filled bins of one parent into the other, removes the bins that hold the same pieces
+(and the receiver's loosest ones) and best-fits the displaced pieces by falling length. After each epoch an island's
+elite migrates to the next island of its shard. An island stops at the lower bound (tokens / capacity, rounded up);
+one that is still above it in the last epoch also takes in the packing by falling length, so no shard ends worse than
+that. The loosest bins of all shards are packed again together at the end. Each row says what the search did for its
+shard: bins of the best first packing, bins in the end, the bound, and the crossovers made on all islands.
 
 Defined cases: a null or empty text is one piece of the end id alone; repeated rows are pieces of their own; an
 empty table gives an empty table; a piece never exceeds the capacity, so every piece finds a place; extra columns
@@ -27,11 +30,15 @@ from pyspark.sql import functions as F
 from .store import lean, materialize, read
 
 CAPACITY, END_ID = 4096, 1
-SHARD, ISLANDS, EPOCHS, POPULATION, GENERATIONS = 16_384, 3, 2, 4, 6
+SHARD, ISLANDS, EPOCHS, POPULATION, GENERATIONS = 16_384, 3, 2, 4, 8
+#: Share of a parent's bins that a crossover injects, and of the receiver's loosest bins that it dissolves.
+INJECTED, DISSOLVED = 0.2, 0.2
 #: Distinct chunks whose ids a worker keeps; it starts anew beyond that.
 CACHE = 600_000
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
 RESULT_SCHEMA = PIECE_SCHEMA + ", sequence_id long, offset long"
+#: What the search did for the shard of a piece; null for a piece that fills a sequence by itself.
+WORK_SCHEMA = "first_bins int, bins int, bound int, crossovers int"
 
 _ODD = re.compile("[\x1c-\x1f]")
 _CHUNK = re.compile("[^ \t\n\r\x0b\x0c\x85\xa0  -     　]+")
@@ -168,61 +175,68 @@ class Packer:
         fills = self.fills(packing)
         return len(fills), -float(np.square(fills / self.capacity).sum())
 
-    def seeded(self, noise: float) -> np.ndarray:
-        """Best fit by decreasing length, which noise shuffles."""
-        order = np.argsort(-self.lengths * (1 + noise * self.rng.random(len(self.lengths))), kind="stable")
+    def packed(self, order: np.ndarray) -> np.ndarray:
+        """Best fit in an order."""
         packing = np.zeros(len(self.lengths), np.int32)
         best_fit(order, self.lengths, [], packing, self.capacity)
         return packing
 
-    def crossover(self, into: np.ndarray, source: np.ndarray, share: float = 0.1) -> np.ndarray:
+    def arrival(self) -> np.ndarray:
+        """Best fit in a random order."""
+        return self.packed(self.rng.permutation(len(self.lengths)))
+
+    def decreasing(self) -> np.ndarray:
+        """Best fit by falling length."""
+        return self.packed(np.argsort(-self.lengths, kind="stable"))
+
+    def crossover(self, into: np.ndarray, source: np.ndarray, share: float = INJECTED, dissolved: float = DISSOLVED) -> np.ndarray:
         fills = self.fills(source)
         full = np.argsort(-fills + self.rng.random(len(fills)) * 0.5 * self.capacity)[: max(1, int(share * len(fills)))]
-        injected = np.isin(source, full)
+        again = np.full(len(fills), -1, np.int64)
+        again[full] = np.arange(len(full))
+        injected = again[source] >= 0
         kept = np.ones(int(into.max()) + 1, bool)
         kept[into[injected]] = False
         # the loosest bins of the receiver are dissolved too: that is where a bin can be saved
-        kept[np.argsort(self.fills(into))[: max(1, len(kept) // 50)]] = False
+        kept[np.argsort(self.fills(into))[: max(1, int(dissolved * len(kept)))]] = False
         number = np.cumsum(kept) - 1
         child = np.full(len(into), -1, np.int32)
         stay = kept[into]
         child[stay] = number[into[stay]]
         base = int(kept.sum())
-        again = np.full(len(fills), -1, np.int64)
-        again[full] = base + np.arange(len(full))
-        child[injected] = again[source[injected]]
+        child[injected] = base + again[source[injected]]
         held = np.bincount(child[child >= 0], weights=self.lengths[child >= 0], minlength=base + len(full)).astype(np.int64)
         loose = np.flatnonzero(child < 0)
         best_fit(loose[np.argsort(-self.lengths[loose], kind="stable")], self.lengths, (self.capacity - held).tolist(), child, self.capacity)
         return child
 
-    def evolve(self, population: list[np.ndarray], size: int, generations: int) -> list[np.ndarray]:
-        """The fittest packings after some generations; stops at the lower bound."""
-        if not population:
-            population = [self.seeded(0.0)]
-        for k in range(len(population), size):
-            if self.fitness(population[0])[0] <= self.bound:
-                break
-            population.append(self.seeded(0.05 * k))
-        population.sort(key=self.fitness)
+    def evolve(self, population: list[np.ndarray], size: int, generations: int) -> tuple[list[np.ndarray], int]:
+        """The fittest packings after some generations and the number of crossovers; stops at the lower bound."""
+        population = sorted([*population, *(self.arrival() for _ in range(size - len(population)))], key=self.fitness)
+        crossovers = 0
         for _ in range(generations):
             if self.fitness(population[0])[0] <= self.bound or len(self.lengths) < 3:
                 break
             a, b = self.rng.choice(len(population), 2, replace=len(population) < 2)
             children = [self.crossover(population[min(a, b)], population[max(a, b)]), self.crossover(population[0], population[max(a, b)])]
+            crossovers += len(children)
             population = sorted([*population, *children], key=self.fitness)[:size]
-        return population
+        return population, crossovers
 
 
-_ISLAND = "shard int, island int, lengths binary, packings array<binary>"
-_SHARD = "shard int, doc_id binary, piece binary, start binary, length binary, ids_crc32 binary"
+_ISLAND = "shard int, island int, lengths binary, packings array<binary>, first_bins int, crossovers int"
 _KINDS = {"doc_id": "<i8", "piece": "<i4", "start": "<i8", "length": "<i8", "ids_crc32": "<i8"}
+_STORED = _KINDS | {"unnamed": "i1"}
+_SHARD = "shard int, " + ", ".join(f"{k} binary" for k in _STORED)
 
 
 def _gathered(frame: pd.DataFrame) -> pd.DataFrame:
-    """The pieces of one shard as arrays; null doc_ids become the smallest long and come back as null."""
-    frame = frame.assign(doc_id=frame.doc_id.astype("Int64").fillna(-(1 << 63)).astype("int64")).sort_values(["length", "doc_id", "piece", "start", "ids_crc32"], ascending=[False, True, True, True, True])
-    return pd.DataFrame([{"shard": frame.shard.iat[0]} | {k: frame[k].to_numpy(kind).tobytes() for k, kind in _KINDS.items()}])
+    """The pieces of one shard as arrays; unnamed marks those whose doc_id is null."""
+    frame = frame.assign(unnamed=frame.doc_id.isna(), doc_id=frame.doc_id.astype("Int64").fillna(0).astype("int64")).sort_values(["length", "unnamed", "doc_id", "piece", "start", "ids_crc32"], ascending=[False, True, True, True, True, True])
+    return pd.DataFrame([{"shard": frame.shard.iat[0]} | {k: frame[k].to_numpy(kind).tobytes() for k, kind in _STORED.items()}])
+
+
+_WORK = [c.split()[0] for c in WORK_SCHEMA.split(", ")]
 
 
 def _pack_shards(pieces: DataFrame, shards: int, islands: int, epochs: int, size: int, generations: int, capacity: int) -> DataFrame:
@@ -230,34 +244,40 @@ def _pack_shards(pieces: DataFrame, shards: int, islands: int, epochs: int, size
     key = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(shards)).cast("int").alias("shard")
     gathered = materialize(pieces.select(key, *_KINDS).groupBy("shard").applyInPandas(_gathered, _SHARD), "shards", fold=True)
 
-    def settle(frame: pd.DataFrame) -> pd.DataFrame:
+    def settle(last: bool, frame: pd.DataFrame) -> pd.DataFrame:
         lengths = np.frombuffer(frame.lengths.iat[0], "<i8")
         shard, island = int(frame.shard.iat[0]), int(frame.island.iat[0])
         population = [np.frombuffer(p, "<i4").copy() for row in frame.packings for p in row]
         packer = Packer(lengths, capacity, seed=shard * 1009 + island * 31 + len(population))
-        if not population and island:  # each island starts from packings of its own
-            population = [packer.seeded(0.02 * island)]
-        best = packer.evolve(population, size, generations)
-        return pd.DataFrame([{"shard": shard, "island": island, "lengths": frame.lengths.iat[0], "packings": [p.astype("<i4").tobytes() for p in best]}])
-
-    state = gathered.select("shard", F.explode(F.sequence(F.lit(0), F.lit(islands - 1))).alias("island"), F.col("length").alias("lengths"), F.expr("cast(array() as array<binary>)").alias("packings"))
+        first_bins = int(frame.first_bins.max())
+        if not population:
+            population = [packer.arrival() for _ in range(size)]
+            first_bins = min(packer.fitness(p)[0] for p in population)
+        best, crossovers = packer.evolve(population, size, generations)
+        if last and packer.fitness(best[0])[0] > packer.bound:
+            best = sorted([*best, packer.decreasing()], key=packer.fitness)
+        crossovers += int(frame.crossovers.sum())
+        return pd.DataFrame([{"shard": shard, "island": island, "lengths": frame.lengths.iat[0], "packings": [p.astype("<i4").tobytes() for p in best], "first_bins": first_bins, "crossovers": crossovers}])
+
+    nothing = [F.lit(0).alias("first_bins"), F.lit(0).alias("crossovers")]
+    state = gathered.select("shard", F.explode(F.sequence(F.lit(0), F.lit(islands - 1))).alias("island"), F.col("length").alias("lengths"), F.expr("cast(array() as array<binary>)").alias("packings"), *nothing)
     for epoch in range(epochs):
         if epoch:
-            migrants = state.select("shard", F.pmod(F.col("island") + 1, F.lit(islands)).cast("int").alias("island"), "lengths", F.slice("packings", 1, 1).alias("packings"))
+            migrants = state.select("shard", F.pmod(F.col("island") + 1, F.lit(islands)).cast("int").alias("island"), "lengths", F.slice("packings", 1, 1).alias("packings"), *nothing)
             state = state.unionByName(migrants)
-        state = materialize(state.groupBy("shard", "island").applyInPandas(settle, _ISLAND), f"islands-{epoch}", fold=True)
+        state = materialize(state.groupBy("shard", "island").applyInPandas((lambda last: lambda frame: settle(last, frame))(epoch == epochs - 1), _ISLAND), f"islands-{epoch}", fold=True)
 
     def fittest(frame: pd.DataFrame) -> pd.DataFrame:
         packer = Packer(np.frombuffer(frame.lengths.iat[0], "<i8"), capacity, 0)
-        ranked = sorted((packer.fitness(np.frombuffer(row[0], "<i4")), island, row[0]) for island, row in zip(frame.island, frame.packings, strict=True))
-        return pd.DataFrame([{"shard": frame.shard.iat[0], "packing": ranked[0][2]}])
+        (bins, _), _, packing = min((packer.fitness(np.frombuffer(row[0], "<i4")), island, row[0]) for island, row in zip(frame.island, frame.packings, strict=True))
+        return pd.DataFrame([{"shard": frame.shard.iat[0], "packing": packing, "first_bins": frame.first_bins.min(), "bins": bins, "bound": packer.bound, "crossovers": frame.crossovers.sum()}])
 
-    best = state.select("shard", "island", "lengths", "packings").groupBy("shard").applyInPandas(fittest, "shard int, packing binary")
+    best = state.groupBy("shard").applyInPandas(fittest, f"shard int, packing binary, {WORK_SCHEMA}")
 
     def spread(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for row in frame.itertuples(index=False):
-                columns = {k: np.frombuffer(getattr(row, k), kind) for k, kind in _KINDS.items()}
+                columns = {k: np.frombuffer(getattr(row, k), kind) for k, kind in _STORED.items()}
                 packing = np.frombuffer(row.packing, "<i4")
                 fills = np.bincount(packing, weights=columns["length"]).astype(np.int64)
                 order = np.argsort(packing, kind="stable")
@@ -268,10 +288,10 @@ def _pack_shards(pieces: DataFrame, shards: int, islands: int, epochs: int, size
                 offset = np.empty(len(order), np.int64)
                 offset[order] = first - begin
                 out = pd.DataFrame(columns | {"sequence_id": packing.astype(np.int64) * shards + row.shard, "offset": offset, "fill": fills[packing], "loosest": packing == int(np.argmin(fills))})
-                out["doc_id"] = out["doc_id"].astype("Int64").mask(out["doc_id"] == -(1 << 63))
-                yield out
+                out["doc_id"] = out["doc_id"].astype("Int64").mask(out.pop("unnamed") == 1)
+                yield out.assign(**{k: getattr(row, k) for k in _WORK})
 
-    return gathered.join(best, "shard").mapInPandas(lean(spread), RESULT_SCHEMA + ", fill long, loosest boolean")
+    return gathered.join(best, "shard").mapInPandas(lean(spread), f"{RESULT_SCHEMA}, fill long, loosest boolean, {WORK_SCHEMA}")
 
 
 def pack(
@@ -280,11 +300,11 @@ def pack(
 ) -> DataFrame:
     """One row for each piece of docs (doc_id, text): its place in a sequence of at most capacity tokens."""
     pieces = materialize(token_pieces(docs, path, capacity, end_id), "pieces")
-    names = [c.split()[0] for c in RESULT_SCHEMA.split(", ")]
+    names = [c.split()[0] for c in RESULT_SCHEMA.split(", ")] + _WORK
     short = pieces.where(F.col("length") < capacity)
     shards = max(1, -(-short.count() // shard))
     packed = materialize(_pack_shards(short, shards, islands, epochs, population, generations, capacity), "packed", fold=True)
-    whole = pieces.where(F.col("length") == capacity).withColumns({"sequence_id": -1 - F.monotonically_increasing_id(), "offset": F.lit(0).cast("long")})
+    whole = pieces.where(F.col("length") == capacity).withColumns({"sequence_id": -1 - F.monotonically_increasing_id(), "offset": F.lit(0).cast("long")} | {k: F.lit(None).cast("int") for k in _WORK})
     if shards == 1:
         return packed.select(names).unionByName(whole.select(names))
     # Each shard leaves one loose bin; together these make few.
