@@ -3,12 +3,17 @@
 Every word belongs to one class: frequent words are classes of their own, the others share classes by their last
 bytes. Latent states emit classes; within a class a word has its smoothed share of the class's corpus count. So an
 emission is P(class | state) * P(word | class), the alphabet of the states is bounded, and the counts behind it are
-those of the whole training corpus. Baum-Welch runs over all training texts: tasks compute expected counts by
-scaled forward and backward recursions, Spark adds them up, the driver holds states x classes numbers. Scoring
-runs the scaled forward recursion over each whole text, which gives its exact likelihood.
+those of the whole training corpus. Baum-Welch runs over all training texts, each of them whole: tasks compute
+expected counts by scaled forward and backward recursions, Spark adds them up, the driver holds states x classes
+numbers. It stops after ITERATIONS rounds, or when a round gains less than TOLERANCE of log likelihood a token. The
+backward recursion goes over HOLD positions at a time, whose forward vectors it computes again from a checkpoint, so
+a text of any length fits. Scoring runs the scaled forward recursion over each whole text, which gives its exact
+likelihood.
 
 Corpus counts are one shuffle of distinct words. The TOP most frequent words (a fixed number) are sent to all
-tasks; the rarer words of a text meet their counts in a join on the word, whose keys are rare by construction.
+tasks; the rarer words of a text meet their counts in a join on the word: one row for each text and distinct rare
+word, and one for each word. A word below the TOP may still have many rows in a large corpus, as many as texts hold
+it; the join is one that adaptive execution splits where a key is hot.
 
 Defined cases: a null or empty text is the end token alone; a word never seen has the share of one unknown word of
 its class; repeated rows score alike; a null doc_id counts as held out of nothing and is trained on; an empty table
@@ -30,9 +35,9 @@ from .store import lean, materialize, read
 
 #: Words whose counts all tasks know; words with a class of their own; classes of the others.
 TOP, OWN, SHARED = 32_768, 2_047, 256
-STATES, ITERATIONS = 8, 6
-#: Tokens of a training sequence; a longer text is trained as several. Scoring never cuts.
-TRAIN_TOKENS = 512
+STATES, ITERATIONS, TOLERANCE = 8, 6, 1e-4
+#: Tokens of the texts that a task trains on at once, and positions whose forward vectors it holds.
+GROUP, HOLD = 400_000, 400_000
 #: Added to each expected count.
 SMOOTH_EMIT, SMOOTH_MOVE = 0.01, 1.0
 CLASSES = 1 + OWN + SHARED  # class 0 is the end token
@@ -217,86 +222,110 @@ def forward_scores(sequences: list[np.ndarray], hmm: Hmm) -> np.ndarray:
     return out
 
 
-def expected_counts(sequences: list[np.ndarray], hmm: Hmm) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
-    """Baum-Welch counts of start, moves and emissions, and the log likelihood, of class sequences."""
+def expected_counts(sequences: list[np.ndarray], hmm: Hmm, hold: int = HOLD) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """Baum-Welch counts of start, moves and emissions, and the log likelihood, of whole class sequences.
+
+    Forward vectors are kept for one part of about hold positions at a time. Parts are walked from the last to the
+    first; all but the last are computed again from the forward vectors before them, so the counts don't depend on hold.
+    """
     states, classes = hmm.emit.shape
-    order, size, _ = _by_length(sequences)
+    order, size, reach = _by_length(sequences)
     flat = np.concatenate([sequences[k] for k in order])
     begin = np.append(0, np.cumsum(size))[:-1]
     likely = np.ascontiguousarray(hmm.emit.T)
-    reach = [int(np.searchsorted(-size, -t, side="left")) for t in range(size[0])]
-    alphas, norms = [], []
-    log_likelihood = 0.0
-    alpha = np.tile(hmm.start, (len(size), 1))
-    for t, n in enumerate(reach):
-        alpha = alpha[:n]
-        if t:
-            alpha = alpha @ hmm.move
-        alpha = alpha * likely[flat[begin[:n] + t]]
-        norm = alpha.sum(1)
-        alpha /= norm[:, None]
-        log_likelihood += float(np.log(norm).sum())
-        alphas.append(alpha)
-        norms.append(norm)
-    moves = np.zeros((states, states))
-    gamma_flat = np.empty((len(flat), states))
+    part = np.append(0, np.cumsum(reach))[:-1] // hold  # of each position
+    edges = np.append(np.flatnonzero(np.append(True, part[1:] != part[:-1])), len(reach)).tolist()
+    reach = reach.tolist()
+
+    def forward(first: int, end: int, alpha: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """Scaled forward vectors and their scales at positions first to end; alpha is that before first."""
+        alphas, norms = [], []
+        for t in range(first, end):
+            n = reach[t]
+            alpha = (alpha[:n] @ hmm.move if t else alpha[:n]) * likely[flat[begin[:n] + t]]
+            norm = alpha.sum(1)
+            alpha = alpha / norm[:, None]
+            alphas.append(alpha)
+            norms.append(norm)
+        return alphas, norms
+
+    before, log_likelihood = [np.tile(hmm.start, (len(size), 1))], 0.0
+    for first, end in zip(edges, edges[1:], strict=False):
+        alphas, norms = forward(first, end, before[-1])
+        before.append(alphas[-1])
+        log_likelihood += sum(float(np.log(norm).sum()) for norm in norms)
+    starts, moves, emits = np.zeros(states), np.zeros((states, states)), np.zeros((states, classes))
     beta = np.ones((reach[-1], states))
-    for t in range(size[0] - 1, -1, -1):
-        n = reach[t]
-        if len(beta) < n:  # sequences that end here
-            beta = np.concatenate([beta, np.ones((n - len(beta), states))])
-        gamma = alphas[t] * beta
-        gamma_flat[begin[:n] + t] = gamma / gamma.sum(1, keepdims=True)
-        if t:
-            ahead = beta * likely[flat[begin[:n] + t]] / norms[t][:, None]
-            moves += hmm.move * (alphas[t - 1][:n].T @ ahead)
-            beta = ahead @ hmm.move.T
-    emits = np.stack([np.bincount(flat, weights=gamma_flat[:, k], minlength=classes) for k in range(states)])
-    return gamma_flat[begin].sum(0), moves, emits, log_likelihood
-
-
-def _cut(sequence: np.ndarray) -> list[np.ndarray]:
-    return [sequence[i : i + TRAIN_TOKENS] for i in range(0, len(sequence), TRAIN_TOKENS)]
-
-
-def train(sequences: DataFrame, states: int = STATES, classes: int = CLASSES, iterations: int = ITERATIONS) -> Hmm:
-    """Baum-Welch over all rows of sequences(classes binary)."""
-    hmm = first_guess(states, classes)
+    for k in range(len(edges) - 2, -1, -1):
+        first, end = edges[k], edges[k + 1]
+        if k < len(edges) - 2:
+            alphas, norms = forward(first, end, before[k])
+        seen, gammas = [], []
+        for t in range(end - 1, first - 1, -1):
+            n, alpha = reach[t], alphas[t - first]
+            if len(beta) < n:  # sequences that end here
+                beta = np.concatenate([beta, np.ones((n - len(beta), states))])
+            gamma = alpha * beta
+            gamma /= gamma.sum(1, keepdims=True)
+            symbols = flat[begin[:n] + t]
+            seen.append(symbols)
+            gammas.append(gamma)
+            if t:
+                ahead = beta * likely[symbols] / norms[t - first][:, None]
+                moves += hmm.move * ((alphas[t - first - 1] if t > first else before[k])[:n].T @ ahead)
+                beta = ahead @ hmm.move.T
+            else:
+                starts = gamma.sum(0)
+        symbols, gamma = np.concatenate(seen), np.concatenate(gammas)
+        for state in range(states):
+            emits[state] += np.bincount(symbols, weights=gamma[:, state], minlength=classes)
+    return starts, moves, emits, log_likelihood
+
+
+def grouped(sequences: Iterator[np.ndarray], size: int = GROUP) -> Iterator[list[np.ndarray]]:
+    """Sequences of like length (within a factor of two) in groups of about size tokens: a step then serves many at once."""
+    pools: dict[int, list[np.ndarray]] = {}
+    held: dict[int, int] = {}
+    for sequence in sequences:
+        k = max(9, len(sequence).bit_length())
+        pools.setdefault(k, []).append(sequence)
+        held[k] = held.get(k, 0) + len(sequence)
+        if held[k] >= size:
+            yield pools.pop(k)
+            del held[k]
+    yield from pools.values()
+
+
+def train(sequences: DataFrame, states: int = STATES, classes: int = CLASSES, iterations: int = ITERATIONS, tolerance: float = TOLERANCE) -> Hmm:
+    """Baum-Welch over all rows of sequences(classes binary), each a whole text."""
+    hmm, likelihood = first_guess(states, classes), None
     for _ in range(iterations):
         now = hmm
 
         def count(batches: Iterator[pa.RecordBatch], now: Hmm = now) -> Iterator[pa.RecordBatch]:
-            total = np.zeros((states, 1 + states + classes))
-
-            def add(pending: list[np.ndarray]) -> None:
-                start, moves, emits, _ = expected_counts(pending, now)
+            total = np.zeros((states, 1 + states + classes + 2))
+            texts = (np.frombuffer(raw.as_buffer(), "<u2").copy() for batch in batches for raw in batch.column(0))
+            for group in grouped(texts):
+                start, moves, emits, log_likelihood = expected_counts(group, now)
                 total[:, 0] += start
                 total[:, 1 : 1 + states] += moves
-                total[:, 1 + states :] += emits
-
-            pending: list[np.ndarray] = []
-            size = 0
-            for batch in batches:
-                for raw in batch.column(0):
-                    for part in _cut(np.frombuffer(raw.as_buffer(), "<u2")):
-                        pending.append(part)
-                        size += len(part)
-                    if size > 400_000:
-                        add(pending)
-                        pending, size = [], 0
-            if pending:
-                add(pending)
+                total[:, 1 + states : -2] += emits
+                total[0, -2:] += log_likelihood, sum(map(len, group))
             yield pa.RecordBatch.from_arrays([pa.array(range(states), pa.int32()), pa.array(list(total), pa.list_(pa.float64()))], names=["state", "counts"])
 
         rows = (
             sequences.select("classes").mapInArrow(lean(count), "state int, counts array<double>")
-            .select("state", F.posexplode("counts").alias("at", "n")).where("n > 0").groupBy("state", "at").agg(F.sum("n").alias("n"))
+            .select("state", F.posexplode("counts").alias("at", "n")).where("n <> 0").groupBy("state", "at").agg(F.sum("n").alias("n"))
         )
-        total = np.zeros((states, 1 + states + classes))
-        for r in rows.collect():  # states x (1 + states + classes) numbers at most
+        total = np.zeros((states, 1 + states + classes + 2))
+        for r in rows.collect():  # states x (3 + states + classes) numbers at most
             total[r.state, r.at] = r.n
-        start, move, emit = total[:, 0] + SMOOTH_MOVE, total[:, 1 : 1 + states] + SMOOTH_MOVE, total[:, 1 + states :] + SMOOTH_EMIT
+        start, move, emit = total[:, 0] + SMOOTH_MOVE, total[:, 1 : 1 + states] + SMOOTH_MOVE, total[:, 1 + states : -2] + SMOOTH_EMIT
         hmm = Hmm(start / start.sum(), move / move.sum(1, keepdims=True), emit / emit.sum(1, keepdims=True))
+        reached = total[0, -2] / max(total[0, -1], 1.0)
+        if likelihood is not None and reached - likelihood < tolerance:
+            break
+        likelihood = reached
     return hmm
 
 

@@ -336,6 +336,40 @@ def test_baum_welch_counts_and_progress():
     assert abs(hmm_scoring.forward_scores(seqs, hmm).sum() - hmm_scoring.expected_counts(seqs, hmm)[3]) < 1e-6
 
 
+def test_whole_texts_are_trained_on():
+    """Counts of a long text, in parts of any size, equal a plain recursion over it, one position after the other."""
+    rng = np.random.default_rng(2)
+    hmm = hmm_scoring.first_guess(3, 7)
+    seqs = [rng.integers(0, 7, n).astype("<u2") for n in (5_000, 1, 40, 700, 5_000)]
+    start, moves, emits, total = np.zeros(3), np.zeros((3, 3)), np.zeros((3, 7)), 0.0
+    for seq in seqs:
+        alpha, scale = np.zeros((len(seq), 3)), np.zeros(len(seq))
+        for t, x in enumerate(seq):
+            for j in range(3):
+                alpha[t, j] = (hmm.start[j] if t == 0 else sum(alpha[t - 1, i] * hmm.move[i, j] for i in range(3))) * hmm.emit[j, x]
+            scale[t] = alpha[t].sum()
+            alpha[t] /= scale[t]
+        beta = np.ones((len(seq), 3))
+        for t in range(len(seq) - 2, -1, -1):
+            for i in range(3):
+                beta[t, i] = sum(hmm.move[i, j] * hmm.emit[j, seq[t + 1]] * beta[t + 1, j] for j in range(3)) / scale[t + 1]
+        gamma = alpha * beta
+        start += gamma[0]
+        np.add.at(emits.T, seq, gamma)
+        for t in range(len(seq) - 1):
+            moves += np.outer(alpha[t], hmm.emit[:, seq[t + 1]] * beta[t + 1] / scale[t + 1]) * hmm.move
+        total += np.log(scale).sum()
+    for hold in (1, 37, 900, 10**6):
+        got = hmm_scoring.expected_counts(seqs, hmm, hold)
+        for x, want in zip(got, (start, moves, emits, total), strict=True):
+            assert np.allclose(x, want, rtol=1e-9)
+    groups = list(hmm_scoring.grouped(iter(seqs), 5_500))
+    assert sorted(len(s) for g in groups for s in g) == sorted(map(len, seqs))
+    assert sorted(sorted(map(len, g)) for g in groups) == [[1, 40], [700], [5_000, 5_000]]
+    summed = [sum(x) for x in zip(*(hmm_scoring.expected_counts(g, hmm) for g in groups), strict=True)]
+    assert all(np.allclose(x, want) for x, want in zip(summed, (start, moves, emits, total), strict=True))
+
+
 def test_scores_on_awkward_rows(spark):
     import math
 
