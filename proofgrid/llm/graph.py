@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import materialize
+from .store import discard, materialize
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -16,11 +16,14 @@ def components(links: DataFrame) -> DataFrame:
     """
     both = materialize(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct(), "links", fold=True)
     labels = materialize(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("root")), "labels", fold=True)
+    before = labels
     while True:
         near = both.join(labels.select(F.col("node").alias("b"), "root"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
         lowered = labels.join(near, "node").select("node", "root", F.least("root", "near").alias("low"))
         jump = labels.select(F.col("node").alias("low"), F.col("root").alias("jump"))
         after = materialize(lowered.join(jump, "low").select("node", "root", F.least("low", "jump").alias("next")), "labels", fold=True)
-        labels = after.select("node", F.col("next").alias("root"))
+        discard(before)
+        before, labels = after, after.select("node", F.col("next").alias("root"))
         if after.where("next < root").isEmpty():
+            discard(both)
             return labels

@@ -9,7 +9,8 @@ shingle set, all weights 1, in the same buckets: two texts meet in those with th
 without repeats has equal bands for both.
 
 Two texts are linked if their probability Jaccard similarity, or the Jaccard similarity of their shingle sets, is
-THRESHOLD or more. A class is a connected component of links, named by its least doc_id.
+THRESHOLD or more. A class is a connected component of links, named by its least doc_id. Rows are told apart by a
+number that a written table gives them, not by doc_id: one row of each class is kept, that of the class's name.
 
 No step emits the pairs of a group. Texts with equal multisets are one representative from the start. A bucket
 links its members to its least one only. After these classes are known, only buckets that still hold several
@@ -19,7 +20,9 @@ once as a matrix product and emits the few links that join classes. So every can
 is verified, whatever the size of its bucket.
 
 Defined cases: a null or empty text, or one of white space, has no shingle and is a class of its own; a row with
-null doc_id is left out, having no name to be linked by; repeated rows give one row for each; an empty table gives an empty one; extra columns are ignored.
+null doc_id belongs to the class of its text like any other, and the class of such rows alone has no name (null);
+repeated rows are copies of one another, of which one is kept; texts under one doc_id are texts of their own, so
+their classes can have one name; an empty table gives an empty one; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -34,7 +37,7 @@ from pyspark.sql import functions as F
 
 from . import textblocks as tb
 from .graph import components
-from .store import lean, materialize, read
+from .store import discard, lean, materialize, pick, read
 
 WORDS, THRESHOLD = 5, 0.8
 #: BANDS x ROWS registers: a pair at 0.8 of either similarity has no equal band with probability (1 - 0.8**ROWS)**BANDS = 5e-5.
@@ -43,7 +46,7 @@ BANDS, ROWS = 25, 5
 FIRST_BANDS = 6
 #: Members up to which a bucket gives pairs, and members of a block of a larger one.
 SMALL, BLOCK = 16, 256
-_SKETCH = "doc_id long, n int, print1 long, print2 long, bands array<long>"
+_SKETCH = "row long, doc_id long, n int, print1 long, print2 long, bands array<long>"
 
 
 def shingles(buf: np.ndarray, off: np.ndarray, n_words: int = WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -149,7 +152,7 @@ def probability_jaccard(keys_a: np.ndarray, count_a: np.ndarray, keys_b: np.ndar
 
 
 def sketch(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, n_words: int = WORDS) -> DataFrame:
-    """doc_id, number of distinct shingles, a 128-bit print of the multiset, and the band hashes. No shuffle.
+    """docs(row, doc_id, text) -> row, doc_id, number of distinct shingles, a 128-bit print of the multiset, and the band hashes. No shuffle.
 
     Where a shingle is repeated, the bands of the shingle set follow those of the multiset; an equal one is null.
     """
@@ -166,7 +169,7 @@ def sketch(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, n_words: int =
             return value
 
         for batch in batches:
-            for i, j, buf, off in tb.blocks(batch.column(1)):
+            for i, j, buf, off in tb.blocks(batch.column(2)):
                 owner, keys, count = shingles(buf, off, n_words)
                 n = j - i
                 value = hashes(owner, keys, count, n)
@@ -188,13 +191,13 @@ def sketch(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, n_words: int =
                         prints.append((each[bounds[1:]] - each[bounds[:-1]]).view(np.int64))
                 flat = pa.array(both.view(np.int64)[given], mask=absent[given])
                 lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(given.sum(1))).astype(np.int32)), flat)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, n), pa.array(size.astype(np.int32)), *map(pa.array, prints), lists], names=["doc_id", "n", "print1", "print2", "bands"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, n), batch.column(1).slice(i, n), pa.array(size.astype(np.int32)), *map(pa.array, prints), lists], names=["row", "doc_id", "n", "print1", "print2", "bands"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("doc_id is not null").mapInArrow(lean(run), _SKETCH)
+    return docs.select("row", F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(lean(run), _SKETCH)
 
 
 def _multisets(docs: DataFrame, n_words: int) -> DataFrame:
-    """doc_id, ascending shingle hashes and counts as binary."""
+    """docs(row, text) -> row, ascending shingle hashes and counts as binary."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -203,16 +206,18 @@ def _multisets(docs: DataFrame, n_words: int) -> DataFrame:
                 bounds = np.append(np.searchsorted(owner, np.arange(j - i)), len(owner)).tolist()
                 parts = list(zip(bounds[:-1], bounds[1:], strict=True))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(i, j - i), pa.array([keys[a:b].tobytes() for a, b in parts]), pa.array([count[a:b].astype("<i4").tobytes() if (count[a:b] > 1).any() else b"" for a, b in parts])], names=["doc_id", "keys", "counts"]
+                    [batch.column(0).slice(i, j - i), pa.array([keys[a:b].tobytes() for a, b in parts]), pa.array([count[a:b].astype("<i4").tobytes() if (count[a:b] > 1).any() else b"" for a, b in parts])], names=["row", "keys", "counts"]
                 )
 
-    return docs.mapInArrow(lean(run), "doc_id long, keys binary, counts binary")
+    return docs.mapInArrow(lean(run), "row long, keys binary, counts binary")
 
 
 def _sets_of(ids: DataFrame, docs: DataFrame, n_words: int) -> DataFrame:
-    """The multisets of some texts: only these are hashed again and moved. Several rows of one doc_id are one text."""
-    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(ids.hint("shuffle_hash"), "doc_id", "left_semi")
-    return materialize(_multisets(texts, n_words).dropDuplicates(["doc_id"]), "multisets", fold=True)
+    """The multisets of some rows, by number: only their texts are hashed again. ids has no repeats."""
+    ids = materialize(ids, "picked", fold=True)
+    sets = materialize(_multisets(pick(docs.select("row", F.col("text").cast("string")), ids, "row"), n_words), "multisets", fold=True)
+    discard(ids)
+    return sets
 
 
 def _counts(raw: bytes, n: int) -> np.ndarray:
@@ -230,7 +235,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
                 keep.append(max(probability_jaccard(ka, _counts(row.counts_a, len(ka)), kb, _counts(row.counts_b, len(kb)))) >= threshold)
             yield frame.loc[keep, ["a", "b"]]
 
-    side = lambda x: sets.select(F.col("doc_id").alias(x), F.col("keys").alias(f"keys_{x}"), F.col("counts").alias(f"counts_{x}"))
+    side = lambda x: sets.select(F.col("row").alias(x), F.col("keys").alias(f"keys_{x}"), F.col("counts").alias(f"counts_{x}"))
     return pairs.join(side("b"), "b").join(side("a"), "a").mapInPandas(lean(test), "a long, b long")
 
 
@@ -301,7 +306,7 @@ def _across(left: DataFrame, docs: DataFrame, threshold: float, n_words: int) ->
     """The links across classes in buckets that hold several: left(bucket, rep, root)."""
     sized = left.join(left.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")), "bucket")
     sized = materialize(sized.select("bucket", "rep", "root", "members"), "mixed", fold=True)
-    sets = _sets_of(sized.select(F.col("rep").alias("doc_id")).distinct(), docs, n_words)
+    sets = _sets_of(sized.select(F.col("rep").alias("row")).distinct(), docs, n_words)
 
     small = sized.where(F.col("members") <= SMALL).select("bucket", "rep", "root")
     other = small.select("bucket", F.col("rep").alias("b"), F.col("root").alias("other"))
@@ -314,46 +319,71 @@ def _across(left: DataFrame, docs: DataFrame, threshold: float, n_words: int) ->
     dealt = (
         large.select("bucket", "rep", "root", mine.alias("mine"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("with"))
         .select("bucket", "rep", "root", F.least("mine", "with").alias("low"), F.greatest("mine", "with").alias("high"))
-        .join(sets.withColumnRenamed("doc_id", "rep"), "rep")
+        .join(sets.withColumnRenamed("row", "rep"), "rep")
     )
     inside = dealt.groupBy("bucket", "low", "high").applyInPandas(lambda frame: _block_links(frame, threshold), "a long, b long")
-    return materialize(links.unionByName(inside), "links", fold=True)
+    found = materialize(links.unionByName(inside), "links", fold=True)
+    discard(sized, sets, pairs)
+    return found
 
 
-def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, n_words: int = WORDS) -> DataFrame:
-    """docs(doc_id, text) -> doc_id, class_id (least doc_id of its class), for every row of docs with a doc_id."""
+def _classes(docs: DataFrame, threshold: float, bands: int, rows: int, n_words: int) -> DataFrame:
+    """docs(row, doc_id, text), written, with unique row -> row, doc_id, class_id, class_size, kept, for every row."""
     sketches = materialize(sketch(docs, bands, rows, n_words), "sketches")
     reps = materialize(
-        sketches.where("n > 0").groupBy("print1", "print2").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")), "representatives", fold=True
-    )
-    banded = reps.select("rep", F.posexplode("bands").alias("band", "bucket")).where("bucket is not null")
+        sketches.where("n > 0").groupBy("print1", "print2").agg(F.min("row").alias("rep"), F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("name"), F.coalesce(F.min_by("row", "doc_id"), F.min("row")).alias("keep")),
+        "representatives", fold=True,
+    )
+    banded = pick(sketches.select("row", "bands"), reps.select(F.col("rep").alias("row")), "row").select(F.col("row").alias("rep"), F.posexplode("bands").alias("band", "bucket")).where("bucket is not null")
 
     first = banded.where(F.col("band") % bands < FIRST_BANDS).select("rep", "bucket")
     least = first.groupBy("bucket").agg(F.min("rep").alias("a"), F.count(F.lit(1)).alias("members")).where("members > 1").select("bucket", "a")
     pairs = materialize(first.join(least, "bucket").where("rep <> a").select("a", F.col("rep").alias("b")).distinct(), "pairs", fold=True)
-    paired = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    links = materialize(_verified(pairs, _sets_of(paired, docs, n_words), threshold), "links", fold=True)
+    paired = pairs.select(F.col("a").alias("row")).unionByName(pairs.select(F.col("b").alias("row"))).distinct()
+    sets = _sets_of(paired, docs, n_words)
+    links = materialize(_verified(pairs, sets, threshold), "links", fold=True)
+    discard(pairs, sets)
     roots = components(links)
 
     every = banded.select("rep", "bucket").join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
     mixed = every.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("bucket")
-    more = _across(materialize(every.join(mixed, "bucket", "left_semi"), "mixed", fold=True), docs, threshold, n_words)
+    left = materialize(every.join(mixed, "bucket", "left_semi"), "mixed", fold=True)
+    more = _across(left, docs, threshold, n_words)
+    discard(left)
     if not more.isEmpty():
+        discard(roots)
         roots = components(links.unionByName(more))
 
-    named = reps.select("print1", "print2", "rep").join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("print1", "print2", F.coalesce("root", "rep").alias("class_id"))
-    return (
-        sketches.select("doc_id", "n", "print1", "print2").join(named, ["print1", "print2"], "left")
-        .select("doc_id", F.when(F.col("n") > 0, F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"))
+    rooted = reps.join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+    named = rooted.groupBy("root").agg(F.min("name").alias("class_id"), F.sum("copies").alias("class_size"), F.coalesce(F.min_by("keep", "name"), F.min("keep")).alias("keep"))
+    classes = rooted.select("print1", "print2", "root").join(named, "root").drop("root")
+    some = F.col("n") > 0
+    found = materialize(
+        sketches.select("row", "doc_id", "n", "print1", "print2").join(classes, ["print1", "print2"], "left")
+        .select("row", "doc_id", F.when(some, F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"), F.when(some, F.col("class_size")).otherwise(1).alias("class_size"), F.when(some, F.col("row") == F.col("keep")).otherwise(True).alias("kept")),
+        "classes",
     )
+    discard(sketches, reps, links, more, roots)
+    return found
+
+
+def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, n_words: int = WORDS) -> DataFrame:
+    """docs(doc_id, text) -> doc_id, class_id (least doc_id of its class), class_size (rows), kept, for every row of docs."""
+    numbered = materialize(docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long"), F.col("text").cast("string")), "rows")
+    found = _classes(numbered, threshold, bands, rows, n_words)
+    discard(numbered)
+    return found.drop("row")
 
 
-def keep_one(docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """One row of docs for each class: that of the class's name. A null doc_id belongs to no class and stays."""
-    gone = classes.where("doc_id <> class_id").select("doc_id").distinct()
-    named = docs.where("doc_id is not null").join(gone.hint("shuffle_hash"), "doc_id", "left_anti").dropDuplicates(["doc_id"])
-    return named.select(docs.columns).unionByName(docs.where("doc_id is null"))
+def keep_one(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, n_words: int = WORDS) -> DataFrame:
+    """One row of docs for each class, with all its columns."""
+    row = next(name for name in ("_row" + "_" * k for k in range(len(docs.columns) + 1)) if name not in docs.columns)
+    numbered = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    found = _classes(numbered.select(F.col(row).alias("row"), F.col("doc_id").cast("long"), F.col("text").cast("string")), threshold, bands, rows, n_words)
+    kept = materialize(found.where("kept").select(F.col("row").alias(row)), "kept", fold=True)
+    discard(found)
+    return pick(numbered, kept, row).drop(row)
 
 
 def op6_prob_min_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(read(spark, sf_dir, "documents")).withColumn("kept", F.col("doc_id") == F.col("class_id"))
+    return near_duplicates(read(spark, sf_dir, "documents"))

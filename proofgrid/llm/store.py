@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: Texts whose results are held at once.
 PART = 500
+#: Row numbers up to which pick() sends them to all tasks (16 bytes each or so).
+BROADCAST_ROWS = 1_000_000
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -20,9 +22,12 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's spark.checkpoint.dir; where that is unset (tests), a folder of this machine, set once."""
+    """The cluster's spark.checkpoint.dir. Where that is unset: on one machine (local mode) a temporary folder, set
+    once; on a cluster an error, as a folder of one machine would be missing on the others."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="proofgrid-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -46,13 +51,22 @@ def materialize(df: DataFrame, name: str, fold: bool = False) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def discard(df: DataFrame) -> None:
-    """Delete the files of a materialized table that nothing reads any more."""
-    jvm = df.sparkSession.sparkContext._jvm
-    conf = df.sparkSession.sparkContext._jsc.hadoopConfiguration()
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(conf).delete(path, True)
+def discard(*tables: DataFrame) -> None:
+    """Delete the files of materialized tables that nothing reads any more: all that was made of them is written."""
+    for df in tables:
+        context = df.sparkSession.sparkContext
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            path = context._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def pick(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """The rows whose key is among the materialized ids, a table of one column of that name without repeats.
+
+    Where the ids are at most BROADCAST_ROWS, all tasks get them and rows stay where they are; else both are
+    shuffled by the key, of which no value has more rows than in rows.
+    """
+    return rows.join(F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids.hint("shuffle_hash"), key, "left_semi")
 
 
 def lean(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
