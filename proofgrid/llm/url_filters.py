@@ -1,11 +1,16 @@
 """URL filters: rules on host suffix and path prefix, then empirical-Bayes host reputation.
 
-Labelled page outcomes are shrunk through beta-binomial priors: the corpus rate is the prior of a suffix, the
-suffix posterior mean of its registered domains, and the domain posterior mean of its hosts. A host is blocked if the lower posterior bound of its bad rate is above a limit. DataFrame functions only.
-
-Defined cases: a null url, or one without ``://``, has empty host and path, fits no rule and gets the verdict of
-the corpus prior; an unlabelled host takes its domain's or suffix's posterior; repeated rows are judged alike and
-their outcomes count once for each row; without any label the prior is PRIOR_RATE; extra columns are ignored.
+Labelled page outcomes are shrunk through beta-binomial priors: the corpus rate is the prior mean of a suffix, the
+suffix posterior mean that of its registered domains, and the domain posterior mean that of its hosts. How strongly a
+level is shrunk is estimated from the data, by moments: the more the children of a level differ beyond binomial
+chance, the fewer pseudo-observations they inherit. A host is blocked if the lower posterior bound of its bad rate is
+above a limit; the bound is the normal approximation of the beta posterior. DataFrame functions only.
+
+Defined cases: a null url, or one without ``://``, has empty host and path and fits no rule; all of these share the
+reputation of the host ``''``; an address of four numbers is its own domain, without a suffix; an unlabelled host takes
+its domain's or suffix's posterior; a label without an outcome is none; repeated rows are judged alike and their
+outcomes count once for each row; without any label the prior is PRIOR_RATE; a level of which no parent has two
+labelled children keeps its STRENGTH; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -19,8 +24,8 @@ from .store import read
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 #: Second-level names under which a country registers domains.
 SECOND_LEVEL = ["ac", "co", "com", "edu", "gov", "net", "org"]
-#: Pseudo-observations that a level inherits from the one above.
-STRENGTH = {"suffix": 50.0, "domain": 20.0, "host": 10.0}
+#: Pseudo-observations that a level inherits from the one above where the data can't tell, and bounds of the estimate.
+STRENGTH, WEAKEST, STRONGEST = {"suffix": 50.0, "domain": 20.0, "host": 10.0}, 1.0, 1000.0
 PRIOR_RATE, BAD_RATE, Z = 0.1, 0.25, 1.6448536269514722
 
 
@@ -33,16 +38,19 @@ def path_of(url: Column) -> Column:
     return F.regexp_extract(F.coalesce(url, F.lit("")), r"^(?s).*?://[^/?#]*(/[^?#]*)", 1)
 
 
+_IPV4 = r"^[0-9]+(\.[0-9]+){3}$"
+
+
 def suffix_of(host: Column) -> Column:
     """The last label, or the last two where a country code follows a second-level name; ports are cut."""
     name = F.regexp_replace(host, r":\d*$", "")
-    return F.regexp_extract(name, rf"(?:^|\.)((?:(?:{'|'.join(SECOND_LEVEL)})\.[a-z]{{2}})|[^.]*)$", 1)
+    return F.when(name.rlike(_IPV4), "").otherwise(F.regexp_extract(name, rf"(?:^|\.)((?:(?:{'|'.join(SECOND_LEVEL)})\.[a-z]{{2}})|[^.]*)$", 1))
 
 
 def domain_of(host: Column) -> Column:
     """The suffix and one label before it."""
     name = F.regexp_replace(host, r":\d*$", "")
-    return F.regexp_extract(name, rf"(?:^|\.)([^.]*\.(?:(?:(?:{'|'.join(SECOND_LEVEL)})\.[a-z]{{2}})|[^.]*))$", 1)
+    return F.when(name.rlike(_IPV4), name).otherwise(F.regexp_extract(name, rf"(?:^|\.)([^.]*\.(?:(?:(?:{'|'.join(SECOND_LEVEL)})\.[a-z]{{2}})|[^.]*))$", 1))
 
 
 def rule_of(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> tuple[Column, Column]:
@@ -55,25 +63,48 @@ def rule_of(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> tu
     return (F.lit(None).cast("string"),) * 2 if name is None else (name, verdict)
 
 
-def reputation(outcomes: DataFrame, strength: dict[str, float] | None = None) -> DataFrame:
+def strength(children: DataFrame, n: str, bad: str, mean: str, siblings: str, default: float, name: str) -> DataFrame:
+    """One row: the pseudo-observations of a level, by moments over children that have labelled siblings.
+
+    A child of n outcomes around the mean m has squared deviation n m (1 - m) (1 + (n - 1) / (strength + 1)) on average.
+    """
+    n, bad, mean = F.col(n), F.col(bad), F.col(mean)
+    chance = n * mean * (1 - mean)
+    beyond = F.sum((bad - n * mean) * (bad - n * mean) - chance)
+    per = F.sum((n - 1) * chance)
+    share = (beyond / per).alias("share")
+    told = children.where((F.col(siblings) > 1) & (n > 0)).agg(F.when(per > 0, share).alias("share"))
+    estimate = F.round(F.least(F.lit(STRONGEST), F.greatest(F.lit(WEAKEST), F.when(F.col("share") > 0, 1 / F.col("share") - 1).otherwise(STRONGEST))), 6)
+    return told.select(F.when(F.col("share").isNull(), default).otherwise(estimate).alias(name))
+
+
+def reputation(outcomes: DataFrame, fixed: dict[str, float] | None = None) -> DataFrame:
     """outcomes(host, n, bad): additive counts of labelled pages by host, one row for each host (n may be 0).
 
     Returns host, domain, suffix, n, bad, alpha and beta of the host's posterior, rate and lower (its bound). The
-    levels are small aggregates of one another; windows would gather a suffix in one task, so they are joined.
+    levels are small aggregates of one another; windows would gather a suffix in one task, so they are joined. fixed
+    sets the strength of levels that are not to be estimated. What is broadcast has one row.
     """
-    k = STRENGTH | (strength or {})
+    fixed = fixed or {}
+    spark = outcomes.sparkSession
+    given = lambda level: spark.range(1).select(F.lit(float(fixed[level])).alias(f"k_{level}")) if level in fixed else None
     hosts = outcomes.select("host", domain_of(F.col("host")).alias("domain"), suffix_of(F.col("host")).alias("suffix"), F.col("n").cast("double").alias("n"), F.col("bad").cast("double").alias("bad"))
-    domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("dn"), F.sum("bad").alias("db"))
-    suffixes = domains.groupBy("suffix").agg(F.sum("dn").alias("sn"), F.sum("db").alias("sb"))
-    corpus = suffixes.agg(F.sum("sn").alias("cn"), F.sum("sb").alias("cb")).select(F.when(F.col("cn") > 0, (F.col("cb") + 0.5) / (F.col("cn") + 1)).otherwise(PRIOR_RATE).alias("crate"))
-    suffixes = suffixes.crossJoin(F.broadcast(corpus)).select("suffix", ((F.col("sb") + k["suffix"] * F.col("crate")) / (F.col("sn") + k["suffix"])).alias("srate"))  # corpus is one row
-    domains = domains.join(suffixes, "suffix").select("domain", "suffix", ((F.col("db") + k["domain"] * F.col("srate")) / (F.col("dn") + k["domain"])).alias("drate"))
-    alpha, beta = F.col("bad") + k["host"] * F.col("drate"), F.col("n") - F.col("bad") + k["host"] * (1 - F.col("drate"))
-    rate, total = F.col("alpha") / (F.col("alpha") + F.col("beta")), F.col("alpha") + F.col("beta")
+    domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("dn"), F.sum("bad").alias("db"), F.count_if(F.col("n") > 0).alias("told_hosts"))
+    suffixes = domains.groupBy("suffix").agg(F.sum("dn").alias("sn"), F.sum("db").alias("sb"), F.count_if(F.col("dn") > 0).alias("told_domains"))
+    rate = F.when(F.sum("sn") > 0, (F.sum("sb") + 0.5) / (F.sum("sn") + 1)).otherwise(PRIOR_RATE)
+    suffixes = suffixes.crossJoin(F.broadcast(suffixes.agg(rate.alias("crate"), F.count_if(F.col("sn") > 0).alias("told_suffixes"))))
+    suffixes = suffixes.crossJoin(F.broadcast(given("suffix") or strength(suffixes, "sn", "sb", "crate", "told_suffixes", STRENGTH["suffix"], "k_suffix")))
+    suffixes = suffixes.select("suffix", "told_domains", ((F.col("sb") + F.col("k_suffix") * F.col("crate")) / (F.col("sn") + F.col("k_suffix"))).alias("srate"))
+    domains = domains.join(suffixes, "suffix")
+    domains = domains.crossJoin(F.broadcast(given("domain") or strength(domains, "dn", "db", "srate", "told_domains", STRENGTH["domain"], "k_domain")))
+    domains = domains.select("domain", "suffix", "told_hosts", ((F.col("db") + F.col("k_domain") * F.col("srate")) / (F.col("dn") + F.col("k_domain"))).alias("drate"))
+    hosts = hosts.join(domains, ["domain", "suffix"])
+    hosts = hosts.crossJoin(F.broadcast(given("host") or strength(hosts, "n", "bad", "drate", "told_hosts", STRENGTH["host"], "k_host")))
+    alpha, beta = F.col("bad") + F.col("k_host") * F.col("drate"), F.col("n") - F.col("bad") + F.col("k_host") * (1 - F.col("drate"))
+    mean, total = F.col("alpha") / (F.col("alpha") + F.col("beta")), F.col("alpha") + F.col("beta")
     return (
-        hosts.join(domains, ["domain", "suffix"])
-        .select("host", "domain", "suffix", "n", "bad", alpha.alias("alpha"), beta.alias("beta"))
-        .withColumn("rate", rate)
+        hosts.select("host", "domain", "suffix", "n", "bad", alpha.alias("alpha"), beta.alias("beta"))
+        .withColumn("rate", mean)
         .withColumn("lower", F.greatest(F.lit(0.0), F.col("rate") - Z * F.sqrt(F.col("rate") * (1 - F.col("rate")) / (total + 1))))
     )
 
@@ -98,8 +129,9 @@ def filter_urls(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str,
 
 
 def op10_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A page's outcome is bad if the labelled document of the same id is toxic or of low quality."""
-    labels = read(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), F.when((F.col("toxic") == 1) | (F.col("quality") == 0), 1).otherwise(0).alias("bad"))
+    """A page's outcome is bad if the labelled document of the same id is toxic or of low quality, and unknown if neither is known."""
+    bad = F.when((F.col("toxic") == 1) | (F.col("quality") == 0), 1).when(F.col("toxic").isNotNull() | F.col("quality").isNotNull(), 0)
+    labels = read(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), bad.alias("bad"))
     return filter_urls(read(spark, sf_dir, "pages"), labels)
 
 
@@ -109,16 +141,26 @@ WITH page AS (
     translate(regexp_extract(coalesce(url, ''), '^(?s).*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
     regexp_extract(coalesce(url, ''), '^(?s).*?://[^/?#]*(/[^?#]*)', 1) AS path
   FROM pages),
-label AS (SELECT doc_id AS page_id, max(CASE WHEN toxic = 1 OR quality = 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS bad FROM labels WHERE doc_id IS NOT NULL GROUP BY 1),
+label AS (SELECT doc_id AS page_id, max(CASE WHEN toxic = 1 OR quality = 0 THEN 1.0::DOUBLE WHEN toxic IS NOT NULL OR quality IS NOT NULL THEN 0.0::DOUBLE END) AS bad FROM labels WHERE doc_id IS NOT NULL GROUP BY 1),
 host0 AS (SELECT host, regexp_replace(host, ':[0-9]*$', '') AS name, count(bad)::DOUBLE AS n, coalesce(sum(bad), 0)::DOUBLE AS bad FROM page LEFT JOIN label USING (page_id) GROUP BY host),
 hosts AS (SELECT host, n, bad,
-    regexp_extract(name, '(?:^|\.)((?:(?:ac|co|com|edu|gov|net|org)\.[a-z]{2})|[^.]*)$', 1) AS suffix,
-    regexp_extract(name, '(?:^|\.)([^.]*\.(?:(?:(?:ac|co|com|edu|gov|net|org)\.[a-z]{2})|[^.]*))$', 1) AS domain
+    CASE WHEN regexp_matches(name, '^[0-9]+(\.[0-9]+){3}$') THEN '' ELSE regexp_extract(name, '(?:^|\.)((?:(?:ac|co|com|edu|gov|net|org)\.[a-z]{2})|[^.]*)$', 1) END AS suffix,
+    CASE WHEN regexp_matches(name, '^[0-9]+(\.[0-9]+){3}$') THEN name ELSE regexp_extract(name, '(?:^|\.)([^.]*\.(?:(?:(?:ac|co|com|edu|gov|net|org)\.[a-z]{2})|[^.]*))$', 1) END AS domain
   FROM host0),
-corpus AS (SELECT CASE WHEN sum(n) > 0 THEN (sum(bad) + 0.5) / (sum(n) + 1) ELSE 0.1 END AS crate FROM hosts),
-suffixes AS (SELECT suffix, (sum(bad) + 50.0::DOUBLE * any_value(crate)) / (sum(n) + 50.0::DOUBLE) AS srate FROM hosts, corpus GROUP BY suffix),
-domains AS (SELECT domain, suffix, (sum(bad) + 20.0::DOUBLE * any_value(srate)) / (sum(n) + 20.0::DOUBLE) AS drate FROM hosts JOIN suffixes USING (suffix) GROUP BY domain, suffix),
-posterior AS (SELECT host, bad + 10.0::DOUBLE * drate AS alpha, n - bad + 10.0::DOUBLE * (1 - drate) AS beta FROM hosts JOIN domains USING (domain, suffix)),
+domain0 AS (SELECT domain, suffix, sum(n) AS dn, sum(bad) AS db, count(*) FILTER (WHERE n > 0) AS told_hosts FROM hosts GROUP BY domain, suffix),
+suffix0 AS (SELECT suffix, sum(dn) AS sn, sum(db) AS sb, count(*) FILTER (WHERE dn > 0) AS told_domains FROM domain0 GROUP BY suffix),
+corpus AS (SELECT CASE WHEN sum(sn) > 0 THEN (sum(sb) + 0.5::DOUBLE) / (sum(sn) + 1) ELSE 0.1::DOUBLE END AS crate, count(*) FILTER (WHERE sn > 0) AS told_suffixes FROM suffix0),
+moment_s AS (SELECT sum((sb - sn * crate) * (sb - sn * crate) - sn * crate * (1 - crate)) AS beyond, sum((sn - 1) * (sn * crate * (1 - crate))) AS per FROM suffix0, corpus WHERE told_suffixes > 1 AND sn > 0),
+level_s AS (SELECT CASE WHEN per > 0 THEN round(least(1000.0::DOUBLE, greatest(1.0::DOUBLE, CASE WHEN beyond / per > 0 THEN 1 / (beyond / per) - 1 ELSE 1000.0::DOUBLE END)), 6) ELSE 50.0::DOUBLE END AS ks FROM moment_s),
+suffixes AS (SELECT suffix, told_domains, (sb + ks * crate) / (sn + ks) AS srate FROM suffix0, corpus, level_s),
+domain1 AS (SELECT * FROM domain0 JOIN suffixes USING (suffix)),
+moment_d AS (SELECT sum((db - dn * srate) * (db - dn * srate) - dn * srate * (1 - srate)) AS beyond, sum((dn - 1) * (dn * srate * (1 - srate))) AS per FROM domain1 WHERE told_domains > 1 AND dn > 0),
+level_d AS (SELECT CASE WHEN per > 0 THEN round(least(1000.0::DOUBLE, greatest(1.0::DOUBLE, CASE WHEN beyond / per > 0 THEN 1 / (beyond / per) - 1 ELSE 1000.0::DOUBLE END)), 6) ELSE 20.0::DOUBLE END AS kd FROM moment_d),
+domains AS (SELECT domain, suffix, told_hosts, (db + kd * srate) / (dn + kd) AS drate FROM domain1, level_d),
+host1 AS (SELECT * FROM hosts JOIN domains USING (domain, suffix)),
+moment_h AS (SELECT sum((bad - n * drate) * (bad - n * drate) - n * drate * (1 - drate)) AS beyond, sum((n - 1) * (n * drate * (1 - drate))) AS per FROM host1 WHERE told_hosts > 1 AND n > 0),
+level_h AS (SELECT CASE WHEN per > 0 THEN round(least(1000.0::DOUBLE, greatest(1.0::DOUBLE, CASE WHEN beyond / per > 0 THEN 1 / (beyond / per) - 1 ELSE 1000.0::DOUBLE END)), 6) ELSE 10.0::DOUBLE END AS kh FROM moment_h),
+posterior AS (SELECT host, bad + kh * drate AS alpha, n - bad + kh * (1 - drate) AS beta FROM host1, level_h),
 bound AS (SELECT host, alpha / (alpha + beta) AS rate, alpha + beta AS total FROM posterior),
 known AS (SELECT host, rate, greatest(0.0::DOUBLE, rate - 1.6448536269514722::DOUBLE * sqrt(rate * (1 - rate) / (total + 1))) AS lower FROM bound),
 ruled AS (SELECT p.*, rate, lower,

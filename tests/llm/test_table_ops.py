@@ -263,7 +263,8 @@ def test_hosts_paths_and_rules(spark):
 
 def test_reputation_shrinks_towards_parents(spark):
     rows = [("a.one.com", 0, 0), ("b.one.com", 200, 180), ("x.two.com", 1, 1), ("y.two.com", 400, 4), ("z.net", 50, 0)]
-    found = {r.host: r for r in url_filters.reputation(spark.createDataFrame(rows, "host string, n long, bad long")).collect()}
+    outcomes = spark.createDataFrame(rows, "host string, n long, bad long")
+    found = {r.host: r for r in url_filters.reputation(outcomes, url_filters.STRENGTH).collect()}
     assert found["a.one.com"].domain == "one.com" and found["a.one.com"].suffix == "com"
     assert found["a.one.com"].rate > 0.5 > found["x.two.com"].rate > found["y.two.com"].rate
     assert all(0 <= r.lower <= r.rate <= 1 for r in found.values())
@@ -273,6 +274,39 @@ def test_reputation_shrinks_towards_parents(spark):
     assert found["b.one.com"].rate == pytest.approx((180 + 10 * domain) / (200 + 10))
 
 
+def test_strength_is_estimated_from_the_data(spark):
+    """Hosts drawn around their domain with 4 and with 200 pseudo-observations: the estimate tells them apart."""
+    r, found = np.random.default_rng(8), {}
+    for k in (4.0, 200.0):
+        rows = []
+        for d in range(60):
+            mean = 0.2 + 0.4 * (d % 2)
+            for h in range(20):
+                n = int(r.integers(5, 60))
+                rows.append((f"h{h}.d{d}.com", n, int(r.binomial(n, r.beta(k * mean, k * (1 - mean))))))
+        got = url_filters.reputation(spark.createDataFrame(rows, "host string, n long, bad long")).first()
+        found[k] = got.alpha + got.beta - got.n
+        assert k / 1.6 < found[k] < k * 1.6
+    alone = url_filters.reputation(spark.createDataFrame([("a.com", 9, 3)], "host string, n long, bad long")).first()
+    assert alone.alpha + alone.beta - alone.n == pytest.approx(url_filters.STRENGTH["host"])
+
+
+def test_addresses_and_labels_without_outcome(spark, tmp_path):
+    got = {r.host: (r.domain, r.suffix) for r in url_filters.reputation(spark.createDataFrame([("10.0.0.4", 1, 0), ("10.0.0.4:80", 1, 0), ("", 1, 0), ("localhost", 1, 0), ("a.co.uk", 1, 0)], "host string, n long, bad long")).collect()}
+    assert got == {"10.0.0.4": ("10.0.0.4", ""), "10.0.0.4:80": ("10.0.0.4", ""), "": ("", ""), "localhost": ("", "localhost"), "a.co.uk": ("a.co.uk", "co.uk")}
+    spark.createDataFrame([(k, f"http://h{k % 2}.com/") for k in range(40)], "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    labels = [(k, 1 if k % 2 else None, None, "x") for k in range(40)]
+    spark.createDataFrame(labels, "doc_id long, toxic int, quality int, page_id string").write.parquet(f"{tmp_path}/labels.parquet")
+    rows = queries.QUERIES["op10_host_reputation"](spark, str(tmp_path)).collect()
+    assert {r.verdict for r in rows if r.host == "h1.com"} == {"block"} and len(rows) == 40
+    con = duckdb.connect()
+    for name in ("pages", "labels"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    want = con.execute(queries.SQL["op10_host_reputation"])
+    names = [d[0] for d in want.description]
+    assert sorted(map(str, (tuple(r[n] for n in names) for r in rows))) == sorted(map(str, want.fetchall()))
+
+
 def test_quotes_are_linked_and_removed(spark):
     m = [
         (1, 0, "user", "How do I sort a table?\nIt is large."), (1, 1, "assistant", "> How do I sort a table?\n\nUse orderBy."),
