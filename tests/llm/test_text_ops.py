@@ -215,8 +215,70 @@ def test_tiff_round_trips():
 def test_tiff_known_packbits_and_lzw():
     packed = bytes([0xFE, 0xAA, 0x02, 0x80, 0x00, 0x2A, 0xFD, 0xAA, 0x03, 0x80, 0x00, 0x2A, 0x22, 0xF7, 0xAA])  # the example of the PackBits note
     plain = bytes.fromhex("AAAAAA80002AAAAAAAAA80002A22AAAAAAAAAAAAAAAAAAAA")
-    assert media_tiff.unpack_bits(packed) == plain and media_tiff.unpack_bits(media_tiff.pack_bits(plain)) == plain
-    assert media_tiff.unpack_lzw(bytes.fromhex("80 01 E0 40 80 44 08 0C 06 80 80".replace(" ", ""))) == bytes([7, 7, 7, 8, 8, 7, 7, 6, 6])  # codes of the specification's example
+    assert media_tiff.unpack_bits(packed, 99) == plain and media_tiff.unpack_bits(media_tiff.pack_bits(plain), 99) == plain
+    assert media_tiff.unpack_lzw(bytes.fromhex("80 01 E0 40 80 44 08 0C 06 80 80".replace(" ", "")), 99) == bytes([7, 7, 7, 8, 8, 7, 7, 6, 6])  # codes of the specification's example
+
+
+def test_packbits_round_trips():
+    r = np.random.default_rng(6)
+    for n in (0, 1, 2, 3, 127, 128, 129, 130, 300, 5_000):
+        for high in (2, 4, 200):
+            plain = r.integers(0, high, n).astype(np.uint8).tobytes()
+            assert media_tiff.unpack_bits(media_tiff.pack_bits(plain), n) == plain
+        plain = b"x" * n
+        assert media_tiff.unpack_bits(media_tiff.pack_bits(plain), n) == plain
+
+
+def test_tiff_kinds_of_samples():
+    r = np.random.default_rng(4)
+    for bits, kind in ((1, "u1"), (4, "u1"), (None, "u1"), (None, "u2"), (None, "u4"), (None, "i2"), (None, "f4"), (None, "f8")):
+        page = r.integers(0, 2 if bits == 1 else 16, (37, 29)).astype(kind)
+        for compression in media_tiff.PACK:
+            for tile in (None, (16, 16)):
+                for order in "<>":
+                    (got,) = media_tiff.pages(media_tiff.write_tiff([page], compression, 1, 10, tile, order, bits))
+                    assert got.samples.dtype == page.dtype and (got.samples[:, :, 0] == page).all()
+                    assert media_tiff.features(got.samples).startswith("29x37x1;min=")
+
+
+def test_broken_tiffs_give_error_rows(spark):
+    import struct
+
+    good = media_tiff.write_tiff([np.arange(64 * 40, dtype=np.uint16).reshape(40, 64) % 200], tile=(16, 16))
+
+    def changed(tag, value=None, kind=None, count=None):
+        """The file with a field of its directory changed, or without it."""
+        out = bytearray(good)
+        (at,) = struct.unpack_from("<I", out, 4)
+        (n,) = struct.unpack_from("<H", out, at)
+        for k in range(n):
+            place = at + 2 + 12 * k
+            found, was, many = struct.unpack_from("<HHI", out, place)
+            if found == tag:
+                struct.pack_into("<HHI", out, place, tag if value is not None or kind or count is not None else 60_000, kind or was, many if count is None else count)
+                if value is not None:
+                    struct.pack_into("<I", out, place + 8, value)
+        return bytes(out)
+
+    T = media_tiff
+    files = [
+        b"", b"II", b"II*\0\xff\xff\xff\xff", good[:-9], changed(T.TILE_WIDTH), changed(T.TILE_LENGTH), changed(T.TILE_BYTES), changed(T.WIDTH), changed(T.TILE_WIDTH, 0), changed(T.TILES, count=0),
+        changed(T.WIDTH, count=0), changed(T.WIDTH, 2**31, 4), changed(T.TILE_WIDTH, 2**31), changed(T.TILES, count=2**32 - 1), changed(T.TILE_BYTES, kind=5), changed(T.COMPRESSION, 7), changed(T.PREDICTOR, 3),
+        changed(T.BITS, 12), changed(T.COMPRESSION, T.LZW), changed(T.COMPRESSION, T.PACKBITS), changed(T.SAMPLES, 0), changed(T.WIDTH, 3, 11), changed(T.FORMAT, 9), changed(T.COMPRESSION, T.STORED),
+    ]
+    assert list(T.pages(good))
+    bomb = T.write_tiff([np.zeros((4, 4), np.uint8)])
+    raw = zlib.compress(bytes(50_000_000))
+    assert len(T._inflate(raw, 16)) == 16 and len(T.unpack_bits(b"\x81\x00" * 10_000, 16)) <= 128 and len(T.unpack_lzw(T.pack_lzw(bytes(100_000)), 16)) < 100
+    r = np.random.default_rng(9)
+    for _ in range(300):  # any bytes turned over
+        out = bytearray(good)
+        for at in r.integers(0, len(out), 3):
+            out[at] = r.integers(0, 256)
+        files.append(bytes(out))
+    rows = T.tiff_pages(spark.createDataFrame([(k, f) for k, f in enumerate([*files, good, bomb])], "doc_id long, media binary").repartition(4)).collect()
+    assert {r.doc_id for r in rows if r.error} >= set(range(1, 24)) and {r.doc_id for r in rows if r.error is None} >= {len(files), len(files) + 1}
+    assert all(Counter(r.doc_id for r in rows if r.error)[k] <= 1 for k in range(len(files)))
 
 
 def test_tiff_is_read_by_another_reader(spark, tmp_path):
@@ -237,6 +299,8 @@ def test_tiff_pages_table_and_digests(spark):
     assert {k: b"".join(v[p] for p in sorted(v)) for k, v in got.items()} == want
     for r in media_tiff.media_digests(table).where("doc_id is not null").collect():
         assert (r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(want[r.doc_id]), hashlib.sha256(want[r.doc_id]).hexdigest(), zlib.crc32(want[r.doc_id][-64:]))
+    forms = {(r.compression, r.tiled, bytes(r.media[:2])) for r in stored.join(media_tiff.tiff_pages(stored.where("doc_id is not null").dropDuplicates(["doc_id"])), "doc_id").collect()}
+    assert forms == {(c, tile is not None, b"II" if order == "<" else b"MM") for c, _, tile, order in media_tiff.FORMS}
     broken = spark.createDataFrame([(1, b"no tiff"), (2, None), (3, b""), (4, media_tiff.write_tiff(media_tiff.as_planes(bytes(64)))[:-9])], "doc_id long, media binary")
     assert sorted((r.doc_id, r.error is not None) for r in media_tiff.tiff_pages(broken).collect()) == [(1, True), (4, True)]
     assert media_tiff.media_digests(data.table(spark, [])).count() == 0
