@@ -1,8 +1,9 @@
 """Percentile bootstrap of unit means.
 
-Hash mode draws unit numbers by a hash of (seed, iteration, draw): every engine gives the same draws, the plan is a
-join of draws to units, and nothing is gathered in a task. Numpy mode runs one generator for each group and is for
-parity with published intervals; the units of one group must fit in a task.
+Hash mode draws unit numbers by a hash of (seed, iteration, draw): every engine gives the same draws. Groups of one
+size share their draws, so these are made once for each size and counted before they meet the units; the plan is that
+join and a sum. Numpy mode runs one generator for each group and is for parity with published intervals; the units of
+one group must fit in a task.
 """
 
 from __future__ import annotations
@@ -11,13 +12,14 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ordering import numbered_within
 
-def draw(seed: str, iteration: Column, k: Column, n: Column) -> Column:
-    """A number below n from the first 15 hexadecimal digits of a hash."""
-    text = F.concat_ws(":", F.lit(seed), iteration.cast("string"), k.cast("string"))
+
+def draw(text: Column, n: Column) -> Column:
+    """A number below n from the first 15 hexadecimal digits of a text's hash."""
     return F.pmod(F.conv(F.substring(F.sha2(text, 256), 1, 15), 16, 10).cast("long"), n)
 
 
@@ -25,18 +27,19 @@ def hash_bootstrap(units: DataFrame, group: Sequence[str], order: Sequence[str],
     """group, units, and for each value its mean and the 2.5 and 97.5 percentiles of resampled means.
 
     Units are numbered within their group (and stratum); resampling keeps the number of units of each stratum, so
-    strata weigh by their units. Rows drawn: iterations x units, each a pair of numbers.
+    strata weigh by their units. A null value is left out of the means. Joined rows: at most iterations x units.
     """
-    within = [*group, *([stratum] if stratum else [])]
-    numbered = units.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*within))).withColumn("_i", F.row_number().over(Window.partitionBy(*within).orderBy(*order)) - 1)
-    numbered = numbered.select(*within, "_n", "_i", *values)
-    key = F.lit(seed) if not stratum else F.concat_ws("/", F.lit(seed), F.col(stratum))
-    text = F.concat_ws(":", key, F.col("_it").cast("string"), F.col("_i").cast("string"))
-    drawn = numbered.select(*within, "_n", "_i", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1))).alias("_it"))
-    drawn = drawn.select(*within, "_it", F.pmod(F.conv(F.substring(F.sha2(text, 256), 1, 15), 16, 10).cast("long"), F.col("_n")).cast("int").alias("_i"))
-    means = drawn.join(numbered.drop("_n"), [*within, "_i"]).groupBy(*group, "_it").agg(*[F.avg(v).alias(v) for v in values])
-    bounds = means.groupBy(*group).agg(*[c for v in values for c in (F.round(F.percentile(v, 0.025), 9).alias(f"{v}_low"), F.round(F.percentile(v, 0.975), 9).alias(f"{v}_high"))])
-    point = units.groupBy(*group).agg(F.count(F.lit(1)).alias("units"), *[F.round(F.avg(v), 9).alias(f"{v}_mean") for v in values])
+    strata = [stratum] if stratum else []
+    numbered = numbered_within(units.select(*group, *strata, *[c for c in order if c not in (*group, *strata)], *values), [*group, *strata], order)
+    key = F.concat_ws("/", F.lit(seed), F.col(stratum)) if stratum else F.lit(seed)
+    rounds = numbered.select(*strata, "_n").distinct().select(*strata, "_n", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1))).alias("_it")).repartition("_n", "_it")
+    each = rounds.select(*strata, "_n", "_it", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)).alias("_draw"))
+    drawn = each.select(*strata, "_n", "_it", draw(F.concat_ws(":", key, F.col("_it").cast("string"), F.col("_draw").cast("string")), F.col("_n")).alias("_i"))
+    drawn = drawn.groupBy(*strata, "_n", "_it", "_i").agg(F.count(F.lit(1)).alias("_w"))
+    mean = lambda v: F.try_divide(F.sum(F.col("_w") * F.col(v)), F.sum(F.when(F.col(v).isNotNull(), F.col("_w"))).cast("double"))
+    means = numbered.join(drawn, [*strata, "_n", "_i"]).groupBy(*group, "_it").agg(*[mean(v).alias(v) for v in values])
+    bounds = means.groupBy(*group).agg(*[c for v in values for c in (F.percentile(v, 0.025).alias(f"{v}_low"), F.percentile(v, 0.975).alias(f"{v}_high"))])
+    point = units.groupBy(*group).agg(F.count(F.lit(1)).alias("units"), *[F.avg(v).alias(f"{v}_mean") for v in values])
     return point.join(bounds, list(group)) if group else point.crossJoin(bounds)  # one row each
 
 

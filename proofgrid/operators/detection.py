@@ -50,5 +50,5 @@ def auc(scores: DataFrame, keys: Sequence[str]) -> DataFrame:
     wins = at.withColumn("under", F.coalesce(F.sum("n0").over(below), F.lit(0)))
     return wins.groupBy(*keys).agg(
         F.sum("n1").alias("positives"), F.sum("n0").alias("negatives"),
-        F.round(F.try_divide(F.sum(F.col("n1") * (F.col("under") + F.col("n0") / 2.0)), F.sum("n1").cast("double") * F.sum("n0")), 9).alias("auc"),
+        F.try_divide(F.sum(F.col("n1") * (F.col("under") + F.col("n0") / 2.0)), F.sum("n1").cast("double") * F.sum("n0")).alias("auc"),
     )

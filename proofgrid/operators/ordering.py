@@ -2,22 +2,46 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """df as it is now, in the checkpoint folder: reading it twice gives the same rows in the same partitions."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="proofgrid-"))
+    return df.checkpoint()
+
+
 def numbered(rows: DataFrame, order: Sequence[str], name: str = "n", parts: int | None = None) -> DataFrame:
     """Rows with their 1-based number in a total order.
 
     Ranges of the order are sorted apart; each row's number within its range is added to the sizes of the ranges
-    before it. Only one count for each range meets in one place.
+    before it. Only one count for each range meets in one place. The ranges are cut at sampled places, so they are
+    written once, and both the sizes and the numbers are made of what was written.
     """
     parts = parts or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     columns = [F.col(c) for c in order]
-    ranged = rows.repartitionByRange(parts, *columns).withColumn("_part", F.spark_partition_id())
+    ranged = settled(rows.repartitionByRange(parts, *columns).withColumn("_part", F.spark_partition_id()))
     sizes = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_size"))
     before = sizes.withColumn("_before", F.coalesce(F.sum("_size").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_size")  # parts rows
     inside = F.row_number().over(Window.partitionBy("_part").orderBy(*columns))
     return ranged.withColumn("_inside", inside).join(F.broadcast(before), "_part").withColumn(name, (F.col("_before") + F.col("_inside")).cast("long")).drop("_part", "_inside", "_before")
+
+
+def numbered_within(rows: DataFrame, group: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """Rows with their 0-based number _i in the order within their group and the group's size _n; null keys are a group.
+
+    Rows get a number in the order of all groups; a group's first number is taken off. No group is sorted in one task.
+    """
+    placed = numbered(rows, [*group, *order], "_place")
+    sizes = placed.groupBy(*[F.col(c).alias(f"_k{k}") for k, c in enumerate(group)]).agg(F.min("_place").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    same = [F.col(c).eqNullSafe(F.col(f"_k{k}")) for k, c in enumerate(group)]
+    joined = placed.join(sizes, same) if group else placed.crossJoin(F.broadcast(sizes))  # sizes is one row
+    return joined.withColumn("_i", F.col("_place") - F.col("_first")).drop("_place", "_first", *[f"_k{k}" for k in range(len(group))])

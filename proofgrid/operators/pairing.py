@@ -30,11 +30,11 @@ def transitions(recovered_reference: str = "reference_complete_recovery", recove
     return [F.count_if(~r & o).alias("rescued"), F.count_if(r & ~o).alias("regressed"), F.count_if(r & o).alias("both_recovered"), F.count_if(~r & ~o).alias("both_failed")]
 
 
-def gains(metrics: Sequence[str], scale: float = 1.0, digits: int = 9) -> list[Column]:
+def gains(metrics: Sequence[str], scale: float = 1.0) -> list[Column]:
     """Mean of other minus reference for each metric."""
-    return [F.round(F.avg((F.col(f"other_{m}") - F.col(f"reference_{m}")) * scale), digits).alias(f"{m}_gain") for m in metrics]
+    return [F.avg((F.col(f"other_{m}") - F.col(f"reference_{m}")) * scale).alias(f"{m}_gain") for m in metrics]
 
 
 def wide(facts: DataFrame, key: Sequence[str], by: str, values: Sequence[str], metrics: Sequence[str]) -> DataFrame:
     """One row for each key with a column value_metric for each listed value: a pivot without a scan for the values."""
-    return facts.groupBy(*key).agg(*[F.round(F.avg(F.when(F.col(by) == v, F.col(m))), 9).alias(f"{v}_{m}") for v in values for m in metrics])
+    return facts.groupBy(*key).agg(*[F.avg(F.when(F.col(by) == v, F.col(m))).alias(f"{v}_{m}") for v in values for m in metrics])

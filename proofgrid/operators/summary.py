@@ -14,10 +14,10 @@ def finite(column: str | Column) -> Column:
     return F.when(~F.isnan(c.cast("double")), c.cast("double"))
 
 
-def moments(metrics: Sequence[str], sample: bool = True, digits: int = 9) -> list[Column]:
+def moments(metrics: Sequence[str], sample: bool = True) -> list[Column]:
     """Mean and standard deviation of each metric, nulls skipped; the deviation of one row is null for a sample."""
     std = F.stddev_samp if sample else F.stddev_pop
-    return [c for m in metrics for c in (F.round(F.avg(finite(m)), digits).alias(f"{m}_mean"), F.round(std(finite(m)), digits).alias(f"{m}_std"))]
+    return [c for m in metrics for c in (F.avg(finite(m)).alias(f"{m}_mean"), std(finite(m)).alias(f"{m}_std"))]
 
 
 def summarize(facts: DataFrame, keys: Sequence[str], metrics: Sequence[str]) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import audit
 from ..operators.pairing import gains, paired, transitions, wide
 from ..operators.summary import last_of
-from .registry import register
+from .registry import register, rounded
 from .standins import ATTACKS_SQL, MANIFEST_SQL, RECORDS_SQL, RUNS_SQL, attacks, manifest, records, runs, table
 
 _KEY = ["dataset", "image_id", "attack"]
@@ -58,7 +58,7 @@ def paired_comparison_loose(spark, sf_dir):
     """Cells without a partner are left out, as an inner join would."""
     last = last_of(runs(spark, sf_dir), ["method", "unit", "attack"], ["event_id"])
     cells = paired(last, "method", "hard", "soft", ["unit", "attack"], ["value"], complete=False)
-    return cells.groupBy("attack").agg(F.count(F.lit(1)).alias("pairs"), *gains(["value"]))
+    return rounded(cells.groupBy("attack").agg(F.count(F.lit(1)).alias("pairs"), *gains(["value"])))
 
 
 @register("lineitem_paired_bench", """WITH u AS (SELECT l_suppkey AS unit, l_returnflag AS attack, l_linestatus AS model, avg(l_quantity) AS q, avg(l_discount) AS d FROM lineitem GROUP BY ALL),
@@ -67,7 +67,7 @@ def paired_comparison_loose(spark, sf_dir):
 def lineitem_paired_bench(spark, sf_dir):
     """Many facts: cells are averaged before they are paired, so that one shuffle of averages remains."""
     units = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("unit"), F.col("l_returnflag").alias("attack"), F.col("l_linestatus").alias("model")).agg(F.avg("l_quantity").alias("quantity"), F.avg("l_discount").alias("discount"))
-    return paired(units, "model", "F", "O", ["unit", "attack"], ["quantity", "discount"], complete=False).groupBy("attack").agg(F.count(F.lit(1)).alias("pairs"), *gains(["quantity", "discount"], digits=6))
+    return rounded(paired(units, "model", "F", "O", ["unit", "attack"], ["quantity", "discount"], complete=False).groupBy("attack").agg(F.count(F.lit(1)).alias("pairs"), *gains(["quantity", "discount"])), 6)
 
 
 @register("four_key_decoder_pairs", """WITH d AS (SELECT o_custkey % 50 AS image, o_orderstatus AS scenario, o_orderpriority AS attack, CASE WHEN o_orderkey % 2 = 0 THEN 'adaptive' ELSE 'official' END AS decoder, avg(o_totalprice) AS score FROM orders GROUP BY ALL),
@@ -75,7 +75,7 @@ def lineitem_paired_bench(spark, sf_dir):
   SELECT scenario, attack, count(*) AS pairs, round(avg(b - a), 3) AS score_gain FROM p GROUP BY scenario, attack""")
 def four_key_decoder_pairs(spark, sf_dir):
     d = table(spark, sf_dir, "orders").groupBy((F.col("o_custkey") % 50).alias("image"), F.col("o_orderstatus").alias("scenario"), F.col("o_orderpriority").alias("attack"), F.when(F.col("o_orderkey") % 2 == 0, "adaptive").otherwise("official").alias("decoder")).agg(F.avg("o_totalprice").alias("score"))
-    return paired(d, "decoder", "official", "adaptive", ["image", "scenario", "attack"], ["score"], complete=False).groupBy("scenario", "attack").agg(F.count(F.lit(1)).alias("pairs"), *gains(["score"], digits=3))
+    return rounded(paired(d, "decoder", "official", "adaptive", ["image", "scenario", "attack"], ["score"], complete=False).groupBy("scenario", "attack").agg(F.count(F.lit(1)).alias("pairs"), *gains(["score"])), 3)
 
 
 @register("variant_pivot_complete", f"""WITH {RECORDS_SQL} SELECT dataset, image_id, attack, max(bit_accuracy) FILTER (WHERE model = 'base') AS base_bit_accuracy, max(bit_accuracy) FILTER (WHERE model = 'repeat2') AS repeat2_bit_accuracy FROM records GROUP BY ALL""")
@@ -102,7 +102,7 @@ def three_way_contrast(spark, sf_dir):
   round(avg(complete_recovery) FILTER (WHERE model = 'repeat2'), 9) AS repeat2_complete_recovery, round(avg(bit_accuracy) FILTER (WHERE model = 'repeat2') - avg(bit_accuracy) FILTER (WHERE model = 'base'), 6) AS difference FROM records GROUP BY attack""")
 def model_pivot_by_attack(spark, sf_dir):
     out = wide(records(spark, sf_dir), ["attack"], "model", ["base", "repeat2"], ["bit_accuracy", "complete_recovery"])
-    return out.withColumn("difference", F.round(F.col("repeat2_bit_accuracy") - F.col("base_bit_accuracy"), 6))
+    return rounded(out.withColumn("difference", F.round(F.col("repeat2_bit_accuracy") - F.col("base_bit_accuracy"), 6)))
 
 
 @register("enriched_pairs", f"""WITH {RECORDS_SQL}, {_PAIR_SQL}, o AS (SELECT avg(br) AS b0, avg(bo) AS b1 FROM pairs), d AS (SELECT dataset, avg(br) AS d0, avg(bo) AS d1 FROM pairs GROUP BY dataset)
@@ -209,14 +209,14 @@ def stop_reason_audit(spark, sf_dir):
     return _pairs(spark, sf_dir).groupBy(reason.alias("stop_reason")).agg(F.count(F.lit(1)).alias("n_rows"), F.round(F.avg(F.col("other_decode_ms") / 20), 6).alias("mean_candidates"), F.round(100 * F.avg("other_complete_recovery"), 6).alias("recovery_pct"), *transitions()[:2])
 
 
-@register("shard_rows", """WITH n AS (SELECT doc_id, row_number() OVER (ORDER BY source, doc_id) AS i FROM documents) SELECT doc_id, i AS sample_index, (i - 1) % 4 AS shard FROM n WHERE i <= least(1000000, (SELECT count(*) FROM documents)) AND (i - 1) % 4 = 2""")
+@register("shard_rows", """WITH n AS (SELECT doc_id, row_number() OVER (ORDER BY source, doc_id) AS i FROM documents) SELECT doc_id, i AS sample_index, (i - 1) % 4 AS shard FROM n""")
 def shard_rows(spark, sf_dir):
-    """One of four shards of the samples in file order, by 1-based number. The number comes from sorted ranges and their
+    """The samples in file order with their 1-based number, dealt in turn to four shards. The number comes from sorted ranges and their
     sizes, not from one window over all rows."""
     from ..operators.ordering import numbered
 
     docs = numbered(table(spark, sf_dir, "documents").select("source", "doc_id"), ["source", "doc_id"], "sample_index")
-    return docs.select("doc_id", "sample_index", F.pmod(F.col("sample_index") - 1, F.lit(4)).alias("shard")).where("shard = 2")
+    return docs.select("doc_id", "sample_index", F.pmod(F.col("sample_index") - 1, F.lit(4)).alias("shard"))
 
 
 @register("historical_exclusion", """SELECT doc_id FROM documents d WHERE source <> 'src0' AND NOT EXISTS (SELECT 1 FROM documents h WHERE h.source = 'src0' AND sha256(coalesce(h.text, '')) = sha256(coalesce(d.text, '')))""")

@@ -1,4 +1,4 @@
-"""Detection, bootstrap and policy queries."""
+"""Detection, bootstrap and policy queries."""
 
 from __future__ import annotations
 
@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 from ..operators.bootstrap import hash_bootstrap, numpy_bootstrap
 from ..operators.detection import auc, score_counts, tie_safe_threshold, wilson
 from ..operators.pairing import paired
-from ..operators.policy import CANDIDATES, Policy, full_decision, replay, select_policy, visit_order
+from ..operators.policy import CANDIDATES, Policy, full_decision, grid_scores, replay, replay_grid, select_policy
 from ..operators.summary import unit_means
-from .registry import register
-from .standins import DETECTIONS_SQL, RECORDS_SQL, RUNS_SQL, detections, records, runs, table
+from .registry import register, rounded
+from .standins import DETECTIONS_SQL, METRICS, RECORDS_SQL, RUNS_SQL, attacks, detections, records, runs, table
 
 _TARGET = 0.05
 _THRESHOLD_SQL = f"""negative AS (SELECT dataset, detection_score AS score, count(*) AS n0 FROM detections WHERE label = 0 AND split = 'calibration' GROUP BY ALL),
@@ -27,7 +27,7 @@ def detection_threshold_tie_safe(spark, sf_dir):
   w AS (SELECT *, coalesce(sum(n0) OVER (PARTITION BY dataset ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS under FROM ties)
   SELECT dataset, sum(n1)::BIGINT AS positives, sum(n0)::BIGINT AS negatives, round(sum(n1 * (under + n0 / 2.0::DOUBLE)) / nullif(sum(n1)::DOUBLE * sum(n0), 0), 9) AS auc FROM w GROUP BY dataset""")
 def detection_auc(spark, sf_dir):
-    return auc(detections(spark, sf_dir), ["dataset"])
+    return rounded(auc(detections(spark, sf_dir), ["dataset"]))
 
 
 _Z = "1.959963984540054::DOUBLE"
@@ -79,23 +79,24 @@ def fp_any_by_image(spark, sf_dir):
 def _boot_sql(units: str, group: str, order: str, values: list[str], iterations: int, seed: str, stratum: str | None = None) -> str:
     """The hash bootstrap in SQL over a table expression units."""
     within = ", ".join(x for x in (group, stratum) if x)
+    shared = f"{stratum}, n" if stratum else "n"
     seed_text = f"'{seed}'" if not stratum else f"'{seed}' || '/' || {stratum}"
-    means = ", ".join(f"avg({v}) AS {v}" for v in values)
+    means = ", ".join(f"sum(w * {v}) / sum(w) FILTER (WHERE {v} IS NOT NULL) AS {v}" for v in values)
     bounds = ", ".join(f"round(quantile_cont({v}, 0.025), 9) AS {v}_low, round(quantile_cont({v}, 0.975), 9) AS {v}_high" for v in values)
     point = ", ".join(f"round(avg({v}), 9) AS {v}_mean" for v in values)
-    hexa = f"('0x' || substr(sha256({seed_text} || ':' || it::VARCHAR || ':' || i::VARCHAR), 1, 15))::BIGINT"
+    hexa = f"('0x' || substr(sha256({seed_text} || ':' || it::VARCHAR || ':' || k::VARCHAR), 1, 15))::BIGINT"
     return f"""u AS ({units}), numbered AS (SELECT *, count(*) OVER (PARTITION BY {within}) AS n, row_number() OVER (PARTITION BY {within} ORDER BY {order}) - 1 AS i FROM u),
-  drawn AS (SELECT {within}, it, {hexa} % n AS i FROM numbered CROSS JOIN range(0, {iterations}) r(it)),
-  means AS (SELECT {group}, it, {means} FROM drawn JOIN numbered USING ({within}, i) GROUP BY {group}, it),
+  drawn AS (SELECT {shared}, it, i, count(*) AS w FROM (SELECT {shared}, it, {hexa} % n AS i FROM (SELECT DISTINCT {shared} FROM numbered) CROSS JOIN range(0, {iterations}) r(it) CROSS JOIN LATERAL (SELECT unnest(range(0, n)) AS k) d) GROUP BY ALL),
+  means AS (SELECT {group}, it, {means} FROM drawn JOIN numbered USING ({shared}, i) GROUP BY {group}, it),
   point AS (SELECT {group}, count(*) AS units, {point} FROM u GROUP BY {group}), bounds AS (SELECT {group}, {bounds} FROM means GROUP BY {group}) SELECT * FROM point JOIN bounds USING ({group})"""
 
 
-@register("bootstrap_mean_hash", f"WITH {RUNS_SQL}, " + _boot_sql("SELECT method, unit, avg(value) AS value FROM runs GROUP BY ALL", "method", "unit", ["value"], 200, "mean"))
+@register("bootstrap_mean_hash", f"WITH {RUNS_SQL}, " + _boot_sql("SELECT method, unit, avg(value) AS value FROM runs GROUP BY ALL", "method", "unit", ["value"], 1000, "mean"))
 def bootstrap_mean_hash(spark, sf_dir):
-    return hash_bootstrap(unit_means(runs(spark, sf_dir), ["method", "unit"], ["value"]), ["method"], ["unit"], ["value"], 200, "mean")
+    return rounded(hash_bootstrap(unit_means(runs(spark, sf_dir), ["method", "unit"], ["value"]), ["method"], ["unit"], ["value"], 1000, "mean"))
 
 
-_SCOPES_SQL = """scoped AS (SELECT model, 'overall' AS scope, * EXCLUDE (model) FROM records UNION ALL SELECT model, 'dataset:' || dataset, * EXCLUDE (model) FROM records UNION ALL SELECT model, 'category:' || category, * EXCLUDE (model) FROM records UNION ALL SELECT model, 'attack:' || attack, * EXCLUDE (model) FROM records)"""
+_SCOPES = "SELECT {key}'overall' AS scope, * {less} FROM {facts} UNION ALL SELECT {key}'dataset:' || dataset, * {less} FROM {facts} UNION ALL SELECT {key}'category:' || category, * {less} FROM {facts} UNION ALL SELECT {key}'attack:' || attack, * {less} FROM {facts}"
 
 
 def _scoped(facts):
@@ -104,132 +105,228 @@ def _scoped(facts):
     return facts.withColumn("scope", F.explode(F.array(F.lit("overall"), *tagged)))
 
 
-@register("bootstrap_model_summary", f"WITH {RECORDS_SQL}, {_SCOPES_SQL}, " + _boot_sql("SELECT model || '/' || scope AS cell, dataset, image_id, avg(bit_accuracy) AS bit_accuracy, avg(complete_recovery) AS complete_recovery, avg(decode_ms) AS decode_ms FROM scoped GROUP BY ALL", "cell", "dataset, image_id", ["bit_accuracy", "complete_recovery", "decode_ms"], 20, "model"))
+_MEANS = ", ".join(f"avg({m}) AS {m}" for m in METRICS)
+
+
+@register("bootstrap_model_summary", f"WITH {RECORDS_SQL}, scoped AS ({_SCOPES.format(key='model, ', less='EXCLUDE (model)', facts='records')}), " + _boot_sql(f"SELECT model || '/' || scope AS cell, dataset, image_id, {_MEANS} FROM scoped GROUP BY model, scope, dataset, image_id", "cell", "dataset, image_id", METRICS, 1000, "model"))
 def bootstrap_model_summary(spark, sf_dir):
     """model x scope (overall, dataset, category, attack) on image units; metrics are columns, so each draw serves all."""
-    metrics = ["bit_accuracy", "complete_recovery", "decode_ms"]
     facts = _scoped(records(spark, sf_dir)).withColumn("cell", F.concat_ws("/", "model", "scope"))
-    return hash_bootstrap(unit_means(facts, ["cell", "dataset", "image_id"], metrics), ["cell"], ["dataset", "image_id"], metrics, 20, "model")
+    return rounded(hash_bootstrap(unit_means(facts, ["cell", "dataset", "image_id"], METRICS), ["cell"], ["dataset", "image_id"], METRICS, 1000, "model"))
 
 
-_GAIN_SQL = "gained AS (SELECT dataset, image_id, attack, max(category) AS category, max(bit_accuracy) FILTER (WHERE model = 'repeat2') - max(bit_accuracy) FILTER (WHERE model = 'base') AS bit_gain, max(complete_recovery) FILTER (WHERE model = 'repeat2') - max(complete_recovery) FILTER (WHERE model = 'base') AS recovery_gain FROM records GROUP BY dataset, image_id, attack)"
+_GAIN_SQL = "gained AS (SELECT dataset, image_id, attack, max(category) AS category, " + ", ".join(f"max({m}) FILTER (WHERE model = 'repeat2') - max({m}) FILTER (WHERE model = 'base') AS {m}" for m in METRICS) + " FROM records GROUP BY dataset, image_id, attack)"
 
 
 def _gained(spark, sf_dir):
-    cells = paired(records(spark, sf_dir), "model", "base", "repeat2", ["dataset", "image_id", "attack"], ["bit_accuracy", "complete_recovery"])
-    return cells.select("dataset", "image_id", "attack", (F.col("other_bit_accuracy") - F.col("reference_bit_accuracy")).alias("bit_gain"), (F.col("other_complete_recovery") - F.col("reference_complete_recovery")).alias("recovery_gain"))
+    """The gain of repeat2 over base in every metric, for each cell."""
+    cells = paired(records(spark, sf_dir), "model", "base", "repeat2", ["dataset", "image_id", "attack"], METRICS)
+    named = cells.join(F.broadcast(attacks(spark).select("attack", "category")), "attack")  # the protocol: a fixed few rows
+    return named.select("dataset", "image_id", "attack", "category", *[(F.col(f"other_{m}") - F.col(f"reference_{m}")).alias(m) for m in METRICS])
 
 
-@register("paired_bootstrap_hash", f"WITH {RECORDS_SQL}, {_GAIN_SQL}, " + _boot_sql("SELECT dataset, image_id, avg(bit_gain) AS bit_gain, avg(recovery_gain) AS recovery_gain FROM gained GROUP BY ALL", "dataset", "image_id", ["bit_gain", "recovery_gain"], 100, "paired"))
+@register("paired_bootstrap_hash", f"WITH {RECORDS_SQL}, {_GAIN_SQL}, scoped AS ({_SCOPES.format(key='', less='', facts='gained')}), " + _boot_sql(f"SELECT scope, dataset, image_id, {_MEANS} FROM scoped GROUP BY scope, dataset, image_id", "scope", "dataset, image_id", METRICS, 1000, "paired"))
 def paired_bootstrap_hash(spark, sf_dir):
-    units = unit_means(_gained(spark, sf_dir), ["dataset", "image_id"], ["bit_gain", "recovery_gain"])
-    return hash_bootstrap(units, ["dataset"], ["image_id"], ["bit_gain", "recovery_gain"], 100, "paired")
+    """Gains in all metrics by scope, on image units."""
+    units = unit_means(_scoped(_gained(spark, sf_dir)), ["scope", "dataset", "image_id"], METRICS)
+    return rounded(hash_bootstrap(units, ["scope"], ["dataset", "image_id"], METRICS, 1000, "paired"))
 
 
-@register("stratified_bootstrap_hash", f"WITH {RECORDS_SQL}, {_GAIN_SQL}, " + _boot_sql("SELECT 'all' AS scope, dataset, image_id, avg(recovery_gain) * 100 AS gain_pp FROM gained GROUP BY ALL", "scope", "image_id", ["gain_pp"], 100, "strata", "dataset"))
+@register("stratified_bootstrap_hash", f"WITH {RECORDS_SQL}, {_GAIN_SQL}, " + _boot_sql("SELECT 'all' AS scope, dataset, image_id, avg(complete_recovery) * 100 AS gain_pp FROM gained GROUP BY ALL", "scope", "image_id", ["gain_pp"], 2000, "strata", "dataset"))
 def stratified_bootstrap_hash(spark, sf_dir):
     """Percentage points with draws within each dataset; datasets weigh by their images."""
-    units = _gained(spark, sf_dir).groupBy(F.lit("all").alias("scope"), "dataset", "image_id").agg((F.avg("recovery_gain") * 100).alias("gain_pp"))
-    return hash_bootstrap(units, ["scope"], ["image_id"], ["gain_pp"], 100, "strata", "dataset")
+    units = _gained(spark, sf_dir).groupBy(F.lit("all").alias("scope"), "dataset", "image_id").agg((F.avg("complete_recovery") * 100).alias("gain_pp"))
+    return rounded(hash_bootstrap(units, ["scope"], ["image_id"], ["gain_pp"], 2000, "strata", "dataset"))
+
+
+@register("leave_one_out_intervals", f"WITH {RECORDS_SQL}, {_GAIN_SQL}, " + _boot_sql("SELECT x.attack AS excluded, dataset, image_id, avg(complete_recovery) * 100 AS gain_pp FROM gained g JOIN (SELECT DISTINCT attack FROM gained) x ON x.attack <> g.attack GROUP BY ALL", "excluded", "image_id", ["gain_pp"], 2000, "loo", "dataset"))
+def leave_one_out_intervals(spark, sf_dir):
+    """The stratified interval without each attack: an image's sums less those of the attack left out, so no row is repeated for each exclusion."""
+    each = _gained(spark, sf_dir).groupBy("dataset", "image_id", "attack").agg(F.sum("complete_recovery").alias("gain"), F.count("complete_recovery").alias("n"))
+    image = each.groupBy("dataset", "image_id").agg(F.sum("gain").alias("all_gain"), F.sum("n").alias("all_n"), F.collect_list(F.struct("attack", "gain", "n")).alias("attacks"))  # as many as the protocol
+    units = image.select("dataset", "image_id", "all_gain", "all_n", F.explode("attacks").alias("a")).where("all_n > a.n")
+    units = units.select(F.col("a.attack").alias("excluded"), "dataset", "image_id", ((F.col("all_gain") - F.col("a.gain")) / (F.col("all_n") - F.col("a.n")) * 100).alias("gain_pp"))
+    return rounded(hash_bootstrap(units, ["excluded"], ["image_id"], ["gain_pp"], 2000, "loo", "dataset"))
 
 
-@register("decoder_contrast_bootstrap", f"WITH {RUNS_SQL}, " + _boot_sql("SELECT attack, unit, avg(value) FILTER (WHERE method = 'soft') - avg(value) FILTER (WHERE method = 'hard') AS gain FROM runs GROUP BY attack, unit HAVING count(DISTINCT method) = 2", "attack", "unit", ["gain"], 50, "decoder").replace("SELECT * FROM point", "SELECT *, gain_low > 0 AS better FROM point"))
+_DECODED = "SELECT attack, unit, avg(value) FILTER (WHERE method = 'soft') - avg(value) FILTER (WHERE method = 'hard') AS value, avg(k) FILTER (WHERE method = 'hard') - avg(k) FILTER (WHERE method = 'soft') AS k_saved FROM runs GROUP BY attack, unit HAVING count(DISTINCT method) = 2"
+
+
+@register("decoder_contrast_bootstrap", f"WITH {RUNS_SQL}, " + _boot_sql(_DECODED, "attack", "unit", ["value", "k_saved"], 2000, "decoder").replace("SELECT * FROM point", "SELECT *, value_low > 0 AS value_better, k_saved_low > 0 AS k_saved_better FROM point"))
 def decoder_contrast_bootstrap(spark, sf_dir):
-    """Soft minus hard decoder by condition; a contrast is better if its interval lies above 0."""
-    units = runs(spark, sf_dir).groupBy("attack", "unit").agg(F.avg(F.when(F.col("method") == "soft", F.col("value"))).alias("s"), F.avg(F.when(F.col("method") == "hard", F.col("value"))).alias("h")).where("s is not null and h is not null")
-    out = hash_bootstrap(units.select("attack", "unit", (F.col("s") - F.col("h")).alias("gain")), ["attack"], ["unit"], ["gain"], 50, "decoder")
-    return out.withColumn("better", F.col("gain_low") > 0)
+    """Soft against hard decoder by condition: value, of which more is better, and k, of which less is (so its sign is turned). A contrast is better if its interval lies above 0."""
+    side = lambda method, c: F.avg(F.when(F.col("method") == method, F.col(c)))
+    units = runs(spark, sf_dir).groupBy("attack", "unit").agg((side("soft", "value") - side("hard", "value")).alias("value"), (side("hard", "k") - side("soft", "k")).alias("k_saved"), F.count_distinct("method").alias("methods")).where("methods = 2")
+    out = rounded(hash_bootstrap(units.select("attack", "unit", "value", "k_saved"), ["attack"], ["unit"], ["value", "k_saved"], 2000, "decoder"))
+    return out.withColumn("value_better", F.col("value_low") > 0).withColumn("k_saved_better", F.col("k_saved_low") > 0)
 
 
 @register("bootstrap_numpy_parity")
 def bootstrap_numpy_parity(spark, sf_dir):
-    """The published arithmetic: a fresh numpy generator for each group, strata in order, blocks of 128."""
-    units = unit_means(_gained(spark, sf_dir), ["dataset", "image_id"], ["recovery_gain"])
-    plain = numpy_bootstrap(units, ["dataset"], ["image_id"], "recovery_gain", 1000, 2026)
-    strata = numpy_bootstrap(units.withColumn("scope", F.lit("all")), ["scope"], ["dataset", "image_id"], "recovery_gain", 1000, 2026, "dataset")
+    """The published arithmetic: a fresh numpy generator for each group, strata in order, blocks of 128. Tests compare it with numpy."""
+    units = unit_means(_gained(spark, sf_dir), ["dataset", "image_id"], ["complete_recovery"])
+    plain = numpy_bootstrap(units, ["dataset"], ["image_id"], "complete_recovery", 1000, 2026)
+    strata = numpy_bootstrap(units.withColumn("scope", F.lit("all")), ["scope"], ["dataset", "image_id"], "complete_recovery", 2000, 2026, "dataset")
     return plain.withColumnRenamed("dataset", "scope").unionByName(strata)
 
 
-@register("acceptance_criteria", f"WITH {RECORDS_SQL}, {_GAIN_SQL}, boot AS (WITH " + _boot_sql("SELECT dataset, image_id, avg(recovery_gain) * 100 AS gain FROM gained GROUP BY ALL", "dataset", "image_id", ["gain"], 50, "accept") + ") SELECT dataset, gain_mean, gain_low, gain_high, gain_mean >= 0 AS point_target, gain_low >= -2 AS non_inferior, round(gain_mean - gain_low, 6) AS error_low, round(gain_high - gain_mean, 6) AS error_high FROM boot")
+_FAMILIES = "SELECT 'overall' AS scope, * FROM gained UNION ALL SELECT 'family:' || category, * FROM gained UNION ALL SELECT 'dataset:' || dataset, * FROM gained"
+
+
+@register("acceptance_criteria", f"WITH {RECORDS_SQL}, {_GAIN_SQL}, scoped AS ({_FAMILIES}), changed AS (SELECT scope, count(*) AS pairs, count(*) FILTER (WHERE complete_recovery > 0) AS rescued, count(*) FILTER (WHERE complete_recovery < 0) AS regressed FROM scoped GROUP BY scope), boot AS (WITH " + _boot_sql("SELECT scope, dataset, image_id, avg(complete_recovery) * 100 AS gain FROM scoped GROUP BY ALL", "scope", "image_id", ["gain"], 2000, "accept", "dataset") + ") SELECT scope, units, pairs, rescued, regressed, gain_mean, gain_low, gain_high, gain_mean >= 0 AS point_target, gain_low >= -2 AS non_inferior, round(gain_mean - gain_low, 6) AS error_low, round(gain_high - gain_mean, 6) AS error_high FROM boot JOIN changed USING (scope)")
 def acceptance_criteria(spark, sf_dir):
-    """Point target, non-inferiority by the lower bound, and the uneven error bars of a plot."""
-    units = _gained(spark, sf_dir).groupBy("dataset", "image_id").agg((F.avg("recovery_gain") * 100).alias("gain"))
-    b = hash_bootstrap(units, ["dataset"], ["image_id"], ["gain"], 50, "accept")
-    return b.select("dataset", "gain_mean", "gain_low", "gain_high", (F.col("gain_mean") >= 0).alias("point_target"), (F.col("gain_low") >= -2).alias("non_inferior"), F.round(F.col("gain_mean") - F.col("gain_low"), 6).alias("error_low"), F.round(F.col("gain_high") - F.col("gain_mean"), 6).alias("error_high"))
+    """Overall, by family and by dataset: how pairs changed, point target, non-inferiority by the lower bound of the
+    stratified interval, and the uneven error bars of a plot."""
+    tagged = F.array(F.lit("overall"), F.concat(F.lit("family:"), "category"), F.concat(F.lit("dataset:"), "dataset"))
+    facts = _gained(spark, sf_dir).select(F.explode(tagged).alias("scope"), "dataset", "image_id", "complete_recovery")
+    changed = facts.groupBy("scope").agg(F.count(F.lit(1)).alias("pairs"), F.count_if(F.col("complete_recovery") > 0).alias("rescued"), F.count_if(F.col("complete_recovery") < 0).alias("regressed"))
+    units = facts.groupBy("scope", "dataset", "image_id").agg((F.avg("complete_recovery") * 100).alias("gain"))
+    b = rounded(hash_bootstrap(units, ["scope"], ["image_id"], ["gain"], 2000, "accept", "dataset")).join(changed, "scope")
+    return b.select("scope", "units", "pairs", "rescued", "regressed", "gain_mean", "gain_low", "gain_high", (F.col("gain_mean") >= 0).alias("point_target"), (F.col("gain_low") >= -2).alias("non_inferior"), F.round(F.col("gain_mean") - F.col("gain_low"), 6).alias("error_low"), F.round(F.col("gain_high") - F.col("gain_mean"), 6).alias("error_high"))
 
 
 # --- candidate searches
 
 
 def traces(spark, sf_dir):
-    """Ten candidates for each embedding: coordinates stand for a candidate's evidence."""
+    """Ten candidates for each embedding: coordinates stand for a candidate's evidence, the signs of eight for the message.
+
+    Every fourth embedding is a negative. border is the evidence that opens the gate of the oldest method.
+    """
+    logits = "transform(sequence(0, 7), i -> 0.5D + e[i] + 0.4D * e[({k} * 8 + 8 + i) % 64])"
+    expected = "transform(sequence(0, 7), i -> int(e[i] > 0))"
     parts = [
-        f"named_struct('name', '{name}', 'ord', {k}, 'score', round(abs(e[{k}]) * 2, 6), 'fraction', round(abs(e[{k + 10}]), 6), 'agreement', round(1 - abs(e[{k + 20}]) / 4, 6), 'min_margin', round(abs(e[{k + 30}]) * 5, 6), 'recovered', int(abs(e[{k}]) > 0.15), 'logits', transform(sequence(0, 7), i -> 0.5D + e[({k} * 8 + i) % 64]))"
+        f"named_struct('name', '{name}', 'ord', {k}, 'score', round(abs(e[{k}]) * 2, 6), 'fraction', round(abs(e[{k + 10}]) * 1.9D, 6), 'agreement', round(1 - abs(e[{k + 20}]) / 2, 6), 'min_margin', round(abs(e[{k + 30}]) * 12, 6),"
+        f" 'recovered', int(transform({logits.format(k=k)}, x -> int(x > 0.5D)) = {expected}), 'logits', {logits.format(k=k)})"
         for k, name in enumerate(CANDIDATES)
     ]
-    return table(spark, sf_dir, "embeddings").select("vec_id", F.concat(F.lit("ds"), (F.col("label") % 4).cast("string")).alias("dataset"), F.expr("transform(embedding, x -> double(x))").alias("e")).select("vec_id", "dataset", F.expr("array(" + ", ".join(parts) + ")").alias("candidates"))
+    e = F.expr("transform(embedding, x -> double(x))").alias("e")
+    seen = table(spark, sf_dir, "embeddings").select("vec_id", F.concat(F.lit("ds"), (F.col("label") % 4).cast("string")).alias("dataset"), (F.col("vec_id") % 4 != 0).alias("positive"), e)
+    return seen.select("vec_id", "dataset", "positive", F.expr("round(abs(e[50]) / 4, 6)").alias("border"), F.expr(expected).alias("expected"), F.expr("array(" + ", ".join(parts) + ")").alias("candidates"))
 
 
-_TRACES_SQL = "traces AS (SELECT vec_id, 'ds' || (label % 4)::VARCHAR AS dataset, [" + ", ".join(
-    f"{{'name': '{name}', 'ord': {k}, 'score': round(abs(e[{k + 1}]) * 2, 6), 'fraction': round(abs(e[{k + 11}]), 6), 'agreement': round(1 - abs(e[{k + 21}]) / 4, 6), 'min_margin': round(abs(e[{k + 31}]) * 5, 6), 'recovered': (abs(e[{k + 1}]) > 0.15)::INTEGER, 'logits': list_transform(range(0, 8), lambda i: 0.5::DOUBLE + e[({k} * 8 + i) % 64 + 1])}}"
-    for k, name in enumerate(CANDIDATES)
-) + "] AS candidates FROM (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings))"
-_ORDERS = visit_order()
-_LIST = {k: str(v) for k, v in _ORDERS.items()}
+# The SQL has its own list of candidates and its own search: a recursive walk that looks up what comes next at each visit.
+_TRACES_SQL = """coordinates AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
+  evidence AS (SELECT vec_id, label, e, k, name, round(abs(e[k + 1]) * 2, 6) AS score, round(abs(e[k + 11]) * 1.9::DOUBLE, 6) AS fraction, round(1 - abs(e[k + 21]) / 2, 6) AS agreement, round(abs(e[k + 31]) * 12, 6) AS min_margin,
+      list_transform(range(0, 8), lambda i: 0.5::DOUBLE + e[i + 1] + 0.4::DOUBLE * e[(k * 8 + 8 + i) % 64 + 1]) AS logits, list_transform(range(0, 8), lambda i: (e[i + 1] > 0)::INTEGER) AS expected
+    FROM coordinates CROSS JOIN (VALUES (0, 'identity'), (1, 'rotation_-6'), (2, 'rotation_+6'), (3, 'perspective_0.06'), (4, 'rotation_-10'), (5, 'rotation_+10'), (6, 'rotation_-3'), (7, 'rotation_+3'), (8, 'perspective_0.03'), (9, 'perspective_0.1')) c(k, name)),
+  traces AS (SELECT vec_id, 'ds' || (label % 4)::VARCHAR AS dataset, vec_id % 4 <> 0 AS positive, round(abs(e[51]) / 4, 6) AS border, expected,
+      list({'name': name, 'ord': k, 'score': score, 'fraction': fraction, 'agreement': agreement, 'min_margin': min_margin, 'recovered': (list_transform(logits, lambda x: (x > 0.5)::INTEGER) = expected)::INTEGER, 'logits': logits} ORDER BY k) AS candidates
+    FROM evidence GROUP BY vec_id, label, e, expected)"""
 
 
 def _replay_sql(policies: str) -> str:
-    """The search as a recursive walk: state is position, best so far, and whether it has stopped."""
-    return f"""{_TRACES_SQL}, p AS ({policies}), started AS (SELECT vec_id, dataset, p.*, list_transform(list_transform(CASE WHEN lead LIKE 'perspective%' THEN {_LIST['perspective']} WHEN lead = 'rotation_-6' THEN {_LIST['negative']} ELSE {_LIST['positive']} END, lambda n: [c for c in candidates if c.name = n][1]), lambda c: c) AS walk
-  FROM (SELECT *, CASE WHEN candidates[2].score >= candidates[3].score AND candidates[2].score >= candidates[4].score THEN 'rotation_-6' WHEN candidates[3].score >= candidates[4].score THEN 'rotation_+6' ELSE 'perspective_0.06' END AS lead FROM traces) CROSS JOIN p),
+    """Every trace walked to its end, then every policy held against the walk."""
+    return f"""{_TRACES_SQL},
   walked AS (WITH RECURSIVE w AS (
-    SELECT vec_id, dataset, policy_id, walk, 1 AS n, walk[1] AS best, false AS done, reliable_fraction AS rf, reliable_agreement AS ra, identity_minimum_margin AS im, stop_minimum_margin AS sm, minimum_score_improvement AS mi, minimum_search_fraction AS ms, max_candidates AS mc FROM started
-    UNION ALL SELECT vec_id, dataset, policy_id, walk, n + 1, b, n + 1 >= 3 AND b.name <> 'identity' AND b.score - walk[1].score >= mi AND b.fraction >= rf AND b.agreement >= ra AND b.min_margin >= sm, rf, ra, im, sm, mi, ms, mc
-    FROM (SELECT *, CASE WHEN walk[n + 1].score > best.score THEN walk[n + 1] ELSE best END AS b FROM w WHERE NOT done AND n < mc)) SELECT * FROM w QUALIFY row_number() OVER (PARTITION BY vec_id, policy_id ORDER BY n DESC) = 1),
-  decided AS (SELECT vec_id, dataset, policy_id, walk[1].fraction < ms AS nothing, walk[1].fraction >= rf AND walk[1].agreement >= ra AND walk[1].min_margin >= im AS sure, best.fraction < rf OR best.score - walk[1].score < mi AS weak, walk, best, n, done FROM walked),
-  replayed AS (SELECT vec_id, dataset, policy_id, CASE WHEN nothing THEN 'insufficient_watermark_evidence' WHEN sure THEN 'reliable_identity' WHEN done THEN 'reliable_correction' ELSE 'candidate_budget_exhausted' END AS stop_reason, CASE WHEN nothing OR sure THEN 1 ELSE n END AS visited,
-    CASE WHEN nothing OR sure OR weak THEN walk[1].name ELSE best.name END AS selected, CASE WHEN nothing OR sure OR weak THEN walk[1].recovered ELSE best.recovered END AS recovered FROM decided)"""
+      SELECT vec_id, positive, candidates, 1 AS n, ['identity'] AS seen, [c for c in candidates if c.name = 'identity'][1] AS best, NULL::VARCHAR AS lead, 0.0::DOUBLE AS lead_score FROM traces
+      UNION ALL SELECT vec_id, positive, candidates, n + 1, list_append(seen, c.name), CASE WHEN c.score > best.score THEN c ELSE best END, CASE WHEN lead IS NULL OR c.score > lead_score THEN c.name ELSE lead END, CASE WHEN lead IS NULL OR c.score > lead_score THEN c.score ELSE lead_score END
+      FROM (SELECT *, [c for c in candidates if c.name = visit][1] AS c FROM (SELECT *, CASE n WHEN 1 THEN 'rotation_-6' WHEN 2 THEN 'rotation_+6' WHEN 3 THEN 'perspective_0.06' ELSE
+          [x for x in list_concat(CASE WHEN starts_with(lead, 'perspective') THEN ['perspective_0.03', 'perspective_0.1'] WHEN starts_with(lead, 'rotation_-') THEN ['rotation_-10', 'rotation_-3'] ELSE ['rotation_+10', 'rotation_+3'] END,
+            ['rotation_-10', 'rotation_+10', 'rotation_-3', 'rotation_+3', 'perspective_0.03', 'perspective_0.1']) if NOT list_contains(seen, x)][1] END AS visit FROM w WHERE n < 10)))
+    SELECT vec_id, positive, list(best ORDER BY n) AS best FROM w GROUP BY vec_id, positive),
+  p AS ({policies}),
+  judged AS (SELECT vec_id, positive, policy_id, best, max_candidates, reliable_fraction AS rf, minimum_score_improvement AS mi, best[1].fraction < minimum_search_fraction AS nothing,
+      best[1].fraction >= reliable_fraction AND best[1].agreement >= reliable_agreement AND best[1].min_margin >= identity_minimum_margin AS sure,
+      list_filter(range(3, max_candidates + 1), lambda n: best[n].name <> 'identity' AND best[n].score - best[1].score >= minimum_score_improvement AND best[n].fraction >= reliable_fraction AND best[n].agreement >= reliable_agreement AND best[n].min_margin >= stop_minimum_margin)[1] AS stopped
+    FROM walked CROSS JOIN p),
+  counted AS (SELECT *, CASE WHEN nothing OR sure THEN 1 ELSE coalesce(stopped, max_candidates) END AS visited FROM judged),
+  chosen AS (SELECT *, CASE WHEN best[visited].fraction < rf OR best[visited].score - best[1].score < mi THEN best[1] ELSE best[visited] END AS c FROM counted),
+  replayed AS (SELECT vec_id, positive, policy_id, visited::INTEGER AS visited, c.name AS selected, c.fraction AS fraction, c.recovered AS recovered,
+      CASE WHEN nothing THEN 'insufficient_watermark_evidence' WHEN sure THEN 'reliable_identity' WHEN stopped IS NOT NULL THEN 'reliable_correction' ELSE 'candidate_budget_exhausted' END AS stop_reason FROM chosen)"""
+
+
+_DEFAULTS = "0.25::DOUBLE AS reliable_fraction, 0.006::DOUBLE AS minimum_score_improvement"
+_ONE = f"SELECT 0 AS policy_id, 7 AS max_candidates, 0.05::DOUBLE AS minimum_search_fraction, 0.8::DOUBLE AS identity_minimum_margin, 0.8::DOUBLE AS stop_minimum_margin, 0.95::DOUBLE AS reliable_agreement, {_DEFAULTS}"
+
+
+@register("policy_replay", f"WITH {_replay_sql(_ONE)} SELECT vec_id, selected, recovered, visited, stop_reason, fraction >= 0.05 AS detected FROM replayed")
+def policy_replay(spark, sf_dir):
+    return replay(traces(spark, sf_dir), Policy()).select("vec_id", "selected", "recovered", "visited", "stop_reason", "detected")
 
 
-_ONE = "SELECT 0 AS policy_id, " + ", ".join(f"{v}{'::DOUBLE' if isinstance(v, float) else ''} AS {k}" for k, v in Policy().__dict__.items())
+_BUDGETS = f"SELECT b AS policy_id, b AS max_candidates, 0.01::DOUBLE AS minimum_search_fraction, 4.0::DOUBLE AS identity_minimum_margin, 2.0::DOUBLE AS stop_minimum_margin, 0.9::DOUBLE AS reliable_agreement, {_DEFAULTS} FROM (VALUES (1), (3), (5), (7), (10)) t(b)"
 
 
-@register("policy_replay", f"WITH {_replay_sql(_ONE)} SELECT vec_id, selected, recovered, visited, stop_reason FROM replayed")
-def policy_replay(spark, sf_dir):
-    return replay(traces(spark, sf_dir), Policy()).select("vec_id", F.col("selected.name").alias("selected"), F.col("selected.recovered").alias("recovered"), "visited", "stop_reason")
+@register("policy_budgets", f"WITH {_replay_sql(_BUDGETS)} SELECT policy_id AS max_candidates, stop_reason, count(*) AS n_rows, round(avg(visited), 9) AS mean_candidates, round(avg(recovered), 9) AS recovery FROM replayed GROUP BY ALL")
+def policy_budgets(spark, sf_dir):
+    """The selected policy of the published study under several budgets, by stop reason."""
+    budgets = [1, 3, 5, 7, 10]
+    found = None
+    for budget in budgets:
+        one = replay(traces(spark, sf_dir), Policy(budget, 0.01, 0.25, 4.0, 2.0, 0.9)).withColumn("max_candidates", F.lit(budget))
+        found = one if found is None else found.unionByName(one)
+    return rounded(found.groupBy("max_candidates", "stop_reason").agg(F.count(F.lit(1)).alias("n_rows"), F.avg("visited").alias("mean_candidates"), F.avg("recovered").alias("recovery")))
 
 
-_GRID = [(f, a, m, i, b) for f in (0.02, 0.05) for a in (0.95, 0.98) for m in (0.2, 0.5) for i in (0.006, 0.05) for b in (3, 5, 7)]
-_GRID_VALUES = ", ".join(f"({k}, 0.02::DOUBLE, {f}::DOUBLE, {a}::DOUBLE, {m}::DOUBLE, {m}::DOUBLE, {i}::DOUBLE, {b})" for k, (f, a, m, i, b) in enumerate(_GRID))
-_GRID_SQL = f"SELECT * FROM (VALUES {_GRID_VALUES}) g(policy_id, minimum_search_fraction, reliable_fraction, reliable_agreement, identity_minimum_margin, stop_minimum_margin, minimum_score_improvement, max_candidates)"
+#: The axes of the published policy search, 432 policies; the last varies fastest.
+GRID = {"max_candidates": [5, 7, 10], "minimum_search_fraction": [0.01, 0.05], "identity_minimum_margin": [0.25, 0.5, 0.8, 1.2, 2.0, 4.0], "stop_minimum_margin": [0.25, 0.5, 0.8, 1.2, 2.0, 4.0], "reliable_agreement": [0.9, 0.95]}
+#: A policy may take so many of ten candidates on average, and recover so many points less than the full search.
+COST_TARGET, TOLERANCE_PP = 0.7, 3.0
+_GRID_SQL = f"""SELECT row_number() OVER (ORDER BY m.i, f.i, a.i, t.i, g.i) - 1 AS policy_id, m.v AS max_candidates, f.v AS minimum_search_fraction, a.v AS identity_minimum_margin, t.v AS stop_minimum_margin, g.v AS reliable_agreement, {_DEFAULTS}
+    FROM (VALUES (0, 5), (1, 7), (2, 10)) m(i, v), (VALUES (0, 0.01::DOUBLE), (1, 0.05::DOUBLE)) f(i, v), (VALUES (0, 0.25::DOUBLE), (1, 0.5::DOUBLE), (2, 0.8::DOUBLE), (3, 1.2::DOUBLE), (4, 2.0::DOUBLE), (5, 4.0::DOUBLE)) a(i, v),
+      (VALUES (0, 0.25::DOUBLE), (1, 0.5::DOUBLE), (2, 0.8::DOUBLE), (3, 1.2::DOUBLE), (4, 2.0::DOUBLE), (5, 4.0::DOUBLE)) t(i, v), (VALUES (0, 0.9::DOUBLE), (1, 0.95::DOUBLE)) g(i, v)"""
+_SCORED_SQL = """scored AS (SELECT policy_id, avg(visited) FILTER (WHERE positive) AS mean_candidates, avg(recovered) FILTER (WHERE positive) AS recovery, max(fraction) FILTER (WHERE NOT positive) AS highest_negative FROM replayed GROUP BY policy_id HAVING highest_negative < 1),
+  above AS (SELECT policy_id, avg((recovered = 1 AND fraction > highest_negative)::INTEGER) FILTER (WHERE positive) AS detected_recovery FROM replayed JOIN scored USING (policy_id) GROUP BY policy_id),
+  full_best AS (SELECT avg(CASE WHEN top.fraction > 0 AND top.score - candidates[1].score >= 0.006::DOUBLE THEN top.recovered ELSE candidates[1].recovered END) AS best_recovery FROM (SELECT candidates, list_reverse_sort([{'score': c.score, 'k': -c.ord, 'c': c} for c in candidates])[1].c AS top FROM traces WHERE positive)),
+  grid AS (SELECT scored.*, detected_recovery, mean_candidates / 10 <= 0.7::DOUBLE AS meets_cost, 100 * (best_recovery - recovery) <= 3.0::DOUBLE AS meets_recovery FROM scored JOIN above USING (policy_id) CROSS JOIN full_best)"""
 
 
-def _grid_scores(spark, sf_dir):
-    """Every policy of the grid over every trace, reduced to one row a policy. The grid is an array literal in each row."""
-    policies = F.array(*[F.struct(F.lit(k).alias("policy_id"), *[F.lit(v).alias(n) for n, v in Policy(0.02, f, a, m, m, i, b).__dict__.items()]) for k, (f, a, m, i, b) in enumerate(_GRID)])
-    tried = replay(traces(spark, sf_dir).withColumn("policy", F.explode(policies)), None)
-    return tried.groupBy(F.col("policy.policy_id").alias("policy_id")).agg(F.round(F.avg("visited"), 9).alias("mean_candidates"), F.round(F.avg("selected.recovered"), 9).alias("recovery"))
+def _grid(spark, sf_dir):
+    """Every policy of the grid over every trace, reduced to one row a policy, against the recovery of the full search."""
+    seen = traces(spark, sf_dir)
+    scored = grid_scores(replay_grid(seen, GRID))
+    best = seen.where("positive").select((full_decision(F.col("candidates"))["bits"] == F.col("expected")).cast("int").alias("r")).agg(F.avg("r").alias("best_recovery"))
+    return scored.crossJoin(F.broadcast(best)).select(  # best is one row
+        *scored.columns, "best_recovery", (F.col("mean_candidates") / 10 <= COST_TARGET).alias("meets_cost"), (100 * (F.col("best_recovery") - F.col("recovery")) <= TOLERANCE_PP).alias("meets_recovery")
+    )
 
 
-@register("policy_grid", f"WITH {_replay_sql(_GRID_SQL)} SELECT policy_id, round(avg(visited), 9) AS mean_candidates, round(avg(recovered), 9) AS recovery FROM replayed GROUP BY policy_id")
+@register("policy_grid", f"WITH {_replay_sql(_GRID_SQL)}, {_SCORED_SQL} SELECT policy_id, round(mean_candidates, 9) AS mean_candidates, round(recovery, 9) AS recovery, round(detected_recovery, 9) AS detected_recovery, highest_negative, meets_cost, meets_recovery FROM grid")
 def policy_grid(spark, sf_dir):
-    return _grid_scores(spark, sf_dir)
+    return rounded(_grid(spark, sf_dir).select("policy_id", "mean_candidates", "recovery", "detected_recovery", "highest_negative", "meets_cost", "meets_recovery"))
 
 
-@register("policy_grid_best", f"""WITH {_replay_sql(_GRID_SQL)}, s AS (SELECT policy_id, round(avg(visited), 9) AS mean_candidates, round(avg(recovered), 9) AS recovery FROM replayed GROUP BY policy_id),
-  ok AS (SELECT *, 0 AS tier FROM s WHERE mean_candidates <= 4 AND recovery >= 0.3 UNION ALL SELECT *, 1 FROM s WHERE mean_candidates <= 4)
-  SELECT policy_id, mean_candidates, recovery, tier = 0 AS meets_target FROM ok ORDER BY tier, CASE WHEN tier = 0 THEN mean_candidates ELSE -recovery END, CASE WHEN tier = 0 THEN -recovery ELSE mean_candidates END, policy_id LIMIT 1""")
+@register("policy_grid_best", f"""WITH {_replay_sql(_GRID_SQL)}, {_SCORED_SQL},
+  ok AS (SELECT *, 0 AS tier FROM grid WHERE meets_cost AND meets_recovery UNION ALL SELECT *, 1 FROM grid WHERE meets_cost)
+  SELECT policy_id, round(mean_candidates, 9) AS mean_candidates, round(recovery, 9) AS recovery, tier = 0 AS meets_target FROM ok ORDER BY tier, CASE WHEN tier = 0 THEN mean_candidates ELSE -recovery END, CASE WHEN tier = 0 THEN -recovery ELSE mean_candidates END, policy_id LIMIT 1""")
 def policy_grid_best(spark, sf_dir):
-    return select_policy(_grid_scores(spark, sf_dir), 4.0, 0.3)
+    """The fewest mean candidates among the policies that meet both targets, or else the best recovery within the cost."""
+    scored = _grid(spark, sf_dir)
+    return rounded(select_policy(scored.withColumn("gap", 100 * (F.col("best_recovery") - F.col("recovery"))), 10 * COST_TARGET, F.col("best_recovery") - TOLERANCE_PP / 100))
 
 
-@register("method_expansion", f"""WITH {_TRACES_SQL} SELECT vec_id, m.method, CASE m.method WHEN 'identity' THEN candidates[1].score WHEN 'fixed' THEN candidates[2].score ELSE list_max([c.score for c in candidates]) END AS score FROM traces CROSS JOIN (VALUES ('identity'), ('fixed'), ('full_best')) m(method)""")
+_BITS = "list_transform({c}.logits, lambda x: (x > 0.5)::INTEGER)"
+
+
+@register("method_expansion", f"""WITH {_replay_sql(_ONE)}, r AS (SELECT *, candidates[1] AS idn, list_transform(list_reverse_sort([{{'score': c.score, 'k': -c.ord, 'c': c}} for c in candidates]), lambda x: x.c) AS ranked FROM traces),
+  t AS (SELECT *, ranked[1].fraction > 0 AND ranked[1].score - idn.score >= 0.006::DOUBLE AS take, [c for c in ranked if c.fraction > 0][1:3] AS top FROM r),
+  w AS (SELECT *, [exp((c.score - ranked[1].score) / 0.15::DOUBLE) for c in top] AS ws FROM t),
+  f AS (SELECT *, list_transform(range(1, 9), lambda i: (list_sum([top[j].logits[i] * ws[j] / list_sum(ws) for j in range(1, len(top) + 1)]) > 0.5)::INTEGER) AS fused FROM w),
+  m AS (SELECT vec_id, positive, expected, 'adaptive_identity' AS method, {_BITS.format(c='idn')} AS bits, idn.fraction AS detection_score, 1 AS candidates, 'baseline' AS stop_reason FROM f
+    UNION ALL SELECT vec_id, positive, expected, 'wam_fixed', CASE WHEN positive THEN list_transform(candidates[2].logits, lambda x: (x > 0.5)::INTEGER) ELSE {_BITS.format(c='idn')} END, candidates[2].fraction, 1, 'baseline' FROM f
+    UNION ALL SELECT vec_id, positive, expected, 'legacy_am', CASE WHEN take AND border >= 0.02 THEN fused ELSE {_BITS.format(c='idn')} END, CASE WHEN take AND border >= 0.02 THEN ranked[1].fraction ELSE idn.fraction END, CASE WHEN border >= 0.02 THEN 10 ELSE 1 END, 'baseline' FROM f
+    UNION ALL SELECT vec_id, positive, expected, 'full_best', CASE WHEN take THEN {_BITS.format(c='ranked[1]')} ELSE {_BITS.format(c='idn')} END, CASE WHEN take THEN ranked[1].fraction ELSE idn.fraction END, 10, 'baseline' FROM f
+    UNION ALL SELECT vec_id, positive, expected, 'full_soft', CASE WHEN take THEN fused ELSE {_BITS.format(c='idn')} END, CASE WHEN take THEN ranked[1].fraction ELSE idn.fraction END, 10, 'baseline' FROM f
+    UNION ALL SELECT f.vec_id, f.positive, expected, 'budget_wam', {_BITS.format(c='[c for c in candidates if c.name = selected][1]')}, p.fraction, visited, p.stop_reason FROM f JOIN replayed p USING (vec_id))
+  SELECT vec_id, positive, method, array_to_string(bits, '') AS bits, detection_score, candidates, stop_reason, CASE WHEN positive THEN round(list_sum(list_transform(range(1, 9), lambda i: (bits[i] = expected[i])::INTEGER)) / 8.0::DOUBLE, 9) END AS bit_accuracy, CASE WHEN positive THEN (bits = expected)::INTEGER END AS complete_recovery FROM m""")
 def method_expansion(spark, sf_dir):
-    """One recorded trace gives a row for each decision method."""
-    row = lambda name, score: F.struct(F.lit(name).alias("method"), score.alias("score"))
-    c = F.col("candidates")
-    methods = F.array(row("identity", c[0]["score"]), row("fixed", c[1]["score"]), row("full_best", F.array_max(F.transform(c, lambda x: x["score"]))))
-    return traces(spark, sf_dir).select("vec_id", F.explode(methods).alias("m")).select("vec_id", "m.*")
+    """One recorded trace gives a row for each of six decision methods; the fixed embedding stands in the second candidate."""
+    seen = replay(traces(spark, sf_dir), Policy())
+    c, identity = F.col("candidates"), F.col("candidates")[0]
+    bits = lambda x: F.transform(x["logits"], lambda v: (v > 0.5).cast("int"))
+    row = lambda method, b, score, n, reason=F.lit("baseline"): F.struct(F.lit(method).alias("method"), b.alias("bits"), score.alias("detection_score"), n.cast("int").alias("candidates"), reason.alias("stop_reason"))
+    best, soft, legacy = (full_decision(c, top=top, border=border) for top, border in ((1, None), (3, None), (3, F.col("border"))))
+    ten, opened = F.lit(len(CANDIDATES)), F.col("border") >= 0.02
+    methods = F.array(
+        row("adaptive_identity", bits(identity), identity["fraction"], F.lit(1)), row("wam_fixed", F.when(F.col("positive"), bits(c[1])).otherwise(bits(identity)), c[1]["fraction"], F.lit(1)),
+        row("legacy_am", legacy["bits"], legacy["fraction"], F.when(opened, ten).otherwise(1)), row("full_best", best["bits"], best["fraction"], ten), row("full_soft", soft["bits"], soft["fraction"], ten),
+        row("budget_wam", bits(F.filter(c, lambda x: x["name"] == F.col("selected"))[0]), F.col("fraction"), F.col("visited"), F.col("stop_reason")),
+    )
+    out = seen.select("vec_id", "positive", "expected", F.explode(methods).alias("m")).select("vec_id", "positive", "expected", "m.*")
+    hits = F.aggregate(F.zip_with("bits", "expected", lambda a, b: (a == b).cast("int")), F.lit(0), lambda n, x: n + x)
+    positive = lambda x: F.when(F.col("positive"), x)
+    return out.select("vec_id", "positive", "method", F.array_join("bits", "").alias("bits"), "detection_score", "candidates", "stop_reason", positive(F.round(hits / 8, 9)).alias("bit_accuracy"), positive((F.col("bits") == F.col("expected")).cast("int")).alias("complete_recovery"))
 
 
 @register("full_decision_best", f"""WITH {_TRACES_SQL}, r AS (SELECT vec_id, candidates[1] AS idn, list_reverse_sort([{{'score': c.score, 'k': -c.ord, 'c': c}} for c in candidates])[1].c AS top FROM traces), d AS (SELECT vec_id, CASE WHEN top.fraction > 0 AND top.score - idn.score >= 0.006::DOUBLE THEN top ELSE idn END AS ch FROM r)
@@ -238,7 +335,7 @@ def full_decision_best(spark, sf_dir):
     return traces(spark, sf_dir).select("vec_id", full_decision(F.col("candidates")).alias("d")).select("vec_id", "d.name", F.array_join("d.bits", "").alias("bits"))
 
 
-@register("full_decision_topk_fusion", f"""WITH {_TRACES_SQL}, r AS (SELECT vec_id, candidates[1] AS idn, [x.c for x in list_reverse_sort([{{'score': c.score, 'k': -c.ord, 'c': c}} for c in candidates])][1:3] AS top FROM traces),
+@register("full_decision_topk_fusion", f"""WITH {_TRACES_SQL}, r AS (SELECT vec_id, candidates[1] AS idn, [x.c for x in list_reverse_sort([{{'score': c.score, 'k': -c.ord, 'c': c}} for c in candidates]) if x.c.fraction > 0][1:3] AS top FROM traces),
   w AS (SELECT *, [exp((c.score - top[1].score) / 0.15::DOUBLE) for c in top] AS ws FROM r), f AS (SELECT *, list_transform(range(1, 9), lambda i: (ws[1] * top[1].logits[i] + ws[2] * top[2].logits[i] + ws[3] * top[3].logits[i]) / list_sum(ws)) AS fused, top[1].fraction > 0 AND top[1].score - idn.score >= 0.006::DOUBLE AS take FROM w)
   SELECT vec_id, CASE WHEN take THEN top[1].name ELSE idn.name END AS name, array_to_string([(x > 0.5)::INTEGER for x in (CASE WHEN take THEN fused ELSE idn.logits END)], '') AS bits FROM f""")
 def full_decision_topk_fusion(spark, sf_dir):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators.summary import finite, first_of, last_of, moments, share, summarize, summarize_sets, unit_means
-from .registry import register
+from .registry import register, rounded
 from .standins import ATTACKS_SQL, METRICS, RECORDS_SQL, RUNS_SQL, attacks, records, runs, table
 
 _MOMENTS = ", ".join(f"round(avg({m}), 9) AS {m}_mean, round(stddev_samp({m}), 9) AS {m}_std" for m in METRICS)
@@ -17,29 +17,29 @@ def _summary_sql(keys: str) -> str:
 
 @register("summary_overall", _summary_sql("model"))
 def summary_overall(spark, sf_dir):
-    return summarize(records(spark, sf_dir), ["model"], METRICS)
+    return rounded(summarize(records(spark, sf_dir), ["model"], METRICS))
 
 
 @register("summary_by_dataset", _summary_sql("model, dataset"))
 def summary_by_dataset(spark, sf_dir):
-    return summarize(records(spark, sf_dir), ["model", "dataset"], METRICS)
+    return rounded(summarize(records(spark, sf_dir), ["model", "dataset"], METRICS))
 
 
 @register("summary_by_category", _summary_sql("model, category"))
 def summary_by_category(spark, sf_dir):
-    return summarize(records(spark, sf_dir), ["model", "category"], METRICS)
+    return rounded(summarize(records(spark, sf_dir), ["model", "category"], METRICS))
 
 
 @register("summary_by_attack", _summary_sql("model, attack"))
 def summary_by_attack(spark, sf_dir):
-    return summarize(records(spark, sf_dir), ["model", "attack"], METRICS)
+    return rounded(summarize(records(spark, sf_dir), ["model", "attack"], METRICS))
 
 
 @register("summary_grouping_sets", f"""WITH {RECORDS_SQL} SELECT coalesce(model, 'all') AS model, coalesce(dataset, 'all') AS dataset, coalesce(category, 'all') AS category, coalesce(attack, 'all') AS attack,
   count(*) AS records, {_MOMENTS} FROM records GROUP BY GROUPING SETS ((model), (model, dataset), (model, category), (model, attack))""")
 def summary_grouping_sets(spark, sf_dir):
     """The four summaries from one scan and one expansion."""
-    return summarize_sets(records(spark, sf_dir), [["model"], ["model", "dataset"], ["model", "category"], ["model", "attack"]], METRICS)
+    return rounded(summarize_sets(records(spark, sf_dir), [["model"], ["model", "dataset"], ["model", "category"], ["model", "attack"]], METRICS))
 
 
 @register("attacked_only_summary", f"""WITH {RECORDS_SQL}, scoped AS (SELECT 'all' AS scope, * FROM records UNION ALL SELECT 'attacked', * FROM records WHERE attack <> 'clean')
@@ -83,9 +83,10 @@ def category_lookup_strict(spark, sf_dir):
   SELECT method, count(*) AS units, round(avg(value), 9) AS value_mean, round(stddev_pop(value), 9) AS value_std, min(value) AS value_min, max(value) AS value_max FROM last GROUP BY method""")
 def variant_quality_dedup(spark, sf_dir):
     """The last row of a key wins; deviation of the population."""
-    return last_of(runs(spark, sf_dir), ["method", "unit", "attack"], ["event_id"]).groupBy("method").agg(
+    found = last_of(runs(spark, sf_dir), ["method", "unit", "attack"], ["event_id"]).groupBy("method").agg(
         F.count(F.lit(1)).alias("units"), *moments(["value"], sample=False), F.min("value").alias("value_min"), F.max("value").alias("value_max")
     )
+    return found.withColumns({c: F.round(c, 9) for c in ("value_mean", "value_std")})
 
 
 @register("variant_group_summary", f"""WITH {RECORDS_SQL} SELECT model, 'geometry' AS scope, count(*) AS records, round(avg(bit_accuracy), 9) AS bit_accuracy_mean, round(avg(decode_ms), 9) AS decode_ms_mean FROM records WHERE attack IN ('shift_005', 'shift_020') GROUP BY model
@@ -223,4 +224,5 @@ def calibration_test_split(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select(F.col("lang").alias("dataset"), "doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha"))
     part = docs.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(64)))
     first = first_of(first_of(part, ["dataset", "salt"], ["sha", "doc_id"], 20), ["dataset"], ["sha", "doc_id"], 20).select("dataset", "doc_id", F.lit("calibration").alias("split"))
-    return docs.select("dataset", "doc_id").join(first, ["dataset", "doc_id"], "left").withColumn("split", F.coalesce("split", F.lit("test")))
+    same = docs.dataset.eqNullSafe(first.dataset) & docs.doc_id.eqNullSafe(first.doc_id)  # a null language is a dataset, too
+    return docs.join(first, same, "left").select(docs.dataset, docs.doc_id, F.coalesce(first.split, F.lit("test")).alias("split"))

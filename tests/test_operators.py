@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from proofgrid.functions import bits, scalars
-from proofgrid.operators import audit, bootstrap, detection, pairing, summary
+from proofgrid.operators import audit, bootstrap, detection, ordering, pairing, policy, summary
 from proofgrid.plans import registry
 
 
@@ -35,6 +35,113 @@ def test_numpy_draws_are_seeded():
     assert bootstrap.paired_draws(values, 1, 5)[0] == values[rng.integers(0, 20, 20)].mean()
 
 
+def test_numpy_bootstrap_equals_numpy(spark):
+    rng = np.random.default_rng(3)
+    rows = [(d, f"i{k:02d}", float(rng.normal())) for d, n in (("x", 9), ("y", 14)) for k in range(n)]
+    units = spark.createDataFrame(rows, "dataset string, image_id string, v double").withColumn("all", F.lit("all")).repartition(3)
+    values = {d: np.array([v for e, _, v in sorted(rows) if e == d]) for d in "xy"}
+    for r in bootstrap.numpy_bootstrap(units, ["dataset"], ["image_id"], "v", 200, 7).collect():
+        fresh, x = np.random.default_rng(7), values[r.dataset]
+        means = [x[fresh.integers(0, len(x), len(x))].mean() for _ in range(200)]
+        assert (r.mean, r.low, r.high) == pytest.approx((x.mean(), *np.quantile(means, [0.025, 0.975])))
+    r = bootstrap.numpy_bootstrap(units, ["all"], ["dataset", "image_id"], "v", 200, 7, "dataset").first()
+    fresh, total = np.random.default_rng(7), np.zeros(200)
+    for x in values.values():
+        for at in (0, 128):
+            n = min(128, 200 - at)
+            total[at : at + n] += x[fresh.integers(0, len(x), (n, len(x)))].sum(1)
+    assert (r.units, r.low, r.high) == (23, *(pytest.approx(q) for q in np.quantile(total / 23, [0.025, 0.975])))
+
+
+def test_hash_bootstrap_equals_a_plain_one(spark):
+    rng = np.random.default_rng(4)
+    rows = [(g, d, k, None if k == 3 else float(rng.normal())) for g in "ab" for d, n in (("x", 6), ("y", 4 if g == "a" else 6)) for k in range(n)]
+    found = bootstrap.hash_bootstrap(spark.createDataFrame(rows, "g string, d string, k int, v double").repartition(3), ["g"], ["k"], ["v"], 40, "s", "d").collect()
+    for r in found:
+        means = []
+        for it in range(40):
+            drawn = []
+            for d in "xy":
+                x = [v for g, e, _, v in rows if (g, e) == (r.g, d)]
+                drawn += [x[int(hashlib.sha256(f"s/{d}:{it}:{k}".encode()).hexdigest()[:15], 16) % len(x)] for k in range(len(x))]
+            means.append(np.mean([v for v in drawn if v is not None]))
+        assert (r.v_low, r.v_high) == pytest.approx(tuple(np.quantile(means, [0.025, 0.975])))
+    assert len(found) == 2
+
+
+def test_numbers_within_groups(spark):
+    rng = np.random.default_rng(5)
+    rows = [(None if g == 2 else int(g), int(v)) for g, v in zip(rng.integers(0, 3, 400), rng.permutation(400), strict=True)]
+    got = {(r.g, r.v): (r["_i"], r["_n"]) for r in ordering.numbered_within(spark.createDataFrame(rows, "g int, v int"), ["g"], ["v"]).collect()}
+    members = {g: sorted(v for h, v in rows if h == g) for g in (0, 1, None)}
+    assert got == {(g, v): (members[g].index(v), len(members[g])) for g, v in rows}
+
+
+# --- searches under a budget
+
+
+def search(spark, bounds=None, **changed):
+    """The replay of one trace: like evidence everywhere, but for what changed says of a candidate (- and + and . as words)."""
+    base = {"score": 0.7, "fraction": 0.9, "agreement": 0.98, "min_margin": 0.1, "recovered": 0}
+    word = lambda name: name.replace("-", "m").replace("+", "p").replace(".", "_")
+    rows = [(name, *(base | changed.get(word(name), {}) | changed.get("every", {})).values()) for name in policy.CANDIDATES]
+    trace = spark.createDataFrame([(rows,)], "candidates array<struct<name string, score double, fraction double, agreement double, min_margin double, recovered int>>")
+    names = [r.name for r in trace.select(policy.walk().alias("w")).first().w]
+    return policy.replay(trace, policy.Policy(**(bounds or {}))).first(), names
+
+
+def test_searches_stop_as_their_evidence_says(spark):
+    found, _ = search(spark, every={"min_margin": 2.0})
+    assert (found.visited, found.stop_reason, found.selected) == (1, "reliable_identity", "identity")
+    found, _ = search(spark, every={"fraction": 0.001})
+    assert (found.visited, found.stop_reason, found.detected) == (1, "insufficient_watermark_evidence", False)
+    found, _ = search(spark, rotation_m6={"score": 0.99, "min_margin": 2.0})  # both signs are probed before the search stops
+    assert (found.visited, found.stop_reason, found.selected) == (3, "reliable_correction", "rotation_-6")
+    found, _ = search(spark, **{k: {"score": 0.99, "fraction": 0.1} for k in ("rotation_m6", "rotation_p6", "perspective_0_06")})
+    assert found.selected == "identity"
+
+
+@pytest.mark.parametrize("budget", [1, 3, 5, 7, 10])
+def test_budgets_count_identity_and_probes(spark, budget):
+    found, names = search(spark, {"max_candidates": budget})
+    assert found.visited == budget and found.stop_reason == "candidate_budget_exhausted"
+    assert len(set(names)) == 10 and names[:4] == ["identity", "rotation_-6", "rotation_+6", "perspective_0.06"]
+
+
+def test_the_order_follows_the_best_correction_so_far(spark):
+    # A negative rotation leads: its refinements, then the others in their own order.
+    _, names = search(spark, rotation_m6={"score": 0.9})
+    assert names[4:] == ["rotation_-10", "rotation_-3", "rotation_+10", "rotation_+3", "perspective_0.03", "perspective_0.1"]
+    _, names = search(spark, rotation_p6={"score": 0.9})
+    assert names[4:] == ["rotation_+10", "rotation_+3", "rotation_-10", "rotation_-3", "perspective_0.03", "perspective_0.1"]
+    _, names = search(spark, perspective_0_06={"score": 0.9})
+    assert names[4:] == ["perspective_0.03", "perspective_0.1", "rotation_-10", "rotation_+10", "rotation_-3", "rotation_+3"]
+    # Equal scores: the first that was seen leads. A later, better one turns the search over.
+    _, names = search(spark)
+    assert names[4:6] == ["rotation_-10", "rotation_-3"]
+    _, names = search(spark, perspective_0_06={"score": 0.8}, perspective_0_1={"score": 0.8}, rotation_m10={"score": 0.95}, rotation_p10={"score": 0.97})
+    assert names[4:] == ["perspective_0.03", "perspective_0.1", "rotation_-10", "rotation_-3", "rotation_+10", "rotation_+3"]
+    _, names = search(spark, rotation_m10={"score": 0.75}, rotation_m3={"score": 0.7}, rotation_p10={"score": 0.8}, perspective_0_03={"score": 0.9})
+    assert names[4:] == ["rotation_-10", "rotation_-3", "rotation_+10", "rotation_+3", "perspective_0.03", "perspective_0.1"]
+    _, names = search(spark, rotation_m6={"score": 0.8}, rotation_m10={"score": 0.85}, rotation_m3={"score": 0.6}, rotation_p10={"score": 0.99})
+    assert names.index("rotation_+3") == names.index("rotation_+10") + 1
+
+
+def test_policies_are_validated():
+    for bad in ({"max_candidates": 0}, {"max_candidates": 11}, {"max_candidates": 1.5}, {"identity_minimum_margin": math.inf}, {"stop_minimum_margin": -1.0}, {"reliable_agreement": 0.0}, {"minimum_search_fraction": 0.5}):
+        with pytest.raises(ValueError):
+            policy.Policy(**bad)
+
+
+def test_grids_number_the_product_of_their_axes(spark):
+    import itertools
+
+    axes = {"max_candidates": [5, 7], "minimum_search_fraction": [0.01, 0.05, 0.1], "reliable_agreement": [0.9, 0.95]}
+    rows = spark.range(12).select(policy.grid_policy(F.col("id"), axes).alias("p")).select("p.*").collect()
+    assert [tuple(r[k] for k in axes) for r in rows] == list(itertools.product(*axes.values()))
+    assert {r.stop_minimum_margin for r in rows} == {0.8}
+
+
 def scores(spark, rows):
     return spark.createDataFrame([("g", label, float(s)) for label, s in rows], "g string, label int, detection_score double")
 
