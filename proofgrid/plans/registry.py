@@ -36,7 +36,7 @@ def _load() -> None:
         importlib.import_module(f"{__package__}.{module}")
 
 
-MODULES = ["summaries", "comparisons", "statistics", "integrity"]
+MODULES = ["summaries", "comparisons", "statistics", "integrity", "evidence"]
 
 
 def queries() -> dict[str, Query]:
