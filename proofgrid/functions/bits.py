@@ -6,9 +6,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def stable_seed(*parts: Column) -> Column:
-    """The first eight bytes, high byte first, of the SHA-256 of the parts joined by colons, as decimal(20,0)."""
-    return F.conv(F.substring(F.sha2(F.concat_ws(":", *[p.cast("string") for p in parts]), 256), 1, 16), 16, 10).cast("decimal(20,0)")
+def stable_seed(*parts: Column, little: bool = False) -> Column:
+    """The first eight bytes of the SHA-256 of the parts joined by colons, high byte first (or last), as decimal(20,0)."""
+    digits = F.substring(F.sha2(F.concat_ws(":", *[p.cast("string") for p in parts]), 256), 1, 16)
+    if little:
+        digits = F.concat(*[F.substring(digits, at, 2) for at in range(15, 0, -2)])
+    return F.conv(digits, 16, 10).cast("decimal(20,0)")
 
 
 def hash_bits(c: Column, width: int = 32) -> Column:

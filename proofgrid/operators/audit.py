@@ -51,6 +51,12 @@ def leaks(manifest: DataFrame) -> DataFrame:
     return manifest.groupBy("dataset", "sha256").agg(F.count_distinct("split").alias("splits"), F.count(F.lit(1)).alias("files")).where("splits > 1")
 
 
+def differing(expected: DataFrame, found: DataFrame, key: str, value: str) -> DataFrame:
+    """key, expected and found value wherever two settings (such as versions of an environment) differ or one is absent."""
+    a, b = expected.select(F.col(key), F.col(value).alias("expected")), found.select(F.col(key), F.col(value).alias("found"))
+    return a.join(b, key, "full_outer").where(~F.col("expected").eqNullSafe(F.col("found")))
+
+
 def agree(left: DataFrame, right: DataFrame, key: Sequence[str], values: Sequence[str], tolerance: float = 1e-12) -> DataFrame:
     """Key, value name and both numbers wherever two tables differ by more than a tolerance or lack a row."""
     a = left.select(*key, *[F.col(v).cast("double").alias(f"l_{v}") for v in values], F.lit(True).alias("_l"))

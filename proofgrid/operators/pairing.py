@@ -24,6 +24,15 @@ def paired(facts: DataFrame, by: str, reference: str, other: str, key: Sequence[
     return cells.where(ok).drop("_r", "_o")
 
 
+def covering(facts: DataFrame, by: str, baseline: str, other: str, key: Sequence[str], metrics: Sequence[str]) -> DataFrame:
+    """The pairs of a method with a baseline whose cells it must all have, each once; a cell that it lacks fails the job.
+    Cells of the method beyond the baseline are left out."""
+    side = lambda value: [F.max(F.when(F.col(by) == value, F.col(m))).alias(f"{'reference' if value == baseline else 'other'}_{m}") for m in metrics]
+    cells = facts.where(F.col(by).isin(baseline, other)).groupBy(*key).agg(F.count_if(F.col(by) == baseline).alias("_r"), F.count_if(F.col(by) == other).alias("_o"), *side(baseline), *side(other)).where("_r > 0")
+    broken = F.raise_error(F.concat_ws(" ", F.lit("uncovered or repeated cell"), *[F.col(k).cast("string") for k in key]))
+    return cells.where(F.when((F.col("_r") == 1) & (F.col("_o") == 1), F.lit(True)).otherwise(broken.cast("boolean"))).drop("_r", "_o")
+
+
 def transitions(recovered_reference: str = "reference_complete_recovery", recovered_other: str = "other_complete_recovery") -> list[Column]:
     """Counts of rescued, regressed, both and neither recovered."""
     r, o = F.col(recovered_reference) == 1, F.col(recovered_other) == 1

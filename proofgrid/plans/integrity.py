@@ -70,10 +70,10 @@ def message_separation(spark, sf_dir):
     return _words(spark, sf_dir).select("label", apart).groupBy("label").agg(F.count("apart").alias("n_pairs"), F.min("apart").alias("least_apart"), F.round(F.avg("apart"), 9).alias("mean_apart"))
 
 
-@register("signature_top", f"WITH {_WORDS_SQL} SELECT expected >> 26 AS signature, count(*) AS n FROM words GROUP BY signature ORDER BY n DESC, signature LIMIT 16")
+@register("signature_top", f"WITH {_WORDS_SQL} SELECT expected >> 20 AS signature, count(*) AS n FROM words GROUP BY signature ORDER BY n DESC, signature LIMIT 512")
 def signature_top(spark, sf_dir):
     """The most frequent signatures; equal counts in the order of the signature."""
-    return _words(spark, sf_dir).groupBy(F.shiftright("expected", 26).alias("signature")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "signature").limit(16)
+    return _words(spark, sf_dir).groupBy(F.shiftright("expected", 20).alias("signature")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "signature").limit(512)
 
 
 @register("manifest_duplicates", f"WITH {MANIFEST_SQL} SELECT dataset, split, sha256, count(*) AS n_rows FROM manifest GROUP BY ALL HAVING count(*) > 1")

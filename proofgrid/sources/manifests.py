@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,8 +33,8 @@ def png_size(content: Column) -> tuple[Column, Column]:
     return at(17), at(21)
 
 
-def build_manifest(spark: SparkSession, root: str, dataset: str, split: str, pattern: str = "*", first: int | None = None) -> DataFrame:
-    """A manifest of the files below root, by path; first keeps the first so many paths."""
+def build_manifest(spark: SparkSession, root: str, dataset: str, split: str, pattern: str = "*", limits: Sequence[int | None] = (), numeric: bool = False) -> DataFrame:
+    """A manifest of the files below root, by path or by the number in the name; the least of the limits keeps the first so many."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(root)
     width, height = png_size(F.col("content"))
     start = F.regexp_replace(F.lit(root.rstrip("/")), "^file:/*", "/")
@@ -41,8 +43,10 @@ def build_manifest(spark: SparkSession, root: str, dataset: str, split: str, pat
         F.lit(dataset).alias("dataset"), F.lit(split).alias("split"), path.alias("sample_id"), path.alias("relative_path"), width.alias("width"), height.alias("height"),
         F.upper(F.regexp_extract(path, r"\.([^.]+)$", 1)).alias("image_format"), F.sha2("content", 256).alias("sha256"),
     )
-    rows = rows.orderBy("relative_path")
-    return rows if first is None else rows.limit(first)
+    stem = F.regexp_extract("relative_path", r"([0-9]+)\.[^./]+$", 1).try_cast("long")
+    rows = rows.orderBy(stem, "relative_path") if numeric else rows.orderBy("relative_path")
+    given = [n for n in limits if n is not None]
+    return rows.limit(min(given)) if given else rows
 
 
 def write_manifest(manifest: DataFrame, path: str) -> None:
@@ -67,7 +71,10 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
 
 
 def verify(manifest: DataFrame, found: DataFrame) -> DataFrame:
-    """Each manifest row with its status against found files: verified, escape, missing or mismatch."""
-    seen = found.select("relative_path", F.col("sha256").alias("_sha"))
-    status = F.when(~inside(F.col("relative_path")), "escape").when(F.col("_sha").isNull(), "missing").when(F.col("_sha") != F.col("sha256"), "mismatch").otherwise("verified")
-    return manifest.join(seen, "relative_path", "left").withColumn("status", status).drop("_sha")
+    """Each manifest row with its status against found files: verified, escape, missing, mismatch or resized (where found tells sizes)."""
+    sized = {"width", "height"} <= set(found.columns)
+    nothing = F.lit(None).cast("int")
+    seen = found.select("relative_path", F.col("sha256").alias("_sha"), (F.col("width") if sized else nothing).alias("_width"), (F.col("height") if sized else nothing).alias("_height"))
+    resized = (F.col("_width") != F.col("width")) | (F.col("_height") != F.col("height"))
+    status = F.when(~inside(F.col("relative_path")), "escape").when(F.col("_sha").isNull(), "missing").when(F.col("_sha") != F.col("sha256"), "mismatch").when(resized, "resized").otherwise("verified")
+    return manifest.join(seen, "relative_path", "left").withColumn("status", status).drop("_sha", "_width", "_height")

@@ -35,6 +35,16 @@ def protocol_table(spark: SparkSession, protocol: Mapping, known: Collection[str
     return spark.createDataFrame(rows, "case_id string, category string, steps array<string>, position int")
 
 
+def select(protocol: DataFrame, categories: Collection[str] | None = None) -> DataFrame:
+    """The cases of some categories; of all where none is named. A category without a case is an error."""
+    if categories is None:
+        return protocol
+    lacking = set(categories) - {r.category for r in protocol.select("category").distinct().collect()}  # categories are few
+    if lacking:
+        raise ProtocolError(f"no case of {sorted(lacking)}")
+    return protocol.where(F.col("category").isin(*categories))
+
+
 TRACES = "status string, fingerprint string, image_id string, records array<struct<positive:boolean,attack:string,candidates:array<struct<name:string,score:double,selected_fraction:double>>>>"
 
 

@@ -31,10 +31,15 @@ def sink(rows: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     return rows.writeStream.outputMode("append").format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def upsert_counts(rows: DataFrame, by: Sequence[str], path: str, checkpoint: str) -> StreamingQuery:
-    """Counts by group of each micro-batch, one folder a batch; a batch that is replayed replaces its folder."""
+def batch_counts(rows: DataFrame, by: Sequence[str], path: str, checkpoint: str) -> StreamingQuery:
+    """Counts by group of each micro-batch, one folder a batch; a batch that is replayed replaces its folder. ``totals`` adds them up."""
 
     def save(batch: DataFrame, number: int) -> None:
         batch.groupBy(*by).agg(F.count(F.lit(1)).alias("records")).write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return rows.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def totals(spark: SparkSession, path: str, by: Sequence[str]) -> DataFrame:
+    """Records by group over all batches that batch_counts has written so far."""
+    return spark.read.parquet(path).groupBy(*by).agg(F.sum("records").alias("records"))

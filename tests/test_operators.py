@@ -69,6 +69,57 @@ def test_hash_bootstrap_equals_a_plain_one(spark):
     assert len(found) == 2
 
 
+def test_one_generator_for_all_groups(spark):
+    rng = np.random.default_rng(6)
+    rows = [(g, k, float(rng.normal())) for g in "ba" for k in range(5 if g == "a" else 8)]
+    found = {r.g: r for r in bootstrap.sequential_bootstrap(spark.createDataFrame(rows, "g string, k int, v double").repartition(3), "g", ["k"], "v", 100, 9).collect()}
+    fresh = np.random.default_rng(9)
+    for g in "ab":
+        x = np.array([v for h, _, v in sorted(rows) if h == g])
+        want = np.quantile(x[fresh.integers(0, len(x), (100, len(x)))].mean(1), [0.025, 0.975])
+        assert (found[g].low, found[g].high) == pytest.approx(tuple(want))
+
+
+def test_settings_and_coverage(spark):
+    a, b = (spark.createDataFrame(list(rows), "name string, version string") for rows in ([("x", "1"), ("y", "2"), ("z", "3")], [("x", "1"), ("y", "9"), ("w", "4")]))
+    assert {tuple(r) for r in audit.differing(a, b, "name", "version").collect()} == {("y", "2", "9"), ("z", "3", None), ("w", None, "4")}
+    rows = [("new", 1, 0.5), ("old", 1, 0.25), ("new", 2, 1.0), ("old", 2, 1.0), ("new", 3, 1.0)]
+    facts = spark.createDataFrame(rows, "method string, cell int, v double")
+    assert {(r.cell, r.reference_v, r.other_v) for r in pairing.covering(facts, "method", "old", "new", ["cell"], ["v"]).collect()} == {(1, 0.25, 0.5), (2, 1.0, 1.0)}
+    with pytest.raises(Exception, match="uncovered"):
+        pairing.covering(facts, "method", "new", "old", ["cell"], ["v"]).collect()
+
+
+def test_seeds_of_both_byte_orders(spark):
+    digest = hashlib.sha256(b"7:a").digest()
+    r = spark.range(1).select(bits.stable_seed(F.lit(7), F.lit("a")).alias("big"), bits.stable_seed(F.lit(7), F.lit("a"), little=True).alias("little")).first()
+    assert (int(r.big), int(r.little)) == (int.from_bytes(digest[:8], "big"), int.from_bytes(digest[:8], "little"))
+
+
+def test_messages_are_matched_by_bits_and_places(spark):
+    import itertools
+
+    from proofgrid.operators import messages
+
+    rng, rows = np.random.default_rng(2), []
+    for k in range(40):
+        make = lambda n: [(rng.integers(0, 2, 4).tolist(), (rng.random(5) < 0.4).tolist()) for _ in range(n)]
+        rows.append((k, make(k % 5), make(k // 5 % 5)))
+    kind = "array<struct<bits:array<int>,mask:array<boolean>>>"
+    found = {r.k: r for r in messages.evaluate_messages(spark.createDataFrame(rows, f"k int, expected {kind}, predicted {kind}")).collect()}
+    for k, expected, predicted in rows:
+        n, m = len(expected), len(predicted)
+        bit = [[np.mean([a == b for a, b in zip(x[0], p[0], strict=True)]) for p in predicted] for x in expected]
+        iou = [[(np.sum(np.array(x[1]) & np.array(p[1])) / np.sum(np.array(x[1]) | np.array(p[1])) if np.sum(np.array(x[1]) | np.array(p[1])) else 1.0) for p in predicted] for x in expected]
+        ways = [list(enumerate(c)) for c in itertools.permutations(range(m), n)] if n <= m else [[(e, p) for p, e in enumerate(c)] for c in itertools.permutations(range(n), m)]
+        best = max(ways, key=lambda w: round(sum(bit[i][j] + 0.01 * iou[i][j] for i, j in w), 9)) if n and m else []
+        r, exact = found[k], sum(bit[i][j] == 1 for i, j in best)
+        assert (r.matched_count, r.exact_match_count, r.count_correct, r.all_messages_recovered) == (len(best), exact, n == m, n == m and exact == n)
+        assert r.message_recall == pytest.approx(exact / n if n else 1.0) and r.message_precision == pytest.approx(exact / m if m else 0.0)
+        assert r.mean_matched_bit_accuracy == pytest.approx(np.mean([bit[i][j] for i, j in best]) if best else 0.0)
+        assert r.mean_matched_iou == pytest.approx(np.mean([iou[i][j] for i, j in best]) if best else 0.0)
+
+
 def test_numbers_within_groups(spark):
     rng = np.random.default_rng(5)
     rows = [(None if g == 2 else int(g), int(v)) for g, v in zip(rng.integers(0, 3, 400), rng.permutation(400), strict=True)]

@@ -8,7 +8,7 @@ from datetime import datetime
 
 import pytest
 
-from proofgrid.sources import manifests, protocols, results
+from proofgrid.sources import frozen, manifests, protocols, results
 from proofgrid.streaming import live
 
 
@@ -31,7 +31,7 @@ def test_manifest_is_built_written_and_read(spark, images, tmp_path):
     rows = built.collect()
     assert [(r.relative_path, r.width, r.height, r.image_format) for r in rows] == [("b.png", 32, 24, "PNG"), ("sub dir/a.png", 16, 8, "PNG")]
     assert rows[0].sha256 == hashlib.sha256((images / "b.png").read_bytes()).hexdigest()
-    assert manifests.build_manifest(spark, str(images), "ds", "test", first=1).count() == 1
+    assert manifests.build_manifest(spark, str(images), "ds", "test", limits=[None, 1, 5]).count() == 1
     manifests.write_manifest(built, f"{tmp_path}/manifest")
     assert sorted(manifests.read_manifest(spark, f"{tmp_path}/manifest").collect()) == sorted(rows)
     with pytest.raises(manifests.ManifestError):
@@ -130,6 +130,42 @@ def test_stream_counts_each_row_once_and_closes_windows(spark, tmp_path):
     closed = {(r.window_start, r.kind): r.records for r in spark.read.parquet(f"{tmp_path}/windows").collect()}
     want = {(r.window_start, r.kind): r.records for r in live.windowed(spark.read.parquet(folder), "ts", "1 hour", ["kind"], "value").collect()}
     assert closed and closed.items() <= want.items() and max(w for w, _ in closed) < max(w for w, _ in want)
-    counts = live.upsert_counts(live.result_stream(spark, folder, schema), ["kind"], f"{tmp_path}/counts", f"{tmp_path}/state3")
+    counts = live.batch_counts(live.result_stream(spark, folder, schema), ["kind"], f"{tmp_path}/counts", f"{tmp_path}/state3")
     counts.awaitTermination(60)
-    assert sum(r.records for r in spark.read.parquet(f"{tmp_path}/counts").collect()) == 45
+    want = {r.kind: r["count"] for r in spark.read.parquet(folder).groupBy("kind").count().collect()}
+    assert {r.kind: r.records for r in live.totals(spark, f"{tmp_path}/counts", ["kind"]).collect()} == want
+
+
+def test_files_by_number_and_changed_sizes(spark, tmp_path):
+    for name in ("10", "9", "100"):
+        (tmp_path / f"{name}.png").write_bytes(png(4, 3, int(name)))
+    by_path, by_number = (manifests.build_manifest(spark, str(tmp_path), "ds", "test", numeric=n) for n in (False, True))
+    assert [r.relative_path for r in by_path.collect()] == ["10.png", "100.png", "9.png"]
+    assert [r.relative_path for r in by_number.collect()] == ["9.png", "10.png", "100.png"]
+    found = by_path.selectExpr("relative_path", "sha256", "if(relative_path = '9.png', width + 1, width) AS width", "height")
+    assert {r.relative_path: r.status for r in manifests.verify(by_path, found).collect()} == {"9.png": "resized", "10.png": "verified", "100.png": "verified"}
+
+
+def test_frozen_documents_stay(spark, tmp_path):
+    path, started = f"file://{tmp_path}/policy", tmp_path / "provenance"
+    document = {"selection_split": "calibration", "policy": {"max_candidates": 7}, "grid_sha256": frozen.sha256("grid")}
+    frozen.freeze(spark, path, document, f"file://{started}")
+    frozen.freeze(spark, path, document)  # the same again
+    with pytest.raises(frozen.FrozenError, match="another"):
+        frozen.freeze(spark, path, document | {"policy": {}})
+    assert frozen.load(spark, path, "calibration", {"grid_sha256": frozen.sha256("grid")}) == document
+    with pytest.raises(frozen.FrozenError, match="grid_sha256"):
+        frozen.load(spark, path, "calibration", {"grid_sha256": frozen.sha256("other")})
+    with pytest.raises(frozen.FrozenError, match="selected on"):
+        frozen.load(spark, path, "test")
+    started.mkdir()
+    with pytest.raises(frozen.FrozenError, match="closed"):
+        frozen.freeze(spark, path, document, f"file://{started}")
+
+
+def test_categories_are_selected(spark):
+    table = protocols.protocol_table(spark, {"id": "p", "version": 1, "attacks": [{"id": "a", "category": "x", "pipeline": [{"name": "s"}]}, {"id": "b", "category": "y", "pipeline": [{"name": "s"}]}]}, ["s"])
+    assert protocols.select(table).count() == 2
+    assert [r.case_id for r in protocols.select(table, ["y"]).collect()] == ["b"]
+    with pytest.raises(protocols.ProtocolError, match="no case"):
+        protocols.select(table, ["y", "z"])
