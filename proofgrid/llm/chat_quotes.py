@@ -10,8 +10,9 @@ answers, branches stay together, and quotes are gone.
 
 The owner before a quote is looked up in turn order, first within SPAN turns and then over one row for each span,
 so a passage that everyone repeats and quotes gives neither all pairs nor one long sort. Roots and depths come from
-pointer jumping over one row for each message. No conversation is gathered in a task: the order is given by columns
-(root_turn, turn), which any later sort or writer can use.
+pointer jumping over one row for each message. No conversation is gathered in a task: the order is given by the column
+path, the turns from the root to the message, which any later sort or writer can use; a path is as long as its message
+is deep. By (root_turn, turn), a thread is in the order of its turns, with its branches interleaved.
 
 Defined cases: a null text has an empty body and no quotes; a message without conv_id or turn can't be placed and
 stays alone (null parent and root); a quote that nobody said before stays unlinked; several rows of one turn are
@@ -28,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .store import materialize, read
+from .store import discard, materialize, read
 
 _MARK = re.compile(r"^[ \t]*((?:>[ \t]?)+)")
 _ATTRIBUTION = re.compile(r"^\s*(?:on\b.*\bwrote|am\b.*\bschrieb\b.*|le\b.*\bécrit|el\b.*\bescribió)\s*:\s*$", re.IGNORECASE)
@@ -65,9 +66,12 @@ def split_quotes(text: str | None) -> tuple[str, list[tuple[int, str]]]:
     lines = levels(text or "")
     own, passages, run, at = [], [], [], 0
     for k, (level, line) in enumerate(lines):
-        following = next((x for x, later in lines[k + 1 :] if x > level or later.strip()), 0) if _ATTRIBUTION.match(line) else 0
-        if _ATTRIBUTION.match(line) and following > level:
-            continue
+        if _ATTRIBUTION.match(line):
+            after = k + 1  # what follows: the first line that is deeper or has words
+            while after < len(lines) and lines[after][0] <= level and not lines[after][1].strip():
+                after += 1
+            if after < len(lines) and lines[after][0] > level:
+                continue
         if level != at and run:
             if at:
                 passages.append((at, "\n".join(run)))
@@ -145,18 +149,21 @@ def link_quotes(parsed: DataFrame) -> DataFrame:
 
 
 def reply_roots(parents: DataFrame) -> DataFrame:
-    """parents(conv_id, turn, parent_turn, one row a message) -> conv_id, turn, root_turn, depth, by pointer jumping.
+    """parents(conv_id, turn, parent_turn, one row a message) -> conv_id, turn, root_turn, depth, path, by pointer jumping.
 
-    Only messages that answer something take part in the joins; each round doubles the way looked up.
+    Only messages that answer something take part in the joins; each round doubles the way looked up. path begins at
+    the root and ends at the message.
     """
-    above = materialize(parents.where("parent_turn is not null").select("conv_id", "turn", F.col("parent_turn").alias("root_turn"), F.lit(1).alias("depth")), "replies", fold=True)
+    above = materialize(parents.where("parent_turn is not null").select("conv_id", "turn", F.col("parent_turn").alias("root_turn"), F.lit(1).alias("depth"), F.array("parent_turn", "turn").alias("path")), "replies", fold=True)
     while True:
-        up = above.select("conv_id", F.col("turn").alias("root_turn"), F.col("root_turn").alias("further"), F.col("depth").alias("more"))
+        up = above.select("conv_id", F.col("turn").alias("root_turn"), F.col("root_turn").alias("further"), F.col("depth").alias("more"), F.slice("path", 1, F.size("path") - 1).alias("way"))
         after = materialize(
             above.join(up, ["conv_id", "root_turn"], "left").select(
-                "conv_id", "turn", F.coalesce("further", "root_turn").alias("root_turn"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"), F.col("further").isNotNull().alias("moved")
+                "conv_id", "turn", F.coalesce("further", "root_turn").alias("root_turn"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"),
+                F.when(F.col("further").isNull(), F.col("path")).otherwise(F.concat("way", "path")).alias("path"), F.col("further").isNotNull().alias("moved")
             ), "replies", fold=True
         )
+        discard(above)
         above = after.drop("moved")
         if after.where("moved").isEmpty():
             return above
@@ -165,7 +172,7 @@ def reply_roots(parents: DataFrame) -> DataFrame:
 def format_chats(messages: DataFrame) -> DataFrame:
     """One row for each message: what it answers, its branch and depth, and its words without quotes.
 
-    Sorted by (conv_id, root_turn, turn), a conversation is in reply order.
+    Sorted by (conv_id, path), a conversation is in reply order: a message comes after what it answers, with its branch.
     """
     parsed = materialize(parse(messages), "messages")
     links = link_quotes(parsed).groupBy("conv_id", "turn").agg(
@@ -177,7 +184,7 @@ def format_chats(messages: DataFrame) -> DataFrame:
     return (
         parsed.select("conv_id", "turn", "role", "body").join(links, ["conv_id", "turn"], "left").join(roots, ["conv_id", "turn"], "left")
         .select(
-            "conv_id", "turn", "role", "parent_turn", F.coalesce("root_turn", F.when(F.col("conv_id").isNotNull(), F.col("turn"))).alias("root_turn"), F.coalesce("depth", nothing).cast("int").alias("depth"),
+            "conv_id", "turn", "role", "parent_turn", F.coalesce("root_turn", F.when(F.col("conv_id").isNotNull(), F.col("turn"))).alias("root_turn"), F.coalesce("depth", nothing).cast("int").alias("depth"), F.coalesce("path", F.when(F.col("conv_id").isNotNull() & F.col("turn").isNotNull(), F.array("turn"))).alias("path"),
             F.coalesce("n_quotes", nothing).cast("long").alias("n_quotes"), F.coalesce("n_linked", nothing).cast("long").alias("n_linked"), F.coalesce("max_level", nothing).cast("int").alias("max_level"), "body",
         )
     )
@@ -185,4 +192,4 @@ def format_chats(messages: DataFrame) -> DataFrame:
 
 def op8_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = format_chats(read(spark, sf_dir, "conversations"))
-    return out.withColumn("body_sha256", F.sha2(F.col("body"), 256)).withColumn("body_chars", F.length("body").cast("long")).drop("body")
+    return out.withColumn("body_sha256", F.sha2(F.col("body"), 256)).withColumn("body_chars", F.length("body").cast("long"))

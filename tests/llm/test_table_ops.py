@@ -371,7 +371,23 @@ def test_quotes_equal_brute_force(spark, monkeypatch):
 def test_long_reply_chains(spark):
     m = [(7, k, "user", (f"> line {k - 1}\n" if k else "") + f"line {k}") for k in range(40)]
     found = chat_quotes.format_chats(spark.createDataFrame(m, "conv_id int, turn int, role string, text string")).collect()
-    assert {r.turn: (r.root_turn, r.depth) for r in found} == {k: (0, k) for k in range(40)}
+    assert {r.turn: (r.root_turn, r.depth, r.path) for r in found} == {k: (0, k, list(range(k + 1))) for k in range(40)}
+
+
+def test_branches_stay_together(spark):
+    """Replies to 1 and 2 alternate; by path each branch is whole. Columns of the working tables don't disturb."""
+    m = [(0, "start"), (1, "> start\none"), (2, "> start\ntwo"), (3, "> one\nthree"), (4, "> two\nfour"), (5, "> three\nfive"), (6, "alone"), (7, "> four\nseven")]
+    table = spark.createDataFrame([(1, k, "user", t, "x", 5, "y") for k, t in m], "conv_id long, turn long, role string, text string, own string, path int, root_turn string")
+    assert [r.turn for r in chat_quotes.format_chats(table).orderBy("conv_id", "path").collect()] == [0, 1, 3, 5, 2, 4, 7, 6]
+
+
+def test_many_attributions_take_linear_time():
+    import time
+
+    text = "On Monday, x wrote:\n" * 60_000 + "\n" * 60_000 + "> said"
+    began = time.perf_counter()
+    assert chat_quotes.split_quotes(text)[1] == [(1, "said")]
+    assert time.perf_counter() - began < 20
 
 
 def test_chat_query_loses_no_message(spark, small):
