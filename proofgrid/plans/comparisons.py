@@ -1,4 +1,4 @@
-"""Paired comparisons, the evidence cube and sensitivity."""
+"""Paired comparisons, the evidence cube and sensitivity."""
 
 from __future__ import annotations
 

@@ -1,4 +1,4 @@
-"""Seeds, messages, histories and audits."""
+"""Seeds, messages, histories and audits."""
 
 from __future__ import annotations
 

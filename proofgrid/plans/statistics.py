@@ -40,15 +40,19 @@ def _wilson_sql(hits: str, total: str, name: str) -> str:
     return f"round(CASE WHEN {total} > 0 THEN greatest(0.0::DOUBLE, {centre} / {scale} - {half}) END, 9) AS {name}_low, round(CASE WHEN {total} > 0 THEN least(1.0::DOUBLE, {centre} / {scale} + {half}) END, 9) AS {name}_high"
 
 
-@register("detection_summary_wilson", f"""WITH {DETECTIONS_SQL}, {_THRESHOLD_SQL}, judged AS (SELECT d.*, CASE WHEN strict THEN detection_score > threshold ELSE detection_score >= threshold END AS hit FROM detections d JOIN thresholds USING (dataset) WHERE split = 'test'),
+@register("detection_summary_wilson", f"""WITH {DETECTIONS_SQL}, {_THRESHOLD_SQL}, own AS (SELECT d.*, CASE WHEN strict THEN detection_score > threshold ELSE detection_score >= threshold END AS hit FROM detections d JOIN thresholds USING (dataset) WHERE split = 'test'),
+  judged AS (SELECT * FROM own UNION ALL SELECT * REPLACE ('overall' AS dataset) FROM own), ties AS (SELECT dataset, detection_score AS score, count(*) FILTER (WHERE label = 0) AS n0, count(*) FILTER (WHERE label = 1) AS n1 FROM judged GROUP BY ALL),
+  wins AS (SELECT *, coalesce(sum(n0) OVER (PARTITION BY dataset ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS under FROM ties),
+  area AS (SELECT dataset, round(sum(n1 * (under + n0 / 2.0::DOUBLE)) / nullif(sum(n1)::DOUBLE * sum(n0), 0), 9) AS auc FROM wins GROUP BY dataset),
   c AS (SELECT dataset, count(*) FILTER (WHERE label = 1) AS positives, count(*) FILTER (WHERE label = 0) AS negatives, count(*) FILTER (WHERE label = 1 AND hit) AS tp, count(*) FILTER (WHERE label = 0 AND hit) AS fp,
     count(*) FILTER (WHERE label = 1 AND intrinsic_detected) AS intrinsic_tp, count(*) FILTER (WHERE label = 0 AND intrinsic_detected) AS intrinsic_fp, round(avg(complete_recovery), 9) AS positive_recovery, CASE WHEN count(DISTINCT detection_score) > 2 THEN 'continuous' ELSE 'binary' END AS resolution FROM judged GROUP BY dataset)
-  SELECT *, round(tp / nullif(positives, 0)::DOUBLE, 9) AS tpr, round(fp / nullif(negatives, 0)::DOUBLE, 9) AS fpr, {_wilson_sql('tp', 'positives', 'tpr')}, {_wilson_sql('fp', 'negatives', 'fpr')} FROM c""")
+  SELECT *, round(tp / nullif(positives, 0)::DOUBLE, 9) AS tpr, round(fp / nullif(negatives, 0)::DOUBLE, 9) AS fpr, {_wilson_sql('tp', 'positives', 'tpr')}, {_wilson_sql('fp', 'negatives', 'fpr')} FROM c JOIN area USING (dataset)""")
 def detection_summary_wilson(spark, sf_dir):
-    """Thresholds from calibration negatives, applied to the test split; thresholds are one row for each dataset."""
+    """Thresholds from calibration negatives, applied to the test split, by dataset and overall; thresholds are one row for each dataset."""
     facts = detections(spark, sf_dir)
     limits = tie_safe_threshold(facts.where("split = 'calibration'"), ["dataset"], _TARGET).drop("negatives")
     judged = facts.where("split = 'test'").join(limits, "dataset")
+    judged = judged.withColumn("dataset", F.explode(F.array("dataset", F.lit("overall"))))
     hit = F.when(F.col("strict"), F.col("detection_score") > F.col("threshold")).otherwise(F.col("detection_score") >= F.col("threshold"))
     pos, neg, own = F.col("label") == 1, F.col("label") == 0, F.col("intrinsic_detected")
     c = judged.groupBy("dataset").agg(
@@ -56,7 +60,8 @@ def detection_summary_wilson(spark, sf_dir):
         F.round(F.avg("complete_recovery"), 9).alias("positive_recovery"), F.when(F.count_distinct("detection_score") > 2, "continuous").otherwise("binary").alias("resolution"),
     )
     bounds = [F.round(b, 9).alias(f"{name}_{side}") for name, h, n in (("tpr", "tp", "positives"), ("fpr", "fp", "negatives")) for side, b in zip(("low", "high"), wilson(F.col(h), F.col(n)), strict=True)]
-    return c.select("*", F.round(F.try_divide("tp", "positives"), 9).alias("tpr"), F.round(F.try_divide("fp", "negatives"), 9).alias("fpr"), *bounds)
+    area = rounded(auc(judged, ["dataset"])).select("dataset", "auc")
+    return c.join(area, "dataset").select("*", F.round(F.try_divide("tp", "positives"), 9).alias("tpr"), F.round(F.try_divide("fp", "negatives"), 9).alias("fpr"), *bounds)
 
 
 @register("strict_max_threshold", f"""WITH {RUNS_SQL}, t AS (SELECT method, max(value) AS threshold FROM runs WHERE attack = 'view' GROUP BY method) SELECT method, threshold, count(*) FILTER (WHERE value > threshold) AS above, count(*) AS total FROM runs JOIN t USING (method) WHERE attack <> 'view' GROUP BY method, threshold""")

@@ -1,4 +1,4 @@
-"""Grouped summaries."""
+"""Grouped summaries."""
 
 from __future__ import annotations
 
