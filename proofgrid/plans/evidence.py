@@ -171,6 +171,20 @@ def artifact_lookup(spark, sf_dir):
     return files.where(scalars.inside(F.col("path"))).join(table(spark, sf_dir, "labels").select("doc_id").distinct(), "doc_id", "left_semi")
 
 
+@register("results_audit", f"""WITH {RECORDS_SQL}, keyed AS (SELECT dataset, model, message_bits, (dataset, image_id, model, attack) AS key, ('0x' || substr(sha256(dataset || ':' || image_id::VARCHAR || ':' || model || ':' || attack || ':' || complete_recovery::VARCHAR), 1, 15))::BIGINT AS print FROM records),
+  plan AS (SELECT 'ds' || (label % 4)::VARCHAR AS dataset, 10 * count(*) AS planned FROM embeddings GROUP BY 1)
+  SELECT dataset, count(*) AS n_rows, count(DISTINCT key) AS keys, max(planned)::BIGINT AS planned, count(*) FILTER (WHERE message_bits <> 32) AS wrong_bits, count(*) FILTER (WHERE model NOT IN ('base', 'repeat2')) AS unknown_models, bit_xor(print)::BIGINT AS print, count(*) = max(planned) AND count(DISTINCT key) = max(planned) AS passed FROM keyed JOIN plan USING (dataset) GROUP BY dataset""")
+def results_audit(spark, sf_dir):
+    """One result file (here: a dataset) after another: its keys against the plan, message bits, model labels, and a print of its rows in any order."""
+    facts = records(spark, sf_dir)
+    print_ = F.conv(F.substring(F.sha2(F.concat_ws(":", "dataset", F.col("image_id").cast("string"), "model", "attack", F.col("complete_recovery").cast("string")), 256), 1, 15), 16, 10).cast("long")
+    cells = facts.groupBy("dataset", "image_id", "model", "attack").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("message_bits") != 32).alias("bits"), F.bit_xor(print_).alias("print"))
+    files = cells.groupBy("dataset").agg(F.sum("n").alias("n_rows"), F.count(F.lit(1)).alias("keys"), F.sum("bits").alias("wrong_bits"), F.coalesce(F.sum(F.when(~F.col("model").isin("base", "repeat2"), F.col("n"))), F.lit(0)).alias("unknown_models"), F.bit_xor("print").alias("print"))
+    plan = table(spark, sf_dir, "embeddings").groupBy((F.col("label") % 4).alias("rest")).agg((10 * F.count(F.lit(1))).alias("planned")).select(F.concat(F.lit("ds"), F.col("rest").cast("string")).alias("dataset"), "planned")
+    passed = (F.col("n_rows") == F.col("planned")) & (F.col("keys") == F.col("planned"))
+    return files.join(plan, "dataset").select("dataset", "n_rows", "keys", "planned", "wrong_bits", "unknown_models", "print", passed.alias("passed"))
+
+
 # --- detection rows and sweeps
 
 

@@ -120,6 +120,17 @@ def test_messages_are_matched_by_bits_and_places(spark):
         assert r.mean_matched_iou == pytest.approx(np.mean([iou[i][j] for i, j in best]) if best else 0.0)
 
 
+def test_configurations_keep_their_domains(spark):
+    from proofgrid.operators import domains
+
+    good = [("a", "budget", "max_candidates", 7.0), ("a", "budget", "minimum_search_fraction", 0.25), ("a", "budget", "reliable_fraction", 0.25), ("a", "adaptive", "minimum_psnr_db", 38.0), ("a", "adaptive", "target_psnr_db", 40.0),
+            ("a", "geometry", "rotation_correction", -45.0), ("a", "geometry", "rotation_correction", 10.0), ("a", "messages", "maximum_messages", 4.0), ("a", "messages", "candidate_limit", 4.0), ("a", "other", "anything", -1.0)]
+    bad = [("b", "budget", "max_candidates", 11.0), ("b", "budget", "reliable_agreement", 0.0), ("b", "budget", "stop_minimum_margin", math.inf), ("b", "adaptive", "minimum_strength", 8.0), ("b", "adaptive", "maximum_strength", 8.0),
+           ("b", "geometry", "perspective_correction", 0.25), ("b", "messages", "assignment_temperature", math.nan), ("b", "messages", "seed_hamming_radius", None)]
+    found = domains.violations(spark.createDataFrame(good + bad, "config string, kind string, name string, value double")).collect()
+    assert {(r.config, r.rule) for r in found} == {("b", f"{n} is out of range") for n in ("max_candidates", "reliable_agreement", "stop_minimum_margin", "perspective_correction", "assignment_temperature", "seed_hamming_radius")} | {("b", "minimum_strength is not below maximum_strength")}
+
+
 def test_numbers_within_groups(spark):
     rng = np.random.default_rng(5)
     rows = [(None if g == 2 else int(g), int(v)) for g, v in zip(rng.integers(0, 3, 400), rng.permutation(400), strict=True)]
