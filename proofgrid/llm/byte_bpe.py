@@ -1,8 +1,9 @@
 """Byte-level BPE encoding and decoding with tiktoken and a local rank file.
 
-A text longer than LONG characters is cut before white space that follows a visible character: no match of the
-split pattern spans such a place, so the ids of the parts, one after the other, are those of the whole. Decoding
-joins the raw bytes of the ids, which need not be valid UTF-8.
+A text longer than LONG characters is cut before white space that follows a visible character, if no match of the
+split pattern spans such a place: the ids of the parts, one after the other, are then those of the whole. Whether a
+pattern is one of these is tried on all kinds of characters around a cut; texts aren't cut for any other. Decoding joins
+the raw bytes of the ids, which need not be valid UTF-8.
 
 Defined cases: null and empty texts have no ids; special-token strings are ordinary text; rows are encoded one by
 one, so ties, repeated rows and extra columns change nothing; an empty table gives an empty table.
@@ -47,6 +48,14 @@ def _splitter(pattern: str) -> regex.Pattern:
     return regex.compile(pattern)
 
 
+@lru_cache(maxsize=8)
+def cuts_safely(pattern: str) -> bool:
+    """Whether the pattern's matches end at every place where safe_parts would cut."""
+    left, right = ("a", "Z", "1", "é", "日", "٣", ".", "'s", "a.", "1,", "!?", "_", "-"), ("", "a", "1", ".", "'s", " ", "\n", "  a", "\n\n", "\t1", " .")
+    probes = ((len(x), x + gap + y) for x in left for gap in " \n" for y in right)
+    return all(any(m.end() == at for m in _splitter(pattern).finditer(text)) for at, text in probes)
+
+
 def safe_parts(text: str, size: int = LONG) -> Iterator[str]:
     """Parts of a text that can be encoded separately; a part is longer than size only where no safe place is nearer."""
     at = 0
@@ -67,9 +76,9 @@ def encode(text: str | None, path: str, pattern: str) -> list[int]:
     if len(text) <= LONG_RUN:
         return enc.encode_ordinary(text)
     ids: list[int] = []
-    for part in safe_parts(text):
+    for part in safe_parts(text) if cuts_safely(pattern) else [text]:
         if _GAP.search(part):
-            for piece in _splitter(pattern).findall(part):
+            for piece in (m[0] for m in _splitter(pattern).finditer(part)):
                 raw = piece.encode()
                 rank = _ranks(path).get(raw)
                 ids += enc.encode_ordinary(piece) if rank is None and not piece.isspace() else [rank] if rank is not None else _space_ids(raw, path, enc)

@@ -58,6 +58,16 @@ def store_row(r):
     return Row(doc_id=r[0], n_tokens=r[1], ids_sha256=r[2], decoded_sha256=r[3], n_bytes=r[4])
 
 
+def test_texts_are_cut_only_where_the_pattern_allows(monkeypatch):
+    """A pattern that takes line breaks after signs (as some public ones do) would be cut through."""
+    other = r"[^\r\n\p{L}\p{N}]?\p{L}+|\p{N}{1,3}| ?[^\s\p{L}\p{N}]+[\r\n]*|\s*[\r\n]+|\s+(?!\S)|\s+"
+    assert byte_bpe.cuts_safely(P.PATTERN) and not byte_bpe.cuts_safely(other)
+    monkeypatch.setattr(byte_bpe, "LONG_RUN", 100)
+    text = "Ein Satz.\n\n" * 9_000
+    for pattern in (P.PATTERN, other):
+        assert byte_bpe.encode(text, RANKS, pattern) == byte_bpe.encoding(RANKS, pattern).encode_ordinary(text)
+
+
 def test_bpe_parts_join_to_the_whole():
     text = data.LONG + "  \n\n x" + "12ab" * 50_000 + " end\t\t ."
     enc = byte_bpe.encoding(RANKS, P.PATTERN)
