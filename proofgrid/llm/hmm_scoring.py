@@ -37,7 +37,7 @@ from .store import lean, materialize, read
 TOP, OWN, SHARED = 32_768, 2_047, 256
 STATES, ITERATIONS, TOLERANCE = 8, 6, 1e-4
 #: Tokens of the texts that a task trains on at once, and positions whose forward vectors it holds.
-GROUP, HOLD = 400_000, 400_000
+GROUP, HOLD = 200_000, 200_000
 #: Added to each expected count.
 SMOOTH_EMIT, SMOOTH_MOVE = 0.01, 1.0
 CLASSES = 1 + OWN + SHARED  # class 0 is the end token
@@ -186,100 +186,105 @@ def first_guess(states: int, classes: int, seed: int = 7) -> Hmm:
     return Hmm(np.full(states, 1 / states), move, emit / emit.sum(1, keepdims=True))
 
 
-def _by_length(sequences: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Order by falling length, the lengths, and for each position the number of sequences that reach it."""
-    size = np.array([len(s) for s in sequences])
-    order = np.argsort(-size, kind="stable")
-    size = size[order]
-    alive = np.searchsorted(-size, -np.arange(size[0]), side="left") if len(size) else np.zeros(0, np.int64)
-    return order, size, alive
+class _Steps:
+    """Sequences side by side, the longest first: the symbols of all that reach a position stand together, so a
+    recursion goes on by slices. Parts are runs of positions of about hold symbols."""
+
+    def __init__(self, sequences: list[np.ndarray], hmm: Hmm, hold: int):
+        size = np.array([len(s) for s in sequences])
+        self.order = np.argsort(-size, kind="stable")
+        size = size[self.order]
+        self.hmm, self.likely, self.count = hmm, np.ascontiguousarray(hmm.emit.T), len(size)
+        self.reach = np.searchsorted(-size, -np.arange(size[0]), side="left")  # how many sequences have this position
+        self.offset = np.append(0, np.cumsum(self.reach))
+        rank = np.repeat(np.arange(len(size)), size)
+        position = np.arange(size.sum()) - np.repeat(np.append(0, np.cumsum(size))[:-1], size)
+        self.symbols = np.empty(len(rank), np.int32)
+        self.symbols[self.offset[position] + rank] = np.concatenate([sequences[k] for k in self.order])
+        part = self.offset[:-1] // hold
+        edges = np.append(np.flatnonzero(np.append(True, part[1:] != part[:-1])), len(self.reach)).tolist()
+        self.parts = list(zip(edges, edges[1:], strict=False))
+
+    def forward(self, first: int, end: int, before: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Emissions, scaled forward vectors and scales of positions first to end; before is the vectors at the position before."""
+        place = (self.offset[first : end + 1] - self.offset[first]).tolist()
+        emitted = self.likely[self.symbols[self.offset[first] : self.offset[end]]]
+        alpha, norm = np.empty_like(emitted), np.empty((len(emitted), 1))
+        move, ones = self.hmm.move, np.ones((len(self.hmm.move), 1))
+        for k in range(end - first):
+            at, to = place[k], place[k + 1]
+            now, scale = alpha[at:to], norm[at:to]
+            if first + k:
+                np.dot(before[: to - at], move, out=now)
+            else:
+                now[:] = self.hmm.start
+            now *= emitted[at:to]
+            np.dot(now, ones, out=scale)
+            now /= scale
+            before = now
+        return emitted, alpha, norm
 
 
-def forward_scores(sequences: list[np.ndarray], hmm: Hmm) -> np.ndarray:
+def forward_scores(sequences: list[np.ndarray], hmm: Hmm, hold: int = HOLD) -> np.ndarray:
     """Natural log of the exact likelihood of each class sequence, by the scaled forward recursion."""
     if not sequences:
         return np.zeros(0)
-    order, size, alive = _by_length(sequences)
-    ordered = [sequences[k] for k in order]
-    flat = np.concatenate(ordered)
-    begin = np.append(0, np.cumsum(size))[:-1]
-    likely = np.ascontiguousarray(hmm.emit.T)
-    total = np.zeros(len(size))
-    alpha = np.tile(hmm.start, (len(size), 1))
-    for t in range(size[0]):
-        # sequences that reach position t are the first ones
-        n = int(np.searchsorted(-size, -t, side="left"))
-        if n < len(alpha):
-            alpha = alpha[:n]
-        if t:
-            alpha = alpha @ hmm.move
-        alpha = alpha * likely[flat[begin[:n] + t]]
-        norm = alpha.sum(1)
-        alpha /= norm[:, None]
-        total[:n] += np.log(norm)
-    out = np.empty(len(size))
-    out[order] = total
+    steps = _Steps(sequences, hmm, hold)
+    total, before = np.zeros(steps.count), np.zeros((0, 0))
+    for first, end in steps.parts:
+        _, alpha, norm = steps.forward(first, end, before)
+        before = alpha[-steps.reach[end - 1] :]
+        reach = steps.reach[first:end]
+        rank = np.arange(len(norm)) - np.repeat(np.append(0, np.cumsum(reach))[:-1], reach)
+        total += np.bincount(rank, weights=np.log(norm[:, 0]), minlength=len(total))
+    out = np.empty(len(total))
+    out[steps.order] = total
     return out
 
 
 def expected_counts(sequences: list[np.ndarray], hmm: Hmm, hold: int = HOLD) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
     """Baum-Welch counts of start, moves and emissions, and the log likelihood, of whole class sequences.
 
-    Forward vectors are kept for one part of about hold positions at a time. Parts are walked from the last to the
-    first; all but the last are computed again from the forward vectors before them, so the counts don't depend on hold.
+    Vectors are kept for one part of about hold positions at a time. Parts are walked from the last to the first; all
+    but the last are computed again from the forward vectors before them, so the counts don't depend on hold.
     """
     states, classes = hmm.emit.shape
-    order, size, reach = _by_length(sequences)
-    flat = np.concatenate([sequences[k] for k in order])
-    begin = np.append(0, np.cumsum(size))[:-1]
-    likely = np.ascontiguousarray(hmm.emit.T)
-    part = np.append(0, np.cumsum(reach))[:-1] // hold  # of each position
-    edges = np.append(np.flatnonzero(np.append(True, part[1:] != part[:-1])), len(reach)).tolist()
-    reach = reach.tolist()
-
-    def forward(first: int, end: int, alpha: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
-        """Scaled forward vectors and their scales at positions first to end; alpha is that before first."""
-        alphas, norms = [], []
-        for t in range(first, end):
-            n = reach[t]
-            alpha = (alpha[:n] @ hmm.move if t else alpha[:n]) * likely[flat[begin[:n] + t]]
-            norm = alpha.sum(1)
-            alpha = alpha / norm[:, None]
-            alphas.append(alpha)
-            norms.append(norm)
-        return alphas, norms
-
-    before, log_likelihood = [np.tile(hmm.start, (len(size), 1))], 0.0
-    for first, end in zip(edges, edges[1:], strict=False):
-        alphas, norms = forward(first, end, before[-1])
-        before.append(alphas[-1])
-        log_likelihood += sum(float(np.log(norm).sum()) for norm in norms)
+    steps = _Steps(sequences, hmm, hold)
+    before, log_likelihood = [np.zeros((0, states))], 0.0
+    for first, end in steps.parts:
+        kept = steps.forward(first, end, before[-1])
+        before.append(kept[1][-steps.reach[end - 1] :].copy())
+        log_likelihood += float(np.log(kept[2]).sum())
     starts, moves, emits = np.zeros(states), np.zeros((states, states)), np.zeros((states, classes))
-    beta = np.ones((reach[-1], states))
-    for k in range(len(edges) - 2, -1, -1):
-        first, end = edges[k], edges[k + 1]
-        if k < len(edges) - 2:
-            alphas, norms = forward(first, end, before[k])
-        seen, gammas = [], []
-        for t in range(end - 1, first - 1, -1):
-            n, alpha = reach[t], alphas[t - first]
-            if len(beta) < n:  # sequences that end here
-                beta = np.concatenate([beta, np.ones((n - len(beta), states))])
-            gamma = alpha * beta
-            gamma /= gamma.sum(1, keepdims=True)
-            symbols = flat[begin[:n] + t]
-            seen.append(symbols)
-            gammas.append(gamma)
-            if t:
-                ahead = beta * likely[symbols] / norms[t - first][:, None]
-                moves += hmm.move * ((alphas[t - first - 1] if t > first else before[k])[:n].T @ ahead)
-                beta = ahead @ hmm.move.T
-            else:
-                starts = gamma.sum(0)
-        symbols, gamma = np.concatenate(seen), np.concatenate(gammas)
+    back, beta = np.ascontiguousarray(hmm.move.T), np.ones((0, states))
+    for number in range(len(steps.parts) - 1, -1, -1):
+        first, end = steps.parts[number]
+        ahead, alpha, norm = kept if number == len(steps.parts) - 1 else steps.forward(first, end, before[number])
+        ahead /= norm
+        gamma = np.empty_like(alpha)
+        place = (steps.offset[first : end + 1] - steps.offset[first]).tolist()
+        for k in range(end - first - 1, -1, -1):
+            at, to = place[k], place[k + 1]
+            if len(beta) < to - at:  # sequences that end here
+                beta = np.concatenate([beta, np.ones((to - at - len(beta), states))])
+            gamma[at:to] = beta
+            now = ahead[at:to]
+            now *= beta
+            beta = np.dot(now, back)
+        gamma *= alpha
+        gamma /= gamma.sum(1, keepdims=True)
+        # The vector before each position: of the position before it in this part, or of the end of the part before.
+        later = steps.reach[first + 1 : end]
+        alpha_before = alpha[np.arange(place[1], place[-1]) - np.repeat(steps.reach[first : end - 1], later)]
+        if first:
+            moves += before[number][: place[1]].T @ ahead[: place[1]]
+        else:
+            starts = gamma[: place[1]].sum(0)
+        moves += alpha_before.T @ ahead[place[1] :]
+        symbols = steps.symbols[steps.offset[first] : steps.offset[end]]
         for state in range(states):
             emits[state] += np.bincount(symbols, weights=gamma[:, state], minlength=classes)
-    return starts, moves, emits, log_likelihood
+    return starts, hmm.move * moves, emits, log_likelihood
 
 
 def grouped(sequences: Iterator[np.ndarray], size: int = GROUP) -> Iterator[list[np.ndarray]]:
