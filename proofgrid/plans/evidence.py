@@ -15,7 +15,7 @@ from ..operators.policy import Policy, replay
 from ..operators.summary import unit_means
 from .registry import register, rounded
 from .standins import ATTACKS_SQL, MANIFEST_SQL, RECORDS_SQL, attacks, manifest, records, table
-from .statistics import _ONE, _TRACES_SQL, _boot_sql, _gained, _replay_sql, _GAIN_SQL, traces
+from .statistics import _ONE, _TRACES_SQL, _boot_sql, _gained, _replay_sql, _GAIN_SQL, _told, traces
 
 _VECTOR = "x AS (SELECT vec_id, label, list_transform(embedding, lambda v: v::DOUBLE) AS e FROM embeddings)"
 
@@ -40,7 +40,7 @@ def border_export(spark, sf_dir):
         of("repeat2", (F.col("bit_accuracy") >= 0.75).cast("int")).alias("identity_recovery"), of("repeat2", (F.col("decode_ms") > 75).cast("int")).alias("searched_fraction"),
     )
     units = unit_means(_gained(spark, sf_dir).withColumnRenamed("complete_recovery", "recovery"), ["attack", "dataset", "image_id"], ["recovery"])
-    boot = hash_bootstrap(units, ["attack"], ["dataset", "image_id"], ["recovery"], 1000, "border").withColumnRenamed("units", "image_units")
+    boot = _told(hash_bootstrap(units, ["attack"], ["dataset", "image_id"], ["recovery"], 1000, "border")).withColumnRenamed("units", "image_units")
     names = ["image_units", "records_per_model", "base_recovery", "repeat2_recovery", "identity_recovery", "searched_fraction", "recovery_mean", "recovery_low", "recovery_high"]
     return rounded(rates.join(boot, "attack").select(F.array_position(order, F.col("attack")).cast("int").alias("place"), "attack", *names))
 

@@ -224,5 +224,6 @@ def calibration_test_split(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select(F.col("lang").alias("dataset"), "doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha"))
     part = docs.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(64)))
     first = first_of(first_of(part, ["dataset", "salt"], ["sha", "doc_id"], 20), ["dataset"], ["sha", "doc_id"], 20).select("dataset", "doc_id", F.lit("calibration").alias("split"))
-    same = docs.dataset.eqNullSafe(first.dataset) & docs.doc_id.eqNullSafe(first.doc_id)  # a null language is a dataset, too
-    return docs.join(first, same, "left").select(docs.dataset, docs.doc_id, F.coalesce(first.split, F.lit("test")).alias("split"))
+    named = first.select(F.col("dataset").alias("_dataset"), F.col("doc_id").alias("_doc"), F.col("split").alias("_split"))
+    same = F.col("dataset").eqNullSafe(F.col("_dataset")) & F.col("doc_id").eqNullSafe(F.col("_doc"))  # a null language is a dataset, too
+    return docs.join(named, same, "left").select("dataset", "doc_id", F.coalesce("_split", F.lit("test")).alias("split"))
