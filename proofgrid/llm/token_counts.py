@@ -116,10 +116,10 @@ def copies_of(counted: DataFrame, counts: list[str]) -> DataFrame:
     Rows are summed up by print and group before they move, so a text of many copies is a few rows in its task.
     """
     group = ["print", "source", "lang"]
-    least = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "source", "lang")).alias("least")
-    groups = counted.groupBy(*group).agg(F.count(F.lit(1)).alias("n"), least, *[F.max(c).alias(c) for c in counts])
-    kept = groups.groupBy("print").agg(F.min("least").alias("kept"))
-    times = F.col("n") - F.when(F.col("least") == F.col("kept"), 1).otherwise(0)
+    groups = counted.groupBy(*group).agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("least"), *[F.max(c).alias(c) for c in counts])
+    order = F.struct(F.col("least").isNull().alias("unnamed"), "least", "source", "lang")
+    kept = groups.groupBy("print").agg(F.min(order).alias("kept"))
+    times = F.col("n") - F.when(order == F.col("kept"), 1).otherwise(0)
     return groups.join(kept, "print").select("source", "lang", *counts, times.alias("times")).where("times > 0")
 
 
@@ -136,7 +136,7 @@ def op1_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     split_words = F.size(F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")).cast("long").alias("split_words")
     letter_runs = F.size(F.regexp_extract_all(text, F.lit(r"[\p{L}\p{N}]+"), 0)).cast("long").alias("letter_runs")
-    counted = count_tokens(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, F.sha2(text, 256).alias("print"), split_words, letter_runs)
+    counted = count_tokens(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, F.unhex(F.sha2(text, 256)).alias("print"), split_words, letter_runs)
     counted = materialize(counted, "counts")
 
     store = RollupStore(spark, fresh_path(spark, "rollup"))
