@@ -355,7 +355,8 @@ def _classes(docs: DataFrame, threshold: float, bands: int, rows: int, n_words:
         roots = components(links.unionByName(more))
 
     rooted = reps.join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
-    named = rooted.groupBy("root").agg(F.min("name").alias("class_id"), F.sum("copies").alias("class_size"), F.coalesce(F.min_by("keep", "name"), F.min("keep")).alias("keep"))
+    # Written apart, so that it is sent to all tasks where it is small and a large class is split in the join where it isn't.
+    named = materialize(rooted.groupBy("root").agg(F.min("name").alias("class_id"), F.sum("copies").alias("class_size"), F.coalesce(F.min_by("keep", "name"), F.min("keep")).alias("keep")), "named", fold=True)
     classes = rooted.select("print1", "print2", "root").join(named, "root").drop("root")
     some = F.col("n") > 0
     found = materialize(
@@ -363,7 +364,7 @@ def _classes(docs: DataFrame, threshold: float, bands: int, rows: int, n_words:
         .select("row", "doc_id", F.when(some, F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"), F.when(some, F.col("class_size")).otherwise(1).alias("class_size"), F.when(some, F.col("row") == F.col("keep")).otherwise(True).alias("kept")),
         "classes",
     )
-    discard(sketches, reps, links, more, roots)
+    discard(sketches, reps, links, more, roots, named)
     return found
 
 
