@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 #: Texts whose results are held at once.
 PART = 500
-#: Row numbers up to which pick() sends them to all tasks (16 bytes each or so).
-BROADCAST_ROWS = 1_000_000
+#: Row numbers up to which pick() sends them to all tasks (about 100 bytes each in the hash table of a join).
+BROADCAST_ROWS = 500_000
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
