@@ -315,11 +315,11 @@ _BITS = "list_transform({c}.logits, lambda x: (x > 0.5)::INTEGER)"
   w AS (SELECT *, [exp((c.score - ranked[1].score) / 0.15::DOUBLE) for c in top] AS ws FROM t),
   f AS (SELECT *, list_transform(range(1, 9), lambda i: (list_sum([top[j].logits[i] * ws[j] / list_sum(ws) for j in range(1, len(top) + 1)]) > 0.5)::INTEGER) AS fused FROM w),
   m AS (SELECT vec_id, positive, expected, 'adaptive_identity' AS method, {_BITS.format(c='idn')} AS bits, idn.fraction AS detection_score, 1 AS candidates, 'baseline' AS stop_reason FROM f
-    UNION ALL SELECT vec_id, positive, expected, 'wam_fixed', CASE WHEN positive THEN list_transform(candidates[2].logits, lambda x: (x > 0.5)::INTEGER) ELSE {_BITS.format(c='idn')} END, candidates[2].fraction, 1, 'baseline' FROM f
-    UNION ALL SELECT vec_id, positive, expected, 'legacy_am', CASE WHEN take AND border >= 0.02 THEN fused ELSE {_BITS.format(c='idn')} END, CASE WHEN take AND border >= 0.02 THEN ranked[1].fraction ELSE idn.fraction END, CASE WHEN border >= 0.02 THEN 10 ELSE 1 END, 'baseline' FROM f
+    UNION ALL SELECT vec_id, positive, expected, 'fixed', CASE WHEN positive THEN list_transform(candidates[2].logits, lambda x: (x > 0.5)::INTEGER) ELSE {_BITS.format(c='idn')} END, candidates[2].fraction, 1, 'baseline' FROM f
+    UNION ALL SELECT vec_id, positive, expected, 'legacy_gated', CASE WHEN take AND border >= 0.02 THEN fused ELSE {_BITS.format(c='idn')} END, CASE WHEN take AND border >= 0.02 THEN ranked[1].fraction ELSE idn.fraction END, CASE WHEN border >= 0.02 THEN 10 ELSE 1 END, 'baseline' FROM f
     UNION ALL SELECT vec_id, positive, expected, 'full_best', CASE WHEN take THEN {_BITS.format(c='ranked[1]')} ELSE {_BITS.format(c='idn')} END, CASE WHEN take THEN ranked[1].fraction ELSE idn.fraction END, 10, 'baseline' FROM f
     UNION ALL SELECT vec_id, positive, expected, 'full_soft', CASE WHEN take THEN fused ELSE {_BITS.format(c='idn')} END, CASE WHEN take THEN ranked[1].fraction ELSE idn.fraction END, 10, 'baseline' FROM f
-    UNION ALL SELECT f.vec_id, f.positive, expected, 'budget_wam', {_BITS.format(c='[c for c in candidates if c.name = selected][1]')}, p.fraction, visited, p.stop_reason FROM f JOIN replayed p USING (vec_id))
+    UNION ALL SELECT f.vec_id, f.positive, expected, 'budget', {_BITS.format(c='[c for c in candidates if c.name = selected][1]')}, p.fraction, visited, p.stop_reason FROM f JOIN replayed p USING (vec_id))
   SELECT vec_id, positive, method, array_to_string(bits, '') AS bits, detection_score, candidates, stop_reason, CASE WHEN positive THEN round(list_sum(list_transform(range(1, 9), lambda i: (bits[i] = expected[i])::INTEGER)) / 8.0::DOUBLE, 9) END AS bit_accuracy, CASE WHEN positive THEN (bits = expected)::INTEGER END AS complete_recovery FROM m""")
 def method_expansion(spark, sf_dir):
     """One recorded trace gives a row for each of six decision methods; the fixed embedding stands in the second candidate."""
@@ -330,9 +330,9 @@ def method_expansion(spark, sf_dir):
     best, soft, legacy = (full_decision(c, top=top, border=border) for top, border in ((1, None), (3, None), (3, F.col("border"))))
     ten, opened = F.lit(len(CANDIDATES)), F.col("border") >= 0.02
     methods = F.array(
-        row("adaptive_identity", bits(identity), identity["fraction"], F.lit(1)), row("wam_fixed", F.when(F.col("positive"), bits(c[1])).otherwise(bits(identity)), c[1]["fraction"], F.lit(1)),
-        row("legacy_am", legacy["bits"], legacy["fraction"], F.when(opened, ten).otherwise(1)), row("full_best", best["bits"], best["fraction"], ten), row("full_soft", soft["bits"], soft["fraction"], ten),
-        row("budget_wam", bits(F.filter(c, lambda x: x["name"] == F.col("selected"))[0]), F.col("fraction"), F.col("visited"), F.col("stop_reason")),
+        row("adaptive_identity", bits(identity), identity["fraction"], F.lit(1)), row("fixed", F.when(F.col("positive"), bits(c[1])).otherwise(bits(identity)), c[1]["fraction"], F.lit(1)),
+        row("legacy_gated", legacy["bits"], legacy["fraction"], F.when(opened, ten).otherwise(1)), row("full_best", best["bits"], best["fraction"], ten), row("full_soft", soft["bits"], soft["fraction"], ten),
+        row("budget", bits(F.filter(c, lambda x: x["name"] == F.col("selected"))[0]), F.col("fraction"), F.col("visited"), F.col("stop_reason")),
     )
     out = seen.select("vec_id", "positive", "expected", F.explode(methods).alias("m")).select("vec_id", "positive", "expected", "m.*")
     hits = F.aggregate(F.zip_with("bits", "expected", lambda a, b: (a == b).cast("int")), F.lit(0), lambda n, x: n + x)
