@@ -1,34 +1,29 @@
-"""Global order and rank without a window over all rows."""
+"""Global order, rank and running sums without a window over all rows or over all rows of a group."""
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .shared import stored
 
-def settled(df: DataFrame) -> DataFrame:
-    """df as it is now, in the checkpoint folder: reading it twice gives the same rows in the same partitions."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        if not context.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="proofgrid-"))
-    return df.checkpoint()
+
+def _ranges(rows: DataFrame, order: Sequence[Column], parts: int | None) -> DataFrame:
+    """rows in ranges of the order, each range a number _part. They are cut at sampled places, so they are written once."""
+    parts = parts or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return stored(rows.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()), "ranges")
 
 
 def numbered(rows: DataFrame, order: Sequence[str], name: str = "n", parts: int | None = None) -> DataFrame:
     """Rows with their 1-based number in a total order.
 
     Ranges of the order are sorted apart; each row's number within its range is added to the sizes of the ranges
-    before it. Only one count for each range meets in one place. The ranges are cut at sampled places, so they are
-    written once, and both the sizes and the numbers are made of what was written.
+    before it. Only one count for each range meets in one place.
     """
-    parts = parts or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     columns = [F.col(c) for c in order]
-    ranged = settled(rows.repartitionByRange(parts, *columns).withColumn("_part", F.spark_partition_id()))
+    ranged = _ranges(rows, columns, parts)
     sizes = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_size"))
     before = sizes.withColumn("_before", F.coalesce(F.sum("_size").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_size")  # parts rows
     inside = F.row_number().over(Window.partitionBy("_part").orderBy(*columns))
@@ -45,3 +40,22 @@ def numbered_within(rows: DataFrame, group: Sequence[str], order: Sequence[str])
     same = [F.col(c).eqNullSafe(F.col(f"_k{k}")) for k, c in enumerate(group)]
     joined = placed.join(sizes, same) if group else placed.crossJoin(F.broadcast(sizes))  # sizes is one row
     return joined.withColumn("_i", F.col("_place") - F.col("_first")).drop("_place", "_first", *[f"_k{k}" for k in range(len(group))])
+
+
+def running(rows: DataFrame, group: Sequence[str], order: Column, sums: dict[str, str], parts: int | None = None) -> DataFrame:
+    """rows with, for each name: value of sums, the sum of value over the rows of the group before this one in the order.
+
+    The order tells the rows of a group apart. Ranges of (group, order) are summed up apart; a range that begins
+    inside a group adds what the ranges before it hold of that group. So a group is split over as many tasks as it
+    has ranges, and what meets in one place is one row for each range and group in it, of which few span ranges.
+    """
+    ranged = _ranges(rows.withColumn("_order", order), [*map(F.col, group), F.col("_order")], parts)
+    key = [F.struct(*group).alias("_group")] if group else [F.lit(0).alias("_group")]
+    inside = Window.partitionBy("_part", *group).orderBy("_order").rowsBetween(Window.unboundedPreceding, -1)
+    totals = ranged.groupBy("_part", *key).agg(*[F.sum(v).alias(n) for n, v in sums.items()])
+    # Only a range's last group goes on in the next one, so the ranges that a group spans are its carriers.
+    across = Window.partitionBy("_group").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    carried = totals.select("_part", "_group", *[F.coalesce(F.sum(n).over(across), F.lit(0)).alias(f"_{n}") for n in sums])
+    here = ranged.select("*", *key, *[F.coalesce(F.sum(v).over(inside), F.lit(0)).alias(n) for n, v in sums.items()])
+    joined = here.join(carried.withColumnRenamed("_part", "_p").withColumnRenamed("_group", "_g"), (F.col("_part") == F.col("_p")) & F.col("_group").eqNullSafe(F.col("_g")))
+    return joined.select(*rows.columns, *[(F.col(n) + F.col(f"_{n}")).alias(n) for n in sums])
