@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, chat_quotes, hmm_scoring, media_tiff, near_dups, packing, quality_rules, token_counts, toxicity, url_filters
+from . import byte_bpe, chat_quotes, hmm_scoring, media_tiff, near_dups, packing, quality_rules, source_mix, token_counts, toxicity, url_filters
 
 QUERIES = {
     "op1_token_rollup": token_counts.op1_token_rollup,
@@ -15,5 +15,6 @@ QUERIES = {
     "op8_quotation_linking": chat_quotes.op8_quotation_linking,
     "op9_hidden_markov": hmm_scoring.op9_hidden_markov,
     "op10_host_reputation": url_filters.op10_host_reputation,
+    "op11_source_mix": source_mix.op11_source_mix,
 }
-SQL = {"op10_host_reputation": url_filters.SQL}
+SQL = {"op10_host_reputation": url_filters.SQL, "op11_source_mix": source_mix.SQL}
