@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, chat_quotes, hmm_scoring, media_tiff, near_dups, packing, quality_rules, source_mix, token_counts, toxicity, url_filters
+from . import byte_bpe, chat_quotes, hmm_scoring, media_tiff, near_dups, packing, quality_rules, sort_means, source_mix, token_counts, toxicity, url_filters
 
 QUERIES = {
     "op1_token_rollup": token_counts.op1_token_rollup,
@@ -16,5 +16,6 @@ QUERIES = {
     "op9_hidden_markov": hmm_scoring.op9_hidden_markov,
     "op10_host_reputation": url_filters.op10_host_reputation,
     "op11_source_mix": source_mix.op11_source_mix,
+    "op12_sort_means": sort_means.op12_sort_means,
 }
-SQL = {"op10_host_reputation": url_filters.SQL, "op11_source_mix": source_mix.SQL}
+SQL = {"op10_host_reputation": url_filters.SQL, "op11_source_mix": source_mix.SQL, "op12_sort_means": sort_means.SQL}

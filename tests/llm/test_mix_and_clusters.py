@@ -7,9 +7,10 @@ from collections import Counter, defaultdict
 from fractions import Fraction
 
 import data
+import numpy as np
 import pytest
 
-from proofgrid.llm import source_mix
+from proofgrid.llm import sort_means, source_mix
 
 
 def filled(sizes: dict, weights: dict, budget: Fraction, most: int) -> dict:
@@ -80,3 +81,46 @@ def test_mix_by_given_weights(spark):
     weights = spark.createDataFrame([("a", 3), ("b", 1)], "source string, weight long")
     got = {r.source: r.target for r in source_mix.plan_mix(docs, weights, Fraction(1, 2), 2).collect()}
     assert got == {"a": 7.5, "b": 2.5, "c": 0.0}
+
+
+def plain_clusters(vectors: list, clusters: int = 40, rounds: int = 5) -> tuple[list, list]:
+    """Every vector against every centroid, in Python's whole numbers."""
+    kept = [(k, [math.floor(256 * float(x)) for x in v]) for k, v in vectors if v is not None and len(v) == 64 and all(x is not None and math.isfinite(x) for x in v)]
+    centroids = [v for _, v in sorted((hashlib.sha256(f"2:{k}".encode()).hexdigest(), v) for k, v in kept if k is not None)[:clusters]]
+    nearest = lambda v: min((sum((a - b) ** 2 for a, b in zip(v, c, strict=True)), k) for k, c in enumerate(centroids))
+    for _ in range(rounds):
+        members = defaultdict(list)
+        for _, v in kept:
+            members[nearest(v)[1]].append(v)
+        centroids = [[sum(column) // len(members[k]) for column in zip(*members[k], strict=True)] if members[k] else c for k, c in enumerate(centroids)]
+    return [(k, nearest(v)[1], nearest(v)[0]) for k, v in kept], centroids
+
+
+def test_clusters_equal_plain_ones(spark):
+    r = np.random.default_rng(7)
+    vectors = [(k, (r.normal(size=64) * (1 + k % 5)).astype("float32").tolist()) for k in range(160)]
+    vectors += [(0, vectors[0][1]), (200, [0.0] * 64), (201, [-0.001] * 64), (202, vectors[3][1]), (None, vectors[4][1])]
+    vectors += [(300, None), (301, []), (302, [1.0] * 63), (303, [1.0] * 63 + [None]), (304, [1.0] * 63 + [float("nan")]), (305, [float("inf")] * 64)]
+    frame = spark.createDataFrame([(k, v, "x", 1) for k, v in vectors], "vec_id long, embedding array<float>, cluster string, v int")
+    want, centroids = plain_clusters(vectors)
+    got, found = sort_means.clustered(frame.repartition(5))
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
+    assert found.tolist() == centroids
+    full = sort_means.with_inertia(got, found).collect()
+    assert {x.inertia for x in full} == {sum(d for _, _, d in want)}
+    assert all(x.centroid_sha256 == hashlib.sha256(",".join(map(str, centroids[x.cluster])).encode()).hexdigest() and x.cluster_inertia == sum(d for _, c, d in want if c == x.cluster) for x in full)
+
+
+def test_clusters_of_few_or_no_vectors(spark):
+    schema = "vec_id long, embedding array<float>"
+    got, centroids = sort_means.clustered(spark.createDataFrame([(k, [float(k)] * 64) for k in range(3)], schema))
+    assert len(centroids) == 3 and {x.distance for x in got.collect()} == {0}
+    assert sort_means.with_inertia(*sort_means.clustered(spark.createDataFrame([], schema))).collect() == []
+    assert sort_means.with_inertia(*sort_means.clustered(spark.createDataFrame([(1, None)], schema))).collect() == []
+
+
+def test_a_scan_stops_strictly_beyond_twice_the_distance():
+    # A vector midway between two centroids: the other one lies at exactly twice its distance and has the smaller number.
+    centroids = np.array([[4] + [0] * 63, [0] * 64], np.int64)
+    who, best = sort_means.sort_means(np.array([[2] + [0] * 63], np.int64), np.array([1]), centroids)
+    assert who.tolist() == [0] and best.tolist() == [4]
