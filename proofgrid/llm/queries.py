@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, chat_quotes, hmm_scoring, media_tiff, near_dups, packing, quality_rules, sort_means, source_mix, token_counts, toxicity, url_filters
+from . import byte_bpe, chat_quotes, collocations, hmm_scoring, media_tiff, near_dups, packing, quality_rules, sort_means, source_mix, token_counts, toxicity, url_filters
 
 QUERIES = {
     "op1_token_rollup": token_counts.op1_token_rollup,
@@ -17,5 +17,6 @@ QUERIES = {
     "op10_host_reputation": url_filters.op10_host_reputation,
     "op11_source_mix": source_mix.op11_source_mix,
     "op12_sort_means": sort_means.op12_sort_means,
+    "op13_collocations": collocations.op13_collocations,
 }
-SQL = {"op10_host_reputation": url_filters.SQL, "op11_source_mix": source_mix.SQL, "op12_sort_means": sort_means.SQL}
+SQL = {"op10_host_reputation": url_filters.SQL, "op11_source_mix": source_mix.SQL, "op12_sort_means": sort_means.SQL, "op13_collocations": collocations.SQL}

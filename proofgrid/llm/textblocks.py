@@ -85,9 +85,9 @@ class Spans:
             return mix(value + (end - start).astype(np.uint64) * np.uint64(0xD1342543DE82EF95))
 
 
-def word_spans(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def word_spans(buf: np.ndarray, off: np.ndarray, separators: np.ndarray = _SEP) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start, end and text number of every word of a block, in order."""
-    word = ~_SEP[buf]
+    word = ~separators[buf]
     n = len(buf)
     first, last = word.copy(), word.copy()
     if n:

@@ -8,9 +8,10 @@ from fractions import Fraction
 
 import data
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from proofgrid.llm import sort_means, source_mix
+from proofgrid.llm import collocations, sort_means, source_mix
 
 
 def filled(sizes: dict, weights: dict, budget: Fraction, most: int) -> dict:
@@ -124,3 +125,74 @@ def test_a_scan_stops_strictly_beyond_twice_the_distance():
     centroids = np.array([[4] + [0] * 63, [0] * 64], np.int64)
     who, best = sort_means.sort_means(np.array([[2] + [0] * 63], np.int64), np.array([1]), centroids)
     assert who.tolist() == [0] and best.tolist() == [4]
+
+
+def plain_collocations(rows: list, least: int, top: int) -> dict:
+    """lang -> rows (phrase, a, l, r, n, score) by counting every phrase of every text."""
+    f, n = defaultdict(Counter), Counter()
+    for lang, text in rows:
+        lowered = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
+        for piece in re.split(r"[.,;:!?\x0A-\x0D]", lowered):
+            found = re.findall(r"[^\x20\x09]+", piece)
+            n[lang or "und"] += len(found)
+            for k in range(1, 5):
+                for i in range(len(found) - k + 1):
+                    f[lang or "und"][tuple(found[i : i + k])] += 1
+    out = {}
+    for lang, counts in f.items():
+        often = {p: c for p, c in counts.items() if len(p) > 1 and c >= least}
+        rows = []
+        for p, a in often.items():
+            if any(len(q) > len(p) and 100 * c >= 80 * a and any(q[i : i + len(p)] == p for i in range(len(q) - len(p) + 1)) for q, c in often.items()):
+                continue
+            score, _, left, right = min((2_000_000 * a // (counts[p[:k]] + counts[p[k:]]), k, counts[p[:k]], counts[p[k:]]) for k in range(1, len(p)))
+            rows.append((" ".join(p), a, left, right, n[lang], score))
+        out[lang] = sorted(rows, key=lambda r: (-r[5], -r[1], r[0].encode()))[:top]
+    return out
+
+
+def mined(frame) -> dict:
+    out = defaultdict(list)
+    for r in sorted(frame.collect(), key=lambda r: (r.lang, r["rank"])):
+        assert r["rank"] == len(out[r.lang]) + 1
+        out[r.lang].append((r.phrase, r.a, r.l, r.r, r.n, r.score))
+    return dict(out)
+
+
+def awkward_texts() -> list[tuple]:
+    r = np.random.default_rng(3)
+    vocabulary = ["New", "york", "city", "ünï", "日本", "a\x00b", "it's", "x", "é", "　y", "longer-than-sixteen-bytes-word", "longer-than-sixteen-bytes-ward"]
+    texts = [(["en", "de", None][k % 3], "".join(w + r.choice([" ", " ", " ", "  ", "\t", ". ", ",", "\n", ";"]) for w in r.choice(vocabulary, 40 + k % 50))) for k in range(150)]
+    texts += [("en", "New York city hall. " * 400), ("en", None), (None, ""), ("de", " .,; "), ("en", "only"), ("und", "x x x x x"), ("en", "Yes. Yes. No")] + [("en", "the same old piece, the same old piece")] * 30
+    return texts + [("en", "word " * 3_000)]
+
+
+def test_collocations_equal_plain_counts(spark, monkeypatch):
+    rows = awkward_texts()
+    frame = spark.createDataFrame([(lang, text, "p", 1) for lang, text in rows], "lang string, text string, piece string, words int")
+    for least, top, langs in ((3, 2000, 3), (30, 2, 1)):
+        want = {lang: found for lang, found in plain_collocations(rows, least, top).items() if found}
+        assert len(want) == langs and mined(collocations.collocations(frame.repartition(3), least=least, top=top)) == want
+    assert collocations.collocations(frame.limit(0)).collect() == []
+
+
+def test_collocations_do_not_depend_on_blocks_or_filters(spark, monkeypatch):
+    rows = [(lang, text) for lang, text in awkward_texts() if text]
+    cut = collocations.pieces(spark.createDataFrame(rows, "lang string, text string"))
+    langs = [r.lang for r in cut.collect()]
+    text, times = pa.array([r.piece for r in cut.collect()]), np.array([r.times for r in cut.collect()], np.int64)
+    code, salt = collocations._salts(pa.array(langs))
+
+    def counts(known):
+        found = Counter()
+        for _, lang, phrases, weight in collocations.block_phrases(text, code, salt, times, 2, known):
+            for k, phrase, n in zip(lang.tolist(), phrases.to_pylist(), weight.tolist(), strict=True):
+                found[k, phrase] += n
+        return found
+
+    every = counts(None)
+    full = collocations.Filter(np.full(16, 0xFFFFFFFFFFFFFFFF, np.uint64))  # a filter that lets all through
+    assert counts(full) == every
+    monkeypatch.setattr(collocations, "BLOCK", 300)
+    assert counts(None) == every
+    assert not counts(collocations.Filter(np.zeros(16, np.uint64)))
