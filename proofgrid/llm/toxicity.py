@@ -11,8 +11,8 @@ these, a row is left out only if a row with a smaller doc_id was found to be a n
 Jaccard similarity of their three-word runs), so that the words of one copied text don't pass for evidence.
 
 Defined cases: null and empty texts score as a text without evidence; without labelled rows the score is 0 to 1 by
-the prior alone; repeated rows score alike; a null doc_id counts as not held out and its label isn't learnt; a null
-label is none; an empty table gives an empty one; extra columns are ignored.
+the prior alone; repeated rows score alike; a null doc_id counts as not held out and its label isn't learnt; a
+label is 1 (toxic) or 0 (clean), a null or any other one is none; an empty table gives an empty one; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -270,7 +270,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Scorer:
     """docs(doc_id, text) and labels(doc_id, toxic): train rows only. fit_rows bounds the labelled rows."""
     model = char_model(docs)
     picked = (
-        labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
+        labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1)).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
     )
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(picked), "doc_id")  # at most fit_rows small rows
