@@ -1,6 +1,6 @@
 """Best-fit packing of tokenised documents by a grouping genetic algorithm on islands.
 
-Documents become token pieces; pieces are dealt by a hash into shards of about SHARD pieces. Every shard lives on
+Documents become token pieces; pieces are dealt by their row into shards of about SHARD pieces. Every shard lives on
 several islands, each a task with a population of packings. The first packings are weak: best fit in random orders.
 A crossover injects whole well-filled bins of one parent into the other, removes the bins that hold the same pieces
 (and the receiver's loosest ones) and best-fits the displaced pieces by falling length. After each epoch an island's
@@ -24,6 +24,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -111,9 +112,9 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: i
     """Pieces of at most capacity tokens of every document, each document closed by end_id. No shuffle."""
     end = np.array([end_id], "<u4").tobytes()
 
-    def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            ids, texts = frame.doc_id.tolist(), frame.text.tolist()
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(1).to_pylist()
             at = 0
             while at < len(texts):
                 to, size = at, 0
@@ -121,17 +122,18 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: i
                     size += len(texts[to] or "")
                     to += 1
                 rows = []
-                for doc_id, data in zip(ids[at:to], id_bytes(texts[at:to], path), strict=True):
+                for row, data in enumerate(id_bytes(texts[at:to], path), at):
                     data += end
                     for piece, start in enumerate(range(0, len(data), 4 * capacity)):
                         part = data[start : start + 4 * capacity]
-                        rows.append((doc_id, piece, start // 4, len(part) // 4, zlib.crc32(part)))
+                        rows.append((row, piece, start // 4, len(part) // 4, zlib.crc32(part)))
                 at = to
-                out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
-                out["doc_id"] = out["doc_id"].astype("Int64")
-                yield out
+                row, *values = zip(*rows, strict=True)
+                # An id stays in its Arrow column: as a float beside a null it would lose its last digits.
+                kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64())
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), *map(pa.array, values, kinds)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInPandas(lean(cut), PIECE_SCHEMA)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(lean(cut), PIECE_SCHEMA)
 
 
 def best_fit(items: np.ndarray, lengths: np.ndarray, free: list[int], assign: np.ndarray, capacity: int) -> None:
@@ -231,8 +233,8 @@ _SHARD = "shard int, " + ", ".join(f"{k} binary" for k in _STORED)
 
 
 def _gathered(frame: pd.DataFrame) -> pd.DataFrame:
-    """The pieces of one shard as arrays; unnamed marks those whose doc_id is null."""
-    frame = frame.assign(unnamed=frame.doc_id.isna(), doc_id=frame.doc_id.astype("Int64").fillna(0).astype("int64")).sort_values(["length", "unnamed", "doc_id", "piece", "start", "ids_crc32"], ascending=[False, True, True, True, True, True])
+    """The pieces of one shard as arrays; unnamed marks those whose doc_id is null, which have 0 in its place."""
+    frame = frame.sort_values(["length", "unnamed", "doc_id", "piece", "start", "ids_crc32"], ascending=[False, True, True, True, True, True])
     return pd.DataFrame([{"shard": frame.shard.iat[0]} | {k: frame[k].to_numpy(kind).tobytes() for k, kind in _STORED.items()}])
 
 
@@ -240,9 +242,13 @@ _WORK = [c.split()[0] for c in WORK_SCHEMA.split(", ")]
 
 
 def _pack_shards(pieces: DataFrame, shards: int, islands: int, epochs: int, size: int, generations: int, capacity: int) -> DataFrame:
-    """Pieces with the bin that the best packing of their shard gives them: RESULT_SCHEMA with the bin and the bin's fill."""
-    key = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(shards)).cast("int").alias("shard")
-    gathered = materialize(pieces.select(key, *_KINDS).groupBy("shard").applyInPandas(_gathered, _SHARD), "shards", fold=True)
+    """Pieces with the bin that the best packing of their shard gives them: RESULT_SCHEMA with the bin and the bin's fill.
+
+    Pieces are dealt by their place in the written table, so equal ones go to all shards and each has about its share.
+    """
+    key = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(shards)).cast("int").alias("shard")
+    columns = [F.coalesce("doc_id", F.lit(0)).alias("doc_id"), *list(_KINDS)[1:], F.col("doc_id").isNull().cast("int").alias("unnamed")]
+    gathered = materialize(pieces.select(key, *columns).groupBy("shard").applyInPandas(_gathered, _SHARD), "shards", fold=True)
 
     def settle(last: bool, frame: pd.DataFrame) -> pd.DataFrame:
         lengths = np.frombuffer(frame.lengths.iat[0], "<i8")
