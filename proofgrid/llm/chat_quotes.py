@@ -9,10 +9,11 @@ message answers the latest message that it quotes at level one. Replies are then
 answers, branches stay together, and quotes are gone.
 
 The owner before a quote is looked up in turn order, first within SPAN turns and then over one row for each span,
-so a passage that everyone repeats and quotes gives neither all pairs nor one long sort. Roots and depths come from
-pointer jumping over one row for each message. No conversation is gathered in a task: the order is given by the column
-path, the turns from the root to the message, which any later sort or writer can use; a path is as long as its message
-is deep. By (root_turn, turn), a thread is in the order of its turns, with its branches interleaved.
+so a passage that everyone repeats and quotes gives neither all pairs nor one long sort. The replies of a thread are a
+tree; a tour that goes down and up along its branches is a list, in which pointer jumping finds how far each message
+is from the end: that gives the thread's root, the depth and place, the number of the message in its thread in reply
+order. No conversation is gathered in a task, and a row has a fixed width however deep it lies. Siblings are told in
+the order of their turns from one sorted table, not from a window over what answers one message.
 
 Defined cases: a null text has an empty body and no quotes; a message without conv_id or turn can't be placed and
 stays alone (null parent and root); a quote that nobody said before stays unlinked; several rows of one turn are
@@ -25,11 +26,13 @@ import hashlib
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .store import discard, materialize, read
+from ..operators.ordering import numbered
+from ..operators.shared import discard, stored
+from .store import PART, lean, materialize, read
 
 _MARK = re.compile(r"^[ \t]*((?:>[ \t]?)+)")
 _ATTRIBUTION = re.compile(r"^\s*(?:on\b.*\bwrote|am\b.*\bschrieb\b.*|le\b.*\bécrit|el\b.*\bescribió)\s*:\s*$", re.IGNORECASE)
@@ -102,22 +105,26 @@ def _quotes(quoted: list[tuple[int, str]]) -> list[dict]:
 def parse(messages: DataFrame) -> DataFrame:
     """messages(conv_id, turn, role, text) with bodies, hashes of own passages, and hashes of quoted ones."""
     conv = dict(messages.dtypes)["conv_id"]
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            split = [split_quotes(t) for t in frame.text]
-            yield pd.DataFrame(
-                {
-                    "conv_id": frame.conv_id.astype("Int64") if frame.conv_id.dtype.kind == "f" else frame.conv_id,
-                    "turn": frame.turn.astype("Int64"),
-                    "role": frame.role,
-                    "body": [body for body, _ in split],
-                    "own": [sorted(_passages(body)) for body, _ in split],
-                    "quotes": [_quotes(quoted) for _, quoted in split],
-                }
-            )
-
-    return messages.select("conv_id", F.col("turn").cast("long"), "role", "text").mapInPandas(run, PARSED.format(conv=conv))
+    part = pa.struct([("whole", pa.bool_()), ("size", pa.int32()), ("passage", pa.string())])
+    quotes = pa.list_(pa.struct([("level", pa.int32()), ("place", pa.int32()), ("parts", pa.list_(part))]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, PART):
+                rows = batch.slice(at, PART)
+                split = [split_quotes(t) for t in rows.column(3).to_pylist()]
+                # conv_id, turn and role stay in their Arrow columns: as floats beside a null, large ones would change.
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        *rows.columns[:3],
+                        pa.array([body for body, _ in split], pa.string()),
+                        pa.array([sorted(_passages(body)) for body, _ in split], pa.list_(pa.string())),
+                        pa.array([_quotes(quoted) for _, quoted in split], quotes),
+                    ],
+                    names=["conv_id", "turn", "role", "body", "own", "quotes"],
+                )
+
+    return messages.select("conv_id", F.col("turn").cast("long"), F.col("role").cast("string"), F.col("text").cast("string")).mapInArrow(lean(run), PARSED.format(conv=conv))
 
 
 def _owners_before(owners: DataFrame, parts: DataFrame) -> DataFrame:
@@ -148,43 +155,61 @@ def link_quotes(parsed: DataFrame) -> DataFrame:
     return votes.groupBy(*quote).agg(best.alias("best")).select("conv_id", "turn", "level", "place", F.col("best.origin").alias("origin"))
 
 
-def reply_roots(parents: DataFrame) -> DataFrame:
-    """parents(conv_id, turn, parent_turn, one row a message) -> conv_id, turn, root_turn, depth, path, by pointer jumping.
+def reply_order(parents: DataFrame) -> DataFrame:
+    """parents(conv_id, turn, parent_turn, one row a message) -> conv_id, turn, root_turn, depth, place, by pointer jumping.
 
-    Only messages that answer something take part in the joins; each round doubles the way looked up. path begins at
-    the root and ends at the message.
+    place is 0 for the root of a thread and counts its messages in reply order. Only messages of threads with a reply
+    are in the result. Each message is two steps of its thread's tour: down, when it is met, then what answers it, then
+    up. A step knows the next one, and what is to come until then: messages met (met) and levels gone down less those
+    gone up (down). A round looks up the next step's own values, which doubles the way; a step that has reached the
+    end of its tour, the step up from the root, waits aside.
     """
-    above = materialize(parents.where("parent_turn is not null").select("conv_id", "turn", F.col("parent_turn").alias("root_turn"), F.lit(1).alias("depth"), F.array("parent_turn", "turn").alias("path")), "replies", fold=True)
+    replies = parents.where("parent_turn is not null").select("conv_id", "turn", "parent_turn")
+    placed = stored(numbered(replies, ["conv_id", "parent_turn", "turn"], "_at"), "replies")
+    next_ = placed.select((F.col("_at") - 1).alias("_at"), F.col("conv_id").alias("_conv"), F.col("parent_turn").alias("_parent"), F.col("turn").alias("sibling"))
+    siblings = placed.join(next_, "_at", "left").withColumn("sibling", F.when((F.col("_conv") == F.col("conv_id")) & (F.col("_parent") == F.col("parent_turn")), F.col("sibling"))).select("conv_id", "turn", "parent_turn", "sibling")
+    eldest = replies.groupBy("conv_id", F.col("parent_turn").alias("turn")).agg(F.min("turn").alias("child"))
+    nodes = siblings.join(eldest, ["conv_id", "turn"], "full_outer")
+    step = lambda turn, up, next_turn, next_up, n: F.struct(turn.alias("turn"), F.lit(up).alias("up"), next_turn.alias("to"), next_up.alias("to_up"), F.lit(n).cast("long").alias("met"), F.lit(1 if n else -1).cast("long").alias("down"))
+    down = step(F.col("turn"), False, F.coalesce("child", "turn"), F.col("child").isNull(), 1)
+    up = step(F.col("turn"), True, F.coalesce("sibling", "parent_turn"), F.col("sibling").isNull(), 0)
+    steps = nodes.select("conv_id", F.explode(F.array(down, up)).alias("s")).select("conv_id", "s.*")
+    # A root's step up is the end; every other step goes on to a step.
+    steps = stored(steps.withColumn("last", F.when(F.col("to").isNull(), F.col("turn"))), "steps")
+    discard(placed)
     while True:
-        up = above.select("conv_id", F.col("turn").alias("root_turn"), F.col("root_turn").alias("further"), F.col("depth").alias("more"), F.slice("path", 1, F.size("path") - 1).alias("way"))
-        after = materialize(
-            above.join(up, ["conv_id", "root_turn"], "left").select(
-                "conv_id", "turn", F.coalesce("further", "root_turn").alias("root_turn"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"),
-                F.when(F.col("further").isNull(), F.col("path")).otherwise(F.concat("way", "path")).alias("path"), F.col("further").isNotNull().alias("moved")
-            ), "replies", fold=True
+        going = steps.where("to is not null")
+        ahead = steps.select("conv_id", F.col("turn").alias("to"), F.col("up").alias("to_up"), F.col("to").alias("next"), F.col("to_up").alias("next_up"), F.col("met").alias("more"), F.col("down").alias("lower"), F.col("last").alias("end"))
+        moved = going.join(ahead, ["conv_id", "to", "to_up"]).select(
+            "conv_id", "turn", "up", F.col("next").alias("to"), F.when(F.col("next").isNotNull(), F.col("next_up")).alias("to_up"), (F.col("met") + F.col("more")).alias("met"), (F.col("down") + F.col("lower")).alias("down"), F.col("end").alias("last"),
         )
-        discard(above)
-        above = after.drop("moved")
-        if after.where("moved").isEmpty():
-            return above
+        after = stored(steps.where("to is null").select(*moved.columns).unionByName(moved), "steps")
+        discard(steps)
+        steps = after
+        if steps.where("to is not null").isEmpty():
+            break
+    met = steps.where("not up").select("conv_id", "turn", F.col("last").alias("root_turn"), (-F.col("down")).cast("int").alias("depth"), "met")
+    whole = met.where("turn = root_turn").select("conv_id", "root_turn", F.col("met").alias("size"))
+    return met.join(whole, ["conv_id", "root_turn"]).select("conv_id", "turn", "root_turn", "depth", (F.col("size") - F.col("met")).alias("place"))
 
 
 def format_chats(messages: DataFrame) -> DataFrame:
     """One row for each message: what it answers, its branch and depth, and its words without quotes.
 
-    Sorted by (conv_id, path), a conversation is in reply order: a message comes after what it answers, with its branch.
+    Sorted by (conv_id, root_turn, place), a conversation is in reply order: a message comes after what it answers, with
+    its branch.
     """
     parsed = materialize(parse(messages), "messages")
     links = link_quotes(parsed).groupBy("conv_id", "turn").agg(
         F.count(F.lit(1)).alias("n_quotes"), F.count("origin").alias("n_linked"), F.max("level").alias("max_level"), F.max(F.when(F.col("level") == 1, F.col("origin"))).alias("near"), F.max("origin").alias("any"),
     )
     links = materialize(links.select("conv_id", "turn", "n_quotes", "n_linked", "max_level", F.coalesce("near", "any").alias("parent_turn")), "quotes", fold=True)
-    roots = reply_roots(links)
+    roots = reply_order(links)
     nothing = F.lit(0)
     return (
         parsed.select("conv_id", "turn", "role", "body").join(links, ["conv_id", "turn"], "left").join(roots, ["conv_id", "turn"], "left")
         .select(
-            "conv_id", "turn", "role", "parent_turn", F.coalesce("root_turn", F.when(F.col("conv_id").isNotNull(), F.col("turn"))).alias("root_turn"), F.coalesce("depth", nothing).cast("int").alias("depth"), F.coalesce("path", F.when(F.col("conv_id").isNotNull() & F.col("turn").isNotNull(), F.array("turn"))).alias("path"),
+            "conv_id", "turn", "role", "parent_turn", F.coalesce("root_turn", F.when(F.col("conv_id").isNotNull(), F.col("turn"))).alias("root_turn"), F.coalesce("depth", nothing).cast("int").alias("depth"), F.coalesce("place", F.when(F.col("conv_id").isNotNull() & F.col("turn").isNotNull(), F.lit(0))).cast("long").alias("place"),
             F.coalesce("n_quotes", nothing).cast("long").alias("n_quotes"), F.coalesce("n_linked", nothing).cast("long").alias("n_linked"), F.coalesce("max_level", nothing).cast("int").alias("max_level"), "body",
         )
     )
