@@ -170,7 +170,8 @@ def block_phrases(text: pa.Array, code: np.ndarray, salt: np.ndarray, times: np.
         one, weight, lang = one[by], weight[by], lang[by]
         size = n[one]
         ends = np.cumsum(size)
-        where = np.repeat(a[one] - (ends - size), size) + np.arange(int(ends[-1]) if len(ends) else 0)
+        where = np.arange(int(ends[-1]) if len(ends) else 0, dtype=np.int32 if len(ends) and ends[-1] < 1 << 31 else np.int64)
+        where += np.repeat((a[one] - (ends - size)).astype(where.dtype), size)
         yield key[one], lang, _strings(buf[where], np.append(0, ends)), weight
 
 
