@@ -218,6 +218,15 @@ def test_only_verified_near_copies_are_left_out(spark):
     assert {r.doc_id for r in toxicity.copies(sample).collect()} == {10, 11, 12, 20, 21, 22}
 
 
+def test_labels_other_than_one_and_zero_are_none(spark):
+    docs = spark.createDataFrame([(k, data.prose(60, k) + (" badword" if k % 4 == 0 else "")) for k in range(160)], "doc_id long, text string")
+    labels = [(k, int(k % 4 == 0)) for k in range(160)]
+    other = [(k, (2, -1, None)[k % 3]) for k in range(160)]
+    scored = [{r.doc_id: r.score for r in toxicity.score_texts(docs, toxicity.fit(docs, spark.createDataFrame(x, "doc_id long, toxic int"))).collect()} for x in (labels, labels + other, other)]
+    assert scored[0] == scored[1] and max(scored[0].values()) > 0.5
+    assert len(set(scored[2].values())) == 1
+
+
 def test_toxicity_on_awkward_rows(spark):
     labels = spark.createDataFrame([(k, int(k % 2)) for k in range(12)] + [(None, 1), (3, None)], "doc_id long, toxic int")
     scorer = toxicity.fit(data.table(spark), labels)
@@ -371,14 +380,51 @@ def test_quotes_equal_brute_force(spark, monkeypatch):
 def test_long_reply_chains(spark):
     m = [(7, k, "user", (f"> line {k - 1}\n" if k else "") + f"line {k}") for k in range(40)]
     found = chat_quotes.format_chats(spark.createDataFrame(m, "conv_id int, turn int, role string, text string")).collect()
-    assert {r.turn: (r.root_turn, r.depth, r.path) for r in found} == {k: (0, k, list(range(k + 1))) for k in range(40)}
+    assert {r.turn: (r.root_turn, r.depth, r.place) for r in found} == {k: (0, k, k) for k in range(40)}
+
+
+def test_reply_order_equals_a_walk(spark):
+    """Random threads against a walk down from each root, eldest first."""
+    r = random.Random(9)
+    parents = {(conv, turn): r.choice([None, *range(turn)][-4:] if turn else [None]) for conv in (1, 2, 3) for turn in range(60)}
+    rows = [(conv, turn, parent) for (conv, turn), parent in parents.items()]
+    children = defaultdict(list)
+    for conv, turn, parent in rows:
+        if parent is not None:
+            children[conv, parent].append(turn)
+    want = {}
+
+    def walk(conv, root, turn, depth):
+        want[conv, turn] = (root, depth, sum(x[0] == root for (c, _), x in want.items() if c == conv))
+        for child in sorted(children[conv, turn]):
+            walk(conv, root, child, depth + 1)
+
+    for conv, turn, parent in rows:
+        if parent is None and children[conv, turn]:
+            walk(conv, turn, turn, 0)
+    found = chat_quotes.reply_order(spark.createDataFrame(rows, "conv_id long, turn long, parent_turn long")).collect()
+    assert {(x.conv_id, x.turn): (x.root_turn, x.depth, x.place) for x in found} == want
+
+
+def test_a_chain_of_a_hundred_thousand_turns(spark):
+    n = 100_000
+    chain = spark.range(n).selectExpr("1 AS conv_id", "id AS turn", "IF(id = 0, NULL, id - 1) AS parent_turn")
+    assert chat_quotes.reply_order(chain).where("root_turn = 0 AND depth = turn AND place = turn").count() == n
+
+
+def test_large_ids_of_conversations_stay(spark):
+    big = (1 << 53) + 1
+    m = [(big, big, "start here"), (big - 1, big, "other start"), (None, None, "lost"), (big, big + 1, "> start here\nanswer"), (-big, 0, "x")]
+    table = spark.createDataFrame([(c, t, "user", x, 1, "y") for c, t, x in m], "conv_id long, turn long, role string, text string, place int, last string").coalesce(1)
+    found = {(r.conv_id, r.turn): r.parent_turn for r in chat_quotes.format_chats(table).collect()}
+    assert found == {(c, t): big if t == big + 1 else None for c, t, _ in m}
 
 
 def test_branches_stay_together(spark):
-    """Replies to 1 and 2 alternate; by path each branch is whole. Columns of the working tables don't disturb."""
+    """Replies to 1 and 2 alternate; by place each branch is whole. Columns of the working tables don't disturb."""
     m = [(0, "start"), (1, "> start\none"), (2, "> start\ntwo"), (3, "> one\nthree"), (4, "> two\nfour"), (5, "> three\nfive"), (6, "alone"), (7, "> four\nseven")]
     table = spark.createDataFrame([(1, k, "user", t, "x", 5, "y") for k, t in m], "conv_id long, turn long, role string, text string, own string, path int, root_turn string")
-    assert [r.turn for r in chat_quotes.format_chats(table).orderBy("conv_id", "path").collect()] == [0, 1, 3, 5, 2, 4, 7, 6]
+    assert [r.turn for r in chat_quotes.format_chats(table).orderBy("conv_id", "root_turn", "place").collect()] == [0, 1, 3, 5, 2, 4, 7, 6]
 
 
 def test_many_attributions_take_linear_time():

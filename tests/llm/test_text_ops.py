@@ -7,6 +7,7 @@ from pathlib import Path
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 sys.path.insert(0, str(Path(__file__).parent))
 import data  # noqa: E402
@@ -108,8 +109,13 @@ def brute_quality(text):
         covered[n] = (len(inside), sum(len(words[k]) for k in inside))
     chars = sum(map(len, words))
     symbols = sum((text or "").count(c) for c in "#*$%&|<>")
+    strewn = lambda c: c not in " \t\n\v\f\r.,;:!?'\"()-"
+    letterless = lambda g: all(c < "\x80" and not c.isalnum() for c in g) and any(map(strewn, g))
+    runs = [(i, text[i : i + 3]) for i in range(len(text or "") - 2) if letterless(text[i : i + 3])]
+    often = Counter(g for _, g in runs)
+    signs = {k for i, g in runs if often[g] > 1 for k in range(i, i + 3) if strewn(text[k])}
     base = len(words) < 50 or 100 * covered[3][0] > 50 * len(words)
-    bad = dup_chars > 0.3 * chars or symbols > 0.3 * len(words) or any(covered[n][1] > most * chars for n, most in quality_rules.COVERAGE.items())
+    bad = dup_chars > 0.3 * chars or len(signs) > 0.025 * chars or any(covered[n][1] > most * chars for n, most in quality_rules.COVERAGE.items())
     return (len(words), chars, symbols, dup, covered[3][0], base, not (base or bad))
 
 
@@ -120,6 +126,24 @@ def test_quality_equals_brute_force(spark, small):
         assert got == sorted(((d, *brute_quality(t)) for d, t in texts), key=str)
 
 
+def test_strewn_signs_are_repetition(spark):
+    """Signs after or between words fail by their coverage; ordinary punctuation, dashes and quotation marks don't."""
+    words = data.prose(300, 8).split()
+    texts = ["".join(w + (" | " if k % 2 else " ") for k, w in enumerate(words)), " ".join(w + "#$%"[k % 3] * 3 for k, w in enumerate(words))]
+    texts += [". ".join(words), ", ".join(words) + "...", " ".join(f"{w}," if k % 5 else f'"{w}" (so)' for k, w in enumerate(words)), "  \n".join(words)]
+    rules = [r.failed_rule for r in quality_rules.repetition_coverage(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()]
+    assert rules == ["sign_3", "sign_3", None, None, None, None]
+
+
+def test_coverage_decides_on_labelled_rows(spark):
+    """Bad texts that pass the base rule go by coverage, and no good one does."""
+    at = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{at}/labels.parquet").select("doc_id", "quality")
+    judged = quality_rules.repetition_coverage(spark.read.parquet(f"{at}/documents.parquet")).where("not base_failed").join(labels, "doc_id").groupBy("quality", "failed_rule").count().collect()
+    found = {(r.quality, r.failed_rule): r["count"] for r in judged}
+    assert set(found) == {(0, "sign_3"), (1, None)} and found[0, "sign_3"] > 200
+
+
 def test_quality_filter_keeps_columns(spark):
     table = data.table(spark)
     kept = quality_rules.drop_repetitive(table)
@@ -208,6 +232,23 @@ def test_packing_tells_null_ids_from_the_least_long(spark):
     assert Counter(r.doc_id for r in packing.pack(docs, P.path("word_bpe_49k.json")).collect()) == Counter([-(1 << 63), None, 0])
 
 
+def test_packing_keeps_large_ids_beside_null_ones(spark):
+    big = (1 << 53) + 1
+    ids = [big, None, -big, 7, None, big]
+    docs = spark.createDataFrame([(k, "a b c " * n) for n, k in enumerate(ids)], "doc_id long, text string").coalesce(1)
+    for shard in (packing.SHARD, 2):
+        assert Counter(r.doc_id for r in packing.pack(docs, P.path("word_bpe_49k.json"), shard=shard).collect()) == Counter(ids)
+
+
+def test_equal_rows_are_spread_over_shards(spark, monkeypatch):
+    sizes = []
+    monkeypatch.setattr(packing, "materialize", lambda df, name, fold=False: (sizes.extend(len(r.length) // 8 for r in df.select("length").collect()) if name == "shards" else None) or store.materialize(df, name, fold))
+    docs = spark.range(4_000).select(F.when(F.col("id") >= 2_000, F.col("id")).alias("doc_id"), F.lit("the same").alias("text"))
+    rows = packing.pack(docs, P.path("word_bpe_49k.json"), shard=500, generations=1, epochs=1, islands=1)
+    assert rows.count() == 4_000
+    assert len(sizes) >= 8 and max(sizes[:8]) < 600
+
+
 # --- 7: TIFF
 
 
