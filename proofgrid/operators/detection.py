@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ordering import running
+
 Z95 = 1.959963984540054
 
 
@@ -27,13 +29,12 @@ def score_counts(scores: DataFrame, keys: Sequence[str]) -> DataFrame:
 def tie_safe_threshold(scores: DataFrame, keys: Sequence[str], target: float) -> DataFrame:
     """The smallest score at which at most target of the negatives are accepted (score >= threshold).
 
-    If even the highest negative is too many, threshold is that score and strict says to go beyond it.
+    If even the highest negative is too many, threshold is that score and strict says to go beyond it. Distinct scores
+    are summed up in ranges, so a group of any size is split over tasks.
     """
-    from pyspark.sql import Window
-
     at = score_counts(scores.where("label = 0"), keys)
-    down = Window.partitionBy(*keys).orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    rated = at.withColumn("accepted", F.sum("n0").over(down)).withColumn("total", F.sum("n0").over(Window.partitionBy(*keys)))
+    total = at.groupBy(*keys).agg(F.sum("n0").alias("total"))
+    rated = running(at, keys, -F.col("score"), {"above": "n0"}).join(total, list(keys)).withColumn("accepted", F.col("above") + F.col("n0"))
     fits = F.col("accepted") / F.col("total") <= target
     return rated.groupBy(*keys).agg(F.coalesce(F.min(F.when(fits, F.col("score"))), F.max("score")).alias("threshold"), (F.count_if(fits) == 0).alias("strict"), F.max("total").alias("negatives"))
 
@@ -41,14 +42,11 @@ def tie_safe_threshold(scores: DataFrame, keys: Sequence[str], target: float) ->
 def auc(scores: DataFrame, keys: Sequence[str]) -> DataFrame:
     """ROC-AUC with half credit for ties: per distinct score, positives times the negatives below it.
 
-    Works on distinct scores, so what is sorted in one group is bounded by them, not by the rows.
+    Twice the wins are whole numbers, so their sum is exact; distinct scores are summed up in ranges.
     """
-    from pyspark.sql import Window
-
-    at = score_counts(scores, keys)
-    below = Window.partitionBy(*keys).orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
-    wins = at.withColumn("under", F.coalesce(F.sum("n0").over(below), F.lit(0)))
+    wins = running(score_counts(scores, keys), keys, F.col("score"), {"under": "n0"})
+    twice = F.col("n1").cast("decimal(20,0)") * (2 * F.col("under") + F.col("n0")).cast("decimal(18,0)")
     return wins.groupBy(*keys).agg(
         F.sum("n1").alias("positives"), F.sum("n0").alias("negatives"),
-        F.try_divide(F.sum(F.col("n1") * (F.col("under") + F.col("n0") / 2.0)), F.sum("n1").cast("double") * F.sum("n0")).alias("auc"),
+        F.try_divide(F.sum(twice).cast("double"), 2 * F.sum("n1").cast("double") * F.sum("n0")).alias("auc"),
     )

@@ -250,7 +250,7 @@ def multi_message_evaluation(spark, sf_dir):
     """One to three expected against one to three predicted messages with their places in the image."""
     sets = lambda count, at: f"transform(sequence(0, {count} - 1), k -> named_struct('bits', transform(sequence(0, 3), b -> int(e[{at} + k * 4 + b] > 0)), 'mask', transform(sequence(0, 3), b -> e[{at + 32} + k * 4 + b] > 0)))"
     rows = _vectors(spark, sf_dir).select("vec_id", F.expr(sets("int(1 + vec_id % 3)", 0)).alias("expected"), F.expr(sets("int(1 + vec_id div 3 % 3)", 16)).alias("predicted"))
-    return rounded(evaluate_messages(rows, 3).drop("expected", "predicted", "assignment"))
+    return rounded(evaluate_messages(rows).drop("expected", "predicted", "assignment"))
 
 
 @register("separated_messages", """WITH RECURSIVE drawn AS (SELECT vec_id, k, ('0x' || substr(sha256('2026:' || vec_id::VARCHAR || ':' || k::VARCHAR), 1, 8))::BIGINT AS m FROM embeddings CROSS JOIN range(0, 64) r(k)),

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import bits, pixels, scalars
-from ..operators import audit
+from ..operators import audit, signatures
 from ..operators.summary import first_of
 from ..sources.results import latest
 from ..streaming.live import windowed
@@ -62,12 +61,14 @@ def bit_metrics(spark, sf_dir):
     return _words(spark, sf_dir).select("vec_id", accuracy, ber, whole).withColumns({c: F.round(c, 9) for c in ("bit_accuracy", "ber")})
 
 
-@register("message_separation", f"""WITH {_WORDS_SQL}, n AS (SELECT label, bit_count(xor(expected, lag(expected) OVER (PARTITION BY label ORDER BY vec_id)))::INTEGER AS apart FROM words)
-  SELECT label, count(apart) AS n_pairs, min(apart) AS least_apart, round(avg(apart), 9) AS mean_apart FROM n GROUP BY label""")
+@register("message_separation", f"""WITH {_WORDS_SQL}, n AS (SELECT label, count(*) AS n_messages FROM words GROUP BY label), p AS (SELECT a.label, bit_count(xor(a.expected, b.expected)) AS apart FROM words a JOIN words b ON a.label = b.label AND a.vec_id < b.vec_id)
+  SELECT label, n_messages, count(apart) AS n_pairs, min(apart)::INTEGER AS least_apart, round(avg(apart), 9) AS mean_apart FROM n LEFT JOIN p USING (label) GROUP BY ALL""")
 def message_separation(spark, sf_dir):
-    """How far each message is from the one before it in its group."""
-    apart = bits.hamming(F.col("expected"), F.lag("expected").over(Window.partitionBy("label").orderBy("vec_id"))).alias("apart")
-    return _words(spark, sf_dir).select("label", apart).groupBy("label").agg(F.count("apart").alias("n_pairs"), F.min("apart").alias("least_apart"), F.round(F.avg("apart"), 9).alias("mean_apart"))
+    """How far the messages of a group are apart, over all pairs, none of which is made."""
+    words = _words(spark, sf_dir).select("label", F.col("expected").alias("word"))
+    counts = signatures.mean_distances(words, ["label"]).join(words.groupBy("label").agg(F.count(F.lit(1)).alias("n_messages")), "label")
+    least = signatures.least_distances(words, ["label"])
+    return counts.join(least, "label").select("label", "n_messages", "n_pairs", F.col("least").alias("least_apart"), F.round("mean", 9).alias("mean_apart"))
 
 
 @register("signature_top", f"WITH {_WORDS_SQL} SELECT expected >> 20 AS signature, count(*) AS n FROM words GROUP BY signature ORDER BY n DESC, signature LIMIT 512")

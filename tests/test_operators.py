@@ -105,6 +105,7 @@ def test_messages_are_matched_by_bits_and_places(spark):
     for k in range(40):
         make = lambda n: [(rng.integers(0, 2, 4).tolist(), (rng.random(5) < 0.4).tolist()) for _ in range(n)]
         rows.append((k, make(k % 5), make(k // 5 % 5)))
+    rows += [(40, make(8), make(8)), (41, make(7), make(5)), (42, make(3), make(9))]
     kind = "array<struct<bits:array<int>,mask:array<boolean>>>"
     found = {r.k: r for r in messages.evaluate_messages(spark.createDataFrame(rows, f"k int, expected {kind}, predicted {kind}")).collect()}
     for k, expected, predicted in rows:
@@ -120,6 +121,30 @@ def test_messages_are_matched_by_bits_and_places(spark):
         assert r.mean_matched_iou == pytest.approx(np.mean([iou[i][j] for i, j in best]) if best else 0.0)
 
 
+def test_assignment_takes_the_first_of_equal_ones():
+    import itertools
+
+    from proofgrid.operators.messages import assignment
+
+    r = np.random.default_rng(0)
+    for turn in range(300):
+        n, m = r.integers(1, 6, 2)
+        scores = r.integers(0, 4, (n, m)) / 4.0 if turn % 2 else r.random((n, m))
+        ways = [list(enumerate(c)) for c in itertools.permutations(range(m), n)] if n <= m else [[(e, p) for p, e in enumerate(c)] for c in itertools.permutations(range(n), m)]
+        want = dict(max(ways, key=lambda w: round(sum(scores[i, j] for i, j in w), 9)))
+        assert assignment(scores) == [want[i] + 1 if i in want else 0 for i in range(n)]
+    assert assignment(np.zeros((3, 0))) == [0, 0, 0]
+
+
+def test_null_sets_of_messages_are_empty(spark):
+    from proofgrid.operators import messages
+
+    kind = "array<struct<bits:array<int>,mask:array<boolean>>>"
+    one = [([1, 0], [True, False])]
+    found = messages.evaluate_messages(spark.createDataFrame([(0, None, one), (1, one, None), (2, None, None), (3, one, one)], f"k int, expected {kind}, predicted {kind}")).orderBy("k").collect()
+    assert [(r.matched_count, r.message_recall, r.message_precision) for r in found] == [(0, 1.0, 0.0), (0, 0.0, 0.0), (0, 1.0, 0.0), (1, 1.0, 1.0)]
+
+
 def test_configurations_keep_their_domains(spark):
     from proofgrid.operators import domains
 

@@ -173,3 +173,17 @@ def test_soft_messages_equal_a_plain_run(spark):
     # Both planted messages are found in one image, each where it was put.
     assert {tuple(m[0]) for m in got["two"].values()} == {tuple(zero), tuple(alternating)}
     assert not got["none"]
+
+
+def test_soft_messages_query_equals_a_plain_run(spark, small):
+    from proofgrid.plans import clusters
+
+    rows = clusters.soft_pixels(spark, small).collect()
+    got = defaultdict(dict)
+    for m in clusters.soft_messages(spark, small).collect():
+        got[m.image][m["rank"]] = (m.message, m.support, m.confidence)
+    for name in sorted({r.image for r in rows}):
+        want, _ = plain_messages([(r.vec_id, r.detection, r.logits) for r in rows if r.image == name], 32, clusters.QUERY_SETTINGS)
+        assert len(want) == len(got[name]) > 0
+        for k, m in enumerate(want):
+            assert got[name][k][0] == "".join(map(str, m[0])) and got[name][k][1:] == pytest.approx((m[1], m[3]), abs=1e-8)
