@@ -86,8 +86,7 @@ def assignment(scores: np.ndarray) -> list[int]:
         choices = [j for j in left if tight[i, j]]
         for j in choices:
             rest = [c for c in left if c != j]
-            more = best_total(rows[i + 1 :][:, rest])[0] if i + 1 < len(rows) and len(choices) > 1 else None
-            if more is None or total + rows[i, j] + more >= best - EQUAL:
+            if len(choices) == 1 or total + rows[i, j] + best_total(rows[i + 1 :][:, rest])[0] >= best - EQUAL:
                 break
         taken.append(j)
         left.remove(j)

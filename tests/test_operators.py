@@ -128,7 +128,7 @@ def test_assignment_takes_the_first_of_equal_ones():
 
     r = np.random.default_rng(0)
     for turn in range(300):
-        n, m = r.integers(1, 6, 2)
+        n, m = r.integers(1, 6, 2).tolist()
         scores = r.integers(0, 4, (n, m)) / 4.0 if turn % 2 else r.random((n, m))
         ways = [list(enumerate(c)) for c in itertools.permutations(range(m), n)] if n <= m else [[(e, p) for p, e in enumerate(c)] for c in itertools.permutations(range(n), m)]
         want = dict(max(ways, key=lambda w: round(sum(scores[i, j] for i, j in w), 9)))
