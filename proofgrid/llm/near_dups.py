@@ -16,8 +16,13 @@ No step emits the pairs of a group. Texts with equal multisets are one represent
 links its members to its least one only. After these classes are known, only buckets that still hold several
 classes are looked at again: those of at most SMALL members give pairs across classes; larger ones are dealt in
 blocks of about BLOCK members, each pair of blocks to a task of its own, which intersects all its shingle sets at
-once as a matrix product and emits the few links that join classes. So every candidate pair of different classes
-is verified, whatever the size of its bucket.
+once as a matrix product and emits the few links that join classes. Beyond WIDE members, where blocks would send each
+text many times, a bucket gives way to buckets of rare shingles: shingles are ordered by how many texts of such
+buckets have them, and a text goes to the buckets of its rarest ones, up to the point where what follows is less
+than the threshold of its weight. Two texts that are linked share most of either's weight, so the rarest shingle that
+they share is in that part of both. Pages of one template, which have the template's shingles in common and their
+rare ones not, thus never meet. So every candidate pair of different classes that can be a link is verified,
+whatever the size of its bucket.
 
 Defined cases: a null or empty text, or one of white space, has no shingle and is a class of its own; a row with
 null doc_id belongs to the class of its text like any other, and the class of such rows alone has no name (null);
@@ -32,7 +37,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import textblocks as tb
@@ -44,8 +49,8 @@ WORDS, THRESHOLD = 5, 0.8
 BANDS, ROWS = 25, 5
 #: Bands of the first pass, in which most links are found; the second pass takes all.
 FIRST_BANDS = 6
-#: Members up to which a bucket gives pairs, and members of a block of a larger one.
-SMALL, BLOCK = 16, 256
+#: Members up to which a bucket gives pairs, members of a block of a larger one, and members up to which there are blocks.
+SMALL, BLOCK, WIDE = 16, 256, 1024
 _SKETCH = "row long, doc_id long, n int, print1 long, print2 long, bands array<long>"
 
 
@@ -302,33 +307,73 @@ def _block_links(frame: pd.DataFrame, threshold: float) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
 
+def _rare_buckets(reps: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """reps(rep, root) -> bucket (a shingle), rep, root: the buckets of rare shingles that hold several classes.
+
+    A text's shingles travel once, with their weights, and their order is the number of texts that have them.
+    """
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, raw, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                keys = np.frombuffer(raw, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), row)), pa.array(keys), pa.array(_counts(counts, len(keys)))], names=["rep", "bucket", "weight"])
+
+    mine = sets.join(reps.select(F.col("rep").alias("row")), "row", "left_semi").select("row", "keys", "counts")
+    shingled = materialize(mine.mapInArrow(lean(spread), "rep long, bucket long, weight int"), "shingled")
+    often = materialize(shingled.groupBy("bucket").agg(F.count(F.lit(1)).alias("texts")), "often", fold=True)
+    # A text's own shingles, from the rarest on; what lies after one is what a link may still share if it isn't shared.
+    after = Window.partitionBy("rep").orderBy("texts", "bucket").rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    whole = Window.partitionBy("rep")
+    placed = shingled.join(often, "bucket").select(
+        "rep", "bucket", "texts", (F.sum("weight").over(after) / F.sum("weight").over(whole)).alias("heavy"), (F.count(F.lit(1)).over(after) / F.count(F.lit(1)).over(whole)).alias("many"),
+    )
+    rare = placed.where((F.greatest("heavy", "many") >= threshold - 1e-9) & (F.col("texts") > 1)).select("bucket", "rep")
+    rooted = materialize(rare.join(reps, "rep").select("bucket", "rep", "root"), "rare", fold=True)
+    mixed = rooted.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("bucket")
+    found = materialize(rooted.join(mixed, "bucket", "left_semi"), "rare", fold=True)
+    discard(shingled, often, rooted)
+    return found
+
+
+def _sized(left: DataFrame) -> DataFrame:
+    return materialize(left.join(left.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")), "bucket").select("bucket", "rep", "root", "members"), "mixed", fold=True)
+
+
 def _across(left: DataFrame, docs: DataFrame, threshold: float, n_words: int) -> DataFrame:
     """The links across classes in buckets that hold several: left(bucket, rep, root)."""
-    sized = left.join(left.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")), "bucket")
-    sized = materialize(sized.select("bucket", "rep", "root", "members"), "mixed", fold=True)
+    sized = _sized(left)
     sets = _sets_of(sized.select(F.col("rep").alias("row")).distinct(), docs, n_words)
-
-    small = sized.where(F.col("members") <= SMALL).select("bucket", "rep", "root")
-    other = small.select("bucket", F.col("rep").alias("b"), F.col("root").alias("other"))
-    pairs = materialize(small.join(other, "bucket").where("root < other").select(F.least("rep", "b").alias("a"), F.greatest("rep", "b").alias("b")).distinct(), "across", fold=True)
+    wide = sized.where(F.col("members") > WIDE)
+    meeting = [sized.where(F.col("members") <= WIDE)]
+    tables = [sized, sets]
+    if not wide.isEmpty():
+        rare = _rare_buckets(wide.select("rep", "root").distinct(), sets, threshold)
+        meeting.append(_sized(rare))
+        tables += [rare, meeting[-1]]
+
+    small = [m.where(F.col("members") <= SMALL).select("bucket", "rep", "root") for m in meeting]
+    both = [m.join(m.select("bucket", F.col("rep").alias("b"), F.col("root").alias("other")), "bucket").where("root < other").select(F.least("rep", "b").alias("a"), F.greatest("rep", "b").alias("b")) for m in small]
+    pairs = materialize((both[0].unionByName(both[1]) if len(both) > 1 else both[0]).distinct(), "across", fold=True)
     links = _verified(pairs, sets, threshold)
 
-    large = sized.where(F.col("members") > SMALL)
-    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
-    mine = F.pmod(F.xxhash64("rep"), blocks).cast("int")
-    dealt = (
-        large.select("bucket", "rep", "root", mine.alias("mine"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("with"))
-        .select("bucket", "rep", "root", F.least("mine", "with").alias("low"), F.greatest("mine", "with").alias("high"))
-        .join(sets.withColumnRenamed("row", "rep"), "rep")
-    )
-    inside = dealt.groupBy("bucket", "low", "high").applyInPandas(lambda frame: _block_links(frame, threshold), "a long, b long")
-    found = materialize(links.unionByName(inside), "links", fold=True)
-    discard(sized, sets, pairs)
+    for m in meeting:
+        large = m.where(F.col("members") > SMALL)
+        blocks = F.ceil(F.col("members") / BLOCK).cast("int")
+        mine = F.pmod(F.xxhash64("rep"), blocks).cast("int")
+        dealt = (
+            large.select("bucket", "rep", "root", mine.alias("mine"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("with"))
+            .select("bucket", "rep", "root", F.least("mine", "with").alias("low"), F.greatest("mine", "with").alias("high"))
+            .join(sets.withColumnRenamed("row", "rep"), "rep")
+        )
+        links = links.unionByName(dealt.groupBy("bucket", "low", "high").applyInPandas(lambda frame: _block_links(frame, threshold), "a long, b long"))
+    found = materialize(links.distinct(), "links", fold=True)
+    discard(*tables, pairs)
     return found
 
 
 def _classes(docs: DataFrame, threshold: float, bands: int, rows: int, n_words: int) -> DataFrame:
-    """docs(row, doc_id, text), written, with unique row -> row, doc_id, class_id, class_size, kept, for every row."""
+    """docs(row, doc_id, text), written, with unique row -> row, doc_id, class_id, class_size, links, kept, for every row."""
     sketches = materialize(sketch(docs, bands, rows, n_words), "sketches")
     reps = materialize(
         sketches.where("n > 0").groupBy("print1", "print2").agg(F.min("row").alias("rep"), F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("name"), F.coalesce(F.min_by("row", "doc_id"), F.min("row")).alias("keep")),
@@ -346,10 +391,10 @@ def _classes(docs: DataFrame, threshold: float, bands: int, rows: int, n_words:
     roots = components(links)
 
     every = banded.select("rep", "bucket").join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
-    mixed = every.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("bucket")
-    left = materialize(every.join(mixed, "bucket", "left_semi"), "mixed", fold=True)
+    mixed = materialize(every.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("bucket"), "several", fold=True)
+    left = materialize(pick(every, mixed, "bucket"), "mixed", fold=True)  # where these are few, the bands stay where they are
     more = _across(left, docs, threshold, n_words)
-    discard(left)
+    discard(left, mixed)
     if not more.isEmpty():
         discard(roots)
         roots = components(links.unionByName(more))
@@ -357,11 +402,13 @@ def _classes(docs: DataFrame, threshold: float, bands: int, rows: int, n_words:
     rooted = reps.join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
     # Written apart, so that it is sent to all tasks where it is small and a large class is split in the join where it isn't.
     named = materialize(rooted.groupBy("root").agg(F.min("name").alias("class_id"), F.sum("copies").alias("class_size"), F.coalesce(F.min_by("keep", "name"), F.min("keep")).alias("keep")), "named", fold=True)
-    classes = rooted.select("print1", "print2", "root").join(named, "root").drop("root")
+    ends = links.unionByName(more)
+    linked = ends.select(F.col("a").alias("rep")).unionByName(ends.select(F.col("b").alias("rep"))).groupBy("rep").agg(F.count(F.lit(1)).alias("others"))
+    classes = rooted.join(linked, "rep", "left").select("print1", "print2", "root", (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("links")).join(named, "root").drop("root")
     some = F.col("n") > 0
     found = materialize(
         sketches.select("row", "doc_id", "n", "print1", "print2").join(classes, ["print1", "print2"], "left")
-        .select("row", "doc_id", F.when(some, F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"), F.when(some, F.col("class_size")).otherwise(1).alias("class_size"), F.when(some, F.col("row") == F.col("keep")).otherwise(True).alias("kept")),
+        .select("row", "doc_id", F.when(some, F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"), F.when(some, F.col("class_size")).otherwise(1).alias("class_size"), F.when(some, F.col("links")).otherwise(0).alias("links"), F.when(some, F.col("row") == F.col("keep")).otherwise(True).alias("kept")),
         "classes",
     )
     discard(sketches, reps, links, more, roots, named)
@@ -369,7 +416,12 @@ def _classes(docs: DataFrame, threshold: float, bands: int, rows: int, n_words:
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, n_words: int = WORDS) -> DataFrame:
-    """docs(doc_id, text) -> doc_id, class_id (least doc_id of its class), class_size (rows), kept, for every row of docs."""
+    """docs(doc_id, text) -> doc_id, class_id (least doc_id of its class), class_size (rows), links, kept, for every row of docs.
+
+    links counts the other rows with the same multiset of shingles, and the representatives of others that the row's own
+    was verified to be linked to while the classes were found. Pairs that are of one class already aren't compared, so
+    a class of n texts has n - 1 links between different texts at least.
+    """
     numbered = materialize(docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long"), F.col("text").cast("string")), "rows")
     found = _classes(numbered, threshold, bands, rows, n_words)
     discard(numbered)
