@@ -1,6 +1,7 @@
 """Operators that join or learn over whole tables, against brute force, SQL or held-out rows."""
 
 import random
+import re
 from collections import Counter, defaultdict
 from pathlib import Path
 
@@ -57,9 +58,60 @@ def test_near_duplicates_equal_all_pairs(spark):
     assert classes(near_dups.near_duplicates(docs)) == want
 
 
-def test_near_duplicates_in_large_buckets(spark, monkeypatch):
+def test_near_duplicate_recall_at_a_larger_size(spark, small):
+    """Classes of sf0.01 against all pairs that share a shingle, found by an inverted index; no class may be split."""
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    grams, posting, texts = {}, defaultdict(list), {r.doc_id: r.text for r in docs.collect()}
+    for k, text in texts.items():
+        words = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+        n = min(5, len(words))
+        grams[k] = Counter(tuple(words[i : i + n]) for i in range(len(words) - n + 1)) if words else Counter()
+        for g in grams[k]:
+            posting[g].append(k)
+    common = Counter((a, b) for ids in posting.values() for i, a in enumerate(ids) for b in ids[i + 1 :])
+    root = {k: k for k in texts}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    linked = 0
+    for (a, b), n in common.items():
+        ga, gb = grams[a], grams[b]
+        near = n >= 0.8 * (len(ga) + len(gb) - n)
+        if not near and n >= 0.4 * min(len(ga), len(gb)) and (max(ga.values()) > 1 or max(gb.values()) > 1):
+            near = sum(1 / sum(max(ga[z] / ga[x], gb[z] / gb[x]) for z in ga.keys() | gb.keys()) for x in ga.keys() & gb.keys()) >= 0.8
+        if near:
+            linked += 1
+            x, y = sorted((find(a), find(b)))
+            root[y] = x
+    found = near_dups.near_duplicates(docs).collect()
+    assert linked > 20 and {r.doc_id: r.class_id for r in found} == {k: find(k) for k in texts}
+    assert all((r.links > 0) == (r.class_size > 1) for r in found)
+
+
+def test_template_pages_do_not_meet(spark, monkeypatch):
+    """Pages that share seven tenths of their text: their wide buckets give way to rare shingles, which few share."""
+    monkeypatch.setattr(near_dups, "WIDE", 10)
+    template, r = data.prose(140, 1), random.Random(3)
+    texts = {k: template + " " + " ".join(f"w{r.randrange(10**9)}" for _ in range(60)) for k in range(80)}
+    texts |= {100 + k: texts[k].replace(texts[k].split()[-1], "changed") for k in range(10)}
+    met = []
+    kept = near_dups._rare_buckets
+    monkeypatch.setattr(near_dups, "_rare_buckets", lambda *x: met.append(kept(*x)) or met[-1])
+    discarded = near_dups.discard
+    monkeypatch.setattr(near_dups, "discard", lambda *x: discarded(*[t for t in x if t not in met]))
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert classes(near_dups.near_duplicates(docs, bands=60, rows=2)) == {k: k % 100 for k in texts}
+    assert len(met) == 1 and met[0].groupBy("bucket").count().where("count > 2").isEmpty()
+
+
+@pytest.mark.parametrize("wide", [1024, 10])
+def test_near_duplicates_in_large_buckets(spark, monkeypatch, wide):
     """Variants of one text: a crowd that shares most bands, dealt in blocks, with chains that only some pairs link."""
     monkeypatch.setattr(near_dups, "BLOCK", 16)
+    monkeypatch.setattr(near_dups, "WIDE", wide)
     monkeypatch.setattr(near_dups, "FIRST_BANDS", 1)
     r, base = random.Random(3), data.prose(90, 9).split()
     texts = {}
