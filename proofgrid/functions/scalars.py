@@ -19,6 +19,12 @@ def number(c: Column) -> Column:
     return F.nullif(F.trim(c.cast("string")), F.lit("")).try_cast("double")
 
 
+def flag_or_number(c: Column) -> Column:
+    """A text as double: true is 1, false is 0, anything else as number() has it."""
+    text = F.lower(F.trim(c.cast("string")))
+    return F.when(text == "true", 1.0).when(text == "false", 0.0).otherwise(number(c))
+
+
 def clip(c: Column, low: float, high: float) -> Column:
     return F.least(F.greatest(c, F.lit(low)), F.lit(high))
 
@@ -62,6 +68,21 @@ def two_digits(c: Column, signed: bool = False) -> Column:
     return F.when(c > 0, F.concat(F.lit("+"), text)).otherwise(text) if signed else text
 
 
+def percent_text(c: Column) -> Column:
+    """A share as percent with two digits."""
+    return F.concat(two_digits(100 * c), F.lit("%"))
+
+
+def interval_text(low: Column, high: Column) -> Column:
+    """Two signed numbers of two digits in brackets."""
+    return F.concat(F.lit("["), two_digits(low, signed=True), F.lit(", "), two_digits(high, signed=True), F.lit("]"))
+
+
+def record_id(prefix: str, time: Column, key: Column) -> Column:
+    """PREFIX-yymmdd-HEX10 from a time and a key; the same record has the same id."""
+    return F.concat(F.lit(f"{prefix}-"), F.date_format(time, "yyMMdd"), F.lit("-"), F.upper(F.substring(F.sha2(key.cast("string"), 256), 1, 10)))
+
+
 def export_guard(c: Column) -> Column:
     """A text that a spreadsheet would run as a formula gets a leading apostrophe."""
     return F.when(F.substring(c, 1, 1).isin("=", "+", "-", "@"), F.concat(F.lit("'"), c)).otherwise(c)

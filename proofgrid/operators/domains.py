@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +22,23 @@ RANGES = [
 #: Kind, the smaller and the larger parameter, and whether they may be equal.
 ORDERS = [("budget", "minimum_search_fraction", "reliable_fraction", True), ("adaptive", "minimum_psnr_db", "target_psnr_db", False), ("adaptive", "minimum_strength", "maximum_strength", False), ("messages", "maximum_messages", "candidate_limit", True)]
 
+#: Parameters that are counts.
+WHOLE = ["max_candidates", "quality_refinement_steps", "robustness_steps", "fusion_top_k", "maximum_messages", "seed_hamming_radius", "minimum_message_hamming_separation", "minimum_cluster_pixels", "refinement_iterations", "candidate_limit"]
+
+
+def require(kind: str, settings: Mapping[str, float]) -> None:
+    """An error that names every value of one configuration outside its range, and every broken order."""
+    rules = []
+    for of, name, low, high, low_in, high_in in RANGES:
+        if of == kind and name in settings:
+            value = settings[name]
+            above, below = value > low or (low_in and value == low), value < high or (high_in and value == high)
+            if not (above and below) or (name in WHOLE and value != int(value)):
+                rules.append(f"{name} is out of range")
+    rules += [f"{a} is not below {b}" for of, a, b, equal in ORDERS if of == kind and a in settings and b in settings and not (settings[a] < settings[b] or (equal and settings[a] == settings[b]))]
+    if rules:
+        raise ValueError("; ".join(rules))
+
 
 def violations(settings: DataFrame) -> DataFrame:
     """settings(config, kind, name, value) -> config, kind, rule for each value outside its range and each broken order.

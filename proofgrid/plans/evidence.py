@@ -8,13 +8,13 @@ from pyspark.sql import functions as F
 from ..functions import bits, scalars
 from ..operators import audit
 from ..operators.bootstrap import hash_bootstrap
-from ..operators.calibrate import bisect, upsert
+from ..operators.calibrate import bisect_rates, upsert
 from ..operators.messages import evaluate_messages, separated
 from ..operators.ordering import numbered
 from ..operators.policy import Policy, replay
 from ..operators.summary import unit_means
 from .registry import register, rounded
-from .standins import ATTACKS_SQL, MANIFEST_SQL, RECORDS_SQL, attacks, manifest, records, table
+from .standins import MANIFEST_SQL, RECORDS_SQL, manifest, records, table
 from .statistics import _ONE, _TRACES_SQL, _boot_sql, _gained, _replay_sql, _GAIN_SQL, _told, traces
 
 _VECTOR = "x AS (SELECT vec_id, label, list_transform(embedding, lambda v: v::DOUBLE) AS e FROM embeddings)"
@@ -76,8 +76,9 @@ def file_orders(spark, sf_dir):
 @register("limited_manifest", f"WITH {MANIFEST_SQL} SELECT sample_id, relative_path, n AS sample_index FROM (SELECT *, row_number() OVER (ORDER BY relative_path, sample_id) AS n FROM manifest) WHERE n <= least((SELECT count(*) FROM manifest), 500, 300)")
 def limited_manifest(spark, sf_dir):
     """The first files of a manifest, as many as the least of its size, the configured limit and the caller's: a limit is what this query is."""
-    files = numbered(manifest(spark, sf_dir).select("sample_id", "relative_path"), ["relative_path", "sample_id"], "sample_index")
-    return files.where(F.col("sample_index") <= F.least(F.lit(500), F.lit(300)))
+    order = ["relative_path", "sample_id"]
+    first = manifest(spark, sf_dir).select("sample_id", "relative_path").orderBy(*order).limit(min(500, 300))  # 300 rows
+    return first.withColumn("sample_index", F.row_number().over(Window.orderBy(*order)).cast("long"))
 
 
 @register("candidate_families", f"WITH {_TRACES_SQL}, c AS (SELECT CASE WHEN name = 'identity' THEN 'identity' ELSE split_part(name, '_', 1) END AS family, try_cast(split_part(name, '_', 2) AS DOUBLE) AS amount, score FROM evidence) SELECT family, amount, count(*) AS n_rows, round(avg(score), 9) AS mean_score FROM c GROUP BY ALL")
@@ -125,10 +126,11 @@ def snapshot_override(spark, sf_dir):
     return rounded(joined.select("dataset", F.when(complete, F.col("own")).otherwise(F.col("bit_accuracy")).alias("bit_accuracy"), F.when(complete, "local").otherwise("published").alias("data_source")))
 
 
-@register("attack_catalog", f"WITH {ATTACKS_SQL} SELECT attack, category, generate_subscripts(steps, 1)::INTEGER AS place, unnest(steps) AS step FROM attacks")
+@register("attack_catalog", "SELECT p_partkey AS attack, p_type AS category, generate_subscripts(string_split(p_name, ' '), 1)::INTEGER AS place, unnest(string_split(p_name, ' ')) AS step FROM part")
 def attack_catalog(spark, sf_dir):
-    """The protocol with one row for each step of a case."""
-    return attacks(spark).select("attack", "category", F.posexplode("steps").alias("place", "step")).withColumn("place", F.col("place") + 1)
+    """Cases of a protocol with one row for each of their steps: here a part is a case, the words of its name are its steps."""
+    cases = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("attack"), F.col("p_type").alias("category"), F.posexplode(F.split("p_name", " ")).alias("place", "step"))
+    return cases.withColumn("place", F.col("place") + 1)
 
 
 @register("manifest_counts", f"WITH {MANIFEST_SQL}, plan AS (SELECT * FROM (VALUES ('en', 'test'), ('en', 'calibration'), ('de', 'test'), ('xx', 'test')) p(dataset, split)) SELECT dataset, split, count(m.sample_id) AS files, count(m.sample_id) FILTER (WHERE relative_path LIKE '/%' OR relative_path LIKE '%..%') AS outside, count(m.sample_id) > 0 AS present FROM plan LEFT JOIN manifest m USING (dataset, split) GROUP BY ALL")
@@ -264,16 +266,17 @@ def separated_messages(spark, sf_dir):
     return found.select("vec_id", *[F.col("s.messages")[k].alias(name) for k, name in enumerate(("first", "second", "third"))], "s.attempts")
 
 
-@register("strength_bisection", f"""WITH RECURSIVE {_VECTOR}, a AS (SELECT avg(40 + 10 * e[1]) AS base FROM x), w AS (SELECT 2 AS step, 1.0::DOUBLE AS low, 5.0::DOUBLE AS high, 3.0::DOUBLE AS middle, base - 20 * log10(3.0::DOUBLE) AS psnr FROM a
-    UNION ALL SELECT step + 1, l, h, (l + h) / 2, base - 20 * log10((l + h) / 2) FROM (SELECT step, base, CASE WHEN psnr > 32 THEN middle ELSE low END AS l, CASE WHEN psnr > 32 THEN high ELSE middle END AS h FROM w CROSS JOIN a WHERE step < 9)),
-  s AS (SELECT step, middle AS strength, psnr FROM w UNION ALL SELECT 0, 1.0::DOUBLE, base - 20 * log10(1.0::DOUBLE) FROM a UNION ALL SELECT 1, 5.0::DOUBLE, base - 20 * log10(5.0::DOUBLE) FROM a)
-  SELECT step, strength, round(psnr, 6) AS mean_psnr, row_number() OVER (ORDER BY abs(psnr - 32), step) = 1 AS selected, (SELECT base - 20 * log10(1.0::DOUBLE) >= 32 AND 32 >= base - 20 * log10(5.0::DOUBLE) FROM a) AS bracketed FROM s""")
+@register("strength_bisection", """WITH RECURSIVE l AS (SELECT (label % 4)::INTEGER AS image, embedding[1]::DOUBLE AS bound FROM embeddings),
+  w AS (SELECT image, 1 AS step, -0.5::DOUBLE AS low, 0.5::DOUBLE AS high, NULL::DOUBLE AS strength, NULL::DOUBLE AS rate FROM (SELECT DISTINCT image FROM l)
+    UNION ALL SELECT image, step + 1, CASE WHEN rate > 0.3 THEN strength ELSE low END, CASE WHEN rate > 0.3 THEN high ELSE strength END, strength, rate
+    FROM (SELECT w.image, step, low, high, (low + high) / 2 AS strength, (SELECT count(*) FILTER (WHERE l.bound >= (low + high) / 2) / count(*)::DOUBLE FROM l WHERE l.image = w.image) AS rate FROM w WHERE step < 9)),
+  e AS (SELECT image, b.strength, count(*) FILTER (WHERE bound >= b.strength) / count(*)::DOUBLE AS rate, b.step FROM l CROSS JOIN (VALUES (0, -0.5::DOUBLE), (1, 0.5::DOUBLE)) b(step, strength) GROUP BY ALL),
+  s AS (SELECT image, step, strength, rate FROM w WHERE step > 1 UNION ALL SELECT image, step, strength, rate FROM e)
+  SELECT image, step, strength, round(rate, 9) AS rate, row_number() OVER (PARTITION BY image ORDER BY abs(rate - 0.3), step) = 1 AS selected, bool_or(step = 0 AND rate >= 0.3) OVER (PARTITION BY image) AND bool_or(step = 1 AND rate <= 0.3) OVER (PARTITION BY image) AS bracketed FROM s""")
 def strength_bisection(spark, sf_dir):
-    """The strength whose mean quality is nearest to a target: ten aggregates over the table, of which the driver sees one number each."""
-    seen = _vectors(spark, sf_dir).select(F.col("e")[0].alias("first"))
-    mean = lambda strength: seen.agg(F.avg(40 + 10 * F.col("first") - 20 * F.log10(F.lit(strength)))).first()[0]
-    steps, best, bracketed = bisect(mean, 1.0, 5.0, 32.0, 8)
-    return spark.createDataFrame([(s, x, round(v, 6), s == best, bracketed) for s, x, v in steps], "step int, strength double, mean_psnr double, selected boolean, bracketed boolean")
+    """The strength up to which about three in ten of an image's rows pass, by bisection over one count of the table."""
+    limits = table(spark, sf_dir, "embeddings").select((F.col("label") % 4).cast("int").alias("image"), F.col("embedding")[0].cast("double").alias("bound"))
+    return rounded(bisect_rates(limits, ["image"], "bound", -0.5, 0.5, 0.3, 8))
 
 
 @register("calibration_merge", f"""WITH {RECORDS_SQL}, m AS (SELECT model, dataset, round(avg(embed_psnr_db), 9) AS psnr FROM records GROUP BY ALL), earlier AS (SELECT * FROM m WHERE dataset IN ('ds0', 'ds1')), fresh AS (SELECT model, dataset, psnr + 1 AS psnr FROM m WHERE dataset IN ('ds1', 'ds2'))

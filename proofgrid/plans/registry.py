@@ -36,7 +36,7 @@ def _load() -> None:
         importlib.import_module(f"{__package__}.{module}")
 
 
-MODULES = ["summaries", "comparisons", "statistics", "integrity", "evidence", "clusters", "grids", "interactive"]
+MODULES = ["summaries", "comparisons", "statistics", "integrity", "evidence", "clusters", "grids", "interactive", "documents"]
 
 
 def queries() -> dict[str, Query]:

@@ -143,9 +143,11 @@ def min_mean_max_pass_rate(spark, sf_dir):
     return runs(spark, sf_dir).groupBy("attack").agg(F.min("value").alias("lowest"), F.round(F.avg("value"), 9).alias("mean"), F.max("value").alias("highest"), F.round(share(F.col("value") > 50), 9).alias("pass_rate"))
 
 
-@register("protocol_case_counts", f"WITH {ATTACKS_SQL} SELECT category, count(*) AS cases, max(len(steps))::INTEGER AS most_steps FROM attacks GROUP BY category")
+@register("protocol_case_counts", "SELECT p_type AS category, count(*) AS cases, max(len(string_split(p_name, ' ')))::INTEGER AS most_steps, count(DISTINCT string_split(p_name, ' ')[1]) AS first_steps FROM part GROUP BY p_type")
 def protocol_case_counts(spark, sf_dir):
-    return attacks(spark).groupBy("category").agg(F.count(F.lit(1)).alias("cases"), F.max(F.size("steps")).alias("most_steps"))
+    """Cases of a protocol by category: here a part is a case, the words of its name are its steps."""
+    steps = F.split("p_name", " ")
+    return table(spark, sf_dir, "part").groupBy(F.col("p_type").alias("category")).agg(F.count(F.lit(1)).alias("cases"), F.max(F.size(steps)).alias("most_steps"), F.count_distinct(steps[0]).alias("first_steps"))
 
 
 @register("dataset_readiness", """WITH seen AS (SELECT lang AS dataset, count(*) FILTER (WHERE source IN ('src0', 'src1', 'src2')) AS calibration_found, count(*) FILTER (WHERE source NOT IN ('src0', 'src1', 'src2')) AS test_found FROM documents GROUP BY lang)

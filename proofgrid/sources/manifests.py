@@ -26,17 +26,41 @@ def files(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
     return raw.select(F.substr(path, F.length(start) + 2).alias("relative_path"), F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"))
 
 
-def png_size(content: Column) -> tuple[Column, Column]:
-    """Width and height in the header of a PNG file; null for other files."""
-    is_png = F.hex(F.substring(content, 1, 8)) == "89504E470D0A1A0A"
-    at = lambda k: F.when(is_png, F.conv(F.hex(F.substring(content, k, 4)), 16, 10).cast("int"))
-    return at(17), at(21)
+def image_size(content: Column) -> tuple[Column, Column]:
+    """Width and height in the header of a PNG, GIF, BMP, JPEG or extended WebP file; null for other or broken files."""
+
+    def number(at: Column | int, n: int, little: bool = False) -> Column:
+        raw = F.substring(content, at, n)
+        raw = F.concat(*[F.substring(raw, k, 1) for k in range(n, 0, -1)]) if little else raw
+        return F.conv(F.nullif(F.hex(raw), F.lit("")), 16, 10).cast("int")
+
+    begins = lambda text, at=1: F.hex(F.substring(content, at, len(text) // 2)) == text
+    # A JPEG is a chain of segments, each with its length; the first frame header has the size.
+    marker = lambda at: F.hex(F.substring(content, at, 2))
+    frame = lambda at: marker(at).rlike("^FFC[0-9A-F]$") & ~marker(at).isin("FFC4", "FFC8", "FFCC")
+    step = lambda at, _: F.when(frame(at) | ~marker(at).startswith("FF"), at).otherwise(at + 2 + F.coalesce(number(at + 2, 2), F.lit(0)))
+    found = F.aggregate(F.sequence(F.lit(1), F.lit(256)), F.lit(3), step)
+    jpeg = begins("FFD8") & frame(found)
+    forms = [
+        (begins("89504E470D0A1A0A"), number(17, 4), number(21, 4)), (begins("47494638"), number(7, 2, True), number(9, 2, True)), (begins("424D"), number(19, 4, True), _signed(content, 23)),
+        (jpeg, number(found + 7, 2), number(found + 5, 2)), (begins("52494646") & begins("5745425056503858", 9), number(25, 3, True) + 1, number(28, 3, True) + 1),
+    ]
+    width = height = F.lit(None).cast("int")
+    for fits, w, h in reversed(forms):
+        width, height = F.when(fits, w).otherwise(width), F.when(fits, h).otherwise(height)
+    return width, height
+
+
+def _signed(content: Column, at: int) -> Column:
+    """The size of a signed 32-bit number, low byte first: a BMP whose rows run downwards has a negative height."""
+    value = F.conv(F.hex(F.concat(*[F.substring(content, at + k, 1) for k in (3, 2, 1, 0)])), 16, 10).cast("long")
+    return F.abs(F.when(value >= 1 << 31, value - (1 << 32)).otherwise(value)).cast("int")
 
 
 def build_manifest(spark: SparkSession, root: str, dataset: str, split: str, pattern: str = "*", limits: Sequence[int | None] = (), numeric: bool = False) -> DataFrame:
     """A manifest of the files below root, by path or by the number in the name; the least of the limits keeps the first so many."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(root)
-    width, height = png_size(F.col("content"))
+    width, height = image_size(F.col("content"))
     start = F.regexp_replace(F.lit(root.rstrip("/")), "^file:/*", "/")
     path = F.substr(F.regexp_replace(F.url_decode(F.col("path")), "^file:/*", "/"), F.length(start) + 2)
     rows = raw.select(

@@ -55,6 +55,37 @@ def merge_shards(shards: Sequence[DataFrame], key: Sequence[str], rows_each: int
     return merged.drop("_shard")
 
 
+def read_partials(spark: SparkSession, path: str, schema: str, form: str = "csv") -> DataFrame:
+    """The rows of all files below path, one for each image, with the file that each comes from in source_file."""
+    rows = spark.read.schema(schema).format(form).options(header=True, positiveInf="inf", negativeInf="-inf", nanValue="nan", escape='"', recursiveFileLookup=True).load(path)
+    return rows.select("*", F.col("_metadata.file_path").alias("source_file"))
+
+
+def partial_status(rows: DataFrame, expected: DataFrame, image: str, cell: Sequence[str]) -> DataFrame:
+    """read_partials' rows and the expected cells of every image -> source_file, images, n_rows, n_cells, complete.
+
+    A file is complete if it holds one image and each expected cell of it once, and no other.
+    """
+    wanted = expected.select(*cell).distinct().withColumn("_wanted", F.lit(1))  # the protocol
+    marked = rows.join(F.broadcast(wanted), list(cell), "left")
+    counted = marked.groupBy("source_file").agg(
+        F.count_distinct(image).alias("images"), F.count(F.lit(1)).alias("n_rows"), F.count_distinct(F.when(F.col("_wanted") == 1, F.struct(*cell))).alias("n_cells"),
+    )
+    planned = wanted.count()
+    return counted.withColumn("complete", (F.col("images") == 1) & (F.col("n_rows") == planned) & (F.col("n_cells") == planned))
+
+
+def combine_partials(spark: SparkSession, path: str, schema: str, expected: DataFrame, image: str, cell: Sequence[str], form: str = "csv") -> DataFrame:
+    """All files below path as one table, after each is found complete and no image is in two."""
+    rows = read_partials(spark, path, schema, form)
+    broken = partial_status(rows, expected, image, cell).where("not complete").select("source_file").orderBy("source_file").limit(3).collect()
+    if broken:
+        raise ResultError(f"incomplete files: {[r.source_file for r in broken]}")
+    if not duplicates(rows, [image, *cell]).isEmpty():
+        raise ResultError("an image is in more than one file")
+    return rows.drop("source_file")
+
+
 class History:
     """An append-only table of analysis records with a timestamp and a name."""
 

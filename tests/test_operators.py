@@ -214,10 +214,10 @@ def test_the_order_follows_the_best_correction_so_far(spark):
     assert names.index("rotation_+3") == names.index("rotation_+10") + 1
 
 
-def test_policies_are_validated():
+def test_policies_are_validated(spark):
     for bad in ({"max_candidates": 0}, {"max_candidates": 11}, {"max_candidates": 1.5}, {"identity_minimum_margin": math.inf}, {"stop_minimum_margin": -1.0}, {"reliable_agreement": 0.0}, {"minimum_search_fraction": 0.5}):
         with pytest.raises(ValueError):
-            policy.Policy(**bad)
+            policy.as_struct(policy.Policy(**bad))
 
 
 def test_grids_number_the_product_of_their_axes(spark):
