@@ -17,6 +17,9 @@ from pyspark.sql import functions as F
 
 from .ordering import numbered_within
 
+#: Parts of one in which values are summed up.
+SCALE = 1e9
+
 
 def draw(text: Column, n: Column) -> Column:
     """A number below n from the first 15 hexadecimal digits of a text's hash."""
@@ -28,18 +31,21 @@ def hash_bootstrap(units: DataFrame, group: Sequence[str], order: Sequence[str],
 
     Units are numbered within their group (and stratum); resampling keeps the number of units of each stratum, so
     strata weigh by their units. A null value is left out of the means. Joined rows: at most iterations x units.
+    Values are whole billionths, so a sum is the same in any order, and so are the means and their percentiles.
     """
     strata = [stratum] if stratum else []
-    numbered = numbered_within(units.select(*group, *strata, *[c for c in order if c not in (*group, *strata)], *values), [*group, *strata], order)
+    whole = [F.floor(F.col(v) * SCALE + 0.5).cast("long").alias(v) for v in values]
+    units = units.select(*group, *strata, *[c for c in order if c not in (*group, *strata)], *whole)
+    numbered = numbered_within(units, [*group, *strata], order)
     key = F.concat_ws("/", F.lit(seed), F.col(stratum)) if stratum else F.lit(seed)
     rounds = numbered.select(*strata, "_n").distinct().select(*strata, "_n", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1))).alias("_it")).repartition("_n", "_it")
     each = rounds.select(*strata, "_n", "_it", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)).alias("_draw"))
     drawn = each.select(*strata, "_n", "_it", draw(F.concat_ws(":", key, F.col("_it").cast("string"), F.col("_draw").cast("string")), F.col("_n")).alias("_i"))
     drawn = drawn.groupBy(*strata, "_n", "_it", "_i").agg(F.count(F.lit(1)).alias("_w"))
-    mean = lambda v: F.try_divide(F.sum(F.col("_w") * F.col(v)), F.sum(F.when(F.col(v).isNotNull(), F.col("_w"))).cast("double"))
+    mean = lambda v: F.try_divide(F.sum(F.col("_w") * F.col(v)).cast("double"), F.sum(F.when(F.col(v).isNotNull(), F.col("_w"))) * SCALE)
     means = numbered.join(drawn, [*strata, "_n", "_i"]).groupBy(*group, "_it").agg(*[mean(v).alias(v) for v in values])
     bounds = means.groupBy(*group).agg(*[c for v in values for c in (F.percentile(v, 0.025).alias(f"{v}_low"), F.percentile(v, 0.975).alias(f"{v}_high"))])
-    point = units.groupBy(*group).agg(F.count(F.lit(1)).alias("units"), *[F.avg(v).alias(f"{v}_mean") for v in values])
+    point = units.groupBy(*group).agg(F.count(F.lit(1)).alias("units"), *[F.try_divide(F.sum(v).cast("double"), F.count(v) * SCALE).alias(f"{v}_mean") for v in values])
     return point.join(bounds, list(group)) if group else point.crossJoin(bounds)  # one row each
 
 
