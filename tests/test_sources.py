@@ -169,3 +169,61 @@ def test_categories_are_selected(spark):
     assert [r.case_id for r in protocols.select(table, ["y"]).collect()] == ["b"]
     with pytest.raises(protocols.ProtocolError, match="no case"):
         protocols.select(table, ["y", "z"])
+
+
+def test_sizes_are_read_from_headers_of_many_forms(spark, tmp_path):
+    import struct
+
+    from proofgrid.sources import manifests
+
+    frame = lambda n, body: b"\xff" + bytes([n]) + struct.pack(">H", len(body) + 2) + body
+    jpeg = b"\xff\xd8" + frame(0xE0, b"JFIF\0" + b"\0" * 9) + frame(0xE1, b"x" * 3000) + frame(0xC4, b"h" * 40) + frame(0xC2, struct.pack(">BHH", 8, 480, 640) + b"\x03") + b"\xff\xd9"
+    files = {
+        "a.png": b"\x89PNG\r\n\x1a\n" + struct.pack(">I4sII", 13, b"IHDR", 300, 200), "b.gif": b"GIF89a" + struct.pack("<HH", 320, 70_000 % 65_536), "c.bmp": b"BM" + b"\0" * 16 + struct.pack("<ii", 17, -9),
+        "d.jpg": jpeg, "e.webp": b"RIFF\0\0\0\0WEBPVP8X" + b"\x0a\0\0\0" + b"\0" * 4 + (99_999).to_bytes(3, "little") + (49).to_bytes(3, "little"), "f.txt": b"hello", "g.jpg": b"\xff\xd8\x00", "h.png": b"\x89PNG\r\n\x1a\n",
+    }
+    for name, data in files.items():
+        (tmp_path / name).write_bytes(data)
+    found = {r.sample_id: (r.width, r.height) for r in manifests.build_manifest(spark, str(tmp_path), "d", "test").collect()}
+    assert found == {"a.png": (300, 200), "b.gif": (320, 4464), "c.bmp": (17, 9), "d.jpg": (640, 480), "e.webp": (100_000, 50), "f.txt": (None, None), "g.jpg": (None, None), "h.png": (None, None)}
+
+
+def test_partial_files_are_combined_when_complete(spark, tmp_path):
+    from proofgrid.sources import results
+
+    schema, cells = "image_id string, attack string, score double", ["clean", "jpeg"]
+    expected = spark.createDataFrame([(c,) for c in cells], "attack string")
+
+    def part(name, rows):
+        (tmp_path / "p").mkdir(exist_ok=True)
+        (tmp_path / "p" / name).write_text("image_id,attack,score\n" + "".join(f"{i},{a},{s}\n" for i, a, s in rows))
+
+    part("000_a.csv", [("a", "clean", 1.0), ("a", "jpeg", "inf")])
+    part("001_b.csv", [("b", "clean", 0.5), ("b", "jpeg", 0.25)])
+    table = results.combine_partials(spark, f"{tmp_path}/p", schema, expected, "image_id", ["attack"])
+    assert table.columns == ["image_id", "attack", "score"] and {(r.image_id, r.attack) for r in table.collect()} == {(i, a) for i in "ab" for a in cells}
+    for name, rows in (("002_short.csv", [("c", "clean", 1)]), ("002_two.csv", [("c", "clean", 1), ("d", "jpeg", 1)]), ("002_other.csv", [("c", "clean", 1), ("c", "blur", 1)]), ("002_again.csv", [("c", "clean", 1), ("c", "jpeg", 1), ("c", "jpeg", 1)])):
+        part(name, rows)
+        status = {r.source_file.rsplit("/", 1)[1]: r.complete for r in results.partial_status(results.read_partials(spark, f"{tmp_path}/p", schema), expected, "image_id", ["attack"]).collect()}
+        assert status == {"000_a.csv": True, "001_b.csv": True, name: False}
+        with pytest.raises(results.ResultError, match=name):
+            results.combine_partials(spark, f"{tmp_path}/p", schema, expected, "image_id", ["attack"])
+        (tmp_path / "p" / name).unlink()
+    part("003_b.csv", [("b", "clean", 0.5), ("b", "jpeg", 0.25)])
+    with pytest.raises(results.ResultError, match="more than one file"):
+        results.combine_partials(spark, f"{tmp_path}/p", schema, expected, "image_id", ["attack"])
+
+
+def test_documents_are_typed_and_held_against_their_rules(spark):
+    from proofgrid.operators import snapshots
+
+    good = '{"suite_id":"s","version":1,"images":2,"attack_cases":3,"methods":[{"method":"a","records":6,"recovered":3,"recovery":0.5},{"method":"b","records":6,"recovered":6,"recovery":1.0}],"paired":[{"baseline":"a","candidate":"b","pairs":6,"rescued":3,"regressed":0,"both":3,"neither":0,"gain_pp":50.0}]}'
+    rows = {
+        "good": good, "cut": good[:-10], "not": "hello", "null": None, "sum": good.replace('"neither":0', '"neither":1'), "share": good.replace('"recovery":0.5', '"recovery":0.6'),
+        "twice": good.replace('"method":"b"', '"method":"a"'), "empty": '{"suite_id":"s","version":1,"images":2,"attack_cases":3,"methods":[],"paired":[]}', "gain": good.replace("50.0", "40.0"), "type": good.replace('"version":1', '"version":"one"'),
+    }
+    found = {r.suite_id: (r.status, r.broken, r.d) for r in snapshots.load(spark.createDataFrame(list(rows.items()), "suite_id string, document string")).collect()}
+    assert found["good"][:2] == ("ready", []) and found["good"][2].methods[1].recovered == 6
+    assert {k for k, v in found.items() if v[0] == "malformed"} == {"cut", "not", "null", "type"} and all(found[k][2] is None for k in ("cut", "not", "null", "type"))
+    broken = {k: v[1] for k, v in found.items() if v[0] == "invalid"}
+    assert broken == {"sum": ["changes don't add up"], "share": ["a recovery is not its share"], "twice": ["methods occur twice", "a pair names no method"], "empty": ["no methods"], "gain": ["a gain is not its changes"]}
