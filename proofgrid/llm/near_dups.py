@@ -14,7 +14,8 @@ number that a written table gives them, not by doc_id: one row of each class is
 
 No step emits the pairs of a group. Texts with equal multisets are one representative from the start. A bucket
 links its members to its least one only. After these classes are known, only buckets that still hold several
-classes are looked at again: those of at most SMALL members give pairs across classes; larger ones are dealt in
+classes are looked at again. First, each of their texts is held against one text of another class, which joins most of
+what belongs together. Of the buckets that then still hold several classes, those of at most SMALL members give pairs across classes; larger ones are dealt in
 blocks of about BLOCK members, each pair of blocks to a task of its own, which intersects all its shingle sets at
 once as a matrix product and emits the few links that join classes. Beyond WIDE members, where blocks would send each
 text many times, a bucket gives way to buckets of rare shingles: shingles are ordered by how many texts of such
@@ -330,8 +331,7 @@ def _rare_buckets(reps: DataFrame, sets: DataFrame, threshold: float) -> DataFra
     )
     rare = placed.where((F.greatest("heavy", "many") >= threshold - 1e-9) & (F.col("texts") > 1)).select("bucket", "rep")
     rooted = materialize(rare.join(reps, "rep").select("bucket", "rep", "root"), "rare", fold=True)
-    mixed = rooted.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("bucket")
-    found = materialize(rooted.join(mixed, "bucket", "left_semi"), "rare", fold=True)
+    found = _several(rooted)
     discard(shingled, often, rooted)
     return found
 
@@ -340,15 +340,46 @@ def _sized(left: DataFrame) -> DataFrame:
     return materialize(left.join(left.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")), "bucket").select("bucket", "rep", "root", "members"), "mixed", fold=True)
 
 
+def _several(rooted: DataFrame) -> DataFrame:
+    """The rows of rooted(bucket, rep, root) whose bucket holds several classes."""
+    mixed = rooted.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("bucket")
+    return materialize(rooted.join(mixed, "bucket", "left_semi"), "mixed", fold=True)
+
+
+def _settled(left: DataFrame, sets: DataFrame, threshold: float) -> tuple[list[DataFrame], DataFrame]:
+    """Rounds in which each text of left(bucket, rep, root) is held against one other, the least first text of its
+    buckets that is of another class: the links found, and the rows whose buckets still hold several classes. A round
+    is at most a pair for each text; it is repeated as long as it halves what is left."""
+    found = []
+    while True:
+        least = left.groupBy("bucket").agg(F.min(F.struct("rep", "root")).alias("first"))
+        met = left.join(least, "bucket").where((F.col("first.root") != F.col("root")) & (F.col("first.rep") != F.col("rep")))
+        stars = materialize(met.groupBy(F.col("rep").alias("b"), F.col("root").alias("root_b")).agg(F.min("first").alias("first")).select(F.col("first.rep").alias("a"), "b", F.col("first.root").alias("root_a"), "root_b"), "stars", fold=True)
+        links = materialize(_verified(stars.select("a", "b"), sets, threshold), "links", fold=True)
+        if links.isEmpty():
+            discard(stars, links)
+            return found, left
+        found.append(links)
+        joined = components(stars.join(links, ["a", "b"]).select(F.col("root_a").alias("a"), F.col("root_b").alias("b")))
+        after = _several(left.join(joined.select(F.col("node").alias("root"), F.col("root").alias("lower")), "root", "left").select("bucket", "rep", F.coalesce("lower", "root").alias("root")))
+        before, rest = left.count(), after.count()
+        discard(stars, joined, left)
+        left = after
+        if not rest or 2 * rest > before:
+            return found, left
+
+
 def _across(left: DataFrame, docs: DataFrame, threshold: float, n_words: int) -> DataFrame:
     """The links across classes in buckets that hold several: left(bucket, rep, root)."""
+    sets = _sets_of(left.select(F.col("rep").alias("row")).distinct(), docs, n_words)
+    found, left = _settled(left, sets, threshold)
     sized = _sized(left)
-    sets = _sets_of(sized.select(F.col("rep").alias("row")).distinct(), docs, n_words)
     wide = sized.where(F.col("members") > WIDE)
     meeting = [sized.where(F.col("members") <= WIDE)]
-    tables = [sized, sets]
+    tables = [left, sized, sets]
     if not wide.isEmpty():
-        rare = _rare_buckets(wide.select("rep", "root").distinct(), sets, threshold)
+        more, rare = _settled(_rare_buckets(wide.select("rep", "root").distinct(), sets, threshold), sets, threshold)
+        found += more
         meeting.append(_sized(rare))
         tables += [rare, meeting[-1]]
 
@@ -367,9 +398,11 @@ def _across(left: DataFrame, docs: DataFrame, threshold: float, n_words: int) ->
             .join(sets.withColumnRenamed("row", "rep"), "rep")
         )
         links = links.unionByName(dealt.groupBy("bucket", "low", "high").applyInPandas(lambda frame: _block_links(frame, threshold), "a long, b long"))
-    found = materialize(links.distinct(), "links", fold=True)
-    discard(*tables, pairs)
-    return found
+    for part in found:
+        links = links.unionByName(part)
+    every = materialize(links.distinct(), "links", fold=True)
+    discard(*tables, *found, pairs)
+    return every
 
 
 def _classes(docs: DataFrame, threshold: float, bands: int, rows: int, n_words: int) -> DataFrame:
@@ -394,7 +427,7 @@ def _classes(docs: DataFrame, threshold: float, bands: int, rows: int, n_words:
     mixed = materialize(every.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("bucket"), "several", fold=True)
     left = materialize(pick(every, mixed, "bucket"), "mixed", fold=True)  # where these are few, the bands stay where they are
     more = _across(left, docs, threshold, n_words)
-    discard(left, mixed)
+    discard(mixed)
     if not more.isEmpty():
         discard(roots)
         roots = components(links.unionByName(more))
