@@ -133,3 +133,49 @@ def spatial_metrics(cells: str, width: str, threshold: float, mask: str | None =
             "f1": ratio(f"2 * {hits}", f"2 * {hits} + {wrong} + {missed}"), "overlap": ratio(hits, f"{hits} + {wrong} + {missed}"),
         }
     return {k: F.expr(v) for k, v in out.items()}
+
+
+#: The synchronisation word before a message.
+SYNC = "1010010101011010"
+
+
+def perturbed(cells: str, width: str, name: str, amount: float) -> str:
+    """A grid of samples from 0 to 255 after a perturbation; samples are rounded half to even and cut at both ends."""
+    whole = lambda values: f"transform({values}, x -> double(bround(greatest(0D, least(255D, x)))))"
+    if name == "identity":
+        return cells
+    if name == "brightness":
+        return whole(f"transform({cells}, x -> x * {amount}D)")
+    if name == "contrast":
+        return whole(_let(f"bround({_mean(cells)})", "m", f"transform({cells}, x -> m + (x - m) * {amount}D)"))
+    if name == "gamma":
+        return whole(f"transform({cells}, x -> 255D * pow(x / 255D, {amount}D))")
+    if name == "horizontal_flip":
+        return f"transform(sequence(0, size({cells}) - 1), i -> {cells}[i - i % {width} + {width} - 1 - i % {width}])"
+    if name == "pixelate":
+        step = max(1, round(1 / amount))
+        block = lambda i: f"(int(floor({i} / {width} / {step})) * {width} + int(floor({i} % {width} / {step})))"
+        mean = _mean(f"transform(filter(sequence(0, size({cells}) - 1), j -> {block('j')} = {block('i')}), j -> {cells}[j])")
+        return whole(f"transform(sequence(0, size({cells}) - 1), i -> {mean})")
+    raise ValueError(f"unknown perturbation {name}")
+
+
+def marked(cells: str, message: str) -> str:
+    """Samples with SYNC and a message (a text of 0 and 1) in their least significant bits, over and over."""
+    bits = f"concat('{SYNC}', {message})"
+    return _let(bits, "b", f"transform({cells}, (x, i) -> x - x % 2 + int(substr(b, 1 + i % length(b), 1)))")
+
+
+def read_mark(cells: str, bits: int) -> dict[str, Column]:
+    """The message of so many bits by majority of its repetitions, the share of right synchronisation bits, and whether
+    it is 0.875 or more. A bit with as many votes for either is 0."""
+    total = len(SYNC) + bits
+    votes = f"transform(sequence(0, {total - 1}), b -> aggregate(filter(transform({cells}, (x, i) -> IF(i % {total} = b, x % 2 * 2 - 1, 0D)), x -> x <> 0), 0D, (s, x) -> s + x))"
+    read = f"array_join(transform({votes}, v -> IF(v > 0, '1', '0')), '')"
+    right = f"aggregate(sequence(1, {len(SYNC)}), 0, (n, i) -> n + int(substr(r, i, 1) = substr('{SYNC}', i, 1))) / {float(len(SYNC))}D"
+    return {"message": F.expr(f"substr({read}, {len(SYNC) + 1})"), "sync": F.expr(_let(read, "r", right)), "detected": F.expr(_let(read, "r", f"{right} >= 0.875D"))}
+
+
+def squared_difference(a: str, b: str) -> Column:
+    """Mean squared difference of two grids; null if their sizes differ."""
+    return F.expr(f"IF(size({a}) = size({b}), {_mean(f'zip_with({a}, {b}, (x, y) -> (x - y) * (x - y))')}, NULL)")

@@ -1,11 +1,11 @@
-"""Queries over the vectors as 8 x 8 grids: maps between grids, stencils and masks."""
+"""Queries over the vectors as 8 x 8 grids: maps between grids, stencils and masks."""
 
 from __future__ import annotations
 
 import numpy as np
 from pyspark.sql import functions as F
 
-from ..functions import grids
+from ..functions import grids, scalars
 from .registry import register, rounded
 from .standins import table
 
@@ -90,3 +90,54 @@ def spatial_metrics(spark, sf_dir):
     changed = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: (i % 8 < 1 + F.pmod("vec_id", F.lit(5))) & (F.floor(i / 8) < 3))
     marked = _grids(spark, sf_dir).withColumn("changed", changed)
     return rounded(marked.select("vec_id", *[c.alias(k) for k, c in grids.spatial_metrics("cells", "width", 0.6, "changed").items()]), 8)
+
+
+# --- marks in least significant bits, and what perturbations leave of them
+
+_MESSAGE = 16
+#: Perturbations of 8-bit samples and their strengths.
+_ATTACKS = {"identity": 0.0, "brightness": 1.125, "contrast": 0.75, "gamma": 1.25, "horizontal_flip": 0.0, "pixelate": 0.5}
+_MARKED_SQL = f"""levels AS (SELECT vec_id, list_transform({_CELLS}, lambda x: floor(x * 255)) AS c, array_to_string(list_transform(embedding[1:{_MESSAGE}], lambda x: (x > 0)::INTEGER), '') AS message FROM embeddings),
+  cell AS (SELECT vec_id, message, i, c[i + 1] AS x, c[i + 1] - c[i + 1] % 2 + substr('{grids.SYNC}' || message, 1 + (i % {len(grids.SYNC) + _MESSAGE})::INTEGER, 1)::INTEGER AS m FROM levels CROSS JOIN range(0, 64) r(i))"""
+
+
+def _read_sql(source: str, value: str, keys: str) -> str:
+    """Votes of each bit, and the text of all bits, from cells."""
+    total = len(grids.SYNC) + _MESSAGE
+    return f"(SELECT {keys}, string_agg(CASE WHEN v > 0 THEN '1' ELSE '0' END, '' ORDER BY b) AS bits FROM (SELECT {keys}, i % {total} AS b, sum({value} % 2 * 2 - 1) AS v FROM {source} GROUP BY ALL) GROUP BY ALL)"
+
+
+def _marked(spark, sf_dir):
+    """Vectors as 8 x 8 samples from 0 to 255, marked with the signs of their first coordinates."""
+    levels = _grids(spark, sf_dir).select("vec_id", "width", F.transform("cells", lambda x: F.floor(x * 255).cast("double")).alias("cells"))
+    signs = table(spark, sf_dir, "embeddings").select("vec_id", F.array_join(F.transform(F.slice("embedding", 1, _MESSAGE), lambda x: (x > 0).cast("int")), "").alias("message"))
+    return levels.join(signs, "vec_id").withColumn("marked", F.expr(grids.marked("cells", "message")))
+
+
+@register("lsb_roundtrip", f"""WITH {_MARKED_SQL}, r AS {_read_sql("cell", "m", "vec_id")}, q AS (SELECT vec_id, any_value(message) AS message, avg((x - m) ** 2) AS mse FROM cell GROUP BY vec_id)
+  SELECT vec_id, message, substr(bits, {len(grids.SYNC) + 1}) AS found, starts_with(bits, '{grids.SYNC}') AS detected, round(10 * log10(65025.0::DOUBLE / mse), 8) AS psnr_db FROM q JOIN r USING (vec_id) WHERE mse > 0""")
+def lsb_roundtrip(spark, sf_dir):
+    """Mark each grid, read the mark back, and measure the change."""
+    found = grids.read_mark("marked", _MESSAGE)
+    seen = _marked(spark, sf_dir).withColumn("mse", grids.squared_difference("cells", "marked")).where("mse > 0")
+    return rounded(seen.select("vec_id", "message", found["message"].alias("found"), found["detected"].alias("detected"), scalars.psnr(F.col("mse")).alias("psnr_db")), 8)
+
+
+_AFTER_SQL = """p AS (SELECT vec_id, round_even(avg(m), 0) AS centre FROM cell GROUP BY vec_id),
+  blocks AS (SELECT vec_id, i // 8 // 2 AS y, i % 8 // 2 AS x, avg(m) AS mean FROM cell GROUP BY ALL),
+  hit AS (SELECT c.vec_id, c.message, c.i, c.m, a.attack, CASE a.attack WHEN 'identity' THEN c.m WHEN 'brightness' THEN c.m * 1.125::DOUBLE WHEN 'contrast' THEN centre + (c.m - centre) * 0.75::DOUBLE WHEN 'gamma' THEN 255 * pow(c.m / 255.0::DOUBLE, 1.25::DOUBLE)
+      WHEN 'horizontal_flip' THEN f.m ELSE b.mean END AS z FROM cell c JOIN p USING (vec_id) JOIN cell f ON f.vec_id = c.vec_id AND f.i = c.i - c.i % 8 + 7 - c.i % 8 JOIN blocks b ON b.vec_id = c.vec_id AND b.y = c.i // 8 // 2 AND b.x = c.i % 8 // 2
+      CROSS JOIN (VALUES ('identity'), ('brightness'), ('contrast'), ('gamma'), ('horizontal_flip'), ('pixelate')) a(attack)),
+  after AS (SELECT *, round_even(greatest(0, least(255, z)), 0) AS w FROM hit)"""
+
+
+@register("attack_contract", f"""WITH {_MARKED_SQL}, {_AFTER_SQL}, r AS {_read_sql("after", "w", "vec_id, attack")}, s AS (SELECT attack, vec_id, any_value(message) AS message, avg((m - w) ** 2) AS mse FROM after GROUP BY ALL)
+  SELECT attack, count(*) AS images, count(*) FILTER (WHERE starts_with(bits, '{grids.SYNC}')) AS synchronised, count(*) FILTER (WHERE substr(bits, {len(grids.SYNC) + 1}) = message) AS recovered, round(avg(mse), 8) AS mean_squared_difference FROM s JOIN r USING (vec_id, attack) GROUP BY attack""")
+def attack_contract(spark, sf_dir):
+    """Every perturbation of the marked grids, in one pass: how much it changes, and how many marks survive."""
+    hit = _marked(spark, sf_dir).select("message", "width", "marked", F.explode(F.array(*[F.struct(F.lit(name).alias("attack"), F.expr(grids.perturbed("marked", "width", name, amount)).alias("after")) for name, amount in _ATTACKS.items()])).alias("a"))
+    seen = hit.select("message", "marked", "a.attack", "a.after")
+    found = grids.read_mark("after", _MESSAGE)
+    return rounded(seen.groupBy("attack").agg(
+        F.count(F.lit(1)).alias("images"), F.count_if(found["sync"] == 1).alias("synchronised"), F.count_if(found["message"] == F.col("message")).alias("recovered"), F.avg(grids.squared_difference("marked", "after")).alias("mean_squared_difference"),
+    ), 8)

@@ -107,3 +107,27 @@ def test_stencils_and_masks_equal_numpy(spark):
                 corners[ys, xs] = True
         centre[h // 4 : max(h // 4 + 1, h - h // 4), w // 4 : max(w // 4 + 1, w - w // 4)] = True
         assert x.evidence == pytest.approx(max(0.0, near[corners].mean() - near[centre].mean()))
+
+
+def test_perturbations_and_marks_equal_numpy(spark):
+    r = np.random.default_rng(4)
+    pictures = {k: r.integers(0, 256, (12, 16)).astype(float) for k in range(4)}
+    messages = {k: "".join(map(str, r.integers(0, 2, 16))) for k in pictures}
+    frame = spark.createDataFrame([(k, 16, p.ravel().tolist(), messages[k]) for k, p in pictures.items()], "k int, width int, cells array<double>, message string")
+    whole = lambda x: np.round(np.clip(x, 0, 255))
+    blocks = lambda p, n: np.kron(p.reshape(12 // n, n, 16 // n, n).mean((1, 3)), np.ones((n, n)))
+    want = {
+        ("identity", 0.0): lambda p: p, ("brightness", 1.5): lambda p: whole(p * 1.5), ("contrast", 0.6): lambda p: whole(np.round(p.mean()) + (p - np.round(p.mean())) * 0.6), ("gamma", 2.0): lambda p: whole(255 * (p / 255) ** 2.0),
+        ("horizontal_flip", 0.0): lambda p: p[:, ::-1], ("pixelate", 0.25): lambda p: whole(blocks(p, 4)),
+    }
+    columns = [F.expr(grids.perturbed("cells", "width", *key)).alias(key[0]) for key in want]
+    for x in frame.select("k", *columns).collect():
+        for (name, _), f in want.items():
+            assert np.array(x[name]).reshape(12, 16) == pytest.approx(f(pictures[x.k])), name
+    with pytest.raises(ValueError):
+        grids.perturbed("cells", "width", "blur", 1.0)
+    seen = frame.withColumn("marked", F.expr(grids.marked("cells", "message")))
+    for x in seen.select("k", "message", "marked", grids.squared_difference("cells", "marked").alias("mse"), *[c.alias(f"found_{n}") for n, c in grids.read_mark("marked", 16).items()]).collect():
+        assert (x.found_message, x.found_sync, x.found_detected) == (x.message, 1.0, True)
+        assert x.mse == pytest.approx(np.mean((pictures[x.k].ravel() - np.array(x.marked)) ** 2)) and x.mse <= 1
+    assert [r[0] for r in frame.select(grids.read_mark("cells", 16)["detected"]).collect()] == [False] * 4
