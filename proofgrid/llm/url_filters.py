@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .store import read
+from .store import materialize, read
 
 #: Host suffix and path prefix -> verdict.
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
@@ -119,6 +119,7 @@ def filter_urls(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str,
     page = pages.select(F.col("page_id").cast("long").alias("page_id"), host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     label = labels.where(F.col("page_id").isNotNull() & F.col("bad").isNotNull()).groupBy(F.col("page_id").cast("long").alias("page_id")).agg(F.max(F.col("bad").cast("double")).alias("bad"))
     counts = page.join(label, "page_id", "left").groupBy("host").agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0.0)).alias("bad"))
+    counts = materialize(counts, "hosts", fold=True)  # every level is made of these, so urls are read and cut once for them
     known = reputation(counts).select("host", "rate", "lower")
     rule, says = rule_of(F.col("host"), F.col("path"), rules)
     return page.join(known, "host", "left").select(
