@@ -1,17 +1,18 @@
 """Percentile bootstrap of unit means.
 
 Hash mode draws unit numbers by a hash of (seed, iteration, draw): every engine gives the same draws. Groups of one
-size share their draws, so these are made once for each size and counted before they meet the units; the plan is that
-join and a sum. Numpy mode runs one generator for each group and is for parity with published intervals; the units of
+size share their draws, so these are made once for each size and gathered as a list for each unit number before they
+meet the units: a unit is one row, and its weighted values are summed up for all iterations at once in the tasks. Numpy mode runs one generator for each group and is for parity with published intervals; the units of
 one group must fit in a task.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,11 +27,59 @@ def draw(text: Column, n: Column) -> Column:
     return F.pmod(F.conv(F.substring(F.sha2(text, 256), 1, 15), 16, 10).cast("long"), n)
 
 
+#: Groups whose sums a task holds at once, and units whose draws are a matrix at once.
+GROUPS, SLICE = 64, 1000
+
+
+def _weighed(n_keys: int, n_values: int, iterations: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows (group keys, iterations and weights of a unit's draws, whole values) -> weighted sums and weights by group and iteration.
+
+    Sums are whole numbers in numpy, one part for each task and group; a null value has no weight.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, np.ndarray] = {}
+        fields: list[pa.Field] = []
+
+        def told() -> pa.RecordBatch:
+            keys = [pa.array([k[i] for k in held for _ in range(iterations)], fields[i].type) for i in range(n_keys)]
+            flat = np.concatenate([h for h in held.values()], axis=1)
+            rounds = np.tile(np.arange(iterations, dtype=np.int32), len(held))
+            return pa.RecordBatch.from_arrays([*keys, pa.array(rounds), *map(pa.array, flat)], names=[f.name for f in fields] + ["_it"] + [f"_{k}" for k in range(2 * n_values)])
+
+        for whole in batches:
+            fields = list(whole.schema)[:n_keys]
+            for start in range(0, whole.num_rows, SLICE):
+                batch = whole.slice(start, SLICE)
+                keys = list(zip(*(c.to_pylist() for c in batch.columns[:n_keys]), strict=True)) if n_keys else [()] * batch.num_rows
+                its, weights = batch.column(n_keys), batch.column(n_keys + 1)
+                row = np.repeat(np.arange(batch.num_rows), np.diff(its.offsets.to_numpy()))
+                drawn = np.zeros((batch.num_rows, iterations))
+                drawn[row, its.flatten().to_numpy()] = weights.flatten().to_numpy()
+                columns = batch.columns[n_keys + 2 :]
+                both = np.stack([x for c in columns for x in (c.fill_null(0).to_numpy(), c.is_valid().to_numpy(zero_copy_only=False).astype(np.int64))], 1)
+                # Products of whole numbers are exact in floating point as long as no sum can pass 2**53.
+                exact = float(np.abs(both).max(initial=0)) * drawn.sum(0).max(initial=0) < 1 << 53
+                mine: dict[tuple, list[int]] = {}
+                for at, k in enumerate(keys):
+                    mine.setdefault(k, []).append(at)
+                for k, at in mine.items():
+                    part = both[at].T @ drawn[at].astype(np.int64) if not exact else (both[at].astype(float).T @ drawn[at]).astype(np.int64)
+                    held[k] = held[k] + part if k in held else part
+                if len(held) >= GROUPS:
+                    yield told()
+                    held.clear()
+        if held:
+            yield told()
+
+    return run
+
+
 def hash_bootstrap(units: DataFrame, group: Sequence[str], order: Sequence[str], values: Sequence[str], iterations: int, seed: str, stratum: str | None = None) -> DataFrame:
     """group, units, and for each value its mean and the 2.5 and 97.5 percentiles of resampled means.
 
     Units are numbered within their group (and stratum); resampling keeps the number of units of each stratum, so
-    strata weigh by their units. A null value is left out of the means. Joined rows: at most iterations x units.
+    strata weigh by their units. A null value is left out of the means. Joined rows: one for each unit and group.
     Values are whole billionths, so a sum is the same in any order, and so are the means and their percentiles.
     """
     strata = [stratum] if stratum else []
@@ -41,9 +90,15 @@ def hash_bootstrap(units: DataFrame, group: Sequence[str], order: Sequence[str],
     rounds = numbered.select(*strata, "_n").distinct().select(*strata, "_n", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1))).alias("_it")).repartition("_n", "_it")
     each = rounds.select(*strata, "_n", "_it", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)).alias("_draw"))
     drawn = each.select(*strata, "_n", "_it", draw(F.concat_ws(":", key, F.col("_it").cast("string"), F.col("_draw").cast("string")), F.col("_n")).alias("_i"))
-    drawn = drawn.groupBy(*strata, "_n", "_it", "_i").agg(F.count(F.lit(1)).alias("_w"))
-    mean = lambda v: F.try_divide(F.sum(F.col("_w") * F.col(v)).cast("double"), F.sum(F.when(F.col(v).isNotNull(), F.col("_w"))) * SCALE)
-    means = numbered.join(drawn, [*strata, "_n", "_i"]).groupBy(*group, "_it").agg(*[mean(v).alias(v) for v in values])
+    drawn = drawn.groupBy(*strata, "_n", "_it", "_i").agg(F.count(F.lit(1)).cast("int").alias("_w"))
+    # A unit's draws are one list, of at most a count for each iteration, so a unit meets them in one row.
+    lists = drawn.groupBy(*strata, "_n", "_i").agg(F.collect_list("_it").alias("_its"), F.collect_list("_w").alias("_ws"))
+    met = numbered.join(lists, [*strata, "_n", "_i"]).select(*group, "_its", "_ws", *values)
+    kinds = dict(units.dtypes)
+    schema = ", ".join([*(f"`{g}` {kinds[g]}" for g in group), "_it int", *(f"`{v}_s` long, `{v}_w` long" for v in values)])
+    sums = met.mapInArrow(_weighed(len(group), len(values), iterations), schema)
+    totals = sums.groupBy(*group, "_it").agg(*[F.sum(f"{v}_{x}").alias(f"{v}_{x}") for v in values for x in "sw"])
+    means = totals.select(*group, "_it", *[F.try_divide(F.col(f"{v}_s").cast("double"), F.col(f"{v}_w") * SCALE).alias(v) for v in values])
     bounds = means.groupBy(*group).agg(*[c for v in values for c in (F.percentile(v, 0.025).alias(f"{v}_low"), F.percentile(v, 0.975).alias(f"{v}_high"))])
     point = units.groupBy(*group).agg(F.count(F.lit(1)).alias("units"), *[F.try_divide(F.sum(v).cast("double"), F.count(v) * SCALE).alias(f"{v}_mean") for v in values])
     return point.join(bounds, list(group)) if group else point.crossJoin(bounds)  # one row each
