@@ -49,8 +49,9 @@ WORDS, THRESHOLD = 5, 0.8
 BANDS, ROWS = 25, 5
 #: Bands of the first pass, in which most links are found; the second pass takes all.
 FIRST_BANDS = 6
-#: Members up to which a bucket gives pairs, members of a block of a larger one, and members up to which there are blocks.
-SMALL, BLOCK, WIDE = 16, 256, 1024
+#: Members up to which a bucket gives pairs, members of a block of a larger one, and members up to which there are blocks:
+#: beyond, blocks would send each text more than 32 times, which is about what ordering its shingles costs.
+SMALL, BLOCK, WIDE = 16, 256, 8192
 _SKETCH = "row long, doc_id long, n int, print1 long, print2 long, bands array<long>"
 
 
