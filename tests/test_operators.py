@@ -69,6 +69,23 @@ def test_hash_bootstrap_equals_a_plain_one(spark):
     assert len(found) == 2
 
 
+def test_draws_are_dealt_by_their_number_and_meet_units_in_blocks(spark):
+    """300,000 units are two parts of draws and 37 blocks; 40 groups of five are more than one part of groups."""
+    units = spark.range(300_000).selectExpr("-1 AS g", "id AS k", "double(id % 7) AS v").union(spark.range(200).selectExpr("int(id % 40) AS g", "id AS k", "if(id < 40, NULL, double(id)) AS v"))
+    found = bootstrap.hash_bootstrap(units, ["g"], ["k"], ["v"], 2, "s")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_COL" not in plan  # a few bytes that stand for all hashes would be merged into one task
+    assert "FlatMapCoGroupsInArrow" in plan and "collect_list" not in plan
+    values = {-1: np.arange(300_000) % 7, **{g: np.array([np.nan, *(g + 40.0 * np.arange(1, 5))]) for g in range(40)}}
+    rows = {r.g: r for r in found.collect()}
+    assert rows.keys() == values.keys()
+    drawn = {n: [[int(hashlib.sha256(f"s:{it}:{k}".encode()).hexdigest()[:15], 16) % n for k in range(n)] for it in range(2)] for n in (5, 300_000)}
+    for g, x in values.items():
+        means = [np.nanmean(x[i]) for i in drawn[len(x)]]
+        assert (rows[g].units, rows[g].v_mean) == (len(x), pytest.approx(np.nanmean(x)))
+        assert (rows[g].v_low, rows[g].v_high) == pytest.approx(tuple(np.quantile(means, [0.025, 0.975])))
+
+
 def test_one_generator_for_all_groups(spark):
     rng = np.random.default_rng(6)
     rows = [(g, k, float(rng.normal())) for g in "ba" for k in range(5 if g == "a" else 8)]
