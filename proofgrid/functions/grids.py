@@ -154,9 +154,12 @@ def perturbed(cells: str, width: str, name: str, amount: float) -> str:
         return f"transform(sequence(0, size({cells}) - 1), i -> {cells}[i - i % {width} + {width} - 1 - i % {width}])"
     if name == "pixelate":
         step = max(1, round(1 / amount))
-        block = lambda i: f"(int(floor({i} / {width} / {step})) * {width} + int(floor({i} % {width} / {step})))"
-        mean = _mean(f"transform(filter(sequence(0, size({cells}) - 1), j -> {block('j')} = {block('i')}), j -> {cells}[j])")
-        return whole(f"transform(sequence(0, size({cells}) - 1), i -> {mean})")
+        across, down = f"int(ceil({width} / {step}D))", f"int(ceil(size({cells}) / {width} / {step}D))"
+        # A block's samples are slices of its rows; its mean is made once and looked up by each of them.
+        x, y = f"b % {across} * {step}", f"b div {across} * {step}"
+        block = f"flatten(transform(sequence(0, {step - 1}), r -> slice({cells}, int(({y} + r) * {width} + {x} + 1), int(least({step}, {width} - {x})))))"
+        means = f"transform(sequence(0, {across} * {down} - 1), b -> {_mean(block)})"
+        return whole(_let(means, "m", f"transform(sequence(0, size({cells}) - 1), i -> m[int(i div {width} div {step} * {across} + i % {width} div {step})])"))
     raise ValueError(f"unknown perturbation {name}")
 
 
@@ -170,7 +173,9 @@ def read_mark(cells: str, bits: int) -> dict[str, Column]:
     """The message of so many bits by majority of its repetitions, the share of right synchronisation bits, and whether
     it is 0.875 or more. A bit with as many votes for either is 0."""
     total = len(SYNC) + bits
-    votes = f"transform(sequence(0, {total - 1}), b -> aggregate(filter(transform({cells}, (x, i) -> IF(i % {total} = b, x % 2 * 2 - 1, 0D)), x -> x <> 0), 0D, (s, x) -> s + x))"
+    # A bit's votes are looked up where they are, so a grid is walked once for all bits; a null sample has no vote.
+    vote = f"aggregate(sequence(b, size({cells}) - 1, {total}), 0D, (s, i) -> s + coalesce({cells}[i] % 2 * 2 - 1, 0D))"
+    votes = f"transform(sequence(0, {total - 1}), b -> IF(b < size({cells}), {vote}, 0D))"
     read = f"array_join(transform({votes}, v -> IF(v > 0, '1', '0')), '')"
     right = f"aggregate(sequence(1, {len(SYNC)}), 0, (n, i) -> n + int(substr(r, i, 1) = substr('{SYNC}', i, 1))) / {float(len(SYNC))}D"
     return {"message": F.expr(f"substr({read}, {len(SYNC) + 1})"), "sync": F.expr(_let(read, "r", right)), "detected": F.expr(_let(read, "r", f"{right} >= 0.875D"))}

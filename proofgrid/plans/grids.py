@@ -37,12 +37,12 @@ def _matrix(branch: str, width: int, height: int) -> np.ndarray:
 _MATRICES = ", ".join(f"('{b}', {k}, {[float(x) for x in _matrix(b, w, h).ravel()]}::DOUBLE[])" for b in _BRANCHES for k, (w, h) in enumerate(_SHAPES))
 
 
-def _grids(spark, sf_dir):
+def _grids(spark, sf_dir, vectors=None):
     """Vectors as grids of probabilities, each seen in a branch of an image of one of two shapes."""
     cells = F.transform("embedding", lambda x: 1 / (1 + F.exp(-8 * x.cast("double"))))
     branch = F.element_at(F.array(*map(F.lit, _BRANCHES)), (F.pmod("vec_id", F.lit(len(_BRANCHES))) + 1).cast("int"))
     wide = F.pmod("vec_id", F.lit(2)) == 0
-    return table(spark, sf_dir, "embeddings").select("vec_id", branch.alias("branch"), F.when(wide, 240).otherwise(120).alias("image_width"), F.when(wide, 120).otherwise(240).alias("image_height"), F.lit(8).alias("width"), cells.alias("cells"))
+    return (vectors or table(spark, sf_dir, "embeddings")).select("vec_id", "embedding", branch.alias("branch"), F.when(wide, 240).otherwise(120).alias("image_width"), F.when(wide, 120).otherwise(240).alias("image_height"), F.lit(8).alias("width"), cells.alias("cells"))
 
 
 @register("localization_in_input", f"""WITH maps AS (SELECT * FROM (VALUES {_MATRICES}) t(branch, shape, m)), g AS (SELECT vec_id, {_BRANCHES}[vec_id % {len(_BRANCHES)} + 1] AS branch, vec_id % 2 AS shape, {_CELLS} AS c FROM embeddings),
@@ -109,9 +109,11 @@ def _read_sql(source: str, value: str, keys: str) -> str:
 
 def _marked(spark, sf_dir):
     """Vectors as 8 x 8 samples from 0 to 255, marked with the signs of their first coordinates."""
-    levels = _grids(spark, sf_dir).select("vec_id", "width", F.transform("cells", lambda x: F.floor(x * 255).cast("double")).alias("cells"))
-    signs = table(spark, sf_dir, "embeddings").select("vec_id", F.array_join(F.transform(F.slice("embedding", 1, _MESSAGE), lambda x: (x > 0).cast("int")), "").alias("message"))
-    return levels.join(signs, "vec_id").withColumn("marked", F.expr(grids.marked("cells", "message")))
+    # A vector is a few bytes and much work, so rows are dealt evenly, whatever the files' row groups.
+    dealt = table(spark, sf_dir, "embeddings").select("vec_id", "embedding").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
+    message = F.array_join(F.transform(F.slice("embedding", 1, _MESSAGE), lambda x: (x > 0).cast("int")), "").alias("message")
+    levels = _grids(spark, sf_dir, dealt).select("vec_id", "width", F.transform("cells", lambda x: F.floor(x * 255).cast("double")).alias("cells"), message)
+    return levels.withColumn("marked", F.expr(grids.marked("cells", "message")))
 
 
 @register("lsb_roundtrip", f"""WITH {_MARKED_SQL}, r AS {_read_sql("cell", "m", "vec_id")}, q AS (SELECT vec_id, any_value(message) AS message, avg((x - m) ** 2) AS mse FROM cell GROUP BY vec_id)

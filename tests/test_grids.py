@@ -131,3 +131,19 @@ def test_perturbations_and_marks_equal_numpy(spark):
         assert (x.found_message, x.found_sync, x.found_detected) == (x.message, 1.0, True)
         assert x.mse == pytest.approx(np.mean((pictures[x.k].ravel() - np.array(x.marked)) ** 2)) and x.mse <= 1
     assert [r[0] for r in frame.select(grids.read_mark("cells", 16)["detected"]).collect()] == [False] * 4
+
+
+def test_pixelated_edges_and_marks_are_one_walk(spark, small):
+    """Blocks of five over 12 x 16 are cut at two sides; each sample is looked up, not sought among all others."""
+    from proofgrid.plans import registry
+
+    p = np.random.default_rng(6).integers(0, 256, (12, 16)).astype(float)
+    frame = spark.createDataFrame([(16, p.ravel().tolist())], "width int, cells array<double>")
+    found = np.array(frame.select(F.expr(grids.perturbed("cells", "width", "pixelate", 0.2))).first()[0]).reshape(12, 16)
+    for y in range(0, 12, 5):
+        for x in range(0, 16, 5):
+            assert (found[y : y + 5, x : x + 5] == np.round(p[y : y + 5, x : x + 5].mean())).all()
+    assert "filter(" not in grids.perturbed("cells", "width", "pixelate", 0.2)
+    assert frame.select(F.expr("slice(cells, 1, 20)").alias("cells")).select(grids.read_mark("cells", 16)["message"]).first()[0][4:] == "0" * 12  # no votes there
+    plan = registry.queries()["attack_contract"](spark, small)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "REPARTITION_BY_NUM" in plan
