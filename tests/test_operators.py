@@ -5,6 +5,7 @@ import json
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -86,6 +87,42 @@ def test_draws_are_dealt_by_their_number_and_meet_units_in_blocks(spark):
         assert (rows[g].v_low, rows[g].v_high) == pytest.approx(tuple(np.quantile(means, [0.025, 0.975])))
 
 
+def test_sizes_share_hashes(spark, monkeypatch):
+    """Sizes of one row are remainders of the same hashes, which are made once, up to the largest; so are 20 sizes of a table."""
+    made, plain = [], bootstrap.hashes
+    monkeypatch.setattr(bootstrap, "hashes", lambda head, first, last: made.append(last - first) or plain(head, first, last))
+    row = pa.RecordBatch.from_pylist([{"_it": 7, "_sizes": [{"_n": n, "_parts": 1} for n in (9001, 9000, 20)], "_head": "s:7:", "_first": 0}], pa.schema([("_it", pa.int32()), ("_sizes", pa.list_(pa.struct([("_n", pa.int64()), ("_parts", pa.int32())]))), ("_head", pa.string()), ("_first", pa.int64())]))
+    found = {(r["_n"], r["_block"]): r for b in bootstrap._drawn([row]) for r in b.to_pylist()}
+    assert made == [9001]
+    digits = [int(hashlib.sha256(f"s:7:{k}".encode()).hexdigest()[:15], 16) for k in range(9001)]
+    for n in (9001, 9000, 20):
+        counts = np.bincount([x % n for x in digits[:n]], minlength=n)
+        for block in range(-(-n // bootstrap.BLOCK)):
+            r, there = found.pop((n, block)), counts[block * bootstrap.BLOCK : (block + 1) * bootstrap.BLOCK]
+            assert (bootstrap.unpack(r["_dense"], r["_at"], len(there)) == there).all()
+            assert len(r["_at"]) <= len(there) // 2 + 1
+    assert not found
+
+    values = {n: np.arange(n) % 5 + 0.5 for n in range(1, 21)}
+    rows = [(n, k, float(v)) for n, x in values.items() for k, v in enumerate(x)]
+    told = bootstrap.hash_bootstrap(spark.createDataFrame(rows, "g int, k int, v double").repartition(3), ["g"], ["k"], ["v"], 3, "s").collect()
+    assert len(told) == 20
+    for r in told:
+        means = [values[r.g][[int(hashlib.sha256(f"s:{it}:{k}".encode()).hexdigest()[:15], 16) % r.g for k in range(r.g)]].mean() for it in range(3)]
+        assert (r.v_low, r.v_high) == pytest.approx(tuple(np.quantile(means, [0.025, 0.975])))
+
+
+def test_packed_draws_hold_any_count():
+    rng = np.random.default_rng(8)
+    for units, n, dense in ((np.zeros(20, np.int64), 20, False), (rng.integers(0, 20_001, 20_001), 20_001, True), (rng.integers(0, 90_000, 500), 90_000, False), (np.repeat([0, 8191, 8192], 15), 8193, False), (np.repeat(np.arange(8193), 15), 8193, True), (np.repeat(np.arange(8193), 16), 8193, False)):
+        counts = np.zeros(n, np.int64)
+        for block, kind, drawn in bootstrap.pack(units, n):
+            at = slice(block * bootstrap.BLOCK, min(n, (block + 1) * bootstrap.BLOCK))
+            counts[at] += bootstrap.unpack(kind, drawn, at.stop - at.start)
+            assert kind == dense
+        assert (counts == np.bincount(units, minlength=n)).all()
+
+
 def test_one_generator_for_all_groups(spark):
     rng = np.random.default_rng(6)
     rows = [(g, k, float(rng.normal())) for g in "ba" for k in range(5 if g == "a" else 8)]
