@@ -123,6 +123,12 @@ def test_packed_draws_hold_any_count():
         assert (counts == np.bincount(units, minlength=n)).all()
 
 
+def test_a_budget_is_searched_once(spark, small):
+    """Its gains are a table, which the interval and the cost read; neither searches again."""
+    plan = registry.queries()["budget_acceptance"](spark, small)._jdf.queryExecution().executedPlan().toString()
+    assert "gains-" in plan and "embedding" not in plan
+
+
 def test_one_generator_for_all_groups(spark):
     rng = np.random.default_rng(6)
     rows = [(g, k, float(rng.normal())) for g in "ba" for k in range(5 if g == "a" else 8)]
