@@ -4,6 +4,7 @@ import hashlib
 import json
 import math
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -112,6 +113,25 @@ def test_sizes_share_hashes(spark, monkeypatch):
         assert (r.v_low, r.v_high) == pytest.approx(tuple(np.quantile(means, [0.025, 0.975])))
 
 
+def test_bounds_are_rounded_once(spark):
+    """As quantile_cont: the lower neighbour's share is added in one rounding; with two, some of 60 bounds end in another digit."""
+    rng = np.random.default_rng(11)
+    values = {g: np.round(rng.normal(40, 5, 9), 9) for g in range(30)}
+    rows = [(g, k, float(v)) for g, x in values.items() for k, v in enumerate(x)] + [(30, k, None) for k in range(9)]
+    found = {r.g: r for r in bootstrap.hash_bootstrap(spark.createDataFrame(rows, "g int, k int, v double").repartition(3), ["g"], ["k"], ["v"], 30, "s").collect()}
+    drawn = [[int(hashlib.sha256(f"s:{it}:{k}".encode()).hexdigest()[:15], 16) % 9 for k in range(9)] for it in range(30)]
+    assert (found[30].units, found[30].v_low, found[30].v_high) == (9, None, None)
+    con, twice = duckdb.connect(), 0
+    for g, x in values.items():
+        whole = np.floor(x * 1e9 + 0.5).astype(np.int64)
+        means = sorted(float(whole[i].sum()) / (9 * 1e9) for i in drawn)
+        told = con.execute("SELECT quantile_cont(x, 0.025), quantile_cont(x, 0.975) FROM (SELECT unnest(?::DOUBLE[]) AS x)", [means]).fetchall()[0]
+        assert (found[g].v_low, found[g].v_high) == told
+        plain = [means[int(at)] * (int(at) + 1 - at) + means[int(at) + 1] * (at - int(at)) for at in (29 * 0.025, 29 * 0.975)]
+        twice += sum(a != b for a, b in zip(plain, told, strict=True))
+    assert twice
+
+
 def test_packed_draws_hold_any_count():
     rng = np.random.default_rng(8)
     for units, n, dense in ((np.zeros(20, np.int64), 20, False), (rng.integers(0, 20_001, 20_001), 20_001, True), (rng.integers(0, 90_000, 500), 90_000, False), (np.repeat([0, 8191, 8192], 15), 8193, False), (np.repeat(np.arange(8193), 15), 8193, True), (np.repeat(np.arange(8193), 16), 8193, False)):
